@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postworks.llm import sentencepiece_codec, url_cascade
+from postworks.llm import language_mixture, sentencepiece_codec, url_cascade, warc
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -28,9 +29,39 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_url_cascade": op10_url_cascade}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = warc.write_archive(warc.to_records(pages, "page_id", "url", "html"))
+    records = warc.read_archive(spark, path, payload=False, verify=True).where(F.col("record_type").isin("response", "revisit"))
+    row_id = lambda c: F.regexp_extract(c, "^urn:row:(.*)$", 1).try_cast("long")
+    return records.select(row_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", row_id("refers_to").alias("refers_to"))
+
+
+def language_model(docs: DataFrame) -> tuple:
+    """A model learned from the rows that aren't held out."""
+    learned = docs.where(~language_mixture.is_held_out(F.col("doc_id")))
+    return language_mixture.fit(learned, F.col("text"), F.col("lang"))
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = language_mixture.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("row.doc_id", language_mixture.is_held_out(F.col("row.doc_id")).alias("held_out"), "found.lang_pred", "found.score")
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op10_url_cascade": op10_url_cascade}
 
 ORACLE_SQL = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, upper(sha1(html)) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(5 * k + 1 AS INTEGER), 5) AS BIGINT) // (1 << s)) % 32 AS INTEGER), 1)), '')), '') AS payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM d
+""",
     "op10_url_cascade": """
 WITH u AS (
   SELECT page_id,
