@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postworks.llm import language_mixture, sentencepiece_codec, url_cascade, warc
+from postworks.llm import contamination, language_mixture, sentencepiece_codec, url_cascade, warc
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -49,7 +49,20 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", language_mixture.is_held_out(F.col("row.doc_id")).alias("held_out"), "found.lang_pred", "found.score")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op10_url_cascade": op10_url_cascade}
+def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = contamination.find_contamination(docs.select("doc_id", "text"), benchmark)
+    return found.select(
+        "row.doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("found.items"), ","), 256).alias("items_sha256"),
+        contamination.is_contaminated(F.col("found")).alias("contaminated"),
+    )
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade}
 
 ORACLE_SQL = {
     "op7_warc": """
