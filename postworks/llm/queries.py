@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postworks.llm import contamination, jaccard_join, language_mixture, sentencepiece_codec, url_cascade, warc
+from postworks.llm import contamination, jaccard_join, language_mixture, line_dedup, sentencepiece_codec, url_cascade, warc
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -29,6 +29,12 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op2_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    removed = F.coalesce(F.size("lines.removed"), F.lit(0)).cast("long")
+    return found.select("row.doc_id", "lines.n_lines", F.greatest(removed, F.lit(0)).alias("n_removed"), F.sha2("lines.text", 256).alias("text_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -66,7 +72,7 @@ def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op5_jaccard_join": op5_jaccard_join, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_segment_join": op2_segment_join, "op5_jaccard_join": op5_jaccard_join, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade}
 
 ORACLE_SQL = {
     "op7_warc": """
