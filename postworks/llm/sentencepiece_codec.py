@@ -22,6 +22,7 @@ results. Other columns are not read, so their names can't clash.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -60,17 +61,25 @@ class Codec:
         self.byte_id = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.known = {p for p in self.id_of if len(p) == 1}
-        # A piece that merging its own characters doesn't give can't occur in any result.
-        self.automaton = ahocorasick.Automaton()
+        # How each piece comes about by merging its own characters. One that doesn't can't occur in any result.
+        self.parts: dict[str, tuple[str, str]] = {}
         for p in self.id_of:
-            if self.merge(p) == [p]:
-                self.automaton.add_word(p, len(p))
+            steps: list[tuple[str, str]] = []
+            if len(p) > 1 and self.merge(p, steps) == [p]:
+                self.parts[p] = steps[-1]
+        self.automaton = ahocorasick.Automaton()
+        self.shorter: dict[str, str] = {}  # the longest piece that a piece begins with
+        for p in self.parts:
+            self.automaton.add_word(p, len(p))
+            self.shorter[p] = next(p[:n] for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in self.parts)
         self.automaton.make_automaton()
-        # Merges of equal score go by place alone; what neighbours do then depends on more than the two of them.
+        # Where pieces tie, or one scores better than a part of it, what neighbours do depends on more than the two of them.
         tied: dict[float, int] = {}
-        for p, s in self.score.items():
-            tied[s] = tied.get(s, 0) + (len(p) > 1)
-        self.tied = {p for p, s in self.score.items() if tied[s] > 1 and len(p) > 1}
+        for p in self.parts:
+            tied[self.score[p]] = tied.get(self.score[p], 0) + 1
+        odd = [p for p, ab in self.parts.items() if tied[self.score[p]] > 1 or any(x in self.parts and self.score[x] < self.score[p] for x in ab)]
+        self.odd = re.compile("|".join(map(re.escape, odd)) or "(?!)")
+        self.shown = [p.piece.replace(SPACE, " ") if p.type == _NORMAL else None for p in proto.pieces]
         if any(c != SPACE and n == SPACE for p in self.id_of for c, n in zip(p, p[1:])):
             self.cut = None
         else:
@@ -79,7 +88,7 @@ class Codec:
         self.fits: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, tuple[tuple[int, ...], str]] = {}
 
-    def merge(self, text: str) -> list[str]:
+    def merge(self, text: str, steps: list | None = None) -> list[str]:
         """Merge neighbours, best score first and leftmost of equals, until no two make a piece."""
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
@@ -95,6 +104,8 @@ class Codec:
             _, i, left, right = heapq.heappop(heap)
             if parts[i] != left or (j := after[i]) >= len(parts) or parts[j] != right:
                 continue
+            if steps is not None:
+                steps.append((left, right))
             parts[i], parts[j], after[i] = left + right, None, after[j]
             if after[i] < len(parts):
                 before[after[i]] = i
@@ -103,53 +114,79 @@ class Codec:
         return [p for p in parts if p is not None]
 
     def compatible(self, left: str, right: str) -> bool:
-        if (known := self.fits.get((left, right))) is None:
-            if len(self.fits) > KEPT_STRETCHES:
-                self.fits.clear()
-            known = self.fits[left, right] = self.merge(left + right) == [left, right]
-        return known
+        """Whether merging the characters of both gives these two again.
+
+        Steps are taken back, last one first, on the sides that face each other;
+        before each step a merge across the border must not have been due.
+        """
+        score, parts = self.score, self.parts
+        if left + right in score:
+            return False
+        while True:
+            a, b = parts.get(left), parts.get(right)
+            if b and (not a or score[right] <= score[left]):
+                due, right = score[right], b[0]
+                if score.get(left + right, -math.inf) >= due:  # of equals the left one is first
+                    return False
+            elif a:
+                due, left = score[left], a[1]
+                if score.get(left + right, -math.inf) > due:
+                    return False
+            else:
+                return True
 
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a stretch of known characters."""
-        lengths: list[list[int]] = [[] for _ in text]
-        for end, n in self.automaton.iter(text):
-            lengths[end - n + 1].append(n)  # shorter ones first: they end earlier
-        if any(text[i : i + n] in self.tied for i, x in enumerate(lengths) for n in x):
+        if self.odd.search(text):
             return self.merge(text)
+        longest = [1] * len(text)
+        for end, n in self.automaton.iter(text):
+            longest[end - n + 1] = n  # a later end is a longer piece
+        fits, shorter = self.fits, self.shorter
         failed = bytearray(len(text) // 8 + 1)
-        taken: list[tuple[int, int]] = []  # start, and which of lengths[start]
-        at, which = 0, len(lengths[0]) - 1
-        while at < len(text):
-            while which >= 0:
-                end = at + lengths[at][which]
-                if not failed[end >> 3] >> (end & 7) & 1 and (not taken or self.compatible(text[taken[-1][0] : at], text[at:end])):
-                    break
-                which -= 1
-            if which >= 0:
-                taken.append((at, which))
+        taken: list[str] = []
+        at, piece = 0, text[: longest[0]]
+        while True:
+            while piece:
+                end = at + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if not taken:
+                        break
+                    pair = taken[-1], piece
+                    if (known := fits.get(pair)) is None:
+                        if len(fits) > KEPT_STRETCHES:
+                            fits.clear()
+                        known = fits[pair] = self.compatible(*pair)
+                    if known:
+                        break
+                piece = shorter.get(piece)
+            if piece:
+                taken.append(piece)
                 at = end
-                which = len(lengths[at]) - 1 if at < len(text) else -1
+                if at == len(text):
+                    return taken
+                piece = text[at : at + longest[at]]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                at, which = taken.pop()
-                which -= 1
-        return [text[i : i + lengths[i][k]] for i, k in taken]
+                piece = taken.pop()
+                at -= len(piece)
+                piece = shorter.get(piece)
 
     def stretch(self, text: str) -> tuple[tuple[int, ...], str]:
         """Ids of a stretch, and what they decode to."""
         if (found := self.kept.get(text)) is not None:
             return found
-        ids: list[int] = []
-        run = 0
-        for i, c in enumerate(text):
-            if c not in self.known:
-                if run < i:
-                    ids += map(self.id_of.__getitem__, self.backtrack(text[run:i]))
-                ids += (self.byte_id[b] for b in c.encode())
-                run = i + 1
-        if run < len(text):
-            ids += map(self.id_of.__getitem__, self.backtrack(text[run:]))
-        found = tuple(ids), self.surface(ids)
+        if self.known.issuperset(text):
+            ids = [self.id_of[p] for p in self.backtrack(text)]
+            found = tuple(ids), "".join([self.shown[i] for i in ids])
+        else:
+            ids = []
+            for run in re.split("([" + "".join(map(re.escape, set(text) - self.known)) + "])", text):
+                if run in self.known or len(run) > 1:
+                    ids += [self.id_of[p] for p in self.backtrack(run)]
+                elif run:
+                    ids += [self.byte_id[b] for b in run.encode()]
+            found = tuple(ids), self.surface(ids)
         if len(text) <= KEPT_CHARS:
             if len(self.kept) >= KEPT_STRETCHES:
                 self.kept.clear()
