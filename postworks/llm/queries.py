@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postworks.llm import contamination, jaccard_join, language_mixture, line_dedup, sentencepiece_codec, url_cascade, warc
+from postworks.llm import ann_forest, contamination, jaccard_join, language_mixture, line_dedup, sentencepiece_codec, shard_store, toxicity_chain, url_cascade, warc
+from postworks.llm.scratch import shared_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -35,10 +36,46 @@ def op2_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lines.n_lines", F.greatest(removed, F.lit(0)).alias("n_removed"), F.sha2("lines.text", 256).alias("text_sha256"))
 
 
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann_forest.nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
+
+
+#: Words that make a toxic text one of these categories, for the labels that the chain learns from; predictions don't use them.
+INSULTS = ["idiot", "moron", "stupid", "clown", "loser"]
+CONTEMPT = ["trash", "scum", "worthless", "pathetic", "disgusting"]
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> tuple:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = F.col("label") == 1
+    names = lambda words: F.lower("text").rlike(rf"\\b({'|'.join(words)})\\b")
+    categories = {"insult": toxic & names(INSULTS), "contempt": toxic & names(CONTEMPT), "toxic": toxic}
+    return toxicity_chain.fit(docs, labels, categories)
+
+
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = toxicity_chain.score(docs, toxicity_model(spark, sf_dir))
+    return found.select("row.doc_id", *[F.round(f"toxicity.{c}", 6).alias(f"p_{c}") for c in ("insult", "contempt", "toxic")], (F.col("toxicity.toxic") >= 0.5).alias("toxic"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+ARRIVALS = 12
+
+
+def op6_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_arrival", shard_store.arrival_of("doc_id", ARRIVALS))
+    store = shard_store.ShardStore(spark, shared_path(spark, "shards"))
+    store.append_arrivals(docs, "_arrival")
+    while store.compact():
+        store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = warc.write_archive(warc.to_records(pages, "page_id", "url", "html"))
@@ -72,9 +109,10 @@ def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_segment_join": op2_segment_join, "op5_jaccard_join": op5_jaccard_join, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_segment_join": op2_segment_join, "op3_ann_forest": op3_ann_forest, "op4_toxicity_chain": op4_toxicity_chain, "op5_jaccard_join": op5_jaccard_join, "op6_shard_store": op6_shard_store, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade}
 
 ORACLE_SQL = {
+    "op6_shard_store": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, upper(sha1(html)) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
