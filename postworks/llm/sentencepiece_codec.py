@@ -257,11 +257,12 @@ def encode_decode(df: DataFrame, model_path: str, id_column: str = "doc_id", tex
     return df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
-def digests(coded: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of encode_decode's result."""
+def digests(coded: DataFrame, id_column: str = "doc_id", *more: str) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of encode_decode's result, with more of its columns if they are named."""
     return coded.select(
         F.col(id_column),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *more,
     )

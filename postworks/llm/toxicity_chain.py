@@ -1,7 +1,8 @@
 """Operator 4: toxicity by a classifier chain.
 
 Categories are predicted one after another by logistic models on the words of a
-document; each model also gets the probabilities of the categories before it.
+document and on how they begin (how often each occurs, and in what part of the
+text); each model also gets the probabilities of the categories before it.
 It is trained on out-of-fold ones: the labelled rows are dealt into folds, and a
 row's earlier probabilities come from models that were fitted without its fold,
 so that a later model learns how far earlier ones can be trusted on new text.
@@ -28,10 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postworks.llm.words import ALNUM, split_words, text_chunks
+from postworks.llm.words import ALNUM, mix, split_prefixes, text_chunks
 
 #: Labelled rows that the chain is fitted on, at most; hash buckets of words; words a model uses, at most; folds.
-FIT_ROWS, BUCKETS, FEATURES, FOLDS = 20_000, 1 << 18, 600, 5
+FIT_ROWS, BUCKETS, FEATURES, FOLDS = 20_000, 1 << 18, 120, 5
+#: Beginnings of words, in bytes, that count like words.
+PREFIXES = (5, 6, 8)
+#: The least chi-square with a category that a word needs: with this many words hardly any gets there by chance.
+TELLING = 40.0
 _U = np.uint64
 
 
@@ -47,26 +52,41 @@ class Linear:
 
 @dataclass
 class Rows:
-    """Distinct word buckets of texts, one text after another."""
+    """Distinct word buckets of texts, one text after another, with how often each occurs; and the words of each text."""
 
     buckets: np.ndarray
+    times: np.ndarray
     counts: np.ndarray
+    n_words: np.ndarray
 
     def take(self, at: np.ndarray) -> Rows:
         starts = np.cumsum(self.counts) - self.counts
         n = self.counts[at]
         places = np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return Rows(self.buckets[places], n)
+        return Rows(self.buckets[places], self.times[places], n, self.n_words[at])
+
+    def matrix(self, chosen: np.ndarray) -> np.ndarray:
+        """A column for each chosen bucket's occurrences, and one for their part of the text."""
+        place = np.full(BUCKETS, -1)
+        place[chosen] = np.arange(len(chosen))
+        of = np.repeat(np.arange(len(self.counts)), self.counts)
+        use = place[self.buckets] >= 0
+        out = np.zeros((len(self.counts), 2 * len(chosen)))
+        out[of[use], place[self.buckets[use]]] = np.log1p(self.times[use])
+        out[of[use], len(chosen) + place[self.buckets[use]]] = np.log1p(100 * self.times[use] / self.n_words[of[use]])
+        return out
 
 
 def _buckets(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray | None = None) -> Rows:
-    words, counts = split_words(data, ends, ALNUM)
-    of, bucket = np.repeat(np.arange(len(ends)), np.diff(counts)), (words % _U(BUCKETS)).astype(np.int64)
-    if wanted is not None:
-        use = wanted[bucket]
-        of, bucket = of[use], bucket[use]
-    pairs = np.unique(of * BUCKETS + bucket)
-    return Rows(pairs % BUCKETS, np.bincount(pairs // BUCKETS, minlength=len(ends)))
+    hashes, counts = split_prefixes(data, ends, ALNUM, (None, *PREFIXES))
+    text = np.repeat(np.arange(len(ends)), np.diff(counts))
+    pairs = []
+    for k, h in enumerate(hashes):
+        bucket = (mix(h + _U(k)) % _U(BUCKETS)).astype(np.int64)
+        use = slice(None) if wanted is None else wanted[bucket]
+        pairs.append(text[use] * BUCKETS + bucket[use])
+    pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
+    return Rows(pairs % BUCKETS, times, np.bincount(pairs // BUCKETS, minlength=len(ends)), np.diff(counts))
 
 
 def _log_odds(p: np.ndarray) -> np.ndarray:
@@ -76,15 +96,12 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
 
 def probability(model: Linear, rows: Rows, earlier: np.ndarray) -> np.ndarray:
     """earlier: log-odds of earlier categories, a column each."""
-    weights = np.zeros(BUCKETS)
-    weights[model.buckets] = model.words
-    of = np.repeat(np.arange(len(rows.counts)), rows.counts)
-    z = np.bincount(of, weights[rows.buckets], minlength=len(rows.counts)) + earlier @ model.earlier + model.intercept
+    z = rows.matrix(model.buckets) @ model.words + earlier @ model.earlier + model.intercept
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 150) -> Linear:
-    """Logistic regression with a squared penalty, by accelerated gradient steps, on the words that tell most."""
+def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 25) -> Linear:
+    """Logistic regression with a squared penalty, by Newton's method, on the words that tell most."""
     n, positive = len(y), y.sum()
     if not positive or positive == n:
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), -30.0 if not positive else 30.0)
@@ -93,32 +110,29 @@ def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray, penalty: float =
     expected = seen * positive / n
     tells = np.where(seen >= 3, (hit - expected) ** 2 / np.maximum(expected * (1 - positive / n), 1e-9), 0)
     chosen = np.sort(np.argsort(-tells, kind="stable")[:FEATURES])
-    chosen = chosen[tells[chosen] > 6.6]  # one in a hundred by chance
-    place = np.full(BUCKETS, -1)
-    place[chosen] = np.arange(len(chosen))
-    use = place[rows.buckets] >= 0
-    row, col = of[use], place[rows.buckets[use]]
-    width = len(chosen) + earlier.shape[1] + 1
-    w = np.zeros(width)
+    chosen = chosen[tells[chosen] > TELLING]
+    x = np.column_stack((rows.matrix(chosen), earlier, np.ones(n)))
+    w = np.zeros(x.shape[1])
     w[-1] = np.log(positive / (n - positive))
-    v, k = w.copy(), len(chosen)
-    per_row = np.bincount(row, minlength=n).max() + (earlier**2).sum(1).max(initial=0) + 1
-    step = 4 / (per_row * n / 8 + penalty)  # a quarter of the curvature's bound is used; growth is checked below
-    before = np.inf
-    for i in range(rounds):
-        z = np.bincount(row, v[col], minlength=n) + earlier @ v[k:-1] + v[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        loss = np.logaddexp(0, np.where(y > 0, -z, z)).sum() + penalty / 2 * (v[:-1] ** 2).sum()
-        if loss > before * 1.5:
-            step /= 2
-            v = w.copy()
-        before = min(before, loss)
-        r = p - y
-        g = np.concatenate((np.bincount(col, r[row], minlength=k), earlier.T @ r, [r.sum()]))
-        g[:-1] += penalty * v[:-1]
-        new = v - step * g
-        v = new + i / (i + 3) * (new - w)
-        w = new
+    ridge = np.full(len(w), penalty)
+    ridge[-1] = 1e-6
+
+    def loss(v: np.ndarray) -> float:
+        return np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v)).sum() + (ridge * v**2).sum() / 2
+
+    now = loss(w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - y) + ridge * w
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge), g)
+        scale = 1.0
+        while (new := loss(w - scale * step)) > now and scale > 1e-6:
+            scale /= 2
+        w = w - scale * step
+        if now - new < 1e-7 * max(1.0, now):
+            break
+        now = new
+    k = 2 * len(chosen)
     return Linear(chosen, w[:k], w[k:-1], float(w[-1]))
 
 
@@ -158,15 +172,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
         for whole in batches:
             for b, data, ends in text_chunks(whole, "text"):
                 r = _buckets(data, ends)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(r.counts))), pa.int32()), pa.array(r.buckets, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), lists], ["fold", "y", "buckets"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(r.counts))), pa.int32()), pa.array(x, pa.int32())) for x in (r.buckets, r.times)]
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *lists, pa.array(r.n_words, pa.int64())], ["fold", "y", "buckets", "times", "n_words"])
 
-    table = labelled.mapInArrow(words, "fold int, y array<double>, buckets array<int>").toArrow().combine_chunks()
-    lists = table["buckets"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-    rows_ = Rows(lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64))
+    table = labelled.mapInArrow(words, "fold int, y array<double>, buckets array<int>, times array<int>, n_words long").toArrow().combine_chunks()
+    buckets, times = (table[c].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("buckets", "times"))
+    rows_ = Rows(*(x.flatten().to_numpy().astype(np.int64) for x in (buckets, times)), buckets.value_lengths().to_numpy().astype(np.int64), table["n_words"].to_numpy())
     y = np.array(table["y"].to_pylist(), float).reshape(-1, len(categories))
     # Sums don't depend on the order of rows beyond rounding; sorting makes the fit repeatable.
-    order = np.lexsort((rows_.counts, *y.T, np.array([int(x.sum()) for x in np.split(rows_.buckets, np.cumsum(rows_.counts)[:-1])] if len(y) else [])))
+    order = np.lexsort((rows_.counts, *y.T, np.bincount(np.repeat(np.arange(len(y)), rows_.counts), rows_.buckets, len(y))))
     return list(categories), fit_chain(rows_.take(order), y[order], table["fold"].to_numpy()[order])
 
 

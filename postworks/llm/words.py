@@ -68,6 +68,12 @@ def split_words(data: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> tupl
 
     data: bytes of all texts one after another; ends: where each text ends.
     """
+    (words,), counts = split_prefixes(data, ends, classes, (None,))
+    return words, counts
+
+
+def split_prefixes(data: np.ndarray, ends: np.ndarray, classes: np.ndarray, sizes: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """As split_words, with a hash of each word's first bytes for each of some sizes (None: of the whole word)."""
     c = classes[data]
     inside = c > 0
     first = inside.copy()
@@ -78,12 +84,13 @@ def split_words(data: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> tupl
     starts = np.flatnonzero(first)
     counts = np.concatenate(([0], np.searchsorted(starts, ends))).astype(np.int64)
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return [np.zeros(0, np.uint64) for _ in sizes], counts
     at = np.flatnonzero(inside)
     of = np.cumsum(first)[at] - 1
-    values = mix(c[at]) * _power(at - starts[of])
+    place = at - starts[of]
+    values = mix(c[at]) * _power(place)
     heads = np.searchsorted(at, starts)
-    return mix(np.add.reduceat(values, heads)), counts
+    return [mix(np.add.reduceat(values if n is None else np.where(place < n, values, _U(0)), heads)) for n in sizes], counts
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
