@@ -45,8 +45,8 @@ from postworks.llm.words import SPACED, mix, shingles, split_words, text_chunks
 NUM, DEN = 75, 100
 #: A column with more documents is paired with its centre first; with more in one task, by that task.
 SMALL, LOCAL = 32, 16
-#: Slots of the frequency sketch, of fixed size whatever the corpus, and the least count that tasks report.
-SLOTS, SEEN = 1 << 20, 3
+#: Slots of the frequency sketch, of fixed size whatever the corpus; n-grams that a task counts together, and the least count it reports.
+SLOTS, COUNTED, SEEN = 1 << 20, 6_000_000, 3
 #: Column entries that a task gathers before it sends blocks, and that a block should hold.
 FLUSH, BLOCK = 1_000_000, 4_000_000
 #: Ids that are sent to all tasks as a list; more are joined.
@@ -93,16 +93,25 @@ def least_overlap(na, nb):
 def _frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Frequency class of each slot of n-grams (the logarithm of a lower bound of the count), and the entries to expect."""
 
+    def seen(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= SEEN
+        slots, at = np.unique((values[often] & _U(SLOTS - 1)).astype(np.int64), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(np.bincount(at, n[often], len(slots)).astype(np.int64))], ["slot", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total, held, n = 0, [], 0
         for whole in batches:
             for _, data, ends in text_chunks(whole, "text"):
                 e, bounds = _sets(data, ends, size, None)
                 total += int(prefix_length(np.diff(bounds)).sum())
-                values, n = np.unique(e, return_counts=True)
-                seen = n >= SEEN
-                slots, n = (values[seen] & _U(SLOTS - 1)).astype(np.int64), n[seen]
-                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(n, pa.int64())], ["slot", "n"])
+                held.append(e)
+                n += len(e)
+                if n >= COUNTED:
+                    yield seen(held)
+                    held, n = [], 0
+        if held:
+            yield seen(held)
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], ["slot", "n"])
 
     table = rows.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -138,7 +147,7 @@ def _entries(rows: DataFrame, size: int, frequency, buckets: int) -> DataFrame:
                 total = int(p.sum())
                 pos = np.arange(total) - np.repeat(np.cumsum(p) - p, p)
                 out = np.empty(total, _ENTRY)
-                out["key"] = e[np.repeat(bounds[keep], p) + pos]
+                out["key"] = mix(e[np.repeat(bounds[keep], p) + pos]) >> _U(16)  # 6 bytes tell columns apart well enough to count by
                 out["id"], out["sig"], out["n"] = (np.repeat(x[keep], p) for x in (ids, sums[0], n))
                 out["pos"] = pos
                 held.append(out)
@@ -162,7 +171,8 @@ def _own(rows: np.ndarray, at: int, buckets: int) -> pa.RecordBatch:
 
 
 def _flush(x: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    x = _one_of_equal(np.sort(x, order=["key", "pos", "id"]))
+    x, single = _shared(x)
+    x = _one_of_equal(x)
     begin, size = _groups(x["key"])
     for rows in _centred(x, begin, size, size > LOCAL):
         yield _own(rows, int(rows[1][0]), buckets)
@@ -171,25 +181,51 @@ def _flush(x: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     centre = np.zeros(len(x), bool)
     centre[begin] = True
     x["pos"][large & centre] |= _COLLAPSED
-    x = x[~large | centre]
-    bucket = (mix(x["key"]) % _U(buckets)).astype(np.int64)
+    x = np.concatenate((x[~large | centre], single))
+    bucket = (mix(x["key"]) % _U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     x, bucket = x[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(x) else np.array([0])
-    blobs = []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        part = x[lo:hi]
-        blobs.append(b"".join(np.ascontiguousarray(part[f]).tobytes() for f in _ENTRY.names))  # by column, which compresses better
+    blobs = [_pack(x[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     if blobs:
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([False] * len(blobs)), pa.array(blobs, pa.binary())], ["bucket", "own", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([False] * len(blobs)), pa.array(blobs, pa.binary())], ["bucket", "own", "blob"])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Entries as columns, with what is the same for all entries of a document once."""
+    first, of = _documents(x)
+    docs = x[first]
+    parts = [np.array([len(docs), len(x)], "<i8"), docs["id"], docs["sig"], docs["n"], (x["key"] & _U(0xFFFFFFFF)).astype("<u4"), (x["key"] >> _U(32)).astype("<u2"), of.astype("<u4"), x["pos"]]
+    return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+
+
+def _documents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An entry of each document, and the number of each entry's document."""
+    order = np.lexsort((x["sig"], x["id"]))
+    y = x[order]
+    new = np.ones(len(y), bool)
+    new[1:] = (y["id"][1:] != y["id"][:-1]) | (y["sig"][1:] != y["sig"][:-1])
+    of = np.empty(len(y), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    out = np.empty(len(blob) // _ENTRY.itemsize, _ENTRY)
-    at = 0
-    for f in _ENTRY.names:
-        out[f] = np.frombuffer(blob, _ENTRY[f], len(out), at)
-        at += len(out) * _ENTRY[f].itemsize
+    docs, entries = np.frombuffer(blob, "<i8", 2).tolist()
+    at = 16
+
+    def take(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(blob, kind, n, at)
+        at += out.nbytes
+        return out
+
+    own = [take(k, docs) for k in ("<i8", "<u8", "<u4")]
+    low, high, of, pos = (take(k, entries) for k in ("<u4", "<u2", "<u4", "<u4"))
+    out = np.empty(entries, _ENTRY)
+    out["key"] = low.astype(np.uint64) | high.astype(np.uint64) << _U(32)
+    out["id"], out["sig"], out["n"] = (c[of] for c in own)
+    out["pos"] = pos
     return out
 
 
@@ -199,7 +235,7 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _one_of_equal(x: np.ndarray) -> np.ndarray:
-    """Of entries in a column that have equal sets, the smallest id; marks are kept. x is sorted by key."""
+    """Of entries in a column that have equal sets, the smallest id; marks are kept. Sorted by column, place and id."""
     order = np.lexsort((x["id"], x["n"], x["sig"], x["key"]))
     y = x[order]
     same = np.zeros(len(y), bool)
@@ -210,7 +246,16 @@ def _one_of_equal(x: np.ndarray) -> np.ndarray:
         any_marked = np.logical_or.reduceat(marked, begin)
         y = y[begin]
         y["pos"] |= np.where(any_marked, _COLLAPSED, np.uint32(0))
-    return np.sort(y, order=["key", "pos", "id"])
+    return y[np.lexsort((y["id"], y["pos"], y["key"]))]
+
+
+def _shared(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of columns with more than one, and the others."""
+    x = x[np.argsort(x["key"])]
+    same = np.zeros(len(x) + 1, bool)
+    same[1:-1] = x["key"][1:] == x["key"][:-1]
+    shared = same[1:] | same[:-1]
+    return x[shared], x[~shared]
 
 
 def _centred(x: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> Iterator[np.ndarray]:
@@ -244,12 +289,12 @@ def _multiply(table: pa.Table) -> pa.Table:
     out = [np.frombuffer(b, np.int64).reshape(-1, 6).T for b in own["blob"].to_pylist()]
     parts = [_unpack(b) for b in table.filter(pa.compute.invert(table["own"]))["blob"].to_pylist()]
     if parts:
-        x = _one_of_equal(np.sort(np.concatenate(parts), order=["key", "pos", "id"]))
+        x = _one_of_equal(_shared(np.concatenate(parts))[0])
         begin, size = _groups(x["key"])
-        marked = np.logical_or.reduceat((x["pos"] & _COLLAPSED) > 0, begin)
+        marked = np.logical_or.reduceat((x["pos"] & _COLLAPSED) > 0, begin) if len(begin) else np.zeros(0, bool)
         large = marked | (size > SMALL)
         x["pos"] &= ~_COLLAPSED
-        x = np.sort(x, order=["key", "pos", "id"])
+        x = x[np.lexsort((x["id"], x["pos"], x["key"]))]
         out += _centred(x, begin, size, large)
         # All pairs of the small columns, by the columns' sizes.
         a, b = [], []
