@@ -114,12 +114,16 @@ HEAD_LINES = {
 }
 
 
+def _last_line(lines: Column, begin: str) -> Column:
+    return F.try_element_at(F.filter(lines, lambda x: x.startswith(begin)), F.lit(-1))
+
+
 def head_fields(text: Column) -> Column:
     """Struct of the fields of a posting's head lines; of equal lines the last counts."""
     lines = F.transform(F.split(text, r"\n"), strip)
     found = {}
     for begin, names in HEAD_LINES.items():
-        line = F.try_element_at(F.filter(lines, lambda x, b=begin: x.startswith(b)), F.lit(-1))
+        line = _last_line(lines, begin)
         value = F.when(line.contains(":"), strip(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))).otherwise(line)
         found |= dict.fromkeys(names, value)
     found["full_time_status"] = F.try_element_at(F.filter(lines, lambda x: x.endswith("-Time")), F.lit(-1))

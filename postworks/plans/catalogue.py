@@ -86,17 +86,17 @@ def preset_last_30(table):
     return query.preset(_postings(table), "last_30", F.lit("1998-01-01").cast("date")).groupBy("vendor").agg(F.count("*").alias("n"))
 
 
-@_query(f"WITH {_POSTINGS_SQL} SELECT * FROM p WHERE vendor = '2-HIGH' AND dedupe_key = '0000000007'")
+@_query(f"WITH {_POSTINGS_SQL} SELECT * FROM p WHERE vendor = '2-HIGH' AND dedupe_key = '0000000004'")
 def point_lookup(table):
     """FLT13."""
-    return query.lookup(_postings(table), "2-HIGH", "0000000007")
+    return query.lookup(_postings(table), "2-HIGH", "0000000004")
 
 
-@_query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retailprice IS NOT NULL AND lower(p_name) LIKE '%1%'")
+@_query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retailprice IS NOT NULL AND lower(p_name) LIKE '%blue%'")
 def salary_filter(table):
     """FLT5, FLT6, SRT4."""
     rows = table("part").where(F.col("p_retailprice").isNotNull())
-    return query.contains(rows, "p_name", "1").select("p_partkey", "p_name", "p_retailprice").orderBy("p_retailprice", "p_partkey")
+    return query.contains(rows, "p_name", "Blue").select("p_partkey", "p_name", "p_retailprice").orderBy("p_retailprice", "p_partkey")
 
 
 @_query(f"WITH {_POSTINGS_SQL} SELECT position_title AS title, vendor, raw_location AS location, post_date AS posted FROM p")
