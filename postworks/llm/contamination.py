@@ -63,7 +63,7 @@ class Tests:
         size = np.minimum(n, window)
         suffixes = np.where(n > 0, n - size + 1, 0)
         self.item = np.repeat(np.arange(len(n)), suffixes)
-        self.start = np.arange(len(self.item)) - np.repeat(np.concatenate(([0], np.cumsum(suffixes)[:-1])), suffixes)
+        self.start = np.arange(len(self.item)) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
         self.at = counts[self.item] + self.start
         self.end = counts[self.item + 1] if len(self.item) else np.zeros(0, np.int64)
         self.size = size[self.item]

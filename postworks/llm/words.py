@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Most UTF-8 bytes that one numpy pass works on (a longer text is one pass of its own).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
