@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from postworks.llm.words import text_chunks
 
 SPACE = "▁"
-#: Stretches up to this many characters are kept with their codes, so many at most in a task.
-KEPT_CHARS, KEPT_STRETCHES = 48, 300_000
+#: Stretches up to this many characters are kept with their codes, so many at most in a worker; and checks of neighbours.
+KEPT_CHARS, KEPT_STRETCHES, KEPT_PAIRS = 48, 700_000, 300_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -80,14 +80,20 @@ class Codec:
         odd = [p for p, ab in self.parts.items() if tied[self.score[p]] > 1 or any(x in self.parts and self.score[x] < self.score[p] for x in ab)]
         self.odd = re.compile("|".join(map(re.escape, odd)) or "(?!)")
         self.shown = [p.piece.replace(SPACE, " ") if p.type == _NORMAL else None for p in proto.pieces]
-        if any(c != SPACE and n == SPACE for p in self.id_of for c, n in zip(p, p[1:])):
-            self.cut = None
-        else:
-            lone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.id_of))
-            self.cut = re.compile(f"{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" + (f"|[{lone}]" if lone else ""))
+        self.cut, self.split = self._cuts()
         self.fits: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, tuple[tuple[int, ...], str]] = {}
 
+    def _cuts(self) -> tuple[re.Pattern | None, re.Pattern]:
+        """One pattern matches the stretches of a text, one splits a stretch further; no piece crosses either's borders."""
+        inner = {(a, b) for p in self.id_of for a, b in zip(p, p[1:])}
+        marks = "".join(re.escape(c) for c in "!,.:;?|" if not any(b == c and a.isalpha() for a, b in inner))
+        split = re.compile(f"(?<=[^\\W\\d_])(?=[{marks}])" if marks else "(?!)")
+        if any(a != SPACE and b == SPACE for a, b in inner):
+            return None, split
+        lone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.id_of))
+        return re.compile(f"{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" + (f"|[{lone}]" if lone else "")), split
+
     def merge(self, text: str, steps: list | None = None) -> list[str]:
         """Merge neighbours, best score first and leftmost of equals, until no two make a piece."""
         parts: list[str | None] = list(text)
@@ -154,7 +160,7 @@ class Codec:
                         break
                     pair = taken[-1], piece
                     if (known := fits.get(pair)) is None:
-                        if len(fits) > KEPT_STRETCHES:
+                        if len(fits) > KEPT_PAIRS:
                             fits.clear()
                         known = fits[pair] = self.compatible(*pair)
                     if known:
@@ -176,7 +182,10 @@ class Codec:
         """Ids of a stretch, and what they decode to."""
         if (found := self.kept.get(text)) is not None:
             return found
-        if self.known.issuperset(text):
+        if len(parts := self.split.split(text)) > 1:
+            coded = [self.stretch(x) for x in parts]
+            found = tuple(chain.from_iterable(x[0] for x in coded)), "".join([x[1] for x in coded])
+        elif self.known.issuperset(text):
             ids = [self.id_of[p] for p in self.backtrack(text)]
             found = tuple(ids), "".join([self.shown[i] for i in ids])
         else:
