@@ -14,10 +14,21 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="postworks-")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Only where that is unset (in tests) it is below a local folder."""
+def _folder(spark: SparkSession) -> str:
+    """The application's folder below spark.checkpoint.dir. Only where that is unset (in tests) it is below a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/postworks/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/postworks/{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's shared folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; results that still read them must have been saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
