@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postworks.llm.scratch import written
 from postworks.llm.words import ALNUM, mix, split_prefixes, text_chunks
 
 #: Labelled rows that the chain is fitted on, at most; hash buckets of words; words a model uses, at most; folds.
@@ -175,7 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(r.counts))), pa.int32()), pa.array(x, pa.int32())) for x in (r.buckets, r.times)]
                 yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *lists, pa.array(r.n_words, pa.int64())], ["fold", "y", "buckets", "times", "n_words"])
 
-    table = labelled.mapInArrow(words, "fold int, y array<double>, buckets array<int>, times array<int>, n_words long").toArrow().combine_chunks()
+    sample = written(labelled.mapInArrow(words, "fold int, y array<double>, buckets array<int>, times array<int>, n_words long"), "labelled")
+    wanted = _telling(sample, len(categories))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+            bucket, times = (b.column(c).flatten().to_numpy() for c in (2, 3))
+            use = wanted[bucket]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(of[use], minlength=b.num_rows)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[use])) for x in (bucket, times)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists, b.column(4)], b.schema.names)
+
+    table = sample.mapInArrow(keep, sample.schema).toArrow().combine_chunks()
     buckets, times = (table[c].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("buckets", "times"))
     rows_ = Rows(*(x.flatten().to_numpy().astype(np.int64) for x in (buckets, times)), buckets.value_lengths().to_numpy().astype(np.int64), table["n_words"].to_numpy())
     y = np.array(table["y"].to_pylist(), float).reshape(-1, len(categories))
@@ -184,6 +197,23 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     return list(categories), fit_chain(rows_.take(order), y[order], table["fold"].to_numpy()[order])
 
 
+def _telling(sample: DataFrame, n_categories: int) -> np.ndarray:
+    """Buckets that tell something about a category in the whole sample: others can't be chosen, and don't leave the tasks."""
+    totals = sample.agg(F.count("*").alias("n"), *[F.sum(F.col("y")[c]).alias(f"y{c}") for c in range(n_categories)]).first()
+    if not totals.n:
+        return np.zeros(BUCKETS, bool)
+    counts = sample.select(F.explode("buckets").alias("bucket"), "y").groupBy("bucket").agg(F.count("*").alias("seen"), *[F.sum(F.col("y")[c]).alias(f"y{c}") for c in range(n_categories)])
+    tells = F.lit(False)
+    for c in range(n_categories):
+        part = totals[f"y{c}"] / totals.n
+        if 0 < part < 1:
+            expected = F.col("seen") * part
+            tells = tells | ((F.col(f"y{c}") - expected) ** 2 / (expected * (1 - part)) > TELLING / 2)
+    out = np.zeros(BUCKETS, bool)
+    out[counts.where((F.col("seen") >= 3) & tells).select("bucket").toArrow()["bucket"].to_numpy()] = True
+    return out
+
+
 def score(df: DataFrame, model: tuple[list[str], list[Linear]], text_column: str = "text") -> DataFrame:
     """Two columns for each row: `row`, a struct of all its columns, and `toxicity`, the probability of each category."""
     sent = df.sparkSession.sparkContext.broadcast(model)
