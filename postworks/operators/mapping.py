@@ -7,102 +7,85 @@ from pyspark.sql import functions as F
 
 from postworks.functions.text import blank_to_null
 
-#: For each platform the sources of a column, best first. L listing, J JSON-LD, V vendor's document, M meta tags.
+_PLACE = {"city": "addressLocality", "state": "addressRegion", "country": "addressCountry", "postal_code": "postalCode"}
+_LD_PLACE = {c: [f"J:jobLocation.0.address.{n}"] for c, n in _PLACE.items()}
+_URL = {"detail_url": ["L:canonical_url", "L:detail_url"]}
+_REQUISITION = ["V:requisitionId", "V:requisitionID", "V:reqId", "V:jobId", "V:jobID", "V:id"]
+
+
+def _plain(letter: str, **fields: str) -> dict[str, list[str]]:
+    """Columns with one source each, in the same map."""
+    return {c: [f"{letter}:{f}"] for c, f in fields.items()}
+
+
+def _own_place_first(*columns: str) -> dict[str, list[str]]:
+    """Places by the vendor's document, else by JSON-LD."""
+    return {c: [f"V:{'postalCode' if c == 'postal_code' else c}", *_LD_PLACE[c]] for c in columns}
+
+
+_LD = _plain("J", position_title="title", description="description", post_date="datePosted", full_time_status="employmentType") | _LD_PLACE | _URL
+
+#: For each platform or vendor the sources of a column, best first. L listing, J JSON-LD, V vendor's
+#: document, M meta tags, B bold blocks, H head lines of the description, T labelled lines of the page.
 SOURCES: dict[str, dict[str, list[str]]] = {
-    "sitemap": {
+    "sitemap": _LD
+    | {
         "posting_id": ["J:identifier.value", "L:posting_id"],
         "position_title": ["J:title", "L:title"],
-        "description": ["J:description"],
         "post_date": ["J:datePosted", "L:lastmod"],
         "raw_location": ["M:gtm_tbcn_location", "L:raw_location"],
-        "city": ["J:jobLocation.0.address.addressLocality"],
-        "state": ["J:jobLocation.0.address.addressRegion"],
-        "country": ["J:jobLocation.0.address.addressCountry"],
-        "postal_code": ["J:jobLocation.0.address.postalCode"],
         "full_time_status": ["J:employmentType", "L:full_time_status"],
         "business_sector": ["M:gtm_tbcn_division"],
-        "detail_url": ["L:canonical_url", "L:detail_url"],
     },
-    "phenom_sitemap": {
-        "posting_id": ["L:posting_id", "V:requisitionId", "V:requisitionID", "V:reqId", "V:jobId", "V:jobID", "V:id", "J:identifier.value", "J:identifier", "M:job-ats-req-id"],
+    "phenom_sitemap": _own_place_first(*_PLACE)
+    | _URL
+    | {
+        "posting_id": ["L:posting_id", *_REQUISITION, "J:identifier.value", "J:identifier", "M:job-ats-req-id"],
         "position_title": ["L:title", "V:title", "V:jobTitle", "J:title", "M:og:title"],
         "description": ["V:description", "V:jobDescription", "J:description"],
         "post_date": ["V:datePosted", "V:postedDate", "V:postingDate", "J:datePosted"],
         "raw_location": ["V:location", "V:locations", "M:gtm_tbcn_location", "L:raw_location"],
-        "city": ["V:city", "J:jobLocation.0.address.addressLocality"],
-        "state": ["V:state", "J:jobLocation.0.address.addressRegion"],
-        "country": ["V:country", "J:jobLocation.0.address.addressCountry"],
-        "postal_code": ["V:postalCode", "J:jobLocation.0.address.postalCode"],
         "full_time_status": ["V:employmentType", "J:employmentType"],
-        "detail_url": ["L:canonical_url", "L:detail_url"],
     },
-    "bae": {
-        "posting_id": ["L:posting_id", "V:jobId"],
-        "position_title": ["V:title"],
-        "description": ["V:description"],
-        "post_date": ["V:postedDate"],
-        "raw_location": ["V:location"],
-        "city": ["V:city"],
-        "state": ["V:state"],
-        "country": ["V:country"],
-        "postal_code": ["J:jobLocation.0.address.postalCode", "V:postalCode"],
-        "full_time_status": ["V:structureData.employmentType"],
-        "hours_per_week": ["V:structureData.workHours"],
-        "business_sector": ["V:sector"],
-        "business_area": ["V:businessArea"],
-        "industry": ["V:industry"],
-        "shift": ["V:shift"],
-        "career_level": ["V:careerLevel"],
-        "travel_percentage": ["V:travelPercentage"],
-        "us_person_required": ["V:isUsCitizenshipRequired"],
-        "clearance_level_must_possess": ["V:isSecurityClearanceRequired"],
-        "clearance_level_must_obtain": ["V:clearenceLevel"],
-        "salary_raw": ["V:payRange"],
-        "salary_min": ["V:salaryMin"],
-        "salary_max": ["V:salaryMax"],
-        "bonus": ["V:bonus"],
-        "remote_status": ["V:physicalLocation"],
-        "job_category": ["V:category"],
-        "latitude": ["V:latitude"],
-        "longitude": ["V:longitude"],
-        "detail_url": ["L:canonical_url", "L:detail_url"],
+    "browser_paged_html": _plain("L", posting_id="posting_id", position_title="title", raw_location="raw_location", detail_url="detail_url") | {"position_title": ["L:h1", "L:title"]},
+    "encoded_api": _plain("L", posting_id="posting_id", position_title="title", raw_location="raw_location", post_date="post_date", job_category="job_category", clearance_level_must_possess="clearance", full_time_status="full_time_status", remote_status="remote_status", country="country", state="state", latitude="latitude", longitude="longitude")
+    | _plain("B", description="description", career_level="Career Level")
+    | _URL,
+    "usajobs_api": _plain("V", position_title="PositionTitle", salary_raw="UserArea.Details.Salary", city="PositionLocation.0.CityName", state="PositionLocation.0.StateCode", country="PositionLocation.0.CountryCode", postal_code="PositionLocation.0.PostalCode")
+    | {
+        "posting_id": ["V:PositionID", "L:posting_id"],
+        "detail_url": ["V:PositionURI.0", "V:PositionURI", "V:ApplyURI.0", "V:ApplyURI"],
+        "description": ["V:PositionSummary", "V:UserArea.Details.JobSummary"],
+        "post_date": ["V:PublicationStartDate", "V:PositionStartDate"],
+        "raw_location": ["V:PositionLocationDisplay", "V:PositionLocation.0.LocationName", "V:PositionLocation.0.CityName"],
+        "full_time_status": ["V:PositionSchedule.0.Name"],
+        "job_category": ["V:JobCategory.0.Name"],
+        "required_skills": ["V:UserArea.Details.RequiredDocuments", "V:QualificationSummary"],
     },
-    "rtx": {
+    "bae": _plain("V", position_title="title", description="description", post_date="postedDate", raw_location="location", city="city", state="state", country="country", full_time_status="structureData.employmentType", hours_per_week="structureData.workHours", business_sector="sector", business_area="businessArea", industry="industry", shift="shift", career_level="careerLevel", travel_percentage="travelPercentage", us_person_required="isUsCitizenshipRequired", clearance_level_must_possess="isSecurityClearanceRequired", clearance_level_must_obtain="clearenceLevel", salary_raw="payRange", salary_min="salaryMin", salary_max="salaryMax", bonus="bonus", remote_status="physicalLocation", job_category="category", latitude="latitude", longitude="longitude")
+    | _URL
+    | {"posting_id": ["L:posting_id", "V:jobId"], "postal_code": [*_LD_PLACE["postal_code"], "V:postalCode"]},
+    "rtx": _own_place_first("city", "state", "country")
+    | _URL
+    | _plain("V", post_date="postedDate", business_area="businessUnit", relocation_available="relocationEligible", clearance_level_must_possess="clearanceType", salary_min="minSalary", salary_max="maxSalary")
+    | {
         "posting_id": ["L:posting_id"],
         "position_title": ["V:title", "J:title"],
         "description": ["J:description", "V:description"],
-        "post_date": ["V:postedDate"],
         "raw_location": ["V:address", "V:location"],
-        "city": ["V:city", "J:jobLocation.0.address.addressLocality"],
-        "state": ["V:state", "J:jobLocation.0.address.addressRegion"],
-        "country": ["V:country", "J:jobLocation.0.address.addressCountry"],
-        "postal_code": ["J:jobLocation.0.address.postalCode"],
+        "postal_code": _LD_PLACE["postal_code"],
         "full_time_status": ["V:type", "J:employmentType"],
         "hours_per_week": ["J:workHours"],
-        "business_area": ["V:businessUnit"],
-        "relocation_available": ["V:relocationEligible"],
-        "clearance_level_must_possess": ["V:clearanceType"],
-        "salary_min": ["V:minSalary"],
-        "salary_max": ["V:maxSalary"],
-        "detail_url": ["L:canonical_url", "L:detail_url"],
-    },
-    "lockheed": {
-        "posting_id": ["L:posting_id"],
-        "position_title": ["J:title"],
-        "description": ["B:description"],
-        "post_date": ["J:datePosted"],
-        "raw_location": ["M:gtm_tbcn_location"],
-        "city": ["J:jobLocation.0.address.addressLocality"],
-        "state": ["J:jobLocation.0.address.addressRegion"],
-        "country": ["J:jobLocation.0.address.addressCountry"],
-        "postal_code": ["J:jobLocation.0.address.postalCode"],
-        "clearance_level_must_possess": ["J:employmentType"],  # a quirk of this source
-        "business_sector": ["M:gtm_tbcn_division"],
-        "industry": ["J:industry"],
-        "required_education": ["J:educationRequirements"],
-        "required_skills": ["J:qualifications"],
-        "detail_url": ["L:canonical_url", "L:detail_url"],
     },
+    # These two take the employment type for the clearance, as their source does.
+    "lockheed": _LD_PLACE | _URL | _plain("J", position_title="title", post_date="datePosted", clearance_level_must_possess="employmentType", industry="industry", required_education="educationRequirements", required_skills="qualifications") | _plain("M", raw_location="gtm_tbcn_location", business_sector="gtm_tbcn_division") | {"posting_id": ["L:posting_id"], "description": ["B:description"]},
+    "boeing": {c: v for c, v in _LD_PLACE.items() if c != "postal_code"} | _URL | _plain("J", position_title="title", business_area="industry", clearance_level_must_possess="employmentType") | _plain("M", raw_location="gtm_tbcn_location", business_sector="gtm_tbcn_division", job_category="gtm_tbcn_jobcategory") | {"posting_id": ["L:posting_id"], "description": ["B:description", "J:description"]},
+    "booz_allen": _LD | {"posting_id": ["J:identifier.value", "L:posting_id"], "business_area": ["J:hiringOrganization.name"]} | {c: [f"J:jobLocation.address.{n}", *_LD_PLACE[c]] for c, n in _PLACE.items()},
+    "l3harris": _LD | {"posting_id": ["M:job-ats-req-id", "L:posting_id"], "raw_location": ["M:gtm_tbcn_location"], "business_sector": ["M:gtm_tbcn_division"]},
+    "thales": _LD | {"posting_id": ["L:posting_id"], "raw_location": ["M:gtm_tbcn_location", "M:location"], "business_sector": ["M:gtm_tbcn_division"]},
+    "northrop": _plain("V", description="job_description", job_category="department", business_area="business_unit", clearance_level_must_possess="custom_JD.data_fields.Clearance Type.0") | _URL | {"posting_id": ["L:posting_id"], "position_title": ["L:title"], "raw_location": ["L:raw_location"], "full_time_status": ["J:employmentType", "V:custom_JD.data_fields.Employment Type.0"], "post_date": ["J:datePosted"]},
+    "hii": _plain("H", us_person_required="us_person_required", full_time_status="full_time_status", shift="shift", relocation_available="relocation_available", remote_status="remote_status", travel_percentage="travel_requirement", clearance_level_must_possess="clearance_level_must_possess") | _URL | {"posting_id": ["H:req_id", "L:posting_id"], "position_title": ["L:title", "M:og:title", "L:h1"], "raw_location": ["L:raw_location"], "post_date": ["L:post_date"], "description": ["L:description"]},
+    "leidos": {"posting_id": ["T:Job #:"], "position_title": ["L:title"], "detail_url": ["L:detail_url"], "description": ["L:description"], **_plain("T", raw_location="Location:", job_category="Category:", full_time_status="Schedule (FT/PT):", shift="Shift:", remote_status="Remote Type:", clearance_level_must_possess="Clearance:", business_sector="Sector:", post_date="Original Posting:", salary_raw="Pay Range:")},
 }
 SOURCES["apply_v2"] = SOURCES["sitemap"] | {"raw_location": ["L:raw_location"]}
 SOURCES["paged_html"] = {c: s for c, s in SOURCES["sitemap"].items() if c != "business_sector"}
@@ -113,7 +96,7 @@ ADAPTERS = [("apply_v2", 0.9), ("encoded_api", 0.9), ("usajobs_api", 1.0), ("phe
 
 
 def normalize(df: DataFrame, platform: str, maps: dict[str, str], sources: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
-    """Canonical columns of a platform's rows. maps: the map column of each letter (L, J, V, M, B) that the rows have."""
+    """Canonical columns of a platform's rows. maps: the map column of each letter that the rows have."""
     table = (sources or SOURCES)[platform]
 
     def value(source: str) -> Column:

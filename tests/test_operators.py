@@ -138,6 +138,13 @@ def test_mapping(spark):
     raw = spark.createDataFrame([({"posting_id": "1", "detail_url": "u"}, {"jobId": "2", "salaryMin": "90000", "structureData.employmentType": "Full-time"})], "l map<string,string>, v map<string,string>")
     r = mapping.normalize(raw, "bae", {"L": "l", "V": "v"}).first()
     assert (r.posting_id, r.salary_min, r.full_time_status, r.detail_url, r.shift) == ("1", "90000", "Full-time", "u", None)
+    for platform in mapping.SOURCES:
+        out = mapping.normalize(raw, platform, {"L": "l", "V": "v"})
+        assert set(out.columns) - {"l", "v"} <= set(canonical.COLUMNS)
+        assert out.count() == 1
+    usa = spark.createDataFrame([({"PositionURI.0": "u", "PositionSchedule.0.Name": "Full", "PositionID": "7"},)], "v map<string,string>")
+    r = mapping.normalize(usa, "usajobs_api", {"V": "v"}).first()
+    assert (r.detail_url, r.full_time_status, r.posting_id, r.city) == ("u", "Full", "7", None)
     companies = spark.createDataFrame([("phenom_sitemap", None), ("what", ""), ("sitemap", "own")], "platform string, adapter string")
     assert [r.chosen_adapter for r in mapping.choose_adapter(companies).collect()] == ["phenom_sitemap", "sitemap", "own"]
 
