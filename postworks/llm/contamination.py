@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postworks.llm.scratch import small_batches
 from postworks.llm.words import ALNUM, split_words, text_chunks
 
 #: Bytes of test items that are sent to the tasks at once.
@@ -192,6 +193,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_column: str =
     matches (item_id, item_start, doc_start, n_words).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))

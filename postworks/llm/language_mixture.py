@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postworks.llm.scratch import small_batches
 from postworks.llm.words import text_chunks
 
 UNKNOWN = "und"
@@ -72,6 +73,7 @@ def trigrams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def fit(labelled: DataFrame, text: Column, language: Column) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and the logarithm of each one's distribution over the buckets."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(text.alias("text"), language.alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     n = rows.count()
     if n > FIT_ROWS:
@@ -167,6 +169,7 @@ def infer(data: np.ndarray, ends: np.ndarray, log_p: np.ndarray) -> tuple[np.nda
 
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_column: str = "text") -> DataFrame:
     """Two columns for each row: `row`, a struct of all its columns, and `found`, of lang_pred and score."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

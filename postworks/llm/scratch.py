@@ -31,6 +31,11 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on rows reach Python in Arrow batches of at most so many bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """The rows of df, written as Parquet and read again: lost executors lose no part of it."""
     path = shared_path(df.sparkSession, name)

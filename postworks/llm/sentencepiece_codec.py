@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postworks.llm.scratch import small_batches
 from postworks.llm.words import text_chunks
 
 SPACE = "▁"
@@ -243,6 +244,7 @@ def encode_decode(df: DataFrame, model_path: str, id_column: str = "doc_id", tex
 
     The model file (of fixed size) is read on the driver and sent to the tasks.
     """
+    small_batches(df.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postworks.llm.scratch import written
+from postworks.llm.scratch import small_batches, written
 from postworks.llm.words import ALNUM, mix, split_prefixes, text_chunks
 
 #: Labelled rows that the chain is fitted on, at most; hash buckets of words; words a model uses, at most; folds.
@@ -161,6 +161,7 @@ def predict(chain: list[Linear], rows: Rows) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[list[str], list[Linear]]:
     """A chain of the categories, which are conditions on `label` (the label) and `text`, in order."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     n = known.count()
     if n > fit_rows:
@@ -216,6 +217,7 @@ def _telling(sample: DataFrame, n_categories: int) -> np.ndarray:
 
 def score(df: DataFrame, model: tuple[list[str], list[Linear]], text_column: str = "text") -> DataFrame:
     """Two columns for each row: `row`, a struct of all its columns, and `toxicity`, the probability of each category."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
