@@ -38,22 +38,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postworks.llm.scratch import written
+from postworks.llm.scratch import small_batches, written
 from postworks.llm.words import mix, text_chunks
 
 MAX_EDITS, MIN_CHARS = 2, 40
 #: Keys with more lines are first tried with one partner for each line.
 SMALL = 32
-#: Key entries that a task gathers before it sends blocks.
-FLUSH = 3_000_000
+#: Key entries that a task gathers before it sends blocks; bytes of text that it works on at once.
+FLUSH, CHUNK = 1_000_000, 1 << 20
+#: Bytes of text whose keys a task should meet in.
+BUCKET_BYTES = 48 << 20
 #: Line hashes that are sent to all tasks as a list; more are joined.
 LISTED = 1_000_000
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_KEY = np.dtype([("key", "<u8"), ("line", "<u8"), ("sig", "<u4")])
+_KEY = np.dtype([("key", "<u8"), ("line", "<u8"), ("sig", "<u8")])
 _AT = np.dtype([("line", "<u8"), ("line2", "<u8"), ("doc", "<i8"), ("no", "<i8")])
-_PROBE = np.uint32(1 << 31)
+#: A signature has parities of characters below the bit that marks probes, and parities of neighbouring characters above.
+_PROBE, _CHARS = _U(1 << 31), _U((1 << 31) - 1)
 REMOVED, FIRST, PAIR, MEMBER = range(4)
 _ROW = "kind int, a long, b long, c long, d long"
 
@@ -67,7 +70,7 @@ def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:
 class Lines:
     """The lines of a slice of texts: code points, and each line's text, number, start and length."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, min_chars: int):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, min_chars: int, hash_only: bool = False):
         self.codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         char_ends = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[ends]
         starts_of_text = np.concatenate(([0], char_ends[:-1]))
@@ -83,20 +86,24 @@ class Lines:
         number = np.arange(len(text)) - first[text]
         keep = end - start >= min_chars
         self.text, self.number, self.start, self.length = text[keep], number[keep], start[keep], (end - start)[keep]
-        of = np.repeat(np.arange(len(self.start)), self.length)
-        at = self.start[of] + np.arange(len(of)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
         self.within = np.cumsum(self.length) - self.length  # where a line begins among the characters of all lines
-        self.chars = mix(self.codes[at].astype(np.uint64) + _U(1))
-        place = np.arange(len(of)) - self.within[of]
+        place = np.arange(self.length.sum()) - np.repeat(self.within, self.length)
+        chars = mix(self.codes[np.repeat(self.start, self.length) + place].astype(np.uint64) + _U(1))
         most = int(self.length.max()) if len(self.length) else 1
-        self.sums, self.inverses = [], []
-        for base in _BASES:
-            self.sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.chars * _power(base, most)[place], dtype=np.uint64))))
+        self.sums, self.inverses, hashes = [], [], []
+        for k, base in enumerate(_BASES[: 1 if hash_only else 2]):
+            self.sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(chars * _power(base, most)[place], dtype=np.uint64))))
             self.inverses.append(_power(base, most + 1, inverse=True))
-        self.line, self.line2 = (mix(self.substring(np.arange(len(self.start)), np.zeros(len(self.start), np.int64), self.length, k) ^ self.length.astype(np.uint64)) for k in range(2))
-        # A bit for each of 31 classes of characters: whether the line has an odd number of them.
-        bits = _U(1) << (self.chars % _U(31))
-        self.sig = np.bitwise_xor.reduceat(bits, self.within).astype(np.uint32) if len(self.within) else np.zeros(0, np.uint32)
+            hashes.append(mix(self.substring(np.arange(len(self.start)), np.zeros(len(self.start), np.int64), self.length, k) ^ self.length.astype(np.uint64)))
+        self.line, self.line2 = hashes[0], hashes[-1]
+        if not hash_only:
+            # A bit for each of 31 classes of characters, and for each of 32 of neighbours: whether the line has an odd number of them.
+            bits = _U(1) << chars % _U(31)
+            inside = np.ones(len(chars), bool)
+            inside[np.cumsum(self.length) - 1] = False
+            at = np.flatnonzero(inside[:-1])
+            bits[at] ^= _U(1) << (mix(chars[at] * _U(3) + chars[at + 1]) % _U(32) + _U(32))
+            self.sig = np.bitwise_xor.reduceat(bits, self.within) if len(self.within) else np.zeros(0, np.uint64)
 
     def substring(self, lines: np.ndarray, start: np.ndarray, length: np.ndarray, k: int = 0) -> np.ndarray:
         """Hashes of parts of lines."""
@@ -108,7 +115,7 @@ class Lines:
         out = []
         n, parts = self.length[chosen], max_edits + 1
 
-        def add(start: np.ndarray, size: np.ndarray, of_length: np.ndarray, i: int, rows: np.ndarray, role: np.uint32) -> None:
+        def add(start: np.ndarray, size: np.ndarray, of_length: np.ndarray, i: int, rows: np.ndarray, role: np.uint64) -> None:
             entry = np.empty(int(rows.sum()), _KEY)
             lines = chosen[rows]
             tag = mix(of_length[rows].astype(np.uint64) * _U(64) + _U(i + 1))
@@ -124,7 +131,7 @@ class Lines:
                 size = short + (i >= parts - longer)
                 start = i * short + np.maximum(0, i - (parts - longer))
                 if less == 0:
-                    add(start, size, length, i, np.ones(len(n), bool), np.uint32(0))
+                    add(start, size, length, i, np.ones(len(n), bool), _U(0))
                 for move in range(max(-i, less - (max_edits - i)), min(i, less + (max_edits - i)) + 1):
                     at = start + move
                     add(at, size, length, i, (at >= 0) & (at + size <= n), _PROBE)
@@ -141,13 +148,13 @@ def _batch(bucket, what, blobs) -> pa.RecordBatch:
 
 
 def _blocks(x: np.ndarray, by: np.ndarray, what: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    bucket = (mix(by) % _U(buckets)).astype(np.int64)
+    bucket = (mix(by) % _U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     x, bucket = x[order], bucket[order]
     cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(x)) if len(x) else np.array([0])
     blobs = [b"".join(np.ascontiguousarray(x[lo:hi][f]).tobytes() for f in x.dtype.names) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     if blobs:
-        yield _batch(bucket[cuts[:-1]], [what] * len(blobs), blobs)
+        yield _batch(bucket[cuts[:-1]].astype(np.int32), [what] * len(blobs), blobs)
 
 
 def _unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
@@ -162,12 +169,13 @@ def _unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
 
 
 def _first_occurrences(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences sorted by line and place, and which of them none precedes."""
-    at = np.sort(at, order=["line", "line2", "doc", "no"])
+    """Occurrences sorted by line and place, each once, and which of them none precedes."""
+    at = at[np.lexsort((at["no"], at["doc"], at["line2"], at["line"]))]
     new = np.ones(len(at), bool)
     new[1:] = (at["line"][1:] != at["line"][:-1]) | (at["line2"][1:] != at["line2"][:-1])
-    head = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] if len(at) else at
-    return at, (at["doc"] == head["doc"]) & (at["no"] == head["no"])
+    again = np.zeros(len(at), bool)
+    again[1:] = ~new[1:] & (at["doc"][1:] == at["doc"][:-1]) & (at["no"][1:] == at["no"][:-1])
+    return at[~again], new[~again]
 
 
 def _entries(rows: DataFrame, min_chars: int, max_edits: int, buckets: int) -> DataFrame:
@@ -176,14 +184,14 @@ def _entries(rows: DataFrame, min_chars: int, max_edits: int, buckets: int) -> D
         late = at[~first]
         if len(late):
             yield _pass(np.stack([np.full(len(late), REMOVED), late["doc"], late["no"], np.zeros(len(late)), np.zeros(len(late))]), int(late["no"][0] + late["doc"][0]), buckets)
-        yield from _blocks(np.unique(at[first]), np.unique(at[first])["line"], 1, buckets)
+        yield from _blocks(at[first], at["line"][first], 1, buckets)
         k = np.concatenate(keys)
         yield from _blocks(k, k["key"], 2, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, keys, held, seen = [], [], 0, np.zeros(0, np.uint64)
         for whole in batches:
-            for batch, data, ends in text_chunks(whole, "text"):
+            for batch, data, ends in text_chunks(whole, "text", CHUNK):
                 x = Lines(data, ends, min_chars)
                 at = np.empty(len(x.line), _AT)
                 at["line"], at["line2"], at["doc"], at["no"] = x.line, x.line2, batch.column(0).to_numpy()[x.text], x.number
@@ -207,7 +215,7 @@ def _meet(max_edits: int):
         blobs = lambda what: table.filter(pc.equal(table["what"], what))["blob"].to_pylist()
         out = [np.frombuffer(b, np.int64).reshape(-1, 5).T for b in blobs(0)]
         at, first = _first_occurrences(_unpack(blobs(1), _AT))
-        late, early = at[~first], np.unique(at[first])
+        late, early = at[~first], at[first]
         zero = np.zeros(len(late), np.int64)
         out.append(np.stack([zero + REMOVED, late["doc"], late["no"], zero, zero]))
         out.append(np.stack([np.full(len(early), FIRST), early["line"].view(np.int64), early["doc"], early["no"], np.zeros(len(early), np.int64)]))
@@ -218,9 +226,22 @@ def _meet(max_edits: int):
     return run
 
 
+def _close(a: np.ndarray, b: np.ndarray, max_edits: int) -> np.ndarray:
+    """Whether lines can be within the edits: one changes the parity of two characters at most, and of four neighbourhoods."""
+    x = a ^ b
+    return (np.bitwise_count(x & _CHARS) <= 2 * max_edits) & (np.bitwise_count(x >> _U(32)) <= 4 * max_edits)
+
+
 def _pairs(x: np.ndarray, max_edits: int) -> Iterator[np.ndarray]:
     """Rows (PAIR, line, smaller line) and, of keys in which many meet, (MEMBER, key, line, signature, probes)."""
-    x = np.unique(x)  # by key, line, and whether it probes
+    x = x[np.argsort(x["key"])]
+    shared = np.zeros(len(x) + 1, bool)
+    shared[1:-1] = x["key"][1:] == x["key"][:-1]
+    x = x[shared[1:] | shared[:-1]]  # most keys have one line, with nothing to pair
+    x = x[np.lexsort((x["sig"], x["line"], x["key"]))]
+    new = np.ones(len(x), bool)
+    new[1:] = (x["key"][1:] != x["key"][:-1]) | (x["line"][1:] != x["line"][:-1]) | (x["sig"][1:] != x["sig"][:-1])
+    x = x[new]
     if not len(x):
         return
     begin = np.flatnonzero(np.concatenate(([True], x["key"][1:] != x["key"][:-1])))
@@ -245,16 +266,16 @@ def _pairs(x: np.ndarray, max_edits: int) -> Iterator[np.ndarray]:
             open_ = open_[open_ > centre]
             if not len(open_):
                 break
-            close = np.bitwise_count((x["sig"][open_] ^ x["sig"][centre]) & ~_PROBE) <= 2 * max_edits
+            close = _close(x["sig"][open_], x["sig"][centre], max_edits)
             close &= x["line"][open_] != x["line"][centre]
             found.append((np.full(int(close.sum()), centre), open_[close]))
             open_ = open_[~close]
         part = x[lo : lo + n]
-        yield np.stack([np.full(n, MEMBER), part["key"].view(np.int64), part["line"].view(np.int64), (part["sig"] & ~_PROBE).astype(np.int64), ((part["sig"] & _PROBE) > 0).astype(np.int64)])
+        yield np.stack([np.full(n, MEMBER), part["key"].view(np.int64), part["line"].view(np.int64), (part["sig"] & ~_PROBE).view(np.int64), ((part["sig"] & _PROBE) > 0).astype(np.int64)])
     if not found:
         return
     a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    fit = (probes[a] != probes[b]) & (x["line"][a] != x["line"][b]) & (np.bitwise_count((x["sig"][a] ^ x["sig"][b]) & ~_PROBE) <= 2 * max_edits)
+    fit = (probes[a] != probes[b]) & (x["line"][a] != x["line"][b]) & _close(x["sig"][a], x["sig"][b], max_edits)
     a, b = a[fit], b[fit]
     pair = np.empty(len(a), [("hi", "<u8"), ("lo", "<u8")])
     pair["hi"], pair["lo"] = np.maximum(x["line"][a], x["line"][b]), np.minimum(x["line"][a], x["line"][b])
@@ -326,8 +347,8 @@ def _near(pairs: DataFrame, rows: DataFrame, min_chars: int, max_edits: int) ->
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for _, data, ends in text_chunks(whole, "text"):
-                x = Lines(data, ends, min_chars)
+            for _, data, ends in text_chunks(whole, "text", CHUNK):
+                x = Lines(data, ends, min_chars, hash_only=True)
                 _, at = np.unique(x.line, return_index=True)
                 ids = x.line.view(np.int64)
                 if listed is not None:
@@ -359,8 +380,10 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     if not 0 <= max_edits <= 15 or min_chars <= max_edits:
         raise ValueError("max_edits must be 0 to 15, and less than min_chars")
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     blocks = _entries(rows, min_chars, max_edits, buckets).repartition(buckets, "bucket")
     found = written(blocks.groupBy("bucket").applyInArrow(_meet(max_edits), _ROW), "lines", "kind")
     pairs = written(found.where(F.col("kind") == PAIR).select(F.col("a").alias("line"), F.col("b").alias("smaller")).distinct(), "pairs")
@@ -370,7 +393,9 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     left = written(members.join(near, "line", "left_anti"), "undecided")
     if left.limit(1).count():
         other = written(members.select("key", F.col("line").alias("smaller"), F.col("sig").alias("sig2"), F.col("probes").alias("probes2")), "members")
-        close = (_unsigned("smaller") < _unsigned("line")) & (F.col("probes") != F.col("probes2")) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig2"))) <= 2 * max_edits)
+        differs = F.col("sig").bitwiseXOR(F.col("sig2"))
+        fits = (F.bit_count(differs.bitwiseAND(int(_CHARS))) <= 2 * max_edits) & (F.bit_count(F.shiftrightunsigned(differs, 32)) <= 4 * max_edits)
+        close = (_unsigned("smaller") < _unsigned("line")) & (F.col("probes") != F.col("probes2")) & fits
         more = left.join(other, "key").where(close).select("line", "smaller").distinct().join(pairs, ["line", "smaller"], "left_anti")
         near = near.union(_near(written(more, "pairs"), rows, min_chars, max_edits)).distinct()
     first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("line"), F.col("b").alias("id"), F.col("c").alias("no"))
@@ -382,7 +407,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """Two columns for each document: `row`, a struct of all its columns, and `lines`, of n_lines, removed and the text that is left."""
     removed = removed_lines(docs, id_column, text_column, max_edits, min_chars)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_column).alias("text"), F.col(id_column).cast("long").alias("id"))
-    joined = rows.join(removed, "id", "left").select("row", "text", "removed")
+    # One document has one row of numbers at most, and the texts are not sorted for it.
+    joined = rows.join(removed.hint("shuffle_hash"), "id", "left").select("row", "text", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
