@@ -30,6 +30,7 @@ repeat an id are one node. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postworks.llm.components import components
-from postworks.llm.scratch import written
+from postworks.llm.scratch import small_batches, written
 from postworks.llm.words import SPACED, mix, shingles, split_words, text_chunks
 
 #: The index that links: 75 of 100, as whole numbers.
@@ -46,11 +47,13 @@ NUM, DEN = 75, 100
 #: A column with more documents is paired with its centre first; with more in one task, by that task.
 SMALL, LOCAL = 32, 16
 #: Slots of the frequency sketch, of fixed size whatever the corpus; n-grams that a task counts together, and the least count it reports.
-SLOTS, COUNTED, SEEN = 1 << 20, 6_000_000, 3
+SLOTS, COUNTED, SEEN = 1 << 20, 4_000_000, 3
 #: Column entries that a task gathers before it sends blocks, and that a block should hold.
 FLUSH, BLOCK = 1_000_000, 4_000_000
 #: Ids that are sent to all tasks as a list; more are joined.
 LISTED_IDS = 1_000_000
+#: 64-bit words of a set's signature.
+SIGNATURE = 16
 
 _U = np.uint64
 _ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("sig", "<u8"), ("n", "<u4"), ("pos", "<u4")])
@@ -320,25 +323,39 @@ def _multiply(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.int64()) for r in rows[1:]]], ["kind", "a", "b", "na", "nb", "c"])
 
 
-def _links(pairs: DataFrame, rows: DataFrame, size: int, frequency) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link."""
-    spark = pairs.sparkSession
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    if ids.count() <= LISTED_IDS:
-        listed = spark.sparkContext.broadcast(np.sort(ids.toArrow()["id"].to_numpy()))
-        needed = rows
-    else:
-        listed, needed = None, rows.join(ids, "id", "left_semi")
+def _of_ids(ids: DataFrame, rows: DataFrame, size: int, frequency, make, schema: str) -> DataFrame:
+    """What `make` gives for the ids, elements and bounds of the documents with these ids."""
+    spark = ids.sparkSession
+    listed = spark.sparkContext.broadcast(np.sort(ids.toArrow()["id"].to_numpy())) if ids.count() <= LISTED_IDS else None
+    needed = rows if listed is not None else rows.join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             if listed is not None:
                 whole = whole.filter(pa.array(np.isin(whole.column(0).to_numpy(), listed.value)))
             for batch, data, ends in text_chunks(whole, "text"):
-                e, bounds = _sets(data, ends, size, frequency.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(e.view(np.int64)))], ["id", "elements"])
+                yield make(batch.column(0), *_sets(data, ends, size, frequency.value))
+
+    return needed.select("id", "text").mapInArrow(run, schema)
+
+
+def _signatures(ids: pa.Array, e: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """Parities of how many elements fall to each of 64 * SIGNATURE bits: sets differ in at least as many elements as these in bits."""
+    bits = 64 * SIGNATURE
+    of = np.repeat(np.arange(len(ids)), np.diff(bounds))
+    odd = np.bincount(of * bits + (mix(e) % _U(bits)).astype(np.int64), minlength=len(ids) * bits) & 1
+    words = np.packbits(odd.astype(np.uint8).reshape(len(ids), bits), axis=1).view(np.int64) if len(ids) else np.zeros((0, SIGNATURE), np.int64)
+    return pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(w)) for w in words.T]], ["id", *[f"s{k}" for k in range(SIGNATURE)]])
 
-    sets = written(needed.select("id", "text").mapInArrow(run, "id long, elements array<long>"), "sets")
+
+def _elements(ids: pa.Array, e: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(e.view(np.int64)))], ["id", "elements"])
+
+
+def _links(pairs: DataFrame, rows: DataFrame, size: int, frequency) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets link."""
+    ids = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "ids")
+    sets = written(_of_ids(ids, rows, size, frequency, _elements, "id long, elements array<long>"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
     common = F.size(F.array_intersect("ea", "eb"))
     return both.where(common * DEN >= NUM * (F.size("ea") + F.size("eb") - common)).select("a", "b")
@@ -355,6 +372,7 @@ def _prefix_length(n: Column) -> Column:
 def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
     """(id, n_shingles, component_id) of each document."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     everything = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     rows = everything.where("id IS NOT NULL")
     classes, entries = _frequencies(rows, size)
@@ -390,7 +408,7 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     first = written(ordered(pairs.groupBy("of").agg(F.max(F.struct("c", (-F.col("to")).alias("to"))).alias("best")).select("of", (-F.col("best.to")).alias("to"))), "first")
     links = written(_links(first, rows, size, frequency), "links")
     groups = written(components(links), "groups")
-    rest = written(_still_apart(ordered(pairs), members, groups).join(first, ["a", "b"], "left_anti"), "rest")
+    rest = written(_still_apart(ordered(pairs), members, groups, rows, size, frequency).join(first, ["a", "b"], "left_anti"), "rest")
     more = written(_links(rest, rows, size, frequency), "links")
     if more.limit(1).count():
         groups = written(components(links.union(more)), "groups")
@@ -400,8 +418,8 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return done.union(everything.where("id IS NULL").select("id", F.lit(None).cast("long"), F.lit(None).cast("long")))
 
 
-def _still_apart(pairs: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of different components: those given, and those of members of a large column whose sizes and places can fit."""
+def _still_apart(pairs: DataFrame, members: DataFrame, groups: DataFrame, rows: DataFrame, size: int, frequency) -> DataFrame:
+    """Pairs of different components: those given, and those of members of a large column whose sizes, places and signatures can fit."""
 
     def grouped(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(groups.select(F.col("id").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
@@ -410,8 +428,13 @@ def _still_apart(pairs: DataFrame, members: DataFrame, groups: DataFrame) -> Dat
     known = written(grouped(members, "id", "g"), "members")
     mixed = written(known.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key"), "mixed")
     open_ = written(known.join(mixed, "key", "left_semi"), "open")
-    left, right = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "g")]) for side in "ab")
+    words = [f"s{k}" for k in range(SIGNATURE)]
+    signed = written(_of_ids(written(open_.select("id").distinct(), "ids"), rows, size, frequency, _signatures, "id long, " + ", ".join(f"{w} long" for w in words)).dropDuplicates(["id"]), "signatures")
+    open_ = written(open_.join(signed, "id"), "open")
+    left, right = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "g", *words)]) for side in "ab")
     na, nb = F.col("n_a"), F.col("n_b")
     fits = (F.col("id_a") < F.col("id_b")) & (F.col("g_a") != F.col("g_b")) & (F.least(na - F.col("pos_a"), nb - F.col("pos_b")) >= _least_overlap(na, nb)) & (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb))
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words])
+    fits &= differ <= na + nb - 2 * _least_overlap(na, nb)
     within = left.join(right, (left["key"] == right["key"]) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return given.union(within).distinct()
