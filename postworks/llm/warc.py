@@ -291,8 +291,8 @@ def _bare(value: str | None) -> str | None:
     return value[1:-1] if value and value[0] == "<" and value[-1] == ">" else value
 
 
-_ARROW = pa.schema([(c, pa.string()) for c in _FIELDS] + [("payload_bytes", pa.int64()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
-_ARROW = pa.schema([_ARROW.field(x.split()[0]) for x in SCHEMA.split(", ")])
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+_ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (x.split() for x in SCHEMA.split(", "))])
 
 
 class WarcSource(DataSource):
