@@ -49,7 +49,7 @@ CONTEMPT = ["trash", "scum", "worthless", "pathetic", "disgusting"]
 def toxicity_model(spark: SparkSession, sf_dir: str) -> tuple:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     toxic = F.col("label") == 1
-    names = lambda words: F.lower("text").rlike(rf"\\b({'|'.join(words)})\\b")
+    names = lambda words: F.lower("text").rlike(rf"\b({'|'.join(words)})\b")
     categories = {"insult": toxic & names(INSULTS), "contempt": toxic & names(CONTEMPT), "toxic": toxic}
     return toxicity_chain.fit(docs, labels, categories)
 

@@ -101,6 +101,14 @@ def probability(model: Linear, rows: Rows, earlier: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _choose(seen: np.ndarray, hit: np.ndarray, positive: float, n: int) -> np.ndarray:
+    """The buckets whose words tell most: seen in so many of n texts, and in so many of the positive ones."""
+    expected = seen * positive / n
+    tells = np.where(seen >= 3, (hit - expected) ** 2 / np.maximum(expected * (1 - positive / n), 1e-9), 0)
+    chosen = np.sort(np.argsort(-tells, kind="stable")[:FEATURES])
+    return chosen[tells[chosen] > TELLING]
+
+
 def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 25) -> Linear:
     """Logistic regression with a squared penalty, by Newton's method, on the words that tell most."""
     n, positive = len(y), y.sum()
@@ -108,10 +116,7 @@ def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray, penalty: float =
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), -30.0 if not positive else 30.0)
     of = np.repeat(np.arange(n), rows.counts)
     seen, hit = np.bincount(rows.buckets, minlength=BUCKETS), np.bincount(rows.buckets, y[of], minlength=BUCKETS)
-    expected = seen * positive / n
-    tells = np.where(seen >= 3, (hit - expected) ** 2 / np.maximum(expected * (1 - positive / n), 1e-9), 0)
-    chosen = np.sort(np.argsort(-tells, kind="stable")[:FEATURES])
-    chosen = chosen[tells[chosen] > TELLING]
+    chosen = _choose(seen, hit, positive, n)
     x = np.column_stack((rows.matrix(chosen), earlier, np.ones(n)))
     w = np.zeros(x.shape[1])
     w[-1] = np.log(positive / (n - positive))
@@ -199,19 +204,34 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
 
 
 def _telling(sample: DataFrame, n_categories: int) -> np.ndarray:
-    """Buckets that tell something about a category in the whole sample: others can't be chosen, and don't leave the tasks."""
-    totals = sample.agg(F.count("*").alias("n"), *[F.sum(F.col("y")[c]).alias(f"y{c}") for c in range(n_categories)]).first()
-    if not totals.n:
-        return np.zeros(BUCKETS, bool)
-    counts = sample.select(F.explode("buckets").alias("bucket"), "y").groupBy("bucket").agg(F.count("*").alias("seen"), *[F.sum(F.col("y")[c]).alias(f"y{c}") for c in range(n_categories)])
-    tells = F.lit(False)
-    for c in range(n_categories):
-        part = totals[f"y{c}"] / totals.n
-        if 0 < part < 1:
-            expected = F.col("seen") * part
-            tells = tells | ((F.col(f"y{c}") - expected) ** 2 / (expected * (1 - part)) > TELLING / 2)
+    """Buckets that a model of the chain chooses, of all rows or of those without a fold: no others leave the tasks."""
+    of_fold = [(F.col("fold") == f).cast("double") for f in range(FOLDS)]
+    # Of each fold: rows, and rows of each category.
+    sums = lambda: [F.sum(w if c is None else w * F.col("y")[c]) for w in of_fold for c in (None, *range(n_categories))]
+    n_sums = FOLDS * (1 + n_categories)
+    names = [f"s{i}" for i in range(n_sums)]
+    totals = np.array([x or 0 for x in sample.agg(*sums()).first()], float).reshape(FOLDS, -1)
     out = np.zeros(BUCKETS, bool)
-    out[counts.where((F.col("seen") >= 3) & tells).select("bucket").toArrow()["bucket"].to_numpy()] = True
+    inside = [[f for f in range(FOLDS) if f != without] for without in (None, *range(FOLDS))]
+    models = [(folds, c) for folds in inside for c in range(1, 1 + n_categories) if 0 < totals[folds, c].sum() < totals[folds, 0].sum()]
+    if not models:
+        return out
+    counts = sample.select(F.explode("buckets").alias("bucket"), "fold", "y").groupBy("bucket").agg(*[x.alias(name) for x, name in zip(sums(), names, strict=True)])
+    tells = F.lit(False)
+    for folds, c in models:
+        seen, hit = (sum(F.col(names[f * (1 + n_categories) + k]) for f in folds) for k in (0, c))
+        part = float(totals[folds, c].sum() / totals[folds, 0].sum())
+        # A little below the bound, as rounding may differ from that of the choice.
+        tells = tells | ((seen >= 3) & ((hit - seen * part) ** 2 > 0.99 * TELLING * seen * part * (1 - part)))
+    # A number for each fold and category of each bucket, at most.
+    found = counts.where(tells).toArrow()
+    sums_ = np.zeros((BUCKETS, n_sums), np.float32)
+    for k, name in enumerate(names):
+        sums_[found["bucket"].to_numpy(), k] = found[name].to_numpy()
+    sums_ = sums_.reshape(BUCKETS, FOLDS, -1)
+    for folds, c in models:
+        seen, hit = (sums_[:, folds, k].sum(1, dtype=float) for k in (0, c))
+        out[_choose(seen, hit, totals[folds, c].sum(), int(totals[folds, 0].sum()))] = True
     return out
 
 

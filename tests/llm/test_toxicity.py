@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from postworks.llm import toxicity_chain
+from postworks.llm import queries, toxicity_chain
 
 
 def corpus(n=1500):
@@ -40,3 +40,25 @@ def test_odd_rows(spark):
     none = toxicity_chain.fit(df.limit(0), labels, {"toxic": F.col("label") == 1})
     assert [round(r.toxicity.toxic, 6) for r in toxicity_chain.score(df.limit(1), none).collect()] == [0.0]
     assert toxicity_chain.score(df.limit(0), model).count() == 0
+
+
+def test_registered_query_chains_its_categories(spark, tmp_path):
+    rng = random.Random(5)
+    kinds = [None, "idiot", "scum"]
+    rows = []
+    for i, (_, text, _) in enumerate(corpus()):
+        kind = kinds[rng.choice([0, 0, 0, 1, 2])]
+        clean = [w for w in text.split(" ") if w not in ("idiot", "scum")]
+        rows.append((i, " ".join(["so,", *clean, f"{kind.upper()}!"] if kind else ["idiots scummy", *clean]), int(kind is not None), kind))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, kind string")
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    names, chain = queries.toxicity_model(spark, str(tmp_path))
+    assert names == ["insult", "contempt", "toxic"]
+    assert all(len(m.buckets) and m.intercept > -30 for m in chain)
+    assert len(chain[2].earlier) == 2 and (abs(chain[2].earlier) > 0.01).all()
+    found = {r.doc_id: r for r in queries.op4_toxicity_chain(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
+    for name, seed in (("p_insult", "idiot"), ("p_contempt", "scum")):
+        right = sum((found[i][name] >= 0.5) == (kind == seed) for i, _, _, kind in rows)
+        assert right / len(rows) > 0.98
