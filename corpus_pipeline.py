@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines, n_chars counted anew; those of which nothing is left go."""
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs, min_chars=line_dedup.SHORT_CHARS, exact_chars=1)
     changed = F.coalesce(F.size("lines.removed"), F.lit(0)) > 0
     kept = found.where(~changed | F.col("lines.text").rlike(r"\S"))
     text = {"text": F.col("lines.text"), "n_chars": F.when(changed, F.length("lines.text").cast("long")).otherwise(F.col("row.n_chars"))}

@@ -8,7 +8,9 @@ A line of at least `min_chars` characters is removed if
   Which of two near lines stays is thus arbitrary but fixed, for whatever rows
   are read with it, and needs no order among documents.
 
-Shorter lines are left alone. The join: a line is cut into max_edits + 1
+Of shorter lines, equal ones alone are removed, and only from `exact_chars`
+characters on (unless given, these are left alone); shorter ones of nothing but
+white space always stay. The join: a line is cut into max_edits + 1
 segments; of a line within max_edits edits, one segment must occur in it
 unchanged, near its place. Segments are keyed by the line's length, their number
 and their characters; each line probes the keys of its own length and of up to
@@ -42,6 +44,10 @@ from postworks.llm.scratch import small_batches, written
 from postworks.llm.words import mix, text_chunks
 
 MAX_EDITS, MIN_CHARS = 2, 40
+#: The bound of the registered queries' edit join; they remove equal lines at every length.
+SHORT_CHARS = 20
+#: Characters that are white space, as Python's isspace() has them.
+BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 #: Keys with more lines are first tried with one partner for each line.
 SMALL = 32
 #: Key entries that a task gathers before it sends blocks; bytes of text that it works on at once.
@@ -70,7 +76,7 @@ def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:
 class Lines:
     """The lines of a slice of texts: code points, and each line's text, number, start and length."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, min_chars: int, hash_only: bool = False):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, min_chars: int, hash_only: bool = False, exact_chars: int | None = None):
         self.codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         char_ends = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[ends]
         starts_of_text = np.concatenate(([0], char_ends[:-1]))
@@ -85,6 +91,13 @@ class Lines:
         first = np.searchsorted(text, np.arange(len(ends)))
         number = np.arange(len(text)) - first[text]
         keep = end - start >= min_chars
+        if exact_chars is not None and exact_chars < min_chars:
+            short = np.flatnonzero((end - start >= max(exact_chars, 1)) & ~keep)
+            size = (end - start)[short]
+            begin = np.cumsum(size) - size
+            place = np.arange(size.sum()) - np.repeat(begin, size)
+            printed = ~np.isin(self.codes[np.repeat(start[short], size) + place], BLANK)
+            keep[short] = np.logical_or.reduceat(printed, begin) if len(short) else False
         self.text, self.number, self.start, self.length = text[keep], number[keep], start[keep], (end - start)[keep]
         self.within = np.cumsum(self.length) - self.length  # where a line begins among the characters of all lines
         place = np.arange(self.length.sum()) - np.repeat(self.within, self.length)
@@ -178,7 +191,7 @@ def _first_occurrences(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[~again], new[~again]
 
 
-def _entries(rows: DataFrame, min_chars: int, max_edits: int, buckets: int) -> DataFrame:
+def _entries(rows: DataFrame, min_chars: int, max_edits: int, buckets: int, exact_chars: int | None = None) -> DataFrame:
     def flush(places: list, keys: list) -> Iterator[pa.RecordBatch]:
         at, first = _first_occurrences(np.concatenate(places))
         late = at[~first]
@@ -192,15 +205,16 @@ def _entries(rows: DataFrame, min_chars: int, max_edits: int, buckets: int) -> D
         places, keys, held, seen = [], [], 0, np.zeros(0, np.uint64)
         for whole in batches:
             for batch, data, ends in text_chunks(whole, "text", CHUNK):
-                x = Lines(data, ends, min_chars)
+                x = Lines(data, ends, min_chars, exact_chars=exact_chars)
                 at = np.empty(len(x.line), _AT)
                 at["line"], at["line2"], at["doc"], at["no"] = x.line, x.line2, batch.column(0).to_numpy()[x.text], x.number
                 places.append(at)
                 _, once = np.unique(x.line, return_index=True)
+                once = once[x.length[once] >= min_chars]
                 once = once[~np.isin(x.line[once], seen)]
                 seen = np.concatenate((seen, x.line[once]))
                 keys.append(x.keys(once, max_edits))
-                held += len(keys[-1])
+                held += len(keys[-1]) + len(at)
                 if held >= FLUSH:
                     yield from flush(places, keys)
                     places, keys, held, seen = [], [], 0, np.zeros(0, np.uint64)
@@ -375,7 +389,7 @@ def _unsigned(column: str):
     return F.col(column).bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(id, removed): the numbers, from 0, of the lines to remove, of each document that has any."""
     if not 0 <= max_edits <= 15 or min_chars <= max_edits:
         raise ValueError("max_edits must be 0 to 15, and less than min_chars")
@@ -384,7 +398,7 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    blocks = _entries(rows, min_chars, max_edits, buckets).repartition(buckets, "bucket")
+    blocks = _entries(rows, min_chars, max_edits, buckets, exact_chars).repartition(buckets, "bucket")
     found = written(blocks.groupBy("bucket").applyInArrow(_meet(max_edits), _ROW), "lines", "kind")
     pairs = written(found.where(F.col("kind") == PAIR).select(F.col("a").alias("line"), F.col("b").alias("smaller")).distinct(), "pairs")
     near = _near(pairs, rows, min_chars, max_edits)
@@ -403,9 +417,9 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return written(gone.groupBy("id").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed")
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """Two columns for each document: `row`, a struct of all its columns, and `lines`, of n_lines, removed and the text that is left."""
-    removed = removed_lines(docs, id_column, text_column, max_edits, min_chars)
+    removed = removed_lines(docs, id_column, text_column, max_edits, min_chars, exact_chars)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_column).alias("text"), F.col(id_column).cast("long").alias("id"))
     # One document has one row of numbers at most, and the texts are not sorted for it.
     joined = rows.join(removed.hint("shuffle_hash"), "id", "left").select("row", "text", "removed")

@@ -31,7 +31,7 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), min_chars=line_dedup.SHORT_CHARS, exact_chars=1)
     removed = F.coalesce(F.size("lines.removed"), F.lit(0)).cast("long")
     return found.select("row.doc_id", "lines.n_lines", F.greatest(removed, F.lit(0)).alias("n_removed"), F.sha2("lines.text", 256).alias("text_sha256"))
 

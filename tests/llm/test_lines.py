@@ -1,11 +1,12 @@
 """Operator 2 against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 
-from postworks.llm import line_dedup
+from postworks.llm import line_dedup, queries
 
 
 def edits(a, b):
@@ -79,3 +80,23 @@ def test_operator(spark, monkeypatch, small):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.dedup_lines(df).count() == 0
+
+
+def test_short_lines(spark, tmp_path):
+    """Equal lines of the query go at every length, near ones from 20 characters on; blank ones stay."""
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefgh é", k=rng.randint(20, 45))).replace(" ", "x") for _ in range(25)]
+    short = ["a", "é", "}", "Les.", "All rights reserve.", "\tx", "a\u00a0b", "19 characters long.", "18 characters long."]
+    rows = [(i, "\n".join(changed(rng, rng.choice(base), 2) if rng.random() < 0.5 else rng.choice(short + ["", " ", "\t", "\u00a0", " \u3000"]) for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    expected, seen = brute(rows, least=20), set()
+    for i, t in rows:
+        kept = []
+        for line in expected[(i, t)].split("\n"):
+            if len(line) >= 20 or not line.strip() or line not in seen:
+                kept.append(line)
+                seen.add(line)
+        expected[(i, t)] = "\n".join(kept)
+    found = queries.op2_segment_join(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text_sha256 for r in found} == {i: hashlib.sha256(expected[(i, t)].encode()).hexdigest() for i, t in rows}
+    assert sum(r.n_removed for r in found) > 300
