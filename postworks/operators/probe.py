@@ -34,8 +34,10 @@ def probe_plan(best: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn("step", F.when(F.col("captured"), "detail").when(F.col("search").isNotNull(), "search").otherwise("none"))
 
 
-def responses_with_tokens(responses: DataFrame, tokens: DataFrame, page: str = "page", longest: int = 200_000, most: int = 10) -> DataFrame:
-    """Text responses of each page that hold one of its tokens, the first so many, with the tokens found."""
-    texts = responses.where(F.col("content_type").rlike("(?i)json|html|javascript|text")).withColumn("_head", F.substring("body", 1, longest))
-    joined = texts.join(tokens, page).withColumn("hits", F.filter("tokens", lambda t: F.col("_head").contains(t)))
-    return cap_each(joined.where(F.size("hits") > 0).drop("_head", "tokens"), page, most, "ordinal")
+def responses_with_tokens(responses: DataFrame, tokens: DataFrame, page: str = "page", most_hits: int = 10) -> DataFrame:
+    """Text responses of each page that hold one of its tokens, in any case, with the first tokens found; a blank content type may be text."""
+    kind = F.col("content_type")
+    texts = responses.where(kind.isNull() | (F.trim(kind) == "") | kind.rlike("(?i)json|html|javascript|text|xml"))
+    body = F.lower("body")
+    joined = texts.join(tokens, page).withColumn("hits", F.slice(F.filter("tokens", lambda t: body.contains(F.lower(t))), 1, most_hits))
+    return joined.where(F.size("hits") > 0).drop("tokens")

@@ -254,6 +254,22 @@ def best_sitemaps(table):
     return probe.best_sitemap(totals).select("company", "sitemap", "n_unique")
 
 
+_TOKENS = ["HTML", "Head", "body", "title", "div", "href", "class", "meta", "span", "http", "script", "www", "zzqx"]
+
+
+@_query(f"""WITH r AS (SELECT page_id, page_id % 50 AS page, CASE page_id % 4 WHEN 1 THEN '' WHEN 2 THEN 'application/rss+xml' WHEN 3 THEN 'image/png' END AS ct, lower(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page, page_id, list_filter(list_append({_TOKENS}, CAST(page AS VARCHAR)), lambda t: contains(body, lower(t)))[1:10] AS hits FROM r WHERE ct IS NULL OR ct <> 'image/png')
+SELECT page, page_id AS ordinal, array_to_string(hits, ',') AS hits FROM h WHERE len(hits) > 0""")
+def token_responses(table):
+    """CLS6."""
+    rows = table("pages")
+    page, kind = F.col("page_id") % 50, F.col("page_id") % 4
+    content = F.when(kind == 1, "").when(kind == 2, "application/rss+xml").when(kind == 3, "image/png")
+    responses = rows.select(page.alias("page"), F.col("page_id").alias("ordinal"), content.alias("content_type"), F.col("html").alias("body"))
+    tokens = rows.select(page.alias("page")).distinct().withColumn("tokens", F.array(*map(F.lit, _TOKENS), F.col("page").cast("string")))
+    return probe.responses_with_tokens(responses, tokens).select("page", "ordinal", F.array_join("hits", ",").alias("hits"))
+
+
 @_query("""SELECT event_id, 'k' AS path, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
 def flat_props(table):
     """JSN1, JSN3, D6."""

@@ -242,3 +242,13 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(log.schema).json(str(tmp_path / "log"))
     ingest.running_status(stream, lambda batch: batch, lambda df: written.extend(df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert [tuple(r) for r in written] == [("x", None, 1, "e", 1)]
+
+
+def test_responses_whole(spark):
+    kinds = [None, "", " ", "application/xml", "application/json"]
+    bodies = [(1, i, kinds[i % 5], "x" * 300_000 + "Job-77") for i in range(15)] + [(1, 15, "image/png", "job-77")]
+    responses = spark.createDataFrame(bodies, "page int, ordinal int, content_type string, body string")
+    tokens = spark.createDataFrame([(1, ["job-77", *["x" * n for n in range(1, 15)]])], "page int, tokens array<string>")
+    found = probe.responses_with_tokens(responses, tokens).collect()
+    assert sorted(r.ordinal for r in found) == list(range(15))
+    assert all(r.hits == ["job-77", *["x" * n for n in range(1, 10)]] for r in found)
