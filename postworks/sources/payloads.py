@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,10 +69,24 @@ def encoded_search(payloads: DataFrame, base: str, body: str = "body") -> DataFr
     )
 
 
+def _listed_jobs(document: str | None) -> str | None:
+    """The first list of objects, at any place and depth, of which one has an id key; a walk without a bound, which expressions can't say."""
+    stack = [] if document is None else [json.loads(document)]
+    while stack:
+        cur = stack.pop()
+        if isinstance(cur, list) and cur and all(isinstance(x, dict) for x in cur) and any(k in x for x in cur for k in ("jobId", "jobID", "id")):
+            return json.dumps(cur)
+        below = cur.values() if isinstance(cur, dict) else cur
+        stack.extend(x for x in reversed(list(below)) if isinstance(x, (dict, list)))
+    return None
+
+
 def page_state_jobs(states: DataFrame, base: str, state: str = "state") -> DataFrame:
-    """Jobs of a page state (a variant), in the first of its known shapes; blank and repeated ids are dropped."""
+    """Jobs of a page state (a variant), in the first of its known shapes, or else in the first list of objects with an id, by names of keys; blank and repeated ids are dropped."""
     shapes = ["$.eagerLoadRefineSearch.data.jobs", "$.refineSearch.data.jobs", "$.data.jobs", "$.jobs"]
-    jobs = F.coalesce(*[F.try_variant_get(state, p, "array<variant>") for p in shapes])
+    known = F.coalesce(*[F.try_variant_get(state, p, "array<variant>") for p in shapes])
+    other = F.udf(_listed_jobs, "string", useArrow=False)(F.when(known.isNull(), F.to_json(state)))
+    jobs = F.coalesce(known, F.try_variant_get(F.try_parse_json(other), "$", "array<variant>"))
     rows = states.select(F.posexplode(jobs).alias("ordinal", "j"))
     text = lambda *names: F.coalesce(*[dig(F.col("j"), n, kind="string") for n in names])
     listed = rows.select("ordinal", F.trim(text("jobId", "jobID", "id", "reqId")).alias("posting_id"), text("title", "jobTitle").alias("title"), text("location", "cityStateCountry").alias("raw_location"))

@@ -252,3 +252,11 @@ def test_responses_whole(spark):
     found = probe.responses_with_tokens(responses, tokens).collect()
     assert sorted(r.ordinal for r in found) == list(range(15))
     assert all(r.hits == ["job-77", *["x" * n for n in range(1, 10)]] for r in found)
+
+
+def test_page_state_of_other_shape(spark):
+    deep = '{"a":' * 20 + '{"list": [{"x": 1}], "rows": [[], [{"id": 8, "title": "d"}]]}' + "}" * 20
+    docs = ['{"widget": {"tags": [{"n": 1}], "results": [{"jobId": "5", "title": "a"}, {"jobID": " "}]}}', deep, '{"jobs": [], "more": [{"id": "9"}]}', '{"x": [1, {"id": 3}]}', None]
+    states = spark.createDataFrame([(d,) for d in docs], "s string").selectExpr("try_parse_json(s) AS state")
+    found = payloads.page_state_jobs(states, "https://p").collect()
+    assert sorted((r.posting_id, r.title) for r in found) == [("5", "a"), ("8", "d")]
