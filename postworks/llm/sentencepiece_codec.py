@@ -88,12 +88,19 @@ class Codec:
     def _cuts(self) -> tuple[re.Pattern | None, re.Pattern]:
         """One pattern matches the stretches of a text, one splits a stretch further; no piece crosses either's borders."""
         inner = {(a, b) for p in self.id_of for a, b in zip(p, p[1:])}
-        marks = "".join(re.escape(c) for c in "!,.:;?|" if not any(b == c and a.isalpha() for a, b in inner))
-        split = re.compile(f"(?<=[^\\W\\d_])(?=[{marks}])" if marks else "(?!)")
-        if any(a != SPACE and b == SPACE for a, b in inner):
-            return None, split
-        lone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.id_of))
-        return re.compile(f"{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" + (f"|[{lone}]" if lone else "")), split
+        # A mark that follows a letter in some piece is no border; other characters that a mark follows are let be.
+        letter = re.compile(r"[^\W\d_]")
+        marks = [c for c in "!,.:;?|" if not any(b == c and a.isalpha() for a, b in inner)]
+        before = sorted({a for a, b in inner if b in marks and letter.match(a)})
+        split = re.compile(f"(?<=[^\\W\\d_{''.join(map(re.escape, before))}])(?=[{''.join(map(re.escape, marks))}])" if marks else "(?!)")
+        cut = None
+        if not any(a != SPACE and b == SPACE for a, b in inner):
+            lone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.id_of))
+            cut = re.compile(f"{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" + (f"|[{lone}]" if lone else ""))
+        for p in self.id_of:
+            if split.split(p) != [p] or cut and cut.findall(p) != [p]:
+                raise ValueError(f"the piece {p!r} crosses a border of stretches")
+        return cut, split
 
     def merge(self, text: str, steps: list | None = None) -> list[str]:
         """Merge neighbours, best score first and leftmost of equals, until no two make a piece."""

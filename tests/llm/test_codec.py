@@ -38,6 +38,17 @@ def test_ids_and_text_are_those_of_the_library(library, codec):
         assert codec.decode(ids) == library.decode(ids), repr(t[:60])
 
 
+def test_pairs_of_whole_pieces(library, codec):
+    """Any two pieces side by side, the rare ones included, and each piece that holds a mark after another character."""
+    rng = random.Random(7)
+    pieces = [p.replace("▁", " ") for p in codec.id_of]
+    marked = [p for p in pieces if len(p) > 1 and any(c in p[1:] for c in "!,.:;?|")]
+    assert "²." in marked
+    pairs = ["".join(rng.choices(pieces, k=2)) for _ in range(60_000)] + [a + b for a in marked for b in rng.sample(pieces, 12)] + [b + a for a in marked for b in rng.sample(pieces, 12)]
+    for t in [*pairs, "an area of 5 km².", "²." * 40]:
+        assert codec.encode(t) == library.encode(t) + [2], repr(t)
+
+
 def test_backtracking_is_what_merging_gives(codec):
     rng = random.Random(6)
     for _ in range(2000):
