@@ -79,7 +79,10 @@ def op6_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = warc.write_archive(warc.to_records(pages, "page_id", "url", "html"))
-    records = warc.read_archive(spark, path, payload=False, verify=True).where(F.col("record_type").isin("response", "revisit"))
+    # Payloads of responses are held against their digests; revisits are found by their headers, and all else is skipped.
+    responses = warc.read_archive(spark, path, payload=False, verify=True, partition_bytes=16 << 20).where(F.col("record_type") == "response")
+    revisits = warc.read_archive(spark, path, payload=False).where(F.col("record_type") == "revisit")
+    records = responses.union(revisits)
     row_id = lambda c: F.regexp_extract(c, "^urn:row:(.*)$", 1).try_cast("long")
     return records.select(row_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", row_id("refers_to").alias("refers_to"))
 

@@ -1,7 +1,8 @@
 """Operator 7: WARC archives as a Spark data source (format "warc"), written and read.
 
-Reading. The driver plans partitions of whole files, small ones together, from
-the archive's manifest. Predicates on the record type and on other headers are
+Reading. The driver plans partitions from the archive's manifest: stretches of
+files between places at which records begin, which the writer has noted, and
+small files together. Predicates on the record type and on other headers are
 pushed down. A task parses a record's headers first; if they don't fit, or if
 no payload is asked for, it skips the rest without decoding it: the length of
 each compressed record stands in its gzip header (the "sl" field that the WARC
@@ -14,7 +15,8 @@ one step; files of lost attempts are never listed, hence never read.
 
 Deduplication. Of records with equal payloads of at least `min_bytes`, the one
 with the smallest id is a response; the others are revisits that name it and
-carry no payload, but its digest and, as HTTP Content-Length, its length.
+carry no payload, but its digest and, as HTTP Content-Length, its length. Which
+is which is decided on ids and digests alone.
 
 Defined results: a null payload is an empty one; a row with a null id is a
 response of its own; rows that repeat the smallest id are all responses; a null
@@ -83,36 +85,38 @@ class _Files(WriterCommitMessage):
 
 @dataclass
 class _Part(InputPartition):
-    files: list
+    stretches: list  # (file, first byte, last byte or None)
 
 
 class WarcWriter(DataSourceArrowWriter):
     """Rows (record_type, record_id, target_uri, warc_date, refers_to, payload_digest, payload_bytes, payload) to files."""
 
-    def __init__(self, path: str, file_bytes: int):
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, split_bytes: int):
+        self.path, self.file_bytes, self.split_bytes = path, file_bytes, split_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, path = _place(self.path)
         store.create_dir(path, recursive=True)
-        attempt, files, out, size, name = uuid.uuid4().hex, [], None, 0, ""
+        attempt, files, out, size, name, splits = uuid.uuid4().hex, [], None, 0, "", []
         for batch in iterator:
             columns = [batch.column(c) for c in ("record_type", "record_id", "target_uri", "warc_date", "refers_to", "payload_digest", "payload_bytes", "payload")]
             for i in range(batch.num_rows):
                 kind, rid, uri, date, ref, dig, n, payload = (c[i].as_py() for c in columns)
                 if out is None:
-                    name, size = f"part-{attempt}-{len(files):05d}.warc.gz", 0
+                    name, size, splits = f"part-{attempt}-{len(files):05d}.warc.gz", 0, []
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                 data = member(record(kind, rid, uri, date, ref, payload or b"", dig, n))
+                if size >= (len(splits) + 1) * self.split_bytes:
+                    splits.append(size)
                 out.write(data)
                 size += len(data)
                 if size >= self.file_bytes:
                     out.close()
-                    files.append([name, size])
+                    files.append([name, size, splits])
                     out = None
         if out is not None:
             out.close()
-            files.append([name, size])
+            files.append([name, size, splits])
         return _Files(files)
 
     def commit(self, messages: list) -> None:
@@ -129,14 +133,14 @@ class WarcWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list) -> None:
         store, path = _place(self.path)
-        for name, _ in (x for m in messages if m for x in m.files):
+        for name, *_ in (x for m in messages if m for x in m.files):
             store.delete_file(f"{path}/{name}")
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, options: dict):
         self.path = path
-        self.part_bytes = int(options.get("partition_bytes", 64 << 20))
+        self.part_bytes = int(options.get("partition_bytes", 32 << 20))
         self.payload = options.get("payload", "true").lower() == "true"
         self.verify = options.get("verify", "false").lower() == "true"
         self.tests: list[tuple[str, str, object]] = []
@@ -162,14 +166,20 @@ class WarcReader(DataSourceReader):
             with store.open_input_stream(f"{path}/{MANIFEST}", compression=None) as f:
                 files = json.loads(f.read())
         else:
-            files = sorted([x.base_name, x.size] for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.endswith((".warc", ".warc.gz")))
-        parts, size = [_Part([])], 0
-        for name, n in files:
-            if parts[-1].files and size + n > self.part_bytes:
-                parts.append(_Part([]))
-                size = 0
-            parts[-1].files.append(name)
-            size += n
+            files = sorted([x.base_name, x.size, []] for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.endswith((".warc", ".warc.gz")))
+        parts, held = [_Part([])], 0
+        for name, size, *splits in files:
+            # A stretch ends at the last place that fits in, or else at the next one.
+            edges, begin = [*(splits[0] if splits else []), size], 0
+            for at, edge in enumerate(edges):
+                if at + 1 < len(edges) and held + edges[at + 1] - begin <= self.part_bytes:
+                    continue
+                if parts[-1].stretches and held + edge - begin > self.part_bytes:
+                    parts.append(_Part([]))
+                    held = 0
+                parts[-1].stretches.append((name, begin, edge if edge < size else None))
+                held += edge - begin
+                begin = edge
         return parts
 
     def _fits(self, row: dict) -> bool:
@@ -182,9 +192,9 @@ class WarcReader(DataSourceReader):
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         store, path = _place(self.path)
         rows, size = [], 0
-        for name in partition.files:
+        for name, begin, end in partition.stretches:
             with store.open_input_file(f"{path}/{name}") as f:
-                for row in self._records(f, name):
+                for row in self._records(f, name, begin, end):
                     rows.append(row)
                     size += len(row["payload"] or b"") + 500
                     if size > 8 << 20:
@@ -193,8 +203,8 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    def _records(self, f, name: str) -> Iterator[dict]:
-        offset, end = 0, f.size()
+    def _records(self, f, name: str, offset: int, end: int | None) -> Iterator[dict]:
+        end = f.size() if end is None else end
         while offset < end:
             source = _Member(f, offset) if name.endswith(".gz") else _Plain(f, offset)
             head = source.until(b"\r\n\r\n")
@@ -296,7 +306,7 @@ _ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (x.split() for x in S
 
 
 class WarcSource(DataSource):
-    """Options: path; partition_bytes; payload (false: never decoded); verify (true: payloads are checked against their digests); file_bytes."""
+    """Options: path; partition_bytes; payload (false: never decoded); verify (true: payloads are checked against their digests); file_bytes; split_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -309,17 +319,19 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("file_bytes", 256 << 20)))
+        return WarcWriter(self.options["path"], int(self.options.get("file_bytes", 256 << 20)), int(self.options.get("split_bytes", 8 << 20)))
 
 
 def to_records(df: DataFrame, id_column: str, url_column: str, payload_column: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """One WARC record per row, as WarcWriter takes them; repeated payloads are revisits."""
     payload = F.coalesce(F.col(payload_column).cast("binary"), F.lit(b""))
     rows = df.select(F.col(id_column).alias("id"), F.col(url_column).alias("target_uri"), payload.alias("payload")).withColumn("key", F.unhex(F.sha1("payload")))
-    # One row for each digest that repeats, from counts made before the shuffle.
-    first = written(rows.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "warc-first")
-    refers = F.when(F.col("first") < F.col("id"), F.concat(F.lit("urn:row:"), F.col("first").cast("string")))
-    joined = rows.join(first, "key", "left").withColumn("refers_to", refers)
+    narrow = rows.select("id", "key", F.octet_length("payload").alias("n"))
+    # One row for each digest that repeats, from counts made before the shuffle; then the rows that revisit it.
+    first = narrow.where(F.col("n") >= min_bytes).groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1").select("key", "first")
+    roles = written(narrow.select("id", "key").distinct().join(written(first, "warc-first"), "key").where("first < id"), "warc-roles")
+    # By id and digest: copies of one payload are many ids.
+    joined = rows.join(roles, ["id", "key"], "left").withColumn("refers_to", F.concat(F.lit("urn:row:"), F.col("first").cast("string")))
     return joined.select(
         F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.concat(F.lit("urn:row:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("record_id"),
@@ -340,12 +352,12 @@ def _base32(sha1: F.Column) -> F.Column:
     return F.concat(*[F.substring(alphabet, F.shiftright(g, s).bitwiseAND(31) + 1, F.lit(1)) for g in groups for s in (15, 10, 5, 0)])
 
 
-def write_archive(records: DataFrame, path: str | None = None, file_bytes: int = 256 << 20) -> str:
+def write_archive(records: DataFrame, path: str | None = None, file_bytes: int = 256 << 20, split_bytes: int = 8 << 20) -> str:
     """Write an archive; returns its path."""
     spark = records.sparkSession
     spark.dataSource.register(WarcSource)
     path = path or shared_path(spark, "warc")
-    records.write.format("warc").mode("append").option("path", path).option("file_bytes", file_bytes).save()
+    records.write.format("warc").mode("append").option("path", path).option("file_bytes", file_bytes).option("split_bytes", split_bytes).save()
     return path
 
 

@@ -82,3 +82,16 @@ def test_no_rows(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     path = warc.write_archive(warc.to_records(df, "page_id", "url", "html"), f"file://{tmp_path}/w")
     assert warc.read_archive(spark, path).count() == 0
+
+
+def test_files_are_split_where_records_begin(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * (i % 7)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archive(warc.to_records(df, "page_id", "url", "html", min_bytes=1), f"file://{tmp_path}/w", file_bytes=20_000, split_bytes=500)
+    parts = {}
+    for size in (1, 400, 1100, 3000, 1 << 30):
+        reader = warc.WarcReader(path, {"partition_bytes": str(size)})
+        planned = reader.partitions()
+        parts[size] = len(planned)
+        ids = [r["record_id"] for p in planned for b in reader.read(p) for r in b.to_pylist()]
+        assert sorted(ids) == sorted(f"urn:row:{i}" for i in range(60))
+    assert parts[1] > 20 and parts[1] >= parts[400] >= parts[1100] > parts[3000] > parts[1 << 30] == 1
