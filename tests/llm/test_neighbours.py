@@ -1,6 +1,7 @@
 """Operator 3: exact scores, and recall against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from postworks.llm import ann_forest
@@ -12,11 +13,27 @@ def brute(x, ids, q, k):
     return [int(i) for i in ids[np.lexsort((ids, d))][:k]], d
 
 
-def test_recall(spark):
+def test_votes():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 7, 20):
+        bits = rng.integers(0, 2, (n, 8, 4)).astype(np.uint8)
+        packed = [np.packbits(b, axis=0) for b in bits]
+        for votes in (1, 2, 3, 4, 5, 8):
+            found = np.unpackbits(ann_forest.at_least(iter(packed), votes), axis=0)
+            assert (found == (bits.sum(0) >= votes)).all()
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_recall(spark, monkeypatch, blocks):
+    if blocks:  # several blocks of queries, in several jobs, and a sample that is cut by its bytes
+        monkeypatch.setattr(ann_forest, "QUERY_BLOCK", 4)
+        monkeypatch.setattr(ann_forest, "JOB_BLOCKS", 2)
+        monkeypatch.setattr(ann_forest, "VECTOR_BLOCK", 100)
+        monkeypatch.setattr(ann_forest, "SAMPLE_BYTES", 8 * 32 * 900)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((3000, 32)).astype(np.float32).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
-    found = ann_forest.nearest_neighbours(df, F.col("vec_id") % 100 == 0, sample=1000, trees=16).collect()
+    found = ann_forest.nearest_neighbours(df, F.col("vec_id") % 100 == 0, sample=1000, trees=48).collect()
     hits = 0
     for q in range(0, 3000, 100):
         top, d = brute(x, np.arange(3000), q, 10)
@@ -47,3 +64,19 @@ def test_many_equal_vectors(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(500)]
     found = ann_forest.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") == 0, leaf=8).collect()
     assert sorted((r.rank, r.vec_id, r.score) for r in found) == [(i, i, 0.0) for i in range(1, 11)]
+
+
+def test_few_distances_are_computed():
+    """Of vectors in groups, the candidates are a small part, and hold the nearest."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((50, 24))[rng.integers(0, 50, 4000)] + 0.3 * rng.standard_normal((4000, 24))
+    grown = [ann_forest.grow_tree(x[:2000], 16, (1, t)) for t in range(32)]
+    forest = ann_forest.Forest(*map(list, zip(*grown, strict=True)))
+    leaves = forest.leaves(x) + forest.firsts()[:-1]
+    share, recall = [], []
+    for q in range(0, 4000, 200):
+        visited = np.isin(leaves, forest.search(x[q], 0.1 * 2000)).sum(1) >= 2
+        top, _ = brute(x, np.arange(4000), q, 10)
+        share.append(visited.mean())
+        recall.append(np.mean(visited[top]))
+    assert np.mean(recall) > 0.9 and np.mean(share) < 0.05
