@@ -39,7 +39,7 @@ from postworks.llm.scratch import written
 #: Vectors that the forest is fitted on, at most, and their bytes; trees; points of the sample in a leaf.
 SAMPLE, SAMPLE_BYTES, TREES, LEAF = 16_384, 32 << 20, 96, 16
 #: The part of the sample that visited leaves hold, summed over all trees, and the fewest points; leaves that make a candidate.
-SEARCH_PART, LEAST_POINTS, VOTES = 0.8, 1600, 3
+SEARCH_PART, LEAST_POINTS, VOTES = 1.0, 2000, 3
 #: Queries that are sent to all tasks at once, and such blocks in one job; vectors that a task compares at once.
 QUERY_BLOCK, JOB_BLOCKS, VECTOR_BLOCK = 2048, 4, 4096
 #: Points that a split's direction is found on.
