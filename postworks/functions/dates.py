@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from postworks.functions.text import strip
 
 
+#: Fixed value: words for days.
+DAYS = "d|day|days"
+
+
 def parse_date(text: Column, anchor: Column) -> Column:
     """ISO date of a posting's date text: ISO dates and times, y-m-d or y/m/d, "n days ago", "yesterday"; else null.
 
@@ -18,7 +22,7 @@ def parse_date(text: Column, anchor: Column) -> Column:
     iso = F.coalesce(F.when(token.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(token, "yyyy-MM-dd")), F.when(token.rlike(r"^\d{8}$"), F.try_to_date(token, "yyyyMMdd")))
     y, m, d = (F.regexp_extract(s, r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})", n) for n in (1, 2, 3))
     loose = F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
-    ago = F.regexp_extract(s, r"(?i)^(\d{1,6})\s*(?:days|day|d)\s*ago$", 1)
+    ago = F.regexp_extract(s, rf"(?i)^(\d{{1,6}})\s*(?:{DAYS})\s*ago$", 1)
     before = F.when(ago != "", F.date_sub(anchor, ago.try_cast("int")))
     return F.coalesce(iso.cast("string"), loose, before.cast("string"), F.when(F.lower(s) == "yesterday", F.date_sub(anchor, 1).cast("string")))
 

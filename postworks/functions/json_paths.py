@@ -2,11 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of nesting that flattening unrolls; what is deeper stays as JSON text.
-DEPTH = 8
+from postworks.functions.text import bound
+
+#: Tokens of JSON text: strings (the last one may be cut off), single brackets, and what is between.
+TOKENS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[{}\[\]]|[^"{}\[\]]++'
+
+
+def nesting(text: Column) -> Column:
+    """Levels of objects and lists in JSON text."""
+    brackets = F.filter(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), lambda t: t.isin("{", "}", "[", "]"))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(level: Column, t: Column) -> Column:
+        now = level["now"] + F.when(t.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(level["most"], now).alias("most"))
+
+    return F.aggregate(brackets, zero, step, lambda level: level["most"])
+
+
+def balanced(text: Column) -> Column:
+    """The object that begins at the first brace of a text, up to its closing brace, strings seen as such; null if none closes."""
+    tokens = F.regexp_extract_all(F.regexp_extract(text, r"(?s)(\{.*)", 1), F.lit(TOKENS), F.lit(0))
+    zero = F.struct(F.lit(0).alias("level"), F.lit(0).alias("n"), F.lit(False).alias("closed"))
+
+    def step(s: Column, t: Column) -> Column:
+        level = s["level"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        return F.when(s["closed"], s).otherwise(F.struct(level.alias("level"), (s["n"] + 1).alias("n"), (level == 0).alias("closed")))
+
+    def cut(tokens: Column) -> Column:
+        return bound(F.aggregate(tokens, zero, step), lambda s: F.when(s["closed"], F.array_join(F.slice(tokens, 1, s["n"]), "")))
+
+    return bound(tokens, cut)
+
+
+def relaxed(text: Column) -> Column:
+    """A variant of JSON text whose strings may hold raw line breaks and tabs; null if it doesn't parse."""
+    raw = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    tokens = F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
+    clean = F.transform(tokens, lambda t: F.when(t.startswith('"'), reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), raw.items(), t)).otherwise(t))
+    return F.coalesce(F.try_parse_json(text), F.when(text.rlike(r"[\n\r\t]"), F.try_parse_json(F.array_join(clean, ""))))
 
 
 def dig(doc: Column, *names: str, kind: str = "variant") -> Column:
@@ -16,7 +56,22 @@ def dig(doc: Column, *names: str, kind: str = "variant") -> Column:
 
 def unwrap(doc: Column) -> Column:
     """The job inside a vendor's document: jobDetail.data.job, jobDetail.job, data.job, or the whole."""
-    return F.coalesce(dig(doc, "jobDetail", "data", "job"), dig(doc, "jobDetail", "job"), dig(doc, "data", "job"), doc)
+    return bound(doc, lambda d: F.coalesce(dig(d, "jobDetail", "data", "job"), dig(d, "jobDetail", "job"), dig(d, "data", "job"), d))
+
+
+#: Keys under which a search page's document may hold the job, one inside the other in this order.
+JOB_KEYS = ["job", "jobDetail", "data", "position", "posting"]
+
+
+def unwrap_job(doc: Column) -> Column:
+    """The innermost of a document's nested jobs: each key is followed, in order, where it holds an object."""
+
+    def follow(name: str) -> Callable[[Column], Column]:
+        return lambda d: bound(dig(d, name), lambda below: F.when(_object(below).isNotNull(), below).otherwise(d))
+
+    for name in JOB_KEYS:
+        doc = bound(doc, follow(name))
+    return doc
 
 
 def strip_prefix(fields: Column, prefix: str) -> Column:
@@ -48,29 +103,66 @@ def _children(node: Column, indexed: bool) -> Column:
     """The nodes below one; a leaf is its own child. indexed: a[0].b instead of a.0.b, and lists of scalars are opened too."""
     path, value = node["path"], node["value"]
     prefix = lambda sep: F.when(path == "", "").otherwise(F.concat(path, F.lit(sep)))
-    fields = F.transform(F.map_entries(_object(value)), lambda e: _node(F.concat(prefix("."), e["key"]), e["value"]))
     place = (lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))) if indexed else (lambda i: F.concat(prefix("."), i.cast("string")))
-    items = F.transform(_array(value), lambda x, i: _node(place(i), x))
-    opened = _array(value).isNotNull() if indexed else _array(value).isNotNull() & ~_scalars(_array(value))
-    return F.when(_object(value).isNotNull(), fields).when(opened, items).otherwise(F.array(node))
 
+    def below(v: Column) -> Column:
+        fields = F.transform(F.map_entries(v["object"]), lambda e: _node(F.concat(prefix("."), e["key"]), e["value"]))
+        items = F.transform(v["items"], lambda x, i: _node(place(i), x))
+        opened = v["items"].isNotNull() if indexed else v["items"].isNotNull() & ~_scalars(v["items"])
+        return F.when(v["object"].isNotNull(), fields).when(opened, items).otherwise(F.array(node))
+
+    return bound(F.struct(_object(value).alias("object"), _array(value).alias("items")), below)
+
+
+def _leaf(value: Column, indexed: bool) -> Column:
+    if indexed:
+        return _text(value)
+    joined = F.array_join(F.transform(_array(value), lambda x: F.coalesce(_text(x), F.lit(""))), "; ")
+    return F.coalesce(F.when(_array(value).isNotNull(), joined), _text(value), F.lit(""))
 
-def flatten(df: DataFrame, doc: Column, *ids: str, indexed: bool = False, depth: int = DEPTH) -> DataFrame:
-    """(ids, path, value) of every leaf of a document.
+
+def flatten(df: DataFrame, doc: Column, *ids: str, indexed: bool = False, depth: int | None = None) -> DataFrame:
+    """(ids, path, value) of every leaf of a document, however deep.
 
     Dotted form: lists of scalars are one leaf, joined by "; "; null and the
     empty list are "". Indexed form: each element is a leaf, null stays null,
-    empty lists vanish. Empty objects have no leaf in either.
+    empty lists vanish. Empty objects have no leaf in either. Unless `depth`
+    tells how deep documents are, a job looks first.
     """
     rows = df.select(*ids, _node(F.lit(""), doc).alias("node")).where("node.value IS NOT NULL")
+    if depth is None:
+        depth = rows.agg(F.max(nesting(F.to_json("node.value")))).first()[0] or 0
     for _ in range(depth):
         rows = rows.select(*ids, F.explode(_children(F.col("node"), indexed)).alias("node"))
-    value, items = F.col("node.value"), _array(F.col("node.value"))
-    if indexed:
-        leaf = _text(value)
-    else:
-        leaf = F.coalesce(F.when(items.isNotNull(), F.array_join(F.transform(items, lambda x: F.coalesce(_text(x), F.lit(""))), "; ")), _text(value), F.lit(""))
-    return rows.select(*ids, F.col("node.path").alias("path"), leaf.alias("value"))
+    return rows.select(*ids, F.col("node.path").alias("path"), _leaf(F.col("node.value"), indexed).alias("value"))
+
+
+def flat_entries(doc: Column, depth: int, indexed: bool = False) -> Column:
+    """The leaves of one document, of at most so many levels, as an array of (path, value); null for null."""
+
+    def leaves(d: Column) -> Column:
+        nodes = F.array(_node(F.lit(""), d))
+        for _ in range(depth):
+            nodes = F.flatten(F.transform(nodes, lambda n: _children(n, indexed)))
+        return F.when(d.isNotNull(), F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), _leaf(n["value"], indexed).alias("value"))))
+
+    return bound(doc, leaves)
+
+
+def entries_map(entries: Column) -> Column:
+    """A map of (path, value) entries; the last of equal paths counts."""
+    placed = F.transform(entries, lambda e, i: F.struct(e["path"].alias("path"), i.alias("i"), e["value"].alias("value")))
+
+    def last(s: Column) -> Column:
+        kept = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.try_element_at(s, i + 2)["path"] != x["path"]))
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["path"], x["value"])))
+
+    return bound(F.array_sort(placed), lambda s: F.when(s.isNotNull(), last(s)))
+
+
+def flat_fields(doc: Column, depth: int, indexed: bool = False) -> Column:
+    """Map of the paths and values of one document, of at most so many levels."""
+    return entries_map(flat_entries(doc, depth, indexed))
 
 
 def as_map(long: DataFrame, *ids: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postworks.functions.text import html_to_text, strip, unescape
+from postworks.functions.json_paths import balanced, entries_map, flat_entries, flat_fields, relaxed
+from postworks.functions.text import bound, html_to_text, strip, unescape
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -16,15 +17,26 @@ def attribute(tag: Column, name: str) -> Column:
 def json_ld(html: Column) -> Column:
     """JSON-LD blocks that parse, as variants."""
     raw = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]+ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    return F.filter(F.transform(raw, lambda x: F.try_parse_json(strip(x))), lambda v: v.isNotNull())
+    return F.filter(F.transform(raw, lambda x: bound(strip(x), relaxed)), lambda v: v.isNotNull())
+
+
+def _items(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def job_posting_ld(html: Column) -> Column:
     """The JSON-LD block, or item of a block, that is a job posting; else the first block."""
-    blocks = json_ld(html)
     kind = lambda v: F.try_variant_get(v, "$['@type']", "string")
-    items = F.flatten(F.transform(blocks, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
-    return F.coalesce(F.try_element_at(F.filter(items, lambda v: kind(v) == "JobPosting"), F.lit(1)), F.try_element_at(items, F.lit(1)))
+    items = F.flatten(F.transform(json_ld(html), lambda v: F.coalesce(_items(v), F.array(v))))
+    return bound(items, lambda x: F.coalesce(F.try_element_at(F.filter(x, lambda v: kind(v) == "JobPosting"), F.lit(1)), F.try_element_at(x, F.lit(1))))
+
+
+def json_ld_fields(html: Column, depth: int) -> Column:
+    """Map of all JSON-LD blocks: "ld." and a dotted path, "ld[i]." for item i of a block that is a list; later blocks count."""
+    named = lambda prefix, v: F.transform(flat_entries(v, depth), lambda e: F.struct(F.concat(prefix, e["path"]).alias("path"), e["value"].alias("value")))
+    listed = lambda v: F.flatten(F.transform(_items(v), lambda x, i: named(F.concat(F.lit("ld["), i.cast("string"), F.lit("].")), x)))
+    blocks = F.transform(json_ld(html), lambda v: F.when(_items(v).isNotNull(), listed(v)).otherwise(named(F.lit("ld."), v)))
+    return entries_map(F.flatten(blocks))
 
 
 def meta_tags(html: Column) -> Column:
@@ -32,8 +44,8 @@ def meta_tags(html: Column) -> Column:
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
     pairs = F.transform(tags, lambda t: F.struct(F.coalesce(F.nullif(attribute(t, "name"), F.lit("")), attribute(t, "property")).alias("k"), attribute(t, "content").alias("v")))
     named = F.filter(pairs, lambda p: p["k"] != "")
-    names = F.array_distinct(F.transform(named, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(named, lambda p: p["k"] == n), 1)["v"]))
+    # The last of equal paths counts, hence backwards.
+    return bound(named, lambda x: entries_map(F.reverse(F.transform(x, lambda p: F.struct(p["k"].alias("path"), p["v"].alias("value"))))))
 
 
 def h1_text(html: Column) -> Column:
@@ -50,8 +62,7 @@ def data_layer(html: Column) -> Column:
     bodies = F.array_join(F.regexp_extract_all(html, F.lit(r"(?s)dataLayer\.push\(\s*\{(.*?)\}\s*\)"), F.lit(1)), ",")
     pattern = r"""['"]([\w.-]+)['"]\s*:\s*['"]([^'"]*)['"]"""
     keys, values = (F.regexp_extract_all(bodies, F.lit(pattern), F.lit(n)) for n in (1, 2))
-    names = F.array_distinct(keys)
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(values, -F.array_position(F.reverse(keys), n).cast("int"))))
+    return entries_map(F.transform(F.arrays_zip(keys.alias("path"), values.alias("value")), lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value"))))
 
 
 def page_state(html: Column) -> Column:
@@ -64,40 +75,116 @@ def total_hits(state: Column) -> Column:
 
 
 def smart_apply(html: Column) -> Column:
-    """The embedded application payload as a variant."""
-    body = F.regexp_extract(html, r"""(?is)<code[^>]*id\s*=\s*["']smartApplyData["'][^>]*>(.*?)</code>""", 1)
+    """The embedded application payload as a variant, in whatever element it stands."""
+    body = F.regexp_extract(html, r"""(?is)<(\w+)\b[^>]*\bid\s*=\s*["']smartApplyData["'][^>]*>(.*?)</\1\s*>""", 2)
     return F.try_parse_json(F.nullif(unescape(strip(body)), F.lit("")))
 
 
+def smart_apply_fields(html: Column, depth: int) -> Column:
+    """Map of the application payload's paths; its first position stands under positions.0."""
+    return flat_fields(smart_apply(html), depth)
+
+
 def embedded_posting(html: Column) -> Column:
-    """A job posting object inside a script, from its outer braces; null if that doesn't parse or isn't one."""
-    body = F.regexp_extract(html, r"(?is)<script[^>]*text/javascript[^>]*>([^<]*JobPosting[^<]*)</script>", 1)
-    parsed = F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit("")))
-    return F.when(F.try_variant_get(parsed, "$['@type']", "string") == "JobPosting", parsed)
+    """The job posting in a text/javascript script: of the first script that is marked as one, the object that begins at its first brace.
+
+    Braces are balanced, those inside strings don't count; null if the object doesn't close, doesn't parse or is none.
+    """
+    bodies = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*\btype\s*=\s*["']text/javascript["'][^>]*>(.*?)</script>"""), F.lit(1))
+    marked = F.try_element_at(F.filter(bodies, lambda b: b.rlike(r'"@type"\s*:\s*"JobPosting"')), F.lit(1))
+    parsed = lambda v: F.when(F.try_variant_get(v, "$['@type']", "string") == "JobPosting", v)
+    return bound(F.when(marked.isNotNull(), bound(balanced(marked), relaxed)), parsed)
+
+
+def element(html: Column, name: str) -> Column:
+    """Inner markup of the first element with a class, up to the end tag that closes it; null if there is none."""
+    opening = rf"""(?is)<(\w+)\b[^>]*\bclass\s*=\s*["'][^"']*(?<![\w-]){name}(?![\w-])[^"']*["'][^>]*>(.*)$"""
+    tag, after = F.regexp_extract(html, opening, 1), F.regexp_extract(html, opening, 2)
+    pieces = F.split(after, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)")))
+    zero = F.struct(F.lit(1).alias("level"), F.lit(0).alias("n"))
+
+    def step(s: Column, piece: Column) -> Column:
+        begins = lambda mark: F.lower(F.substring(piece, 1, 60)).startswith(F.concat(F.lit(mark), F.lower(tag)))
+        level = s["level"] + F.when(begins("</"), -1).when(begins("<"), 1).otherwise(0)
+        return F.when(s["level"] == 0, s).otherwise(F.struct(level.alias("level"), (s["n"] + F.when(level > 0, 1).otherwise(0)).alias("n")))
+
+    inner = bound(pieces, lambda p: F.array_join(F.slice(p, 1, F.aggregate(p, zero, step, lambda s: s["n"])), ""))
+    return F.when(tag != "", inner)
+
+
+#: Elements without an end tag.
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 
 def bold_blocks(html: Column) -> Column:
-    """Map of bold labels to what follows them: list items one a line, else text. Of equal labels the longest value counts."""
-    parts = F.split(html, r"(?i)<b\b[^>]*>")
-    blocks = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _block)
-    named = F.filter(blocks, lambda b: b["label"] != "")
-    labels = F.array_distinct(F.transform(named, lambda b: b["label"]))
+    """Map of bold labels to what follows them beside them, in the description if the page has one.
+
+    A block ends at the next bold label beside it or with the element that both
+    stand in. Items of lists beside the label, one a line, count; without such a
+    list the text does. Of equal labels the longest value counts. "Page Title"
+    is the page's heading, unless there is such a label.
+    """
+    inner = F.coalesce(element(html, "career-detail-description"), html)
+    parts = F.split(inner, r"(?i)<b\b[^>]*>")
+
+    def of(parts: Column) -> Column:
+        numbers = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.size(parts))).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda i: _block(F.array_join(F.slice(parts, i, F.size(parts)), "<b>")))
 
-    def richest(label: Column) -> Column:
-        own = F.filter(named, lambda b: b["label"] == label)
-        longest = F.array_max(F.transform(own, lambda b: F.length(b["value"])))
-        return F.element_at(F.filter(own, lambda b: F.length(b["value"]) == longest), 1)["value"]
+    def richest(named: Column) -> Column:
+        # Shorter values first, of equally long ones later labels first: the last of equal paths counts.
+        order = lambda b, i: F.struct(F.length(b["value"]).alias("n"), (-i).alias("i"), b["label"].alias("path"), b["value"].alias("value"))
+        return entries_map(F.transform(F.array_sort(F.transform(named, order)), lambda x: F.struct(x["path"], x["value"])))
 
-    return F.map_from_arrays(labels, F.transform(labels, richest))
+    blocks = bound(F.filter(bound(parts, of), lambda b: b["label"] != ""), richest)
+    title = h1_text(html)
+    return bound(blocks, lambda b: F.when(F.map_contains_key(b, "Page Title") | title.isNull(), b).otherwise(F.map_concat(b, F.create_map(F.lit("Page Title"), title))))
 
 
 def _block(part: Column) -> Column:
+    """Label and value of a block, from after its <b>."""
     halves = F.split(part, r"(?i)</b\s*>", 2)
     label = strip(F.regexp_replace(html_to_text(F.element_at(halves, 1)), r":+\s*$", ""))
-    rest = F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))
-    items = F.transform(F.regexp_extract_all(rest, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)), html_to_text)
-    value = F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise(strip(F.regexp_replace(html_to_text(rest), r"\s+", " ")))
-    return F.struct(label.alias("label"), value.alias("value"))
+    return F.struct(label.alias("label"), _beside(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))).alias("value"))
+
+
+def _beside(rest: Column) -> Column:
+    """What stands beside a label: tags are followed until the element around it ends or another label begins beside it."""
+    spans = "array<struct<a: int, b: int>>"
+    # Pieces so far, where the open list begins (0: none is open), and the lists that have ended.
+    zero = F.struct(F.lit(0).alias("level"), F.lit(False).alias("ended"), F.lit(0).alias("n"), F.lit(0).alias("open"), F.array().cast(spans).alias("lists"))
+
+    def tag(piece: Column) -> Column:
+        closes = piece.startswith("</")
+        named = lambda name: F.struct(name.alias("name"), ((name != "") & closes).alias("closes"), ((name != "") & ~closes & ~name.isin(VOID) & ~piece.rlike(r"^<[^>]*/>")).alias("opens"))
+        return bound(F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][A-Za-z0-9]*)", 1)), named)
+
+    def step(s: Column, piece: Column) -> Column:
+        name, closes, opens = piece["name"], piece["closes"], piece["opens"]
+        beside, n = s["level"] == 0, s["n"] + 1
+        level = s["level"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        done = closes & (level == 0) & (s["open"] > 0)
+        lists = F.when(done, F.concat(s["lists"], F.array(F.struct(s["open"].alias("a"), s["n"].alias("b"))))).otherwise(s["lists"])
+        begun = F.when(opens & beside & (name == "ul"), n).when(done, 0).otherwise(s["open"])
+        went = F.struct(level.alias("level"), F.lit(False).alias("ended"), n.alias("n"), begun.alias("open"), lists.alias("lists"))
+        stopped = F.struct(s["level"].alias("level"), F.lit(True).alias("ended"), s["n"].alias("n"), s["open"].alias("open"), s["lists"].alias("lists"))
+        return F.when(s["ended"], s).when((closes & beside) | (opens & beside & (name == "b")), stopped).otherwise(went)
+
+    def value(pieces: Column) -> Column:
+        def chosen(s: Column) -> Column:
+            lists = F.when(s["open"] > 0, F.concat(s["lists"], F.array(F.struct(s["open"].alias("a"), s["n"].alias("b"))))).otherwise(s["lists"])
+            inner = F.array_join(F.flatten(F.transform(lists, lambda x: F.slice(pieces, x["a"], x["b"] - x["a"] + 1))), "")
+            items = F.transform(F.regexp_extract_all(inner, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)), _flat_text)
+            return F.when(F.size(lists) > 0, F.array_join(items, "\n")).otherwise(_flat_text(F.array_join(F.slice(pieces, 1, s["n"]), "")))
+
+        return bound(F.aggregate(F.transform(pieces, tag), zero, step), chosen)
+
+    return bound(F.split(rest, "(?=<)"), value)
+
+
+def _flat_text(html: Column) -> Column:
+    """Text on one line, a blank for each tag."""
+    return strip(F.regexp_replace(html_to_text(F.regexp_replace(html, "<", " <")), r"\s+", " "))
 
 
 #: How lines of a posting's head begin, and the fields that they give.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: How many times a year each unit is paid, by the units that are known.
 PER_YEAR = {"hour": 2080.0, "hr": 2080.0, "day": 260.0, "mo": 12.0, "month": 12.0, "yr": 1.0, "year": 1.0}
+#: Fixed value: a number with the unit it is paid by.
 _SPAN = r"(?i)(\$?\d+(?:\.\d+)?)(?:\s*/\s*(hour|hr|day|mo|month|yr|year))?"
 #: Words of pay that isn't yearly or monthly.
 NOT_YEARLY = ["hour", "/hr", "/hour", "per hour", "weekly", "per week", "a week", "daily", "per day"]

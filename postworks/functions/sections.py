@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postworks.functions.text import quoted, strip
+from postworks.functions.text import bound, quoted, strip
 
 #: Headings of each kind of section, in the order in which they are looked for.
 HEADINGS = {
@@ -20,20 +20,28 @@ ENDINGS = ["Responsibilities", "Duties", "Benefits", "Pay", "Pay Information", "
 
 def section(text: Column, headings: list[str]) -> Column:
     """Text below the first heading of the list that is there, up to a heading that ends it; "" if none is there."""
-    s = F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("\n"))
     end = r"(?im)^\s*(?:" + "|".join(map(quoted, ENDINGS)) + r")\s*:?\s*$"
-    out = F.lit("")
-    for h in reversed(headings):
-        line = rf"(?im)^\s*{quoted(h)}\s*:?\s*$"
-        below = F.regexp_extract(s, line + r"((?s:.*))", 1)
-        out = F.when(s.rlike(line), strip(F.element_at(F.split(below, end, 2), 1))).otherwise(out)
-    return out
+
+    def first(s: Column) -> Column:
+        out = F.lit("")
+        for h in reversed(headings):
+            line = rf"(?im)^\s*{quoted(h)}\s*:?\s*$"
+            below = F.regexp_extract(s, line + r"((?s:.*))", 1)
+            there = F.lower(s).contains(h.lower()) & s.rlike(line)  # the first is cheap, and mostly false
+            out = F.when(there, strip(F.element_at(F.split(below, end, 2), 1))).otherwise(out)
+        return out
+
+    return bound(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("\n")), first)
+
+
+#: What begins or parts the items of a section, and what is taken off their ends.
+_ITEMS, _EDGES = r"(?m)^\s*[-*•]\s+|[\n;]+", " \t•-*;"
 
 
 def bullets(text: Column) -> Column:
     """Items of a bulleted or lined text."""
-    items = F.split(text, r"(?m)^\s*[-*•]\s+|[\n;]+")
-    clean = F.transform(items, lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(" \t•-*;")))
+    items = F.split(text, _ITEMS)
+    clean = F.transform(items, lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(_EDGES)))
     return F.filter(clean, lambda x: x != "")
 
 
@@ -43,7 +51,6 @@ def education_and_skills(description: Column) -> Column:
     for name, headings in HEADINGS.items():
         text = section(description, headings)
         if name.endswith("skills"):
-            items = bullets(text)
-            text = F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise(text)
+            text = bound(text, lambda t: bound(bullets(t), lambda items: F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise(t)))
         found[name] = F.nullif(text, F.lit(""))
     return F.struct(*[c.alias(n) for n, c in found.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&ndash;": "–", "&mdash;": "—", "&bull;": "•", "&amp;": "&"}
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with the value computed once however often make uses it."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def strip(c: Column) -> Column:
     """White space of all kinds off both ends (Spark's trim takes spaces only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -24,6 +30,13 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*[blank_to_null(c.cast("string")) for c in columns], F.lit(""))
 
 
+def first_any(*values: Column) -> Column:
+    """The first variant that is neither null nor a blank text, as text; of a list its first element counts."""
+    one = lambda v: F.coalesce(F.try_element_at(F.try_variant_get(v, "$", "array<string>"), F.lit(1)), F.try_variant_get(v, "$", "string"))
+    is_list = lambda v: F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    return F.coalesce(*[F.when(is_list(v) | (strip(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("x"))) != ""), one(v)) for v in values])
+
+
 def unescape(c: Column) -> Column:
     """Common HTML entities as characters; `&amp;` comes last, so that nothing is unescaped twice."""
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), _ENTITIES.items(), c)
@@ -63,8 +76,3 @@ def excerpt(body: Column, patterns: list[str], context: int = 90, longest: int =
         cut = F.when(F.length(cut) > longest, F.concat(F.substring(cut, 1, longest), F.lit("…"))).otherwise(cut)
         out = F.when(at > 0, cut).otherwise(out)
     return F.coalesce(out, F.lit(""))
-
-
-def snippet_list(html: Column, tag: str) -> Column:
-    """Inner markup of each element of a tag."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))

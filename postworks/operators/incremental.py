@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def known_keys(rows: DataFrame, stored: DataFrame, vendor: str | None = "vendor", key: str = "dedupe_key") -> DataFrame:
@@ -28,7 +29,7 @@ def new_keys(seen: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
 
 def with_artifacts(listing: DataFrame, artifacts: DataFrame, url: str = "detail_url") -> DataFrame:
     """Listing rows with the artefacts of their page, where there are any."""
-    return listing.join(artifacts.withColumnRenamed(url, "_url"), F.col(url) == F.col("_url"), "left").drop("_url")
+    return listing.join(artifacts, url, "left")
 
 
 def merged(stored: DataFrame, incoming: DataFrame, now: Column, order: str, vendor: str = "vendor", key: str = "dedupe_key") -> DataFrame:
@@ -37,8 +38,7 @@ def merged(stored: DataFrame, incoming: DataFrame, now: Column, order: str, vend
     first_seen stays as it was; updated_at is now for rows that came in.
     """
     values = [c for c in stored.columns if c not in (vendor, key, "first_seen", "updated_at")]
-    ranked = incoming.withColumn("_n", F.row_number().over(Window.partitionBy(vendor, key).orderBy(F.desc(order))))
-    last = ranked.where("_n = 1").select(vendor, key, F.struct(*values).alias("_new"))
+    last = incoming.groupBy(vendor, key).agg(F.max_by(F.struct(*values), order).alias("_new"))
     old = stored.select(vendor, key, F.struct(*values).alias("_old"), "first_seen", "updated_at")
     both = old.join(last, [vendor, key], "full_outer")
     came = F.col("_new").isNotNull()
@@ -46,48 +46,121 @@ def merged(stored: DataFrame, incoming: DataFrame, now: Column, order: str, vend
     return both.select(vendor, key, *[chosen[c].alias(c) for c in values], F.coalesce("first_seen", now).alias("first_seen"), F.when(came, now).otherwise(F.col("updated_at")).alias("updated_at")).select(*stored.columns)
 
 
+class Conflict(Exception):
+    """Another writer has committed the version."""
+
+
 class SnapshotTable:
-    """A table as snapshot folders, partitioned by vendor, and a pointer that is swapped when a new one is complete."""
+    """A table as Parquet folders, one for each vendor, and a manifest for each version that names them.
+
+    An upsert writes anew the folders of the vendors that came in, and commits
+    the version after the one that it has read, by a rename that fails if that
+    version is there. A writer that comes second reads again and repeats its
+    merge, so no update is lost. The rename is one step on HDFS and on local
+    disks; an object store without such a rename is not supported.
+    """
 
     def __init__(self, spark: SparkSession, path: str, vendor: str = "vendor"):
         self.spark, self.path, self.vendor = spark, path.rstrip("/"), vendor
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        """Folder of the newest complete snapshot."""
-        pointers = self._path(f"{self.path}/pointers")
-        if not self._fs.exists(pointers):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(pointers) if s.getPath().getName().startswith("p"))
-        return json.loads(self.spark.read.text(f"{self.path}/pointers/{names[-1]}").first()[0])["folder"] if names else None
-
-    def read(self) -> DataFrame | None:
-        folder = self.current()
-        return self.spark.read.parquet(f"{self.path}/{folder}") if folder else None
-
-    def write(self, df: DataFrame, sort: str | None = None) -> None:
-        """Write a snapshot, then point to it; a reader never sees part of one."""
-        folder = f"snapshot-{uuid.uuid4().hex}"
-        rows = df.sortWithinPartitions(self.vendor, sort) if sort else df
-        rows.write.partitionBy(self.vendor).parquet(f"{self.path}/{folder}")
-        pointers = self._path(f"{self.path}/pointers")
-        self._fs.mkdirs(pointers)
-        number = len(self._fs.listStatus(pointers))
-        draft = self._path(f"{self.path}/pointers/.draft-{uuid.uuid4().hex}")
+        self._jvm, self._path = jvm, jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+
+    def _names(self, folder: str) -> list[str]:
+        p = self._path(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+
+    def versions(self) -> list[int]:
+        return [int(n[1:-5]) for n in self._names("manifests") if n.startswith("v")]
+
+    def manifest(self, version: int | None = None) -> tuple[int, T.StructType | None, dict[str, str]]:
+        """Version, schema, and the folder of each vendor (by its escaped name); version 0 is the empty table."""
+        version = max(self.versions(), default=0) if version is None else version
+        if not version:
+            return 0, None, {}
+        m = json.loads(self.spark.read.text(f"{self.path}/manifests/v{version:010d}.json", wholetext=True).first()[0])
+        return version, T.StructType.fromJson(m["schema"]), m["folders"]
+
+    def _read(self, schema: T.StructType, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def read(self, version: int | None = None, vendors: list[str] | None = None) -> DataFrame | None:
+        """The table of a version (the last one by default), or only the folders of some vendors."""
+        _, schema, folders = self.manifest(version)
+        wanted = folders if vendors is None else {k: f for k, f in folders.items() if k in {self._escaped(v) for v in vendors}}
+        return None if schema is None else self._read(schema, list(wanted.values()))
+
+    def _escaped(self, vendor: str) -> str:
+        return self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(vendor)
+
+    def _write(self, df: DataFrame, sort: str | None) -> dict[str, str]:
+        folder = f"data/{uuid.uuid4().hex}"
+        # The vendor stays a column of the files; its copy names the folders.
+        copy = "_folder" if "_folder" not in df.columns else "_folder_"
+        rows = df.withColumn(copy, F.col(self.vendor))
+        (rows.sortWithinPartitions(copy, sort) if sort else rows).write.partitionBy(copy).parquet(f"{self.path}/{folder}")
+        return {n.partition("=")[2]: f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{copy}=")}
+
+    def _commit(self, version: int, schema: T.StructType, folders: dict[str, str]) -> None:
+        self._fs.mkdirs(self._path(f"{self.path}/manifests"))
+        draft = self._path(f"{self.path}/manifests/draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps({"folder": folder}).encode()))
+        out.write(bytearray(json.dumps({"schema": schema.jsonValue(), "folders": folders}).encode()))
         out.close()
-        if not self._fs.rename(draft, self._path(f"{self.path}/pointers/p{number:010d}.json")):
-            raise RuntimeError("another writer has committed this version")
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._context.rename(draft, self._path(f"{self.path}/manifests/v{version:010d}.json"), options)
+        except Exception as e:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(f"version {version} is there already") from e
+            raise
+
+    def write(self, df: DataFrame, sort: str | None = None, read: int | None = None) -> int:
+        """Replace the whole table. read: the version that df was made from; if another one is the last by now, that is a Conflict."""
+        last = max(self.versions(), default=0) if read is None else read
+        self._commit(last + 1, df.schema, self._write(df, sort))
+        return last + 1
 
     def upsert(self, incoming: DataFrame, now: Column, order: str, key: str = "dedupe_key") -> DataFrame:
-        """Merge rows in; rows with a blank key are not stored but returned."""
-        good = incoming.where(F.coalesce(F.col(key), F.lit("")) != "")
-        stored = self.read()
-        if stored is None:
-            empty = good.drop(order).withColumns({"first_seen": now, "updated_at": now}).limit(0)
-            stored = empty
-        self.write(merged(stored, good, now, order, self.vendor, key))
-        return incoming.where(F.coalesce(F.col(key), F.lit("")) == "")
+        """Merge rows in; rows with a blank key or without a vendor are not stored but returned.
+
+        The rows are written first, so that a repeated merge doesn't make them anew.
+        """
+        good = (F.coalesce(F.col(key), F.lit("")) != "") & (F.coalesce(F.col(self.vendor), F.lit("")) != "")
+        staged = f"{self.path}/data/incoming-{uuid.uuid4().hex}"
+        incoming.write.parquet(staged)
+        came = self.spark.read.schema(incoming.schema).parquet(staged)
+        rows = came.where(good)
+        # Vendors are few; their names tell which folders are written anew.
+        vendors = [r[0] for r in rows.select(self.vendor).distinct().collect()]
+        while vendors:
+            version, schema, folders = self.manifest()
+            if schema is None:
+                schema = rows.drop(order).withColumns({"first_seen": now, "updated_at": now}).schema
+            touched = {self._escaped(v) for v in vendors}
+            stored = self._read(schema, [f for k, f in folders.items() if k in touched])
+            made = self._write(merged(stored, rows, now, order, self.vendor, key), None)
+            try:
+                self._commit(version + 1, schema, folders | made)
+                break
+            except Conflict:
+                continue
+        return came.where(~good)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete manifests but the last `keep`, folders that only those named, and staged rows; returns the number of folders.
+
+        No writer may be at work.
+        """
+        versions = sorted(self.versions())
+        kept, gone = versions[-keep:], versions[:-keep]
+        named = {f for v in kept for f in self.manifest(v)[2].values()}
+        old = {f for v in gone for f in self.manifest(v)[2].values()} - named | {f"data/{n}" for n in self._names("data") if n.startswith("incoming-")}
+        for f in sorted(old):
+            self._fs.delete(self._path(f"{self.path}/{f}"), True)
+        for v in gone:
+            self._fs.delete(self._path(f"{self.path}/manifests/v{v:010d}.json"), False)
+        return len(old)

@@ -91,19 +91,27 @@ SOURCES["apply_v2"] = SOURCES["sitemap"] | {"raw_location": ["L:raw_location"]}
 SOURCES["paged_html"] = {c: s for c, s in SOURCES["sitemap"].items() if c != "business_sector"}
 SOURCES["phenom_search"] = SOURCES["phenom_sitemap"] | {"raw_location": ["L:raw_location", "V:location", "M:gtm_tbcn_location"], "full_time_status": ["J:employmentType", "V:employmentType"]}
 
-#: How an adapter is chosen where none is named: platforms and the score of each, in order of registration.
+#: How an adapter is chosen where none is named: platforms and the score of each, in order of registration.
 ADAPTERS = [("apply_v2", 0.9), ("encoded_api", 0.9), ("usajobs_api", 1.0), ("phenom_search", 0.9), ("phenom_sitemap", 0.95), ("browser_paged_html", 0.85), ("paged_html", 0.8), ("sitemap", 0.5)]
 
 
+#: Keys of a listing that go on with its rows, by platform.
+PASSED = {"phenom_sitemap": ["Req Number", "Clearance", "_page", "_rank"]}
+
+
 def normalize(df: DataFrame, platform: str, maps: dict[str, str], sources: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
-    """Canonical columns of a platform's rows. maps: the map column of each letter that the rows have."""
+    """Canonical columns of a platform's rows. maps: the map column of each letter that the rows have.
+
+    Where a platform passes keys of its listing on, a map column `passed` holds those that a row has.
+    """
     table = (sources or SOURCES)[platform]
 
     def value(source: str) -> Column:
         letter, _, path = source.partition(":")
         return blank_to_null(F.try_element_at(F.col(maps[letter]), F.lit(path))) if letter in maps else F.lit(None).cast("string")
 
-    return df.select("*", *[F.coalesce(*[value(s) for s in paths]).alias(c) for c, paths in table.items()])
+    more = [F.map_filter(F.col(maps["L"]), lambda k, v: k.isin(PASSED[platform])).alias("passed")] if platform in PASSED and "L" in maps else []
+    return df.select("*", *[F.coalesce(*[value(s) for s in paths]).alias(c) for c, paths in table.items()], *more)
 
 
 def choose_adapter(companies: DataFrame, platform: str = "platform", named: str = "adapter") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postworks.functions.markup import search_source
 from postworks.functions.urls import is_posting_url
 from postworks.operators.dedupe import best_each, cap_each, first_values
 
@@ -41,3 +42,16 @@ def responses_with_tokens(responses: DataFrame, tokens: DataFrame, page: str = "
     body = F.lower("body")
     joined = texts.join(tokens, page).withColumn("hits", F.slice(F.filter("tokens", lambda t: body.contains(F.lower(t))), 1, most_hits))
     return joined.where(F.size("hits") > 0).drop("tokens")
+
+
+def search_sources(pages: DataFrame, responses: DataFrame, page: str = "page", order: str = "ordinal") -> DataFrame:
+    """Where each page's search gets its results: the first service that its responses tell, else what kind of hits it had.
+
+    pages: with `dom_hits`, whether tokens were found in the page itself;
+    responses: those that held tokens, with `url` and `body`.
+    """
+    known = search_source(F.col("url"), F.col("body"))
+    first = responses.groupBy(page).agg(F.min_by(known, F.when(known.isNotNull(), F.col(order))).alias("service"), F.lit(True).alias("answered"))
+    joined = pages.join(first, page, "left")
+    other = F.when(F.col("answered"), "GENERIC_XHR_JSON").when(F.col("dom_hits"), "DOM_ONLY").otherwise("UNKNOWN")
+    return joined.select(page, F.coalesce("service", other).alias("source"))

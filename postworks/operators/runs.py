@@ -53,10 +53,17 @@ def prometheus_lines(measured: DataFrame, prefix: str = "postworks") -> DataFram
     return measured.select(F.explode(lines).alias("line"))
 
 
-def snapshot_json(measured: DataFrame, generated_at: Column) -> DataFrame:
-    """One JSON text for each scraper."""
+def snapshot_json(measured: DataFrame, generated_at: Column, jobs: DataFrame | None = None) -> DataFrame:
+    """A run's metrics as one JSON text: each scraper's, the number of its jobs, and when it was made.
+
+    A metric is a row of the report, so there are few; jobs (one a row) are counted only.
+    """
     metric = F.struct("kind", "name", "total", "last", "count", "sum", "min", "max", "mean")
-    return measured.groupBy("scraper").agg(F.array_sort(F.collect_list(metric)).alias("metrics")).select(F.to_json(F.struct("scraper", generated_at.alias("generated_at"), "metrics")).alias("json"))
+    own = measured.groupBy("scraper").agg(F.array_sort(F.collect_list(metric)).alias("metrics"))
+    whole = own.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("scraper", "metrics")))).alias("scrapers"))
+    total = jobs.agg(F.count("*").alias("total_jobs")) if jobs is not None else measured.sparkSession.range(1).select(F.lit(0).cast("long").alias("total_jobs"))
+    # One row beside one row.
+    return whole.join(total).select(F.to_json(F.struct("scrapers", generated_at.alias("generated_at"), "total_jobs")).alias("json"))
 
 
 def run_log(runs: DataFrame) -> DataFrame:

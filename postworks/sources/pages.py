@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postworks.functions import markup
+from postworks.functions import json_paths, markup
 from postworks.functions.text import html_to_text, strip
 from postworks.functions.urls import resolve_link
 
@@ -24,9 +24,13 @@ def page_links(pages: DataFrame, page_id: str, url: str = "url", html: str = "ht
 
 
 def link_counts(links: DataFrame, order: str) -> DataFrame:
-    """(order, got, added): links of each page, and those that no earlier page had."""
-    w = Window.partitionBy("detail_url").orderBy(order)
-    return links.withColumn("_new", F.row_number().over(w) == 1).groupBy(order).agg(F.count("*").alias("got"), F.count_if("_new").alias("added"))
+    """(order, got, added): links of each page, and those that no earlier page had.
+
+    Which page has a link first is counted before anything is shuffled, so that a link of all pages is no task's burden.
+    """
+    got = links.groupBy(order).agg(F.count("*").alias("got"))
+    added = links.groupBy("detail_url").agg(F.min(order).alias(order)).groupBy(order).agg(F.count("*").alias("added"))
+    return got.join(added, order, "left").select(order, "got", F.coalesce("added", F.lit(0)).cast("long").alias("added"))
 
 
 def table_rows(pages: DataFrame, page_id: str, url: str = "url", html: str = "html") -> DataFrame:
@@ -56,20 +60,44 @@ def job_id_anchors(pages: DataFrame, page_id: str, url: str = "url", html: str =
     rows = pages.select(page_id, F.col(url).alias("_base"), F.posexplode(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(1))).alias("ordinal", "a"))
     tag = F.regexp_extract("a", r"(?is)^(<a\b[^>]*>)", 1)
     found = rows.select(page_id, "ordinal", markup.attribute(tag, "data-job-id").alias("posting_id"), resolve_link(F.col("_base"), markup.attribute(tag, "href")).alias("detail_url"), html_to_text(F.col("a")).alias("title")).where("posting_id != ''")
-    w = Window.partitionBy("posting_id").orderBy(page_id, "ordinal")
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct(page_id, "ordinal", "detail_url", "title"), F.struct(page_id, "ordinal"))
+    return found.groupBy("posting_id").agg(first.alias("f")).select(f"f.{page_id}", "f.ordinal", "posting_id", "f.detail_url", "f.title")
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages in at least as many partitions as there are cores; only a table of fewer, hence a small one, is shuffled for it."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
+PARTS = ("html", "vendor_blob", "vendor_fields", "job_fields", "jsonld", "meta", "datalayer", "canonical_url", "h1", "smart_apply", "bold")
+
 
+def detail_artifacts(pages: DataFrame, url: str = "url", html: str = "html", parts: tuple[str, ...] = PARTS, depth: int | None = None) -> DataFrame:
+    """What a posting's page holds, part by part (those that are named); a part that is missing or broken is null or empty.
 
-def detail_artifacts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """What a posting's page holds, part by part; a part that is missing or broken is null. Unused parts are pruned."""
+    Documents are flattened to maps of dotted paths. Unless `depth` tells how
+    deep they are, a job looks first.
+    """
     h = F.col(html)
-    return pages.select(
-        F.col(url).alias("detail_url"),
-        h.alias("html"),
-        markup.page_state(h).alias("vendor_blob"),
-        markup.job_posting_ld(h).alias("jsonld"),
-        markup.meta_tags(h).alias("meta"),
-        markup.data_layer(h).alias("datalayer"),
-        markup.canonical_link(h).alias("canonical_url"),
-        markup.h1_text(h).alias("h1"),
-    )
+    documents = {
+        "vendor_fields": lambda: json_paths.unwrap(markup.page_state(h)),
+        "job_fields": lambda: json_paths.unwrap_job(json_paths.unwrap(markup.page_state(h))),
+        "jsonld": lambda: markup.job_posting_ld(h),
+        "smart_apply": lambda: markup.smart_apply(h),
+    }
+    if depth is None:
+        used = [json_paths.nesting(F.to_json(d())) for name, d in documents.items() if name in parts]
+        depth = (pages.agg(F.max(F.greatest(*used, F.lit(0), F.lit(0)))).first()[0] or 0) if used else 0
+    # Only the expressions that are asked for are made.
+    found = {
+        "html": lambda: h,
+        "vendor_blob": documents["vendor_fields"],
+        "meta": lambda: markup.meta_tags(h),
+        "datalayer": lambda: markup.data_layer(h),
+        "canonical_url": lambda: markup.canonical_link(h),
+        "h1": lambda: markup.h1_text(h),
+        "bold": lambda: markup.bold_blocks(h),
+    }
+    flat = lambda name: json_paths.flat_fields(documents[name](), depth)
+    return pages.select(F.col(url).alias("detail_url"), *[(found[p]() if p in found else flat(p)).alias(p) for p in parts])

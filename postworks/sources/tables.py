@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,10 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("url")).where("url != ''")
 
 
-def wide_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Some columns of a CSV file whose names may hold dots and brackets."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"').select(*[F.col(f"`{c}`") for c in columns])
+def wide_csv(spark: SparkSession, path: str, columns: list[str] | dict[str, str]) -> DataFrame:
+    """Some columns of a CSV file whose names may hold dots and brackets, under new names if a dict gives them."""
+    names = columns if isinstance(columns, dict) else dict.fromkeys(columns)
+    return spark.read.csv(path, header=True, multiLine=True, escape='"').select(*[F.col(f"`{c}`").alias(n or c) for c, n in names.items()])
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:
@@ -59,3 +61,9 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path, mode="overwrite")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share: below spark.checkpoint.dir, else below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/postings/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

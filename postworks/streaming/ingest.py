@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +33,23 @@ def first_seen(stream: DataFrame, ts: str, delay: str, *keys: str) -> DataFrame:
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def running_status(stream: DataFrame, log: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """After each batch the states of all companies. log: adds a batch to the stored log and returns the whole."""
+def running_status(stream: DataFrame, log: str, states: SnapshotTable, checkpoint: str, parts: int = 16) -> StreamingQuery:
+    """After each batch the states of its companies, in a table whose vendor column is `part`, by company (dedupe_key).
 
-    def batch(rows: DataFrame, _: int) -> None:
-        write(status_fold(log(rows)))
+    Outcomes may come in any order, so they are kept in a log, in so many parts
+    by a hash of the company; of those only the batch's are folded again. A
+    batch that is repeated replaces what it has logged.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        own = rows.withColumn("part", F.pmod(F.xxhash64("company_id"), F.lit(parts)).cast("string"))
+        own.write.partitionBy("part").mode("overwrite").parquet(f"{log}/batch={number}")
+        touched = [r[0] for r in own.select("part").distinct().collect()]
+        if touched:
+            logged = spark.read.schema(own.schema.add("batch", "long")).parquet(log).where(F.col("part").isin(touched))
+            made = status_fold(logged).select("*", F.pmod(F.xxhash64("company_id"), F.lit(parts)).cast("string").alias("part"), F.col("company_id").cast("string").alias("dedupe_key"), F.lit(number).alias("batch_number"))
+            states.upsert(made, F.lit(None).cast("timestamp"), "batch_number")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

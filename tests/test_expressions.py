@@ -122,13 +122,13 @@ PAGE = """<html><head><META property='og:title' content="T"><meta content="D1" n
 
 
 def test_markup(one):
-    assert one(lambda c: F.to_json(markup.meta_tags(c)), PAGE) == '{"og:title":"T","gtm_tbcn_division":"D1"}'
+    assert one(markup.meta_tags, PAGE) == {"og:title": "T", "gtm_tbcn_division": "D1"}
     assert one(markup.canonical_link, PAGE) == "https://a/c"
     assert one(markup.h1_text, PAGE) == "A title"
     assert one(lambda c: json_paths.dig(markup.job_posting_ld(c), "title", kind="string"), PAGE) == "Eng"
     assert one(lambda c: F.to_json(markup.data_layer(c)), PAGE) == '{"k":"w","m":"1"}'
     assert one(lambda c: markup.total_hits(markup.page_state(c)), PAGE) == 3
-    assert one(lambda c: F.to_json(markup.bold_blocks(c)), PAGE) == '{"Skills":"one\\ntwo","Place":"Here now"}'
+    assert one(markup.bold_blocks, PAGE) == {"Skills": "one\ntwo", "Place": "Here now", "Page Title": one(markup.h1_text, PAGE)}
     assert one(markup.signals, PAGE) == ["json_ld", "phapp_ddo"]
     assert one(lambda c: markup.detail_source(markup.signals(c), F.lit(False), F.lit(True)), PAGE) == "JSON_LD"
     assert one(lambda c: markup.detail_source(markup.signals(c), F.lit(True), F.lit(True)), "x") == "XHR_JSON_OR_HTML"
@@ -137,7 +137,49 @@ def test_markup(one):
     assert one(lambda c: markup.matched_patterns(c, ["b", "z", "a"], 2), "ab") == ["b", "a"]
 
 
+def test_bold_blocks_beside_their_labels(one):
+    found = lambda html: one(markup.bold_blocks, html)
+    # A block ends with the element that its label stands in, and labels inside what is beside it don't end it.
+    assert found("<p><b>Place:</b> here</p><ul><li>no</li></ul><b>Duties</b><p>Do <b>great</b> things</p><ul><li>one</li><li>two <i>2</i></li></ul> tail <ul><li>three</li></ul>") == {"Place": "here", "Duties": "one\ntwo 2\nthree", "great": "things"}
+    assert found("<b>A</b> x<br>y <div><ul><li>in a div</li></ul></div><b>A:</b> z") == {"A": "x y in a div"}
+    assert found("<b></b> x <b>Open <i>one</i></b> <ul><li>a</li>") == {"Open one": "a"}
+    # Only the description counts where a page has one, however its inner elements nest.
+    page = '<h1>Engineer</h1><b>Menu</b> no<div class="x career-detail-description y"><div><b>Skills</b><ul><li>Spark</li></ul></div></div><b>Footer</b> no'
+    assert found(page) == {"Skills": "Spark", "Page Title": "Engineer"}
+    assert found('<div class="other-career-detail-description-not"><b>L</b> v</div>') == {"L": "v"}
+
+
+def test_json_ld_maps(one):
+    block = lambda x: f'<script type="application/ld+json">{x}</script>'
+    page = block('{"@type":"JobPosting","title":"A\nB","jobLocation":[{"address":{"addressLocality":"X"}}],"skills":["a","b"],"none":null,"empty":[]}') + block("broken {") + block('[{"title":"C"},{"title":"D","o":{}}]') + block('{"title":"E"}')
+    ld = {"@type": "JobPosting", "jobLocation.0.address.addressLocality": "X", "skills": "a; b", "none": "", "empty": ""}
+    assert one(lambda c: markup.json_ld_fields(c, 4), page) == {**{f"ld.{k}": v for k, v in ld.items()}, "ld.title": "E", "ld[0].title": "C", "ld[1].title": "D"}
+    assert one(lambda c: json_paths.flat_fields(markup.job_posting_ld(c), 4), page) == {**ld, "title": "A\nB"}
+    assert one(lambda c: markup.json_ld_fields(c, 4), "<p>") == {}
+    payload = '<pre class="x" id="smartApplyData">{&quot;positions&quot;:[{&quot;id&quot;:7,&quot;at&quot;:{&quot;city&quot;:&quot;X&quot;}}]}</pre>'
+    assert one(lambda c: markup.smart_apply_fields(c, 4), payload) == {"positions.0.id": "7", "positions.0.at.city": "X"}
+
+
+def test_nested_jobs_and_first_values(one):
+    assert one(lambda c: F.to_json(json_paths.unwrap_job(F.try_parse_json(c))), '{"job":{"data":{"posting":{"id":1}}},"position":{"id":2}}') == '{"id":1}'
+    assert one(lambda c: F.to_json(json_paths.unwrap_job(F.try_parse_json(c))), '{"job":"x","id":3}') == '{"id":3,"job":"x"}'
+    values = '{"a":null,"b":"  ","c":[],"d":["x","y"],"e":5}'
+    at = lambda c, n: json_paths.dig(F.try_parse_json(c), n)
+    assert one(lambda c: text.first_any(at(c, "a"), at(c, "b"), at(c, "e")), values) == "5"
+    assert one(lambda c: text.first_any(at(c, "b"), at(c, "d"), at(c, "e")), values) == "x"
+    assert one(lambda c: text.first_any(at(c, "a"), at(c, "b")), values) is None
+
+
+def test_nesting_is_told(one):
+    assert one(json_paths.nesting, '{"a":[{"b":"}{[\\\"["}],"c":{}}') == 3
+    assert one(json_paths.nesting, '"[[["') == 0
+    assert one(json_paths.nesting, '{"a":"' + "x\\n" * 200_000 + '"}') == 1
+
+
 def test_embedded_objects(one):
+    nested = '<script type="text/javascript">var a = 1;</script><script type=\'text/javascript\' defer>window.x = {"@type": "JobPosting", "description":"<p>a } b</p>\n", "at":{"x":{}}}; var y = {"z":1};</script>'
+    assert one(lambda c: F.to_json(markup.embedded_posting(c)), nested) == '{"@type":"JobPosting","at":{"x":{}},"description":"<p>a } b</p>\\n"}'
+    assert one(lambda c: markup.embedded_posting(c).isNull(), nested.replace("};", "; ")) is True
     script = '<script type="text/javascript">var x = {"@type":"JobPosting","title":"T"};</script>'
     assert one(lambda c: json_paths.dig(markup.embedded_posting(c), "title", kind="string"), script) == "T"
     assert one(lambda c: markup.embedded_posting(c).isNull(), "<script type='text/javascript'>JobPosting {</script>") is True

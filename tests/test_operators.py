@@ -2,9 +2,11 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from postworks.operators import canonical, dedupe, enrichment, incremental, mapping, probe, query, runs
+from postworks.plans import run
 from postworks.sources import pages, payloads, registry, sitemaps, tables
 from postworks.streaming import ingest
 
@@ -140,7 +142,7 @@ def test_mapping(spark):
     assert (r.posting_id, r.salary_min, r.full_time_status, r.detail_url, r.shift) == ("1", "90000", "Full-time", "u", None)
     for platform in mapping.SOURCES:
         out = mapping.normalize(raw, platform, {"L": "l", "V": "v"})
-        assert set(out.columns) - {"l", "v"} <= set(canonical.COLUMNS)
+        assert set(out.columns) - {"l", "v", "passed"} <= set(canonical.COLUMNS)
         assert out.count() == 1
     usa = spark.createDataFrame([({"PositionURI.0": "u", "PositionSchedule.0.Name": "Full", "PositionID": "7"},)], "v map<string,string>")
     r = mapping.normalize(usa, "usajobs_api", {"V": "v"}).first()
@@ -236,12 +238,15 @@ def test_streams(spark, tmp_path):
     q = ingest.windowed_metrics(read()).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("windows"), "scraper", "n", "sum") == [("s", 2, 4.0), ("t", 1, 5.0)]
-    written = []
     log = spark.createDataFrame([("x", 1, False, "e")], "company_id string, ts int, ok boolean, type string")
     log.coalesce(1).write.json(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).json(str(tmp_path / "log"))
-    ingest.running_status(stream, lambda batch: batch, lambda df: written.extend(df.collect()), str(tmp_path / "cp")).awaitTermination()
-    assert [tuple(r) for r in written] == [("x", None, 1, "e", 1)]
+    states = incremental.SnapshotTable(spark, str(tmp_path / "states"), vendor="part")
+    for more in ([], [("x", 0, True, None), ("x", 2, False, None), ("y", 5, True, None)]):
+        if more:
+            spark.createDataFrame(more, log.schema).coalesce(1).write.mode("append").json(str(tmp_path / "log"))
+        ingest.running_status(stream, str(tmp_path / "outcomes"), states, str(tmp_path / "cp"), parts=3).awaitTermination()
+    assert rows(states.read(), "company_id", "last_success", "last_failure", "last_failure_type", "failure_count") == [("x", 0, 2, "unknown", 2), ("y", 5, None, None, 0)]
 
 
 def test_responses_whole(spark):
@@ -260,3 +265,58 @@ def test_page_state_of_other_shape(spark):
     states = spark.createDataFrame([(d,) for d in docs], "s string").selectExpr("try_parse_json(s) AS state")
     found = payloads.page_state_jobs(states, "https://p").collect()
     assert sorted((r.posting_id, r.title) for r in found) == [("5", "a"), ("8", "d")]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    table = incremental.SnapshotTable(spark, str(tmp_path / "t"))
+    row = lambda v, k, x, n: spark.createDataFrame([(v, k, x, n)], "vendor string, dedupe_key string, x string, n int")
+    day = lambda d: F.lit(f"2024-01-0{d}").cast("timestamp")
+    table.upsert(row("a/b", "1", "old", 1).union(row("c", "1", "c", 1)), day(1), "n")
+    other = incremental.SnapshotTable(spark, str(tmp_path / "t"))
+    write = incremental.SnapshotTable._write
+    came = []
+
+    def late(self, df, sort):
+        if self is table and not came:  # the other writer commits between this one's read and its commit
+            came.append(other.upsert(row("a/b", "2", "theirs", 1), day(2), "n"))
+        return write(self, df, sort)
+
+    monkeypatch.setattr(incremental.SnapshotTable, "_write", late)
+    table.upsert(row("a/b", "1", "ours", 1), day(3), "n")
+    assert rows(table.read(), "vendor", "dedupe_key", "x") == [("a/b", "1", "ours"), ("a/b", "2", "theirs"), ("c", "1", "c")]
+    assert sorted(table.versions()) == [1, 2, 3]
+    # Folders of vendors that didn't come in are the same files.
+    assert table.manifest(1)[2]["c"] == table.manifest(3)[2]["c"] and table.read(vendors=["a/b"]).count() == 2
+    with pytest.raises(incremental.Conflict):
+        table.write(row("z", "1", "x", 1), read=1)
+    before = rows(table.read(), "dedupe_key", "x", "first_seen", "updated_at")
+    table.upsert(row(None, "1", "x", 1).union(row("a/b", "", "x", 1)), day(4), "n")
+    assert table.vacuum() > 0 and table.versions() == [3] and rows(table.read(), "dedupe_key", "x", "first_seen", "updated_at") == before
+
+
+def test_columns_of_the_same_name_stay(spark):
+    df = spark.createDataFrame([("a", 1, 7), ("a", 2, 8), ("b", 1, 9)], "_key string, _n int, _share int")
+    assert rows(dedupe.keep_first(df, F.col("_key"), "_n"), "_key", "_n", "_share") == [("a", 1, 7), ("b", 1, 9)]
+    assert rows(dedupe.global_budget(df, "_key", 1, "_n"), "_key", "_n", "_share") == [("a", 1, 7)]
+    assert rows(dedupe.dropped_pairs(df, F.col("_key"), "_n", "_share"), "key", "kept__share", "dropped__share") == [("a", 7, 8)]
+
+
+def test_a_run_takes_nested_jobs_and_rejects(spark, tmp_path):
+    listing = spark.createDataFrame([("v", 1, "1", "t", "https://h/1"), ("v", 2, "2", "", "https://h/2"), ("v", 3, "3", "t", "https://h/3")], "vendor string, ordinal int, posting_id string, title string, detail_url string")
+    state = '<script>phApp.ddo = {"position": {"posting": {"title": "Deep", "postedDate": "2024-01-05"}}};</script>'
+    pages = spark.createDataFrame([("https://h/1", state), ("https://h/3", state)], "url string, html string")
+    good, bad = run.new_postings(listing, pages, None, "phenom_search", F.lit("2024-02-01").cast("date"), cap=2)
+    assert rows(good, "posting_id", "position_title", "post_date") == [("1", "t", "2024-01-05")]
+    assert [(r.posting_id, r.errors) for r in bad.collect()] == [("2", ["missing_required:Position Title"])]
+
+
+def test_counts_of_links(spark):
+    links = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "c")], "page int, detail_url string")
+    assert rows(pages.link_counts(links, "page"), "page", "got", "added") == [(1, 2, 2), (2, 1, 0), (3, 2, 1)]
+
+
+def test_scans_indexes_and_rejects(spark):
+    urls = spark.createDataFrame([("s", i, f"u{i}") for i in range(5)], "sitemap string, ordinal int, loc string")
+    assert probe.scanned(urls, "sitemap", "ordinal", most=3).count() == 3
+    docs = spark.createDataFrame([("<sitemapindex><sitemap><loc> a </loc></sitemap></sitemapindex>",)], "xml string")
+    assert rows(sitemaps.sitemap_index(docs), "ordinal", "loc", "lastmod") == [(0, "a", "")]
