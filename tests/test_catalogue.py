@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from postworks.plans import catalogue
+from postworks.plans import captured, catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,4 +41,4 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert catalogue.FLAGSHIP in entry.queries()
+    assert captured.__name__ and catalogue.FLAGSHIP in entry.queries()
