@@ -39,7 +39,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postworks.llm.components import components
-from postworks.llm.scratch import small_batches, written
+from postworks.llm.scratch import keep, passing_tables, small_batches, written
+from postworks.llm.sketch import id_filter, may_have
 from postworks.llm.words import SPACED, mix, shingles, split_words, text_chunks
 
 #: The index that links: 75 of 100, as whole numbers.
@@ -50,8 +51,6 @@ SMALL, LOCAL = 32, 16
 SLOTS, COUNTED, SEEN = 1 << 20, 4_000_000, 3
 #: Column entries that a task gathers before it sends blocks, and that a block should hold.
 FLUSH, BLOCK = 1_000_000, 4_000_000
-#: Ids that are sent to all tasks as a list; more are joined.
-LISTED_IDS = 1_000_000
 #: 64-bit words of a set's signature.
 SIGNATURE = 16
 
@@ -321,17 +320,16 @@ def _multiply(table: pa.Table) -> pa.Table:
 def _of_ids(ids: DataFrame, rows: DataFrame, size: int, frequency, make, schema: str) -> DataFrame:
     """What `make` gives for the ids, elements and bounds of the documents with these ids."""
     spark = ids.sparkSession
-    listed = spark.sparkContext.broadcast(np.sort(ids.toArrow()["id"].to_numpy())) if ids.count() <= LISTED_IDS else None
-    needed = rows if listed is not None else rows.join(ids, "id", "left_semi")
+    # Of other documents few pass the filter, and a join drops what was made of those.
+    wanted = spark.sparkContext.broadcast(id_filter(ids, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            if listed is not None:
-                whole = whole.filter(pa.array(np.isin(whole.column(0).to_numpy(), listed.value)))
+            whole = whole.filter(pa.array(may_have(wanted.value, whole.column(0).to_numpy())))
             for batch, data, ends in text_chunks(whole, "text"):
                 yield make(batch.column(0), *_sets(data, ends, size, frequency.value))
 
-    return needed.select("id", "text").mapInArrow(run, schema)
+    return rows.select("id", "text").mapInArrow(run, schema).join(ids, "id", "left_semi")
 
 
 def _signatures(ids: pa.Array, e: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
@@ -371,6 +369,16 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     small_batches(spark)
     everything = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     rows = everything.where("id IS NOT NULL")
+    with passing_tables(spark):
+        known, groups = _components(rows, size)
+    own = F.coalesce("component", "one").alias("component_id")
+    done = known.join(groups.select(F.col("id").alias("one"), "component"), "one", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), own)
+    return done.union(everything.where("id IS NULL").select("id", F.lit(None).cast("long"), F.lit(None).cast("long")))
+
+
+def _components(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, one) of each document, where `one` stands for all of an equal set; and the components of those."""
+    spark = rows.sparkSession
     classes, entries = _frequencies(rows, size)
     frequency = spark.sparkContext.broadcast(classes)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BLOCK))
@@ -380,7 +388,7 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # Documents with equal sets are one, by the smallest id.
     texts = found.where(F.col("kind") == DOC).select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("na").alias("s1"), F.col("nb").alias("s2"))
     classes_ = written(texts.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("n", "s1", "s2", "first"), "classes")
-    known = written(texts.join(classes_, ["n", "s1", "s2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("first", "id")).otherwise(F.col("id")).alias("one")), "documents")
+    known = keep(written(texts.join(classes_, ["n", "s1", "s2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("first", "id")).otherwise(F.col("id")).alias("one")), "documents"))
     moved = written(known.where("id != one").select("id", "one").distinct(), "moved")
 
     def as_one(df: DataFrame, column: str) -> DataFrame:
@@ -403,15 +411,12 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ordered = lambda df: df.select(F.least("of", "to").alias("a"), F.greatest("of", "to").alias("b")).distinct()
     first = written(ordered(pairs.groupBy("of").agg(F.max(F.struct("c", (-F.col("to")).alias("to"))).alias("best")).select("of", (-F.col("best.to")).alias("to"))), "first")
     links = written(_links(first, rows, size, frequency), "links")
-    groups = written(components(links), "groups")
+    groups = keep(written(components(links), "groups"))
     rest = written(_still_apart(ordered(pairs), members, groups, rows, size, frequency).join(first, ["a", "b"], "left_anti"), "rest")
     more = written(_links(rest, rows, size, frequency), "links")
     if more.limit(1).count():
-        groups = written(components(links.union(more)), "groups")
-
-    own = F.coalesce("component", "one").alias("component_id")
-    done = known.join(groups.select(F.col("id").alias("one"), "component"), "one", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), own)
-    return done.union(everything.where("id IS NULL").select("id", F.lit(None).cast("long"), F.lit(None).cast("long")))
+        groups = keep(written(components(links.union(more)), "groups"))
+    return known, groups
 
 
 def _still_apart(pairs: DataFrame, members: DataFrame, groups: DataFrame, rows: DataFrame, size: int, frequency) -> DataFrame:

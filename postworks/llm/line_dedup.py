@@ -18,15 +18,20 @@ max_edits less, with those substrings only that can be a segment's counterpart.
 Lines that meet in a key and whose character parities are close are verified
 with a banded bit-parallel edit distance, many pairs at once.
 
-A key in which many lines meet is not expanded into all pairs: each line is
-tried with one smaller line first, and only lines that this doesn't decide are
-paired with all others. Equal lines are made one inside each task before
-anything is shuffled.
+Lines often begin or end alike, so that one segment is shared by very many.
+Keys that many lines own are found beforehand, by a sketch of fixed size. Lines
+meet in such a key only together with a piece of the rest of the line: the other
+segments are halved, which gives twice as many pieces as edits are left, so one
+of them is unchanged too. In a key that is crowded all the same each line is
+tried with the smallest few lines first, and only lines that this doesn't decide
+are paired with all others there, in a join that Spark splits where it is
+skewed. Equal lines are made one inside each task before anything is shuffled.
 
 Defined results: a null text stays null and has no lines; an empty text has one
 empty line; a row with a null id is left as it is and removes nothing; rows that
-repeat an id and text give equal results. Rows keep all their columns, which may
-have any names.
+repeat an id and text give equal results; of rows that repeat an id with other
+texts each has its own lines, in an order by hash of the text. Rows keep all
+their columns, which may have any names.
 """
 
 from __future__ import annotations
@@ -40,7 +45,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postworks.llm.scratch import small_batches, written
+from postworks.llm.scratch import keep, passing_tables, small_batches, written
+from postworks.llm.sketch import id_filter, may_have
 from postworks.llm.words import mix, text_chunks
 
 MAX_EDITS, MIN_CHARS = 2, 40
@@ -48,19 +54,19 @@ MAX_EDITS, MIN_CHARS = 2, 40
 SHORT_CHARS = 20
 #: Characters that are white space, as Python's isspace() has them.
 BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
-#: Keys with more lines are first tried with one partner for each line.
-SMALL = 32
+#: In keys with more lines the smallest few are tried first, so many of them.
+SMALL, CENTRES = 32, 4
+#: Slots of the sketch of keys; the least count in a task that it hears of; lines that crowd a slot.
+SLOTS, SEEN, CROWDED = 1 << 20, 4, 256
 #: Key entries that a task gathers before it sends blocks; bytes of text that it works on at once.
 FLUSH, CHUNK = 1_000_000, 1 << 20
 #: Bytes of text whose keys a task should meet in.
 BUCKET_BYTES = 48 << 20
-#: Line hashes that are sent to all tasks as a list; more are joined.
-LISTED = 1_000_000
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _KEY = np.dtype([("key", "<u8"), ("line", "<u8"), ("sig", "<u8")])
-_AT = np.dtype([("line", "<u8"), ("line2", "<u8"), ("doc", "<i8"), ("no", "<i8")])
+_AT = np.dtype([("line", "<u8"), ("line2", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("no", "<i8")])
 #: A signature has parities of characters below the bit that marks probes, and parities of neighbouring characters above.
 _PROBE, _CHARS = _U(1 << 31), _U((1 << 31) - 1)
 REMOVED, FIRST, PAIR, MEMBER = range(4)
@@ -123,34 +129,101 @@ class Lines:
         at = self.within[lines] + start
         return (self.sums[k][at + length] - self.sums[k][at]) * self.inverses[k][start]
 
-    def keys(self, chosen: np.ndarray, max_edits: int) -> np.ndarray:
-        """Segments that the chosen lines are found by, and substrings that find others' segments."""
+    def own_keys(self, chosen: np.ndarray, max_edits: int) -> np.ndarray:
+        """Keys of the chosen lines' own segments."""
+        n, parts = self.length[chosen], max_edits + 1
+        return np.concatenate([mix(self.substring(chosen, *_segment(n, parts, i)) ^ _tag(n, i)) for i in range(parts)])
+
+    def keys(self, chosen: np.ndarray, max_edits: int, crowded: np.ndarray | None = None) -> np.ndarray:
+        """Segments that the chosen lines are found by, and substrings that find others' segments.
+
+        Of a key in a crowded slot there is one for each piece of the rest instead.
+        """
         out = []
         n, parts = self.length[chosen], max_edits + 1
 
-        def add(start: np.ndarray, size: np.ndarray, of_length: np.ndarray, i: int, rows: np.ndarray, role: np.uint64) -> None:
-            entry = np.empty(int(rows.sum()), _KEY)
-            lines = chosen[rows]
-            tag = mix(of_length[rows].astype(np.uint64) * _U(64) + _U(i + 1))
-            entry["key"] = mix(self.substring(lines, start[rows], size[rows]) ^ tag)
-            entry["line"], entry["sig"] = self.line[lines], self.sig[lines] | role
+        def put(key: np.ndarray, lines: np.ndarray, role: np.uint64) -> None:
+            entry = np.empty(len(key), _KEY)
+            entry["key"], entry["line"], entry["sig"] = key, self.line[lines], self.sig[lines] | role
             out.append(entry)
 
+        def add(length: np.ndarray, i: int, less: int, move: int, role: np.uint64) -> None:
+            start, size = _segment(length, parts, i)
+            at = start + move
+            rows = (at >= 0) & (at + size <= n)
+            lines, length = chosen[rows], length[rows]
+            key = mix(self.substring(lines, at[rows], size[rows]) ^ _tag(length, i))
+            if crowded is None or parts == 1:
+                return put(key, lines, role)
+            full = crowded[(key & _U(SLOTS - 1)).astype(np.int64)]
+            put(key[~full], lines[~full], role)
+            if not full.any():
+                return None
+            key, lines, length = key[full], lines[full], length[full]
+            for j in [j for j in range(parts) if j != i]:
+                start, size = _segment(length, parts, j)
+                # Pieces before the segment are moved by at most i edits, as is the segment; the rest goes for those after it.
+                left = max_edits - i
+                low, high = (max(-i, move - i), min(i, move + i)) if j < i else (max(move - left, less - left), min(move + left, less + left))
+                for half, (begin, piece) in enumerate(((start, size // 2), (start + size // 2, size - size // 2))):
+                    for shift in range(low, high + 1) if role else [0]:
+                        place = begin + shift
+                        fits = (place >= 0) & (place + piece <= self.length[lines])
+                        sub = mix(self.substring(lines[fits], place[fits], piece[fits]) ^ mix(key[fits] + _U(2 * j + half + 1)))
+                        put(sub, lines[fits], role)
+            return None
+
         for less in range(parts):
-            length = n - less
-            short = length // parts
-            longer = length - short * parts  # the last so many segments have one character more
             for i in range(parts):
-                size = short + (i >= parts - longer)
-                start = i * short + np.maximum(0, i - (parts - longer))
                 if less == 0:
-                    add(start, size, length, i, np.ones(len(n), bool), _U(0))
+                    add(n, i, 0, 0, _U(0))
                 for move in range(max(-i, less - (max_edits - i)), min(i, less + (max_edits - i)) + 1):
-                    at = start + move
-                    add(at, size, length, i, (at >= 0) & (at + size <= n), _PROBE)
+                    add(n - less, i, less, move, _PROBE)
         return np.concatenate(out) if out else np.zeros(0, _KEY)
 
 
+def _segment(length: np.ndarray, parts: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of a segment; the last ones have the characters that are left over, one more each."""
+    short = length // parts
+    longer = length - short * parts
+    return i * short + np.maximum(0, i - (parts - longer)), short + (i >= parts - longer)
+
+
+def _tag(length: np.ndarray, i: int) -> np.ndarray:
+    return mix(length.astype(np.uint64) * _U(64) + _U(i + 1))
+
+
+def _crowded(rows: DataFrame, min_chars: int, max_edits: int) -> np.ndarray:
+    """Slots whose keys many lines own. What tasks report are sums for slots, of keys that are frequent in a task."""
+
+    def seen(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= SEEN
+        slots, at = np.unique((keys[often] & _U(SLOTS - 1)).astype(np.int64), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.bincount(at, n[often], len(slots)).astype(np.int64))], ["slot", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, known = [], 0, np.zeros(0, np.uint64)
+        for whole in batches:
+            for _, data, ends in text_chunks(whole, "text", CHUNK):
+                x = Lines(data, ends, min_chars, hash_only=True)
+                _, once = np.unique(x.line, return_index=True)
+                once = once[~np.isin(x.line[once], known)]
+                known = np.concatenate((known, x.line[once]))
+                held.append(x.own_keys(once, max_edits))
+                n += len(held[-1])
+                if n >= FLUSH:
+                    yield seen(held)
+                    held, n, known = [], 0, np.zeros(0, np.uint64)
+        if held:
+            yield seen(held)
+
+    table = rows.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWDED).toArrow()
+    out = np.zeros(SLOTS, bool)
+    out[table["slot"].to_numpy()] = True
+    return out
+
+
 def _pass(rows: np.ndarray, at: int, buckets: int) -> pa.RecordBatch:
     bucket = int(mix(np.array([at], np.int64).view(np.uint64))[0] % _U(buckets))
     return _batch([bucket], [0], [np.ascontiguousarray(rows.T.astype(np.int64)).tobytes()])
@@ -183,20 +256,20 @@ def _unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
 
 def _first_occurrences(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences sorted by line and place, each once, and which of them none precedes."""
-    at = at[np.lexsort((at["no"], at["doc"], at["line2"], at["line"]))]
+    at = at[np.lexsort((at["no"], at["text"], at["doc"], at["line2"], at["line"]))]
     new = np.ones(len(at), bool)
     new[1:] = (at["line"][1:] != at["line"][:-1]) | (at["line2"][1:] != at["line2"][:-1])
     again = np.zeros(len(at), bool)
-    again[1:] = ~new[1:] & (at["doc"][1:] == at["doc"][:-1]) & (at["no"][1:] == at["no"][:-1])
+    again[1:] = ~new[1:] & (at["doc"][1:] == at["doc"][:-1]) & (at["text"][1:] == at["text"][:-1]) & (at["no"][1:] == at["no"][:-1])
     return at[~again], new[~again]
 
 
-def _entries(rows: DataFrame, min_chars: int, max_edits: int, buckets: int, exact_chars: int | None = None) -> DataFrame:
+def _entries(rows: DataFrame, min_chars: int, max_edits: int, buckets: int, exact_chars: int | None, crowded) -> DataFrame:
     def flush(places: list, keys: list) -> Iterator[pa.RecordBatch]:
         at, first = _first_occurrences(np.concatenate(places))
         late = at[~first]
         if len(late):
-            yield _pass(np.stack([np.full(len(late), REMOVED), late["doc"], late["no"], np.zeros(len(late)), np.zeros(len(late))]), int(late["no"][0] + late["doc"][0]), buckets)
+            yield _pass(np.stack([np.full(len(late), REMOVED), late["doc"], late["no"], late["text"], np.zeros(len(late), np.int64)]), int(late["no"][0] + late["doc"][0]), buckets)
         yield from _blocks(at[first], at["line"][first], 1, buckets)
         k = np.concatenate(keys)
         yield from _blocks(k, k["key"], 2, buckets)
@@ -207,13 +280,14 @@ def _entries(rows: DataFrame, min_chars: int, max_edits: int, buckets: int, exac
             for batch, data, ends in text_chunks(whole, "text", CHUNK):
                 x = Lines(data, ends, min_chars, exact_chars=exact_chars)
                 at = np.empty(len(x.line), _AT)
-                at["line"], at["line2"], at["doc"], at["no"] = x.line, x.line2, batch.column(0).to_numpy()[x.text], x.number
+                at["line"], at["line2"], at["no"] = x.line, x.line2, x.number
+                at["doc"], at["text"] = (batch.column(c).to_numpy()[x.text] for c in (0, 2))
                 places.append(at)
                 _, once = np.unique(x.line, return_index=True)
                 once = once[x.length[once] >= min_chars]
                 once = once[~np.isin(x.line[once], seen)]
                 seen = np.concatenate((seen, x.line[once]))
-                keys.append(x.keys(once, max_edits))
+                keys.append(x.keys(once, max_edits, crowded.value))
                 held += len(keys[-1]) + len(at)
                 if held >= FLUSH:
                     yield from flush(places, keys)
@@ -221,7 +295,7 @@ def _entries(rows: DataFrame, min_chars: int, max_edits: int, buckets: int, exac
         if places:
             yield from flush(places, keys)
 
-    return rows.select("id", "text").mapInArrow(run, "bucket int, what int, blob binary")
+    return rows.select("id", "text", "hash").mapInArrow(run, "bucket int, what int, blob binary")
 
 
 def _meet(max_edits: int):
@@ -231,8 +305,8 @@ def _meet(max_edits: int):
         at, first = _first_occurrences(_unpack(blobs(1), _AT))
         late, early = at[~first], at[first]
         zero = np.zeros(len(late), np.int64)
-        out.append(np.stack([zero + REMOVED, late["doc"], late["no"], zero, zero]))
-        out.append(np.stack([np.full(len(early), FIRST), early["line"].view(np.int64), early["doc"], early["no"], np.zeros(len(early), np.int64)]))
+        out.append(np.stack([zero + REMOVED, late["doc"], late["no"], late["text"], zero]))
+        out.append(np.stack([np.full(len(early), FIRST), early["line"].view(np.int64), early["doc"], early["no"], early["text"]]))
         out += _pairs(_unpack(blobs(2), _KEY), max_edits)
         rows = np.concatenate(out, axis=1)
         return pa.table([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.int64()) for r in rows[1:]]], ["kind", "a", "b", "c", "d"])
@@ -274,9 +348,9 @@ def _pairs(x: np.ndarray, max_edits: int) -> Iterator[np.ndarray]:
     large = use & (size > SMALL)
     for lo, n in zip(begin[large], size[large], strict=True):
         i = np.arange(lo, lo + n)
-        # The smallest line with a close signature, tried in turn for those that have none yet.
+        # The smallest few lines, tried in turn for those that have none with a close signature yet.
         open_ = i[1:]
-        for centre in i:
+        for centre in i[:CENTRES]:
             open_ = open_[open_ > centre]
             if not len(open_):
                 break
@@ -357,7 +431,8 @@ def _near(pairs: DataFrame, rows: DataFrame, min_chars: int, max_edits: int) ->
     """Lines (`line`) of those pairs (line, smaller) that are within the edits."""
     spark = pairs.sparkSession
     lines = written(pairs.select(F.explode(F.array("line", "smaller")).alias("line")).distinct(), "lines")
-    listed = spark.sparkContext.broadcast(np.sort(lines.toArrow()["line"].to_numpy())) if lines.count() <= LISTED else None
+    # Of the others few pass the filter, and a join drops those.
+    wanted = spark.sparkContext.broadcast(id_filter(lines, "line"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -365,15 +440,12 @@ def _near(pairs: DataFrame, rows: DataFrame, min_chars: int, max_edits: int) ->
                 x = Lines(data, ends, min_chars, hash_only=True)
                 _, at = np.unique(x.line, return_index=True)
                 ids = x.line.view(np.int64)
-                if listed is not None:
-                    at = at[np.isin(ids[at], listed.value)]
+                at = at[may_have(wanted.value, ids[at])]
                 chars = [x.codes[x.start[i] : x.start[i] + x.length[i]].tobytes().decode("utf-32-le", "replace") for i in at]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(chars, pa.string())], ["line", "chars"])
 
-    found = rows.select("text").mapInArrow(texts, "line long, chars string")
-    if listed is None:
-        found = found.join(lines, "line", "left_semi")
-    found = written(found.distinct(), "texts")
+    found = rows.select("text").mapInArrow(texts, "line long, chars string").groupBy("line").agg(F.first("chars").alias("chars"))
+    found = written(found.join(lines, "line", "left_semi"), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -390,15 +462,22 @@ def _unsigned(column: str):
 
 
 def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """(id, removed): the numbers, from 0, of the lines to remove, of each document that has any."""
+    """(id, hash, removed): the numbers, from 0, of the lines to remove, of each document that has any; hash: xxhash64 of its text."""
     if not 0 <= max_edits <= 15 or min_chars <= max_edits:
         raise ValueError("max_edits must be 0 to 15, and less than min_chars")
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("hash")).where("id IS NOT NULL AND text IS NOT NULL")
+    with passing_tables(spark):
+        return keep(_removed(rows, max_edits, min_chars, exact_chars))
+
+
+def _removed(rows: DataFrame, max_edits: int, min_chars: int, exact_chars: int | None) -> DataFrame:
+    spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    blocks = _entries(rows, min_chars, max_edits, buckets, exact_chars).repartition(buckets, "bucket")
+    crowded = spark.sparkContext.broadcast(_crowded(rows, min_chars, max_edits))
+    blocks = _entries(rows, min_chars, max_edits, buckets, exact_chars, crowded).repartition(buckets, "bucket")
     found = written(blocks.groupBy("bucket").applyInArrow(_meet(max_edits), _ROW), "lines", "kind")
     pairs = written(found.where(F.col("kind") == PAIR).select(F.col("a").alias("line"), F.col("b").alias("smaller")).distinct(), "pairs")
     near = _near(pairs, rows, min_chars, max_edits)
@@ -412,17 +491,17 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         close = (_unsigned("smaller") < _unsigned("line")) & (F.col("probes") != F.col("probes2")) & fits
         more = left.join(other, "key").where(close).select("line", "smaller").distinct().join(pairs, ["line", "smaller"], "left_anti")
         near = near.union(_near(written(more, "pairs"), rows, min_chars, max_edits)).distinct()
-    first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("line"), F.col("b").alias("id"), F.col("c").alias("no"))
-    gone = found.where(F.col("kind") == REMOVED).select(F.col("a").alias("id"), F.col("b").alias("no")).union(first.join(near, "line", "left_semi").select("id", "no"))
-    return written(gone.groupBy("id").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed")
+    first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("line"), F.col("b").alias("id"), F.col("c").alias("no"), F.col("d").alias("hash"))
+    gone = found.where(F.col("kind") == REMOVED).select(F.col("a").alias("id"), F.col("c").alias("hash"), F.col("b").alias("no")).union(first.join(near, "line", "left_semi").select("id", "hash", "no"))
+    return written(gone.groupBy("id", "hash").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed")
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """Two columns for each document: `row`, a struct of all its columns, and `lines`, of n_lines, removed and the text that is left."""
     removed = removed_lines(docs, id_column, text_column, max_edits, min_chars, exact_chars)
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_column).alias("text"), F.col(id_column).cast("long").alias("id"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_column).alias("text"), F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("hash"))
     # One document has one row of numbers at most, and the texts are not sorted for it.
-    joined = rows.join(removed.hint("shuffle_hash"), "id", "left").select("row", "text", "removed")
+    joined = rows.join(removed.hint("shuffle_hash"), ["id", "hash"], "left").select("row", "text", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

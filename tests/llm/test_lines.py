@@ -58,9 +58,11 @@ def brute(rows, least=40, most=2):
     return {(i, t): t if t is None or i is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}
 
 
-@pytest.mark.parametrize("small", [32, 4])
-def test_operator(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "crowded"), [(32, 256), (4, 256), (32, 1), (4, 3)])
+def test_operator(spark, monkeypatch, small, crowded):
     monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)  # 1, 3: segments are shared with a piece of the rest only
+    monkeypatch.setattr(line_dedup, "SEEN", min(crowded, line_dedup.SEEN))
     rng = random.Random(7)
     base = ["".join(rng.choices("abcdefgh é", k=rng.randint(38, 60))) for _ in range(30)]
     base += [f"a beginning that many of the lines share {i}" for i in range(60)]
@@ -100,3 +102,49 @@ def test_short_lines(spark, tmp_path):
     found = queries.op2_segment_join(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.text_sha256 for r in found} == {i: hashlib.sha256(expected[(i, t)].encode()).hexdigest() for i, t in rows}
     assert sum(r.n_removed for r in found) > 300
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_pieces_of_crowded_segments_lose_no_pair(monkeypatch, most):
+    """With every slot crowded each pair within the edits still meets in a key."""
+    rng = random.Random(most)
+    base = ["".join(rng.choices("abcd", k=rng.randint(12, 30))) for _ in range(40)]
+    lines = sorted({changed(rng, b, most) for b in base for _ in range(12)} | set(base))
+    data = "".join(lines).encode()
+    x = line_dedup.Lines(np.frombuffer(data, np.uint8), np.cumsum([len(t.encode()) for t in lines]), 4)
+    keys = x.keys(np.arange(len(lines)), most, np.ones(line_dedup.SLOTS, bool))
+    met, at = {}, {int(h): i for i, h in enumerate(x.line)}
+    for k, h, sig in zip(keys["key"].tolist(), keys["line"].tolist(), keys["sig"].tolist(), strict=True):
+        met.setdefault(k, (set(), set()))[sig >> 31 & 1].add(at[h])
+    together = {(a, b) for own, probes in met.values() for a in own for b in probes}
+    for a in range(len(lines)):
+        for b in range(a):
+            if edits(lines[a], lines[b]) <= most:
+                assert (a, b) in together or (b, a) in together
+
+
+def test_a_beginning_that_most_lines_share_crowds_no_key(spark):
+    rng = random.Random(3)
+    lines = ["Posted by the careers team on " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(20_000)]
+    df = spark.createDataFrame([(i, "\n".join(lines[i * 100 : i * 100 + 100] + [lines[0]])) for i in range(200)], "id long, text string").repartition(4)
+    crowded = line_dedup._crowded(df, 20, 2)
+    assert 0 < crowded.sum() < 20
+    data = "".join(lines).encode()
+    x = line_dedup.Lines(np.frombuffer(data, np.uint8), np.arange(1, len(lines) + 1) * 70, 20)
+    largest = []
+    for c in (None, crowded):
+        keys = x.keys(np.arange(len(lines)), 2, c)
+        owned = keys["key"][(keys["sig"] & line_dedup._PROBE) == 0]
+        largest.append(np.unique(keys["key"][np.isin(keys["key"], owned)], return_counts=True)[1].max())
+    assert largest[0] > 20_000 and largest[1] < 600
+    found = line_dedup.dedup_lines(df, "id", min_chars=20).collect()
+    assert sum(len(r.lines.removed or ()) for r in found) == 199
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    line = "a line that is long enough to be looked at, indeed"
+    df = spark.createDataFrame([(1, f"{line}\nx"), (1, f"other\n{line}"), (2, line)], "doc_id long, text string")
+    found = sorted((r.row.text, r.lines.text) for r in line_dedup.dedup_lines(df).collect())
+    kept = [text for text, left in found if left == text]
+    assert len(kept) == 1 and kept[0] != line
+    assert all(left in (text, text.replace(line, "").strip("\n")) for text, left in found)
