@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postworks.llm import contamination, jaccard_join, language_mixture, line_dedup, queries, sentencepiece_codec
-from postworks.llm.scratch import written
-
-#: A document goes if no language has at least this share of it.
-LEAST_SHARE = 0.5
+from postworks.llm.components import components
+from postworks.llm.scratch import keep, passing_tables, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a learned language prevails; those without letters, and mixtures that none prevails in, go."""
+    """Documents that some mixture of the learned languages explains better than chance does; those without letters go.
+
+    How many languages a document is in doesn't matter.
+    """
     found = language_mixture.identify(docs, queries.language_model(docs))
-    return found.where((F.col("found.lang_pred") != language_mixture.UNKNOWN) & (F.col("found.score") >= LEAST_SHARE)).select("row.*")
+    return found.where((F.col("found.lang_pred") != language_mixture.UNKNOWN) & (F.col("found.fit") > language_mixture.CHANCE)).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies."""
-    groups = jaccard_join.join_components(docs)
-    gone = written(groups.where("component_id != doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One document, the one with the smallest id, of each group of near copies; of rows that repeat id and text one.
+
+    Documents are held against each other as they are and as they were before
+    lines were removed: what is left of a copy whose lines have gone resembles
+    its source no more.
+    """
+    before = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    links = [jaccard_join.join_components(texts).where("component_id != doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for texts in (docs, before)]
+    groups = components(written(links[0].union(links[1]).distinct(), "copies"))
+    gone = written(groups.where("component != id").select(F.col("id").alias("doc_id")), "copies")
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +81,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    with passing_tables(spark):
+        for name, stage in STAGES[:-1]:
+            with passing_tables(spark):
+                docs = keep(written(stage(spark, docs, sf_dir), name))
+        docs = keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
