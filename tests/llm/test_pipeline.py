@@ -36,6 +36,15 @@ def folder(spark, tmp_path_factory):
         (105, prose(rng, "en", 30) + "\n" + line + "\n" + prose(rng, "en", 30), "en", None, 1),
         (106, body, "en", "s", 1),
         (107, " ".join(body.split()[:-6] + ["tha"] * 5), "en", "s", 1),
+        # A copy of many lines with one of them changed: little is left of it once its lines have gone.
+        (110, "\n".join(many := [prose(rng, "en", 12) for _ in range(12)]), "en", "s", 1),
+        (111, "\n".join([*many[:11], prose(rng, "en", 9)]), "en", "s", 1),
+        # Three languages of which none has half, and letters that no language explains.
+        (113, prose(rng, "en", 40) + " " + prose(rng, "fr", 38) + " " + prose(rng, "en", 3), None, "s", 1),
+        (114, "qxzjvk wqxkz jqvxw " * 30, "fr", "s", 1),
+        (None, prose(rng, "fr", 40), "fr", "s", 1),
+        (115, twice := prose(rng, "fr", 45), "fr", "s", 1),
+        (115, twice, "fr", "s", 1),
     ]
     rows = clean + odd
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(os.path.join(path, "documents.parquet"))
@@ -53,12 +62,14 @@ def test_stages(spark, folder):
         docs = spark.createDataFrame(stage(spark, docs, path).collect(), docs.schema)
         assert docs.columns == before
         kept[name] = {r.doc_id: r for r in docs.collect()}
-    assert set(texts) - set(kept["language"]) == {100, 101}
+    assert set(texts) - set(kept["language"]) == {100, 101, 114}
     assert set(kept["language"]) - set(kept["lines"]) == {103}
     assert line in kept["lines"][104].text and line not in kept["lines"][105].text
     assert kept["lines"][105].n_chars == len(kept["lines"][105].text) and kept["lines"][104].n_chars == 1
-    assert set(kept["lines"]) - set(kept["near_copies"]) == {107}
+    assert set(kept["lines"]) - set(kept["near_copies"]) == {107, 111} and len(kept["lines"][111].text) < 80
+    assert None in kept["near_copies"]
     assert set(kept["near_copies"]) - set(kept["decontaminated"]) == {102}
+    assert 113 in kept["language"]
     assert set(range(60)) <= set(kept["decontaminated"])
 
 
@@ -66,7 +77,7 @@ def test_run(spark, folder):
     path, texts, _ = folder
     found = {r.doc_id: r for r in corpus_pipeline.run(spark, path).collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model_path())
-    assert set(found) == set(texts) - {100, 101, 102, 103, 107}
+    assert set(found) == set(texts) - {100, 101, 102, 103, 107, 111, 114}
     for i in range(60):
         ids = library.encode(texts[i]) + [2]
         assert list(found[i].ids) == ids and found[i].n_tokens == len(ids)
@@ -78,3 +89,17 @@ def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_no_two_survivors_are_near_copies(spark):
+    """Of each group of the documents as they are given one survives at most."""
+    from postworks.llm import jaccard_join
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    groups = {r.doc_id: r.component_id for r in jaccard_join.join_components(docs).collect()}
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+    survivors = [groups[r.doc_id] for r in docs.select("doc_id").collect()]
+    assert len(survivors) == len(set(survivors)) > 800
