@@ -23,8 +23,8 @@ Keys that many lines own are found beforehand, by a sketch of fixed size. Lines
 meet in such a key only together with a piece of the rest of the line: the other
 segments are halved, which gives twice as many pieces as edits are left, so one
 of them is unchanged too. In a key that is crowded all the same each line is
-tried with the smallest few lines first, and only lines that this doesn't decide
-are paired with all others there, in a join that Spark splits where it is
+tried with the smallest lines first, in bounded work, and only lines that this
+doesn't decide are paired with all others there, in a join that Spark splits where it is
 skewed. Equal lines are made one inside each task before anything is shuffled.
 
 Defined results: a null text stays null and has no lines; an empty text has one
@@ -54,8 +54,8 @@ MAX_EDITS, MIN_CHARS = 2, 40
 SHORT_CHARS = 20
 #: Characters that are white space, as Python's isspace() has them.
 BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
-#: In keys with more lines the smallest few are tried first, so many of them.
-SMALL, CENTRES = 32, 4
+#: In keys with more lines the smallest ones are tried first: so many of them at least, and as many as take so many comparisons.
+SMALL, CENTRES, TRIES = 32, 4, 4_000_000
 #: Slots of the sketch of keys; the least count in a task that it hears of; lines that crowd a slot.
 SLOTS, SEEN, CROWDED = 1 << 20, 4, 256
 #: Key entries that a task gathers before it sends blocks; bytes of text that it works on at once.
@@ -350,7 +350,7 @@ def _pairs(x: np.ndarray, max_edits: int) -> Iterator[np.ndarray]:
         i = np.arange(lo, lo + n)
         # The smallest few lines, tried in turn for those that have none with a close signature yet.
         open_ = i[1:]
-        for centre in i[:CENTRES]:
+        for centre in i[: max(CENTRES, TRIES // n)]:
             open_ = open_[open_ > centre]
             if not len(open_):
                 break
