@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from postworks.llm import contamination
@@ -73,6 +74,20 @@ def test_operator(spark, monkeypatch):
         for r in found:
             got = (r.found.n_words, r.found.n_hit, sorted(set(r.found["items"])), [tuple(s) for s in r.found.spans])
             assert got == expected[(r.row.doc_id, r.row.text)]
+            assert len(r.found["items"]) == len(set(r.found["items"]))
+            starts = [m.doc_start for m in r.found.matches]
+            assert starts == sorted(starts) and bool(starts) == (r.found.n_hit > 0)
+
+
+def test_suffix_array_is_sorted():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 40))) for _ in range(30)]
+    data = "".join(texts).encode()
+    words_, counts = contamination.split_words(np.frombuffer(data, np.uint8), np.cumsum([len(t) for t in texts]), contamination.ALNUM)
+    shard = contamination.Shard(words_, counts, 13)
+    assert sorted(shard.array.tolist()) == list(range(len(shard.codes)))
+    suffixes = [shard.codes[i : i + 13].tolist() for i in shard.array]
+    assert suffixes == sorted(suffixes)
 
 
 def test_longest_matches(spark):
