@@ -73,6 +73,17 @@ REMOVED, FIRST, PAIR, MEMBER = range(4)
 _ROW = "kind int, a long, b long, c long, d long"
 
 
+#: Scrambled code points of the first plane.
+_PLANE = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
+def _scrambled(codes: np.ndarray) -> np.ndarray:
+    """mix(code + 1) of each code point, mostly looked up."""
+    if not len(codes) or codes.max() < len(_PLANE):
+        return _PLANE[codes]
+    return mix(codes.astype(np.uint64) + _U(1))
+
+
 def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:
     out = np.full(max(n, 1), pow(base, -1, 1 << 64) if inverse else base, np.uint64)
     out[0] = 1
@@ -84,7 +95,7 @@ class Lines:
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, min_chars: int, hash_only: bool = False, exact_chars: int | None = None):
         self.codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        char_ends = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[ends]
+        char_ends = ends if len(self.codes) == len(data) else np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[ends]
         starts_of_text = np.concatenate(([0], char_ends[:-1]))
         breaks = np.flatnonzero(self.codes == 10)
         text_of_break = np.searchsorted(char_ends, breaks, "right")
@@ -107,7 +118,7 @@ class Lines:
         self.text, self.number, self.start, self.length = text[keep], number[keep], start[keep], (end - start)[keep]
         self.within = np.cumsum(self.length) - self.length  # where a line begins among the characters of all lines
         place = np.arange(self.length.sum()) - np.repeat(self.within, self.length)
-        chars = mix(self.codes[np.repeat(self.start, self.length) + place].astype(np.uint64) + _U(1))
+        chars = _scrambled(self.codes[np.repeat(self.start, self.length) + place])
         most = int(self.length.max()) if len(self.length) else 1
         self.sums, self.inverses, hashes = [], [], []
         for k, base in enumerate(_BASES[: 1 if hash_only else 2]):
