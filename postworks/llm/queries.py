@@ -41,23 +41,16 @@ def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
 
 
-#: Words that make a toxic text one of these categories, for the labels that the chain learns from; predictions don't use them.
-INSULTS = ["idiot", "moron", "stupid", "clown", "loser"]
-CONTEMPT = ["trash", "scum", "worthless", "pathetic", "disgusting"]
-
-
 def toxicity_model(spark: SparkSession, sf_dir: str) -> tuple:
+    """Categories as the labels have them, low quality first, and the severe ones among the toxic texts."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    toxic = F.col("label") == 1
-    names = lambda words: F.lower("text").rlike(rf"\b({'|'.join(words)})\b")
-    categories = {"insult": toxic & names(INSULTS), "contempt": toxic & names(CONTEMPT), "toxic": toxic}
-    return toxicity_chain.fit(docs, labels, categories)
+    return toxicity_chain.fit(docs, labels, {"low_quality": F.col("label_quality") == 0, "toxic": F.col("label") == 1}, severe_of="toxic")
 
 
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = toxicity_chain.score(docs, toxicity_model(spark, sf_dir))
-    return found.select("row.doc_id", *[F.round(f"toxicity.{c}", 6).alias(f"p_{c}") for c in ("insult", "contempt", "toxic")], (F.col("toxicity.toxic") >= 0.5).alias("toxic"))
+    return found.select("row.doc_id", *[F.round(f"toxicity.{c}", 6).alias(f"p_{c}") for c in ("low_quality", "toxic", "severe_toxic")], (F.col("toxicity.toxic") >= 0.5).alias("toxic"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

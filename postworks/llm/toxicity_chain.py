@@ -7,6 +7,10 @@ It is trained on out-of-fold ones: the labelled rows are dealt into folds, and a
 row's earlier probabilities come from models that were fitted without its fold,
 so that a later model learns how far earlier ones can be trusted on new text.
 
+A last category can be derived from the rows themselves: of the rows of one
+category those in which the words that tell it make up at least the median part
+of the text (its severe ones).
+
 The models are fitted on at most `fit_rows` labelled rows, chosen by a hash of
 the id; only numbers of their words, no texts, reach the driver. Every document
 is then scored, in whole, inside the tasks.
@@ -36,8 +40,9 @@ from postworks.llm.words import ALNUM, mix, split_prefixes, text_chunks
 FIT_ROWS, BUCKETS, FEATURES, FOLDS = 20_000, 1 << 18, 120, 5
 #: Beginnings of words, in bytes, that count like words.
 PREFIXES = (5, 6, 8)
-#: The least chi-square with a category that a word needs: with this many words hardly any gets there by chance.
-TELLING = 40.0
+#: The least chi-square with a category that a word needs: with this many words hardly any gets there by chance. Where
+#: rows are too few for any word to reach it, a part of what so many rows can show.
+TELLING, TELLING_PART, TELLING_LEAST = 40.0, 0.2, 4.0
 _U = np.uint64
 
 
@@ -101,12 +106,17 @@ def probability(model: Linear, rows: Rows, earlier: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def telling_bound(n: float) -> float:
+    """The chi-square that a word needs among n rows."""
+    return min(TELLING, max(TELLING_LEAST, TELLING_PART * n))
+
+
 def _choose(seen: np.ndarray, hit: np.ndarray, positive: float, n: int) -> np.ndarray:
     """The buckets whose words tell most: seen in so many of n texts, and in so many of the positive ones."""
     expected = seen * positive / n
     tells = np.where(seen >= 3, (hit - expected) ** 2 / np.maximum(expected * (1 - positive / n), 1e-9), 0)
     chosen = np.sort(np.argsort(-tells, kind="stable")[:FEATURES])
-    return chosen[tells[chosen] > TELLING]
+    return chosen[tells[chosen] > telling_bound(n)]
 
 
 def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 25) -> Linear:
@@ -164,14 +174,29 @@ def predict(chain: list[Linear], rows: Rows) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[list[str], list[Linear]]:
-    """A chain of the categories, which are conditions on `label` (the label) and `text`, in order."""
+def severe(rows: Rows, model: Linear, y: np.ndarray) -> np.ndarray:
+    """Of the rows with y those whose telling words (of positive weight) make up at least the median part of the text."""
+    known = np.zeros(BUCKETS, bool)
+    half = len(model.buckets)
+    known[model.buckets[model.words[:half] + model.words[half:] > 0]] = True
+    of = np.repeat(np.arange(len(rows.counts)), rows.counts)
+    part = np.bincount(of, rows.times * known[rows.buckets], len(rows.counts)) / np.maximum(rows.n_words, 1)
+    own = part[y > 0]
+    return ((y > 0) & (part > 0) & (part >= (np.median(own) if len(own) else 0))).astype(float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", fit_rows: int = FIT_ROWS, severe_of: str | None = None) -> tuple[list[str], list[Linear]]:
+    """A chain of the categories, in order: conditions on `text`, on `label` (label_column), and on `label_x` for any column x of the labels.
+
+    severe_of: the category of which the severe rows are another, last one.
+    """
     small_batches(docs.sparkSession)
-    known = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
+    own = [c for c in labels.columns if c != id_column]
+    known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).alias("label"), *[F.max(c).alias(f"label_{c}") for c in own])
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
-    # At most about fit_rows rows of two numbers.
+    # At most about fit_rows rows of a few numbers.
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(F.broadcast(known), "id")
     labelled = rows.select("text", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"), F.array(*[F.coalesce(c, F.lit(False)).cast("double") for c in categories.values()]).alias("y"))
 
@@ -200,7 +225,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     y = np.array(table["y"].to_pylist(), float).reshape(-1, len(categories))
     # Sums don't depend on the order of rows beyond rounding; sorting makes the fit repeatable.
     order = np.lexsort((rows_.counts, *y.T, np.bincount(np.repeat(np.arange(len(y)), rows_.counts), rows_.buckets, len(y))))
-    return list(categories), fit_chain(rows_.take(order), y[order], table["fold"].to_numpy()[order])
+    rows_, y, fold = rows_.take(order), y[order], table["fold"].to_numpy()[order]
+    names = list(categories)
+    if severe_of:
+        own_y = y[:, names.index(severe_of)]
+        y = np.column_stack((y, severe(rows_, fit_linear(rows_, np.zeros((len(y), 0)), own_y), own_y)))
+        names.append(f"severe_{severe_of}")
+    return names, fit_chain(rows_, y, fold)
 
 
 def _telling(sample: DataFrame, n_categories: int) -> np.ndarray:
@@ -222,7 +253,7 @@ def _telling(sample: DataFrame, n_categories: int) -> np.ndarray:
         seen, hit = (sum(F.col(names[f * (1 + n_categories) + k]) for f in folds) for k in (0, c))
         part = float(totals[folds, c].sum() / totals[folds, 0].sum())
         # A little below the bound, as rounding may differ from that of the choice.
-        tells = tells | ((seen >= 3) & ((hit - seen * part) ** 2 > 0.99 * TELLING * seen * part * (1 - part)))
+        tells = tells | ((seen >= 3) & ((hit - seen * part) ** 2 > 0.99 * telling_bound(float(totals[folds, 0].sum())) * seen * part * (1 - part)))
     # A number for each fold and category of each bucket, at most.
     found = counts.where(tells).toArrow()
     sums_ = np.zeros((BUCKETS, n_sums), np.float32)
