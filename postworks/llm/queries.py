@@ -61,9 +61,13 @@ ARRIVALS = 12
 
 
 def op6_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_arrival", shard_store.arrival_of("doc_id", ARRIVALS))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    arrival = "_arrival"
+    while arrival in docs.columns:
+        arrival += "_"
+    docs = docs.withColumn(arrival, shard_store.arrival_of("doc_id", ARRIVALS))
     store = shard_store.ShardStore(spark, shared_path(spark, "shards"))
-    store.append_arrivals(docs, "_arrival")
+    store.append_arrivals(docs, arrival)
     while store.compact():
         store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))

@@ -7,7 +7,9 @@ files of about `target_bytes`. Which files make up the table is told by a
 manifest, a small JSON file with a version number. A change writes its data
 first, in a job that Spark repeats where executors are lost, and then commits
 the next version in one step: a rename that fails if someone else has committed
-it. Readers see one version or the next, never part of a change.
+it. Readers see one version or the next, never part of a change. The rename is
+one step on HDFS and on local disks; object stores without such a rename are not
+supported. What failed writes leave behind is deleted by `vacuum(stray=True)`.
 
 Defined results: an append of an empty table commits a version without new
 shards; rows, nulls, repeated rows and all columns are kept as they are; every
@@ -42,8 +44,10 @@ class ShardStore:
         self.spark, self.path = spark, path.rstrip("/")
         self.target_bytes, self.fanout, self.tier_bytes = target_bytes, fanout, tier_bytes
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, self._path = jvm, jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
 
     def _list(self, folder: str) -> list:
         p = self._path(f"{self.path}/{folder}")
@@ -67,10 +71,14 @@ class ShardStore:
         out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps({"schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
         out.close()
-        final = self._path(f"{self.path}/manifests/v{version:010d}.json")
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._context.rename(draft, self._path(f"{self.path}/manifests/v{version:010d}.json"), options)
+        except Exception as e:
             self._fs.delete(draft, False)
-            raise Conflict(f"version {version} is there already")
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(f"version {version} is there already") from e
+            raise
         return version
 
     def _write(self, df: DataFrame, arrival: str, by: str | None = None) -> list[Shard]:
@@ -143,8 +151,11 @@ class ShardStore:
         _, schema, shards = self.manifest(version)
         return self._read(shards, schema)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete manifests but the last `keep`, and files that none of those names; returns the number of files."""
+    def vacuum(self, keep: int = 1, stray: bool = False) -> int:
+        """Delete manifests but the last `keep`, and files that none of those names; returns the number of files.
+
+        stray: also folders that no manifest names a file of; no writer may be at work then.
+        """
         versions = self.versions()
         kept, gone = versions[-keep:], versions[:-keep]
         named = {s.path for v in kept for s in self.manifest(v)[2]}
@@ -154,6 +165,10 @@ class ShardStore:
             self._fs.delete(self._path(f"{self.path}/data/{p}"), False)
         for v in gone:
             self._fs.delete(self._path(f"{self.path}/manifests/v{v:010d}.json"), False)
+        if stray:
+            for s in self._list("data"):
+                if not any(p.startswith(s.getPath().getName() + "/") for p in named):
+                    self._fs.delete(s.getPath(), True)
         return len(old)
 
 

@@ -51,3 +51,24 @@ def test_a_version_is_committed_once(spark, tmp_path):
         store._commit(1, None, [])
     store.append(df)
     assert store.read().count() == 2
+
+
+def test_a_second_writer_is_told_and_strays_go(spark, tmp_path, monkeypatch):
+    a, b = (shard_store.ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    rows = spark.createDataFrame([(1, "x" * 2_000_000), (2, None)], "id long, text string")
+    a.append(rows)
+    came, commit = [], shard_store.ShardStore._commit
+
+    def late(self, version, schema, shards):
+        if self is a and not came:  # the other writer commits between this one's read and its commit
+            came.append(b.append(rows.where("id = 2")))
+        return commit(self, version, schema, shards)
+
+    monkeypatch.setattr(shard_store.ShardStore, "_commit", late)
+    assert a.append(rows.where("id = 1")) == 3 and sorted(r.id for r in a.read().collect()) == [1, 1, 2, 2]
+    with pytest.raises(shard_store.Conflict):
+        commit(a, 2, None, [])
+    b._write(rows, "lost")
+    before = len(b._list("data"))
+    b.vacuum(stray=True)
+    assert len(b._list("data")) == before - 1 and b.read().count() == 4
