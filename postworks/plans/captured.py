@@ -241,6 +241,16 @@ def full_csv_back(table):
     return back.select(F.col("p_partkey").cast("long").alias("p_partkey"), *[F.get_json_object("extra", f"$.{c}").alias(c) for c in ("brand", "kind")])
 
 
+@_query("""SELECT 'orders' AS vendor, o_orderkey AS id, o_orderstatus AS state, NULL AS name FROM orders UNION ALL SELECT 'parts', p_partkey, NULL, p_name FROM part""")
+def combined_csv(table):
+    """SNK3, SET1: rows of all vendors in one export; a column that one lacks is empty there."""
+    orders = table("orders").select(F.lit("orders").alias("vendor"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))
+    both = tables.union_all(orders, table("part").select(F.lit("parts").alias("vendor"), _key().alias("id"), F.col("p_name").alias("name")))
+    path = tables.work_path(both.sparkSession, "combined")
+    tables.write_csv(both, path, ["vendor", "id", "state", "name"])
+    return tables.wide_csv(both.sparkSession, path, ["vendor", "id", "state", "name"]).withColumn("id", F.col("id").cast("long"))
+
+
 @_query("""SELECT CAST(o.o_custkey AS VARCHAR) AS key, f.k AS kept_o_orderkey, o.o_orderkey AS dropped_o_orderkey, 'orders' AS source FROM orders o
 JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) f ON o.o_custkey = f.o_custkey WHERE o.o_orderkey <> f.k""")
 def report_back(table):

@@ -209,9 +209,15 @@ def page_titles(table):
     return table("pages").select("page_id", markup.h1_text(F.col("html")).alias("h1"), F.array_contains(markup.signals(F.col("html")), "json_ld").alias("has_posting"))
 
 
-@_query()
+#: Markup to text in SQL, one replacement after another.
+_TEXT_SQL = "coalesce(html, '')"
+for _pattern, _to in [(r"(?is)<script\b[^>]*>.*?</script\s*>", ""), (r"(?is)<style\b[^>]*>.*?</style\s*>", ""), (r"(?s)<!--.*?-->", ""), (r"(?i)<\s*/?\s*br\b[^>]*>|</\s*(p|div|li|h[1-6]|tr|ul|ol)\s*>", "\n"), (r"(?s)<[^>]*>", ""), ("&nbsp;|\u00a0", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "''"), ("&ndash;", "–"), ("&mdash;", "—"), ("&bull;", "•"), ("&amp;", "&"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]:
+    _TEXT_SQL = f"regexp_replace({_TEXT_SQL}, '{_pattern}', '{_to}', 'g')"
+
+
+@_query(f"SELECT page_id, {_TEXT_SQL} AS text FROM pages")
 def page_texts(table):
-    """TXT1: tests hold it against markup that is worked out by hand."""
+    """TXT1."""
     return page_sources.spread(table("pages")).select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
@@ -245,14 +251,14 @@ def sitemap_totals(table):
     return found.withColumn("samples", F.transform("samples", lambda u: F.regexp_replace(u, "/job/$", "")))
 
 
-@_query(r"""WITH t AS (SELECT regexp_extract(url, '([a-z]+)$|\.([a-z]+)/', 2) AS tld, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS sitemap, page_id FROM pages),
-g AS (SELECT regexp_extract(sitemap, '([a-z]+)$', 1) AS company, sitemap, count(*) AS n, min(page_id) AS ordinal FROM t GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY n DESC, ordinal) AS k FROM g) SELECT company, sitemap, n AS n_unique FROM r WHERE k = 1""")
+@_query(r"""WITH t AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS sitemap, page_id, url FROM pages),
+g AS (SELECT regexp_extract(sitemap, '([a-z]+)$', 1) AS company, sitemap, count(*) % 3 AS n_unique, count(*) FILTER (contains(url, '/en/')) % 2 AS n_matched, min(page_id) AS ordinal FROM t GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY n_unique DESC, n_matched DESC, ordinal % 2 = 0, ordinal) AS k FROM g) SELECT company, sitemap, n_unique FROM r WHERE k = 1""")
 def best_sitemaps(table):
-    """WIN7."""
-    rows = table("pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("sitemap"), "page_id").withColumn("company", F.regexp_extract("sitemap", "([a-z]+)$", 1))
-    totals = rows.groupBy("company", "sitemap").agg(F.count("*").alias("n_unique"), F.min("page_id").alias("ordinal")).withColumns({"n_matched": F.lit(0), "is_index": F.lit(False)})
-    return probe.best_sitemap(totals).select("company", "sitemap", "n_unique")
+    """WIN7: most unique postings, most matches, files before indexes, the first."""
+    rows = table("pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("sitemap"), "page_id", "url").withColumn("company", F.regexp_extract("sitemap", "([a-z]+)$", 1))
+    totals = rows.groupBy("company", "sitemap").agg((F.count("*") % 3).alias("n_unique"), (F.count_if(F.col("url").contains("/en/")) % 2).alias("n_matched"), F.min("page_id").alias("ordinal"))
+    return probe.best_sitemap(totals.withColumn("is_index", F.col("ordinal") % 2 == 0)).select("company", "sitemap", "n_unique")
 
 
 _TOKENS = ["HTML", "Head", "body", "title", "div", "href", "class", "meta", "span", "http", "script", "www", "zzqx"]
@@ -277,11 +283,11 @@ def flat_props(table):
     return json_paths.flatten(table("events").withColumn("doc", F.try_parse_json("props")), F.col("doc"), "event_id")
 
 
-@_query("""SELECT n_nationkey, n_name AS city, r_name AS state, NULL AS country FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@_query("""SELECT n_nationkey, n_name AS city, r_name AS state, CASE WHEN n_nationkey % 2 = 1 THEN 'X, Y' END AS country FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def places_split(table):
     """EXT13."""
     joined = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.select("n_nationkey", markup.split_location(F.concat(F.col("n_name"), F.lit(" , "), F.col("r_name"))).alias("p")).select("n_nationkey", "p.*")
+    return joined.select("n_nationkey", markup.split_location(F.concat(F.col("n_name"), F.lit(" , "), F.col("r_name"), F.when(F.col("n_nationkey") % 2 == 1, ",X , Y").otherwise(""))).alias("p")).select("n_nationkey", "p.*")
 
 
 @_query()
@@ -486,9 +492,15 @@ def total_jobs(table):
     return runs.total_of(_measured(table), "click")
 
 
-@_query()
+_LABELS_SQL = """ || '{scraper="' || scraper || '",name="' || name || '"} ' || """
+
+
+@_query(f"""WITH {_METRICS_SQL}, a AS (SELECT scraper, kind, name, sum(value) AS total, max_by(value, event_id) AS last, count(value) AS n, min(value) AS lo, max(value) AS hi FROM m GROUP BY 1, 2, 3),
+v AS (SELECT scraper, name, unnest(CASE kind WHEN 'counter' THEN [('counter', CAST(total AS VARCHAR))] WHEN 'gauge' THEN [('gauge', CAST(last AS VARCHAR))]
+  ELSE [('histogram_count', CAST(n AS VARCHAR)), ('histogram_sum', CAST(total AS VARCHAR)), ('histogram_min', CAST(lo AS VARCHAR)), ('histogram_max', CAST(hi AS VARCHAR))] END) AS x FROM a)
+SELECT 'postworks_' || x[1]{_LABELS_SQL}x[2] AS line FROM v""")
 def metric_lines(table):
-    """SNK9: lines of text; tests hold them against lines that are worked out by hand."""
+    """SNK9."""
     return runs.prometheus_lines(_measured(table))
 
 
