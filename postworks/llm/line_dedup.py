@@ -41,9 +41,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postworks.llm.scratch import keep, passing_tables, small_batches, written
 from postworks.llm.sketch import id_filter, may_have
@@ -438,15 +437,17 @@ def _distance(short: list[str], long: list[str], k: int) -> np.ndarray:
     return distance
 
 
-def _near(pairs: DataFrame, rows: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
-    """Lines (`line`) of those pairs (line, smaller) that are within the edits."""
+def _near(pairs: DataFrame, first: DataFrame, rows: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
+    """Lines (`line`) of those pairs (line, smaller) that are within the edits. first: the document (id) that has a line first."""
     spark = pairs.sparkSession
     lines = written(pairs.select(F.explode(F.array("line", "smaller")).alias("line")).distinct(), "lines")
     # Of the others few pass the filter, and a join drops those.
     wanted = spark.sparkContext.broadcast(id_filter(lines, "line"))
+    holders = spark.sparkContext.broadcast(id_filter(first.join(lines, "line", "left_semi").select("id").distinct(), "id"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            whole = whole.filter(pa.array(may_have(holders.value, whole.column(0).to_numpy())))
             for _, data, ends in text_chunks(whole, "text", CHUNK):
                 x = Lines(data, ends, min_chars, hash_only=True)
                 _, at = np.unique(x.line, return_index=True)
@@ -455,7 +456,7 @@ def _near(pairs: DataFrame, rows: DataFrame, min_chars: int, max_edits: int) ->
                 chars = [x.codes[x.start[i] : x.start[i] + x.length[i]].tobytes().decode("utf-32-le", "replace") for i in at]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(chars, pa.string())], ["line", "chars"])
 
-    found = rows.select("text").mapInArrow(texts, "line long, chars string").groupBy("line").agg(F.first("chars").alias("chars"))
+    found = rows.select("id", "text").mapInArrow(texts, "line long, chars string").groupBy("line").agg(F.first("chars").alias("chars"))
     found = written(found.join(lines, "line", "left_semi"), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,7 +492,8 @@ def _removed(rows: DataFrame, max_edits: int, min_chars: int, exact_chars: int |
     blocks = _entries(rows, min_chars, max_edits, buckets, exact_chars, crowded).repartition(buckets, "bucket")
     found = written(blocks.groupBy("bucket").applyInArrow(_meet(max_edits), _ROW), "lines", "kind")
     pairs = written(found.where(F.col("kind") == PAIR).select(F.col("a").alias("line"), F.col("b").alias("smaller")).distinct(), "pairs")
-    near = _near(pairs, rows, min_chars, max_edits)
+    first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("line"), F.col("b").alias("id"), F.col("c").alias("no"), F.col("d").alias("hash"))
+    near = _near(pairs, first, rows, min_chars, max_edits)
     # Lines of crowded keys that no partner has decided, with all that meet them there.
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("line"), F.col("c").alias("sig"), F.col("d").alias("probes"))
     left = written(members.join(near, "line", "left_anti"), "undecided")
@@ -501,8 +503,7 @@ def _removed(rows: DataFrame, max_edits: int, min_chars: int, exact_chars: int |
         fits = (F.bit_count(differs.bitwiseAND(int(_CHARS))) <= 2 * max_edits) & (F.bit_count(F.shiftrightunsigned(differs, 32)) <= 4 * max_edits)
         close = (_unsigned("smaller") < _unsigned("line")) & (F.col("probes") != F.col("probes2")) & fits
         more = left.join(other, "key").where(close).select("line", "smaller").distinct().join(pairs, ["line", "smaller"], "left_anti")
-        near = near.union(_near(written(more, "pairs"), rows, min_chars, max_edits)).distinct()
-    first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("line"), F.col("b").alias("id"), F.col("c").alias("no"), F.col("d").alias("hash"))
+        near = near.union(_near(written(more, "pairs"), first, rows, min_chars, max_edits)).distinct()
     gone = found.where(F.col("kind") == REMOVED).select(F.col("a").alias("id"), F.col("c").alias("hash"), F.col("b").alias("no")).union(first.join(near, "line", "left_semi").select("id", "hash", "no"))
     return written(gone.groupBy("id", "hash").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed")
 
@@ -512,19 +513,15 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     removed = removed_lines(docs, id_column, text_column, max_edits, min_chars, exact_chars)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_column).alias("text"), F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("hash"))
     # One document has one row of numbers at most, and the texts are not sorted for it.
-    joined = rows.join(removed.hint("shuffle_hash"), ["id", "hash"], "left").select("row", "text", "removed")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b, _, _ in text_chunks(whole, "text"):
-                n, kept = [], []
-                for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    lines = None if text is None else text.split("\n")
-                    n.append(0 if lines is None else len(lines))
-                    gone_ = set(gone or ())
-                    kept.append(text if not gone_ or lines is None else "\n".join([x for i, x in enumerate(lines) if i not in gone_]))
-                lines = pa.StructArray.from_arrays([pa.array(n, pa.int64()), b.column(2), pa.array(kept, pa.string())], ["n_lines", "removed", "text"])
-                yield pa.RecordBatch.from_arrays([b.column(0), lines], ["row", "lines"])
-
-    result = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
-    return joined.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lines", result)]))
+    joined = rows.join(removed.hint("shuffle_hash"), ["id", "hash"], "left")
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    n = F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long")
+
+    def without(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), "removed")
+        return F.array_join(F.transform(kept, lambda i: F.element_at(lines, (i + 1).cast("int"))), "\n")
+
+    # Inside the lambda the lines are there once, however many are taken.
+    left = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), without), 1)
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(left)
+    return joined.select("row", F.struct(n.alias("n_lines"), "removed", text.alias("text")).alias("lines"))
