@@ -42,9 +42,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lines were removed: what is left of a copy whose lines have gone resembles
     its source no more.
     """
-    before = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    links = [jaccard_join.join_components(texts).where("component_id != doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for texts in (docs, before)]
-    groups = components(written(links[0].union(links[1]).distinct(), "copies"))
+    # Each document is one node as it is, and a second one as it was, where that differs; the two are joined afterwards.
+    # Nodes are twice the id (ids have 62 bits), so that the smallest node is of the smallest id.
+    now = docs.select("doc_id", F.xxhash64("text").alias("hash")).where("doc_id IS NOT NULL").distinct()
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    before = given.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").join(now, ["doc_id", "hash"], "left_anti")
+    nodes = docs.select(F.shiftleft("doc_id", 1).alias("doc_id"), "text").union(before.select(F.shiftleft("doc_id", 1) + 1, "text"))
+    found = jaccard_join.join_components(nodes).where("component_id != doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    links = written(found.select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b")).where("a != b").distinct(), "copies")
+    groups = components(links)
     gone = written(groups.where("component != id").select(F.col("id").alias("doc_id")), "copies")
     kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
