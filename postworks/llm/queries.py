@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postworks.llm import ann_forest, contamination, jaccard_join, language_mixture, line_dedup, sentencepiece_codec, shard_store, toxicity_chain, url_cascade, warc
+from postworks.llm import ann_forest, contamination, jaccard_join, language_mixture, line_dedup, sentencepiece_codec, shard_store, target_resampling, toxicity_chain, url_cascade, warc
 from postworks.llm.scratch import shared_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -109,7 +111,16 @@ def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_segment_join": op2_segment_join, "op3_ann_forest": op3_ann_forest, "op4_toxicity_chain": op4_toxicity_chain, "op5_jaccard_join": op5_jaccard_join, "op6_shard_store": op6_shard_store, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade}
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return target_resampling.resample(docs, benchmark, Fraction(25, 100), seed=7)
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_segment_join": op2_segment_join, "op3_ann_forest": op3_ann_forest, "op4_toxicity_chain": op4_toxicity_chain, "op5_jaccard_join": op5_jaccard_join, "op6_shard_store": op6_shard_store, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade, "op13_target_resampling": op13_target_resampling}
+
+# CRC-32 of a text's UTF-8 bytes, as a macro's body: eight shifts for each byte.
+_CRC32 = """xor(4294967295, list_reduce(list_transform(range(0, CAST(length(hex(encode({t}))) // 2 AS BIGINT)), lambda k: CAST('0x' || substr(hex(encode({t})), CAST(2 * k + 1 AS INTEGER), 2) AS BIGINT)),
+  lambda c, b: list_reduce(range(0, 8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), 4294967295))"""
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -137,6 +148,20 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op13_target_resampling": rf"""
+WITH a AS (SELECT 0 AS kind, doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL SELECT 1, NULL, 0, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT kind, rn, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM a),
+b AS (SELECT g, {_CRC32.format(t="g")} % 10000 AS bucket FROM (SELECT DISTINCT g FROM f)),
+n AS (SELECT kind, rn, bucket, count(*) AS n FROM f JOIN b USING (g) GROUP BY 1, 2, 3),
+c AS (SELECT bucket, sum(n) FILTER (kind = 0) AS s, sum(n) FILTER (kind = 1) AS t FROM n GROUP BY 1),
+l AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (SELECT sum(s) + 10000 FROM c)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (SELECT coalesce(sum(t), 0) + 10000 FROM c)::DOUBLE))) AS gain FROM c),
+w AS (SELECT rn, sum(n) AS n_features, floor(sum(n * gain) / sum(n)) AS weight FROM n JOIN l USING (bucket) WHERE kind = 0 GROUP BY 1),
+d AS (SELECT doc_id, rn, len(ws) >= 20 AS fit, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM a LEFT JOIN w USING (rn) WHERE kind = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY fit) AS all_fit FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * all_fit // 100 THEN place END AS rank FROM r
 """,
     "op6_shard_store": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
     "op7_warc": """
