@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postworks.llm import ann_forest, contamination, jaccard_join, language_mixture, line_dedup, sentencepiece_codec, shard_store, target_resampling, toxicity_chain, url_cascade, warc
+from postworks.llm import ann_forest, contamination, conversation_trie, jaccard_join, language_mixture, line_dedup, sentencepiece_codec, shard_store, target_resampling, toxicity_chain, url_cascade, warc
 from postworks.llm.scratch import shared_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -111,12 +111,17 @@ def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = conversation_trie.sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_trie.trie(conversation_trie.rebuilt(own))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return target_resampling.resample(docs, benchmark, Fraction(25, 100), seed=7)
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_segment_join": op2_segment_join, "op3_ann_forest": op3_ann_forest, "op4_toxicity_chain": op4_toxicity_chain, "op5_jaccard_join": op5_jaccard_join, "op6_shard_store": op6_shard_store, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade, "op13_target_resampling": op13_target_resampling}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_segment_join": op2_segment_join, "op3_ann_forest": op3_ann_forest, "op4_toxicity_chain": op4_toxicity_chain, "op5_jaccard_join": op5_jaccard_join, "op6_shard_store": op6_shard_store, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade, "op11_conversation_trie": op11_conversation_trie, "op13_target_resampling": op13_target_resampling}
 
 # CRC-32 of a text's UTF-8 bytes, as a macro's body: eight shifts for each byte.
 _CRC32 = """xor(4294967295, list_reduce(list_transform(range(0, CAST(length(hex(encode({t}))) // 2 AS BIGINT)), lambda k: CAST('0x' || substr(hex(encode({t})), CAST(2 * k + 1 AS INTEGER), 2) AS BIGINT)),
@@ -148,6 +153,21 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op11_conversation_trie": f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format(t="CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+s AS (SELECT c.conv_id, k, role, text FROM c JOIN t ON t.conv_id = c.base AND k <= h UNION ALL SELECT c.conv_id, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND k > h),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d, md5(role) || md5(text) AS g, strlen(text) AS b FROM s),
+p AS (SELECT conv_id, d, b, md5(string_agg(g, ',') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS p FROM o UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+q AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY d) AS up, max(d) OVER (PARTITION BY conv_id) = d AS last FROM p),
+n AS (SELECT p, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b FROM q GROUP BY p, d),
+kids AS (SELECT up AS p, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+e AS (SELECT p, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM q WHERE last GROUP BY p),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (p)),
+sub AS (SELECT q.p, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.b) AS saved FROM v JOIN q ON q.conv_id = v.conv_id AND q.d <= v.d GROUP BY 1)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN sub ON sub.p = v.p LEFT JOIN n u ON u.p = v.up LEFT JOIN e ON e.p = v.p
 """,
     "op13_target_resampling": rf"""
 WITH a AS (SELECT 0 AS kind, doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
