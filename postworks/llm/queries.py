@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postworks.llm import ann_forest, contamination, conversation_trie, jaccard_join, language_mixture, line_dedup, sentencepiece_codec, shard_store, target_resampling, toxicity_chain, url_cascade, warc
+from postworks.llm import ann_forest, contamination, conversation_trie, jaccard_join, language_mixture, line_dedup, sentencepiece_codec, shard_store, signature_join, target_resampling, toxicity_chain, url_cascade, warc
 from postworks.llm.scratch import shared_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -116,12 +116,16 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(conversation_trie.rebuilt(own))
 
 
+def op12_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return target_resampling.resample(docs, benchmark, Fraction(25, 100), seed=7)
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_segment_join": op2_segment_join, "op3_ann_forest": op3_ann_forest, "op4_toxicity_chain": op4_toxicity_chain, "op5_jaccard_join": op5_jaccard_join, "op6_shard_store": op6_shard_store, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade, "op11_conversation_trie": op11_conversation_trie, "op13_target_resampling": op13_target_resampling}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_segment_join": op2_segment_join, "op3_ann_forest": op3_ann_forest, "op4_toxicity_chain": op4_toxicity_chain, "op5_jaccard_join": op5_jaccard_join, "op6_shard_store": op6_shard_store, "op7_warc": op7_warc, "op8_language_mixture": op8_language_mixture, "op9_suffix_arrays": op9_suffix_arrays, "op10_url_cascade": op10_url_cascade, "op11_conversation_trie": op11_conversation_trie, "op12_signature_join": op12_signature_join, "op13_target_resampling": op13_target_resampling}
 
 # CRC-32 of a text's UTF-8 bytes, as a macro's body: eight shifts for each byte.
 _CRC32 = """xor(4294967295, list_reduce(list_transform(range(0, CAST(length(hex(encode({t}))) // 2 AS BIGINT)), lambda k: CAST('0x' || substr(hex(encode({t})), CAST(2 * k + 1 AS INTEGER), 2) AS BIGINT)),
@@ -168,6 +172,17 @@ v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids US
 sub AS (SELECT q.p, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.b) AS saved FROM v JOIN q ON q.conv_id = v.conv_id AND q.d <= v.d GROUP BY 1)
 SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM v JOIN sub ON sub.p = v.p LEFT JOIN n u ON u.p = v.up LEFT JOIN e ON e.p = v.p
+""",
+    "op12_signature_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, component_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.component_id FROM r JOIN e ON r.id = e.a WHERE r.component_id < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(component_id) AS component_id FROM r GROUP BY 1) m ON m.id = d.doc_id
 """,
     "op13_target_resampling": rf"""
 WITH a AS (SELECT 0 AS kind, doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
