@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postworks.functions.text import blank_to_null
+from postworks.functions.text import blank_to_null, strip
 
 _PLACE = {"city": "addressLocality", "state": "addressRegion", "country": "addressCountry", "postal_code": "postalCode"}
 _LD_PLACE = {c: [f"J:jobLocation.0.address.{n}"] for c, n in _PLACE.items()}
@@ -91,8 +91,17 @@ SOURCES["apply_v2"] = SOURCES["sitemap"] | {"raw_location": ["L:raw_location"]}
 SOURCES["paged_html"] = {c: s for c, s in SOURCES["sitemap"].items() if c != "business_sector"}
 SOURCES["phenom_search"] = SOURCES["phenom_sitemap"] | {"raw_location": ["L:raw_location", "V:location", "M:gtm_tbcn_location"], "full_time_status": ["J:employmentType", "V:employmentType"]}
 
-#: How an adapter is chosen where none is named: platforms and the score of each, in order of registration.
-ADAPTERS = [("apply_v2", 0.9), ("encoded_api", 0.9), ("usajobs_api", 1.0), ("phenom_search", 0.9), ("phenom_sitemap", 0.95), ("browser_paged_html", 0.85), ("paged_html", 0.8), ("sitemap", 0.5)]
+#: Adapters in order of registration, each with the platform name that configurations give it.
+ADAPTERS = [
+    ("sitemap", "sitemap_job_urls"),
+    ("phenom_sitemap", "phenom"),
+    ("apply_v2", "apply_v2"),
+    ("paged_html", "paged_html_search"),
+    ("browser_paged_html", "selenium_paged_html_search"),
+    ("usajobs_api", "usajobs_api"),
+    ("phenom_search", "phenom_search"),
+    ("encoded_api", "encoded_request_api"),
+]
 
 
 #: Keys of a listing that go on with its rows, by platform.
@@ -114,8 +123,52 @@ def normalize(df: DataFrame, platform: str, maps: dict[str, str], sources: dict[
     return df.select("*", *[F.coalesce(*[value(s) for s in paths]).alias(c) for c, paths in table.items()], *more)
 
 
-def choose_adapter(companies: DataFrame, platform: str = "platform", named: str = "adapter") -> DataFrame:
-    """Each company's adapter: the one it names, else the best score, else sitemap; ties go to the earlier registration."""
-    scores = [F.struct(F.when(F.col(platform) == name, F.lit(score)).otherwise(F.lit(0.5 if name == "sitemap" else 0.0)).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, score) in enumerate(ADAPTERS)]
-    best = F.array_max(F.array(*scores))["name"]
-    return companies.withColumn("chosen_adapter", F.coalesce(F.nullif(F.col(named), F.lit("")), best, F.lit("sitemap")))
+def _evidence(text, flag) -> list[tuple[str, Column, float]]:
+    """What tells of an adapter in a company's configuration, and how sure that is; the strongest of an adapter counts."""
+    search, home, api, maps = text("search_url"), text("careers_url"), text("api_url"), text("sitemap_url", "sitemap_index_url", "sitemap_urls")
+    kind = F.lower(text("discovery_type"))
+    pages = F.concat_ws(" ", search, home)
+    return [
+        ("sitemap", kind.isin("sitemap", "sitemap_index"), 1.0),
+        ("sitemap", maps != "", 0.8),
+        ("phenom_sitemap", maps.contains("/global/en/"), 0.85),
+        ("apply_v2", api.contains("/api/apply/v2/jobs") | search.contains("/api/apply/v2/jobs"), 0.9),
+        ("paged_html", kind == "html_search", 0.6),
+        ("paged_html", pages.contains("search-jobs") | pages.contains("/search/"), 0.35),
+        ("browser_paged_html", flag("requires_browser") & search.contains("{page}"), 0.75),
+        ("usajobs_api", search.contains("data.usajobs.gov/api/Search"), 0.95),
+        ("phenom_search", search.contains("search-results") & search.contains("/en/"), 0.8),
+        ("encoded_api", api.contains("API/Careers/CareerSearch"), 0.9),
+    ]
+
+
+def choose_adapter(companies: DataFrame) -> DataFrame:
+    """Companies with their adapter (chosen_adapter), how sure it is (adapter_score) and why there is none (adapter_error).
+
+    The adapter that a company names, as `adapter` or as `platform`, by our name or by
+    its configuration's, is taken; a name that isn't known is an error. Without a name the
+    one with the strongest evidence in the configuration is taken, of equal ones the
+    first registered, and sitemap where nothing tells. Columns may be missing or null.
+    """
+    types = dict(companies.dtypes)
+
+    def text(*names: str) -> Column:
+        """The columns' texts, one after another; lists are joined."""
+        own = [F.array_join(n, " ") if types[n].startswith("array") else F.col(n).cast("string") for n in names if n in types]
+        return F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in own])
+
+    def flag(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("boolean"), F.lit(False)) if name in types else F.lit(False)
+
+    order = {name: i for i, (name, _) in enumerate(ADAPTERS)}
+    known = F.create_map(*[F.lit(x) for pair in dict(n for ours, given in ADAPTERS for n in ((ours, ours), (given, ours))).items() for x in pair])
+    named = F.coalesce(*[F.nullif(strip(text(c)), F.lit("")) for c in ("adapter", "platform")])
+    told = F.array(*[F.struct(F.when(rule, F.lit(score)).otherwise(F.lit(0.0)).alias("score"), F.lit(-order[name]).alias("order"), F.lit(name).alias("name")) for name, rule, score in _evidence(text, flag)])
+    best = F.array_max(told)  # where nothing tells, all scores are 0 and the first adapter is the greatest
+    found = F.try_element_at(known, named)
+    return companies.select(
+        "*",
+        F.when(named.isNotNull(), found).otherwise(best["name"]).alias("chosen_adapter"),
+        F.when(named.isNull(), best["score"]).when(found.isNotNull(), F.lit(1.0)).alias("adapter_score"),
+        F.when(named.isNotNull() & found.isNull(), F.concat(F.lit("unknown_platform:"), named)).alias("adapter_error"),
+    )

@@ -511,12 +511,40 @@ def error_counts(table):
     return canonical.error_summary(rows)
 
 
-@_query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'own' WHEN c_mktsegment = 'BUILDING' THEN 'usajobs_api' WHEN c_mktsegment = 'MACHINERY' THEN 'paged_html' ELSE 'sitemap' END AS chosen_adapter FROM customer""")
+# Configurations by the customer's key: what each lacks is null or blank, so that weak evidence decides for some.
+_CONFIG = {
+    "platform": "CASE c_custkey % 11 WHEN 0 THEN 'paged_html_search' WHEN 1 THEN ' usajobs_api ' WHEN 2 THEN 'nobody' WHEN 3 THEN '' END",
+    "discovery_type": "CASE c_custkey % 5 WHEN 0 THEN 'HTML_search' WHEN 1 THEN 'sitemap_index' END",
+    "api_url": "CASE c_custkey % 7 WHEN 0 THEN 'https://x/api/apply/v2/jobs?n=1' WHEN 1 THEN 'https://x/API/Careers/CareerSearch' ELSE '' END",
+    "search_url": "CASE c_custkey % 13 WHEN 0 THEN 'https://data.usajobs.gov/api/Search' WHEN 1 THEN 'https://x/en/search-results' WHEN 2 THEN 'https://x/search-jobs?p={page}' WHEN 3 THEN 'https://x/api/apply/v2/jobs' WHEN 4 THEN 'https://x/a/search/b' END",
+    "careers_url": "CASE c_custkey % 3 WHEN 0 THEN 'https://x/search/' ELSE 'https://x/' END",
+    "sitemap_url": "CASE c_custkey % 17 WHEN 0 THEN 'https://x/global/en/sitemap.xml' WHEN 1 THEN 'https://x/sitemap.xml' WHEN 2 THEN '' END",
+    "requires_browser": "c_custkey % 2 = 0",
+}
+
+
+@_query(f"""WITH c AS (SELECT c_custkey, {', '.join(f'{e} AS {n}' for n, e in _CONFIG.items())} FROM customer),
+names(platform, adapter) AS (VALUES ('sitemap_job_urls', 'sitemap'), ('phenom', 'phenom_sitemap'), ('apply_v2', 'apply_v2'), ('paged_html_search', 'paged_html'), ('selenium_paged_html_search', 'browser_paged_html'), ('usajobs_api', 'usajobs_api'), ('phenom_search', 'phenom_search'), ('encoded_request_api', 'encoded_api')),
+e AS (
+  SELECT c_custkey, 1 AS place, 'sitemap' AS adapter, 1.0 AS score FROM c WHERE lower(discovery_type) IN ('sitemap', 'sitemap_index')
+  UNION ALL SELECT c_custkey, 1, 'sitemap', 0.8 FROM c WHERE sitemap_url <> ''
+  UNION ALL SELECT c_custkey, 2, 'phenom_sitemap', 0.85 FROM c WHERE contains(sitemap_url, '/global/en/')
+  UNION ALL SELECT c_custkey, 3, 'apply_v2', 0.9 FROM c WHERE contains(api_url, '/api/apply/v2/jobs') OR contains(search_url, '/api/apply/v2/jobs')
+  UNION ALL SELECT c_custkey, 4, 'paged_html', CASE WHEN lower(discovery_type) = 'html_search' THEN 0.6 ELSE 0.35 END FROM c
+    WHERE lower(discovery_type) = 'html_search' OR regexp_matches(coalesce(search_url, '') || ' ' || careers_url, 'search-jobs|/search/')
+  UNION ALL SELECT c_custkey, 5, 'browser_paged_html', 0.75 FROM c WHERE requires_browser AND contains(search_url, '{{page}}')
+  UNION ALL SELECT c_custkey, 6, 'usajobs_api', 0.95 FROM c WHERE contains(search_url, 'data.usajobs.gov/api/Search')
+  UNION ALL SELECT c_custkey, 7, 'phenom_search', 0.8 FROM c WHERE contains(search_url, 'search-results') AND contains(search_url, '/en/')
+  UNION ALL SELECT c_custkey, 8, 'encoded_api', 0.9 FROM c WHERE contains(api_url, 'API/Careers/CareerSearch')),
+b AS (SELECT c_custkey, adapter, score FROM e QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, place) = 1)
+SELECT c.c_custkey, CASE WHEN trim(coalesce(c.platform, '')) <> '' THEN n.adapter ELSE coalesce(b.adapter, 'sitemap') END AS chosen_adapter,
+  CASE WHEN trim(coalesce(c.platform, '')) <> '' THEN CASE WHEN n.adapter IS NOT NULL THEN 1.0 END ELSE coalesce(b.score, 0.0) END::DOUBLE AS adapter_score,
+  CASE WHEN trim(c.platform) <> '' AND n.adapter IS NULL THEN 'unknown_platform:' || trim(c.platform) END AS adapter_error
+FROM c LEFT JOIN names n ON n.platform = trim(c.platform) LEFT JOIN b ON b.c_custkey = c.c_custkey""")
 def adapters(table):
-    """PRJ17."""
-    platform = F.when(F.col("c_mktsegment") == "BUILDING", "usajobs_api").when(F.col("c_mktsegment") == "MACHINERY", "paged_html").otherwise("none")
-    rows = table("customer").select("c_custkey", platform.alias("platform"), F.when(F.col("c_custkey") % 2 == 0, "own").otherwise("").alias("adapter"))
-    return mapping.choose_adapter(rows).select("c_custkey", "chosen_adapter")
+    """PRJ17: the adapter that a configuration names, else what its URLs and its discovery tell."""
+    rows = table("customer").select("c_custkey", *[F.expr(e).alias(n) for n, e in _CONFIG.items()])
+    return mapping.choose_adapter(rows).select("c_custkey", "chosen_adapter", "adapter_score", "adapter_error")
 
 
 @_query("""SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS posting_id, p_name AS position_title, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS raw_location FROM part""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 COMPANY = """struct<
   company_id: string, name: string, domain: string, platform: string, adapter: string, base_url: string,
-  careers_url: string, search_url: string, sitemap_urls: array<string>, access_mode: string, max_rps: double,
+  careers_url: string, search_url: string, api_url: string, requires_browser: boolean, sitemap_urls: array<string>, access_mode: string, max_rps: double,
   cooldown_minutes: int, disabled: boolean, discovery_type: string, id_pattern: string, url_prefixes: array<string>,
   headers: map<string,string>, selectors: map<string,string>, status: string, notes: string, tags: array<string>>"""
 PLATFORMS = ["sitemap", "phenom_sitemap", "phenom_search", "apply_v2", "paged_html", "browser_paged_html", "encoded_api", "usajobs_api"]

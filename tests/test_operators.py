@@ -147,8 +147,35 @@ def test_mapping(spark):
     usa = spark.createDataFrame([({"PositionURI.0": "u", "PositionSchedule.0.Name": "Full", "PositionID": "7"},)], "v map<string,string>")
     r = mapping.normalize(usa, "usajobs_api", {"V": "v"}).first()
     assert (r.detail_url, r.full_time_status, r.posting_id, r.city) == ("u", "Full", "7", None)
-    companies = spark.createDataFrame([("phenom_sitemap", None), ("what", ""), ("sitemap", "own")], "platform string, adapter string")
-    assert [r.chosen_adapter for r in mapping.choose_adapter(companies).collect()] == ["phenom_sitemap", "sitemap", "own"]
+
+
+def test_adapter_choice(spark):
+    fields = ("platform", "adapter", "discovery_type", "api_url", "search_url", "careers_url", "requires_browser", "sitemap_urls")
+    cases = [
+        (dict(platform="phenom"), "phenom_sitemap", 1.0),
+        (dict(platform="phenom_sitemap", adapter=" "), "phenom_sitemap", 1.0),
+        (dict(platform="apply_v2", adapter="sitemap"), "sitemap", 1.0),
+        (dict(platform="Phenom"), None, None),  # names are held against the registry as they are
+        (dict(platform="what", search_url="https://data.usajobs.gov/api/Search"), None, None),
+        (dict(), "sitemap", 0.0),
+        (dict(discovery_type="sitemap"), "sitemap", 1.0),
+        (dict(sitemap_urls=["https://x/s.xml"]), "sitemap", 0.8),
+        (dict(sitemap_urls=["https://x/s.xml", "https://x/global/en/s.xml"]), "phenom_sitemap", 0.85),
+        (dict(search_url="https://x/api/apply/v2/jobs", api_url="https://x/API/Careers/CareerSearch"), "apply_v2", 0.9),  # a tie: the first registered
+        (dict(api_url="https://x/API/Careers/CareerSearch"), "encoded_api", 0.9),
+        (dict(discovery_type="html_search", careers_url="https://x/search/"), "paged_html", 0.6),
+        (dict(careers_url="https://x/search-jobs"), "paged_html", 0.35),
+        (dict(requires_browser=True, search_url="https://x/search/{page}"), "browser_paged_html", 0.75),
+        (dict(requires_browser=False, search_url="https://x/search/{page}"), "paged_html", 0.35),
+        (dict(search_url="https://x/en/search-results"), "phenom_search", 0.8),
+        (dict(search_url="https://data.usajobs.gov/api/Search", sitemap_urls=["s"]), "usajobs_api", 0.95),
+    ]
+    schema = "n int, " + ", ".join(f"{f} {'array<string>' if f == 'sitemap_urls' else 'boolean' if f == 'requires_browser' else 'string'}" for f in fields)
+    rows = spark.createDataFrame([(n, *[given.get(f) for f in fields]) for n, (given, _, _) in enumerate(cases)], schema)
+    found = mapping.choose_adapter(rows).orderBy("n").collect()
+    assert [(r.chosen_adapter, r.adapter_score) for r in found] == [c[1:] for c in cases]
+    assert [r.n for r in found if r.adapter_error] == [3, 4] and found[4].adapter_error == "unknown_platform:what"
+    assert mapping.choose_adapter(rows.select("n")).first().chosen_adapter == "sitemap"
 
 
 def test_registry(spark):
