@@ -598,47 +598,91 @@ def _staged(rows: DataFrame, name: str, kind: str = "parquet") -> tuple[str, str
     return path, tables.work_path(rows.sparkSession, f"{name}-stream")
 
 
-@_query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT o_orderpriority AS vendor, CAST(o_custkey AS VARCHAR) AS dedupe_key, 'T ' || o_orderkey AS position_title FROM f WHERE n = 1""")
-def stream_ingested(table):
-    """STR1: captured batches to stored postings."""
-    rows = table("orders").select(F.col("o_orderpriority").alias("vendor"), _s("o_custkey").alias("posting_id"), _cat("T ", F.col("o_orderkey")).alias("position_title"), F.lit("https://x/").alias("detail_url"), F.col("o_orderkey").alias("ordinal"))
-    spark = rows.sparkSession
-    path, kept = _staged(rows, "batches", "json")
-    stored = incremental.SnapshotTable(spark, f"{kept}/table")
-    ingest.ingest(spark, path, rows.schema, stored, f"{kept}/checkpoint", F.col("vendor"), F.lit("2024-03-01").cast("date")).awaitTermination()
-    return stored.read().select("vendor", "dedupe_key", "position_title")
+def _in_turn(rows: DataFrame, path: str, by: str) -> None:
+    """Add files that a stream takes one after another, one for each value of a column of few numbers, in their order.
 
+    A stream takes files in the order of their times, so each is written after the one before it.
+    """
+    spark, staged = rows.sparkSession, tables.work_path(rows.sparkSession, "in-turn")
+    rows.repartition(by).write.partitionBy(by).parquet(staged)
+    for k in sorted(r[0] for r in rows.select(by).distinct().collect()):  # a dozen values
+        spark.read.schema(rows.drop(by).schema).parquet(f"{staged}/{by}={k}").coalesce(1).write.mode("append").parquet(path)
 
-@_query("SELECT DISTINCT user_id, event_type FROM events")
-def stream_first_seen(table):
-    """STR2: keys that a stream has seen, each once."""
-    rows = table("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    path, kept = _staged(rows, "events")
-    stream = ingest.first_seen(rows.sparkSession.readStream.schema(rows.schema).parquet(path), "ts", "400 days", "user_id", "event_type")
-    stream.writeStream.format("parquet").option("path", f"{kept}/rows").option("checkpointLocation", f"{kept}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return rows.sparkSession.read.parquet(f"{kept}/rows").select("user_id", "event_type")
+
+def _one_by_one(rows: DataFrame, path: str, by: str) -> DataFrame:
+    """The stream of such files, a batch for each."""
+    return rows.sparkSession.readStream.schema(rows.drop(by).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@_query("""WITH o AS (SELECT user_id AS company_id, event_id AS ts, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase')), w AS (SELECT company_id, max(ts) FILTER (ok) AS last_success FROM o GROUP BY 1)
-SELECT w.company_id, w.last_success, count(o.ts) FILTER (NOT o.ok AND (last_success IS NULL OR o.ts > last_success)) AS failure_count FROM w JOIN o USING (company_id) GROUP BY 1, 2""")
+@_query("""WITH l AS (SELECT o_orderpriority, o_custkey, o_orderkey % 4 AS batch, min(o_orderkey) AS first FROM orders GROUP BY 1, 2, 3)
+SELECT o_orderpriority AS vendor, CAST(o_custkey AS VARCHAR) AS dedupe_key, 'T ' || max_by(first, batch) AS position_title, '2024-02-01' AS first_seen, '2024-02-01' AS updated_at FROM l GROUP BY 1, 2""")
+def stream_ingested(table):
+    """STR1: captured batches to stored postings; a batch that is given again after others, on another day, changes nothing."""
+    rows = table("orders").select(F.col("o_orderpriority").alias("vendor"), _s("o_custkey").alias("posting_id"), _cat("T ", F.col("o_orderkey")).alias("position_title"), F.lit("https://x/").alias("detail_url"), F.col("o_orderkey").alias("ordinal"), (F.col("o_orderkey") % 4).alias("batch"))
+    spark = rows.sparkSession
+    path, kept = (tables.work_path(spark, n) for n in ("batches", "ingested"))
+    _in_turn(rows, path, "batch")
+    stored = incremental.SnapshotTable(spark, f"{kept}/table", buckets=4)
+    day = lambda d: F.lit(d).cast("date")
+    take = lambda part, number: ingest.ingest_batch(part, number, stored, kept, F.col("vendor"), day("2024-02-01"))
+    _one_by_one(rows, path, "batch").writeStream.foreachBatch(take).option("checkpointLocation", f"{kept}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    ingest.ingest_batch(rows.where("batch = 0").drop("batch"), 0, stored, kept, F.col("vendor"), day("2024-03-01"))
+    return stored.read().select("vendor", "dedupe_key", "position_title", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_seen", "updated_at")])
+
+
+@_query("""WITH RECURSIVE k AS (SELECT DISTINCT user_id, event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 3 AS p FROM events),
+-- A batch for each three days, whose rows have the first day's time; at the stop after the fifth one without rows goes by, at which keys are forgotten too.
+periods AS (SELECT p, row_number() OVER (ORDER BY p) AS n FROM (SELECT DISTINCT p FROM k)),
+batches AS (SELECT n + CASE WHEN n > 5 THEN 1 ELSE 0 END AS b, p FROM periods UNION ALL SELECT 6, NULL WHERE (SELECT count(*) FROM periods) >= 5),
+marks AS (SELECT b, max(p) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) * 72 - 36 AS watermark FROM batches),
+forgotten AS (SELECT x.p, min(m.b) AS b FROM batches x JOIN marks m ON m.b > x.b AND m.watermark >= x.p * 72 + 36 WHERE x.p IS NOT NULL GROUP BY 1),
+again AS (SELECT f.p, min(x.p) AS next FROM forgotten f JOIN batches x ON x.b > f.b AND x.p IS NOT NULL GROUP BY 1),
+r AS (SELECT user_id, event_type, min(p) AS p FROM k GROUP BY 1, 2
+  UNION ALL SELECT r.user_id, r.event_type, min(k.p) FROM r JOIN again a ON a.p = r.p JOIN k ON k.user_id = r.user_id AND k.event_type = r.event_type AND k.p >= a.next GROUP BY r.user_id, r.event_type, r.p)
+SELECT user_id, event_type, p AS period FROM r""")
+def stream_first_seen(table):
+    """STR2: batches in order of time, a stop and a restart; a key comes out again once the watermark has forgotten it."""
+    period = F.expr("datediff(to_date(ts), date'2024-01-01') div 3").cast("long")
+    rows = table("events").select("user_id", "event_type", period.alias("period"))
+    rows = rows.withColumn("ts", F.expr("timestamp'2024-01-01' + make_dt_interval(CAST(period AS INT) * 3)"))
+    spark = rows.sparkSession
+    path, kept = (tables.work_path(spark, n) for n in ("events", "first-seen"))
+    first = [r[0] for r in rows.select("period").distinct().orderBy("period").limit(5).collect()]
+    for part in (rows.where(F.col("period").isin(first)), rows.where(~F.col("period").isin(first))):
+        _in_turn(part, path, "period")
+        found = ingest.first_seen(_one_by_one(rows, path, "period"), "ts", "36 hours", "user_id", "event_type")
+        found.writeStream.format("parquet").option("path", f"{kept}/rows").option("checkpointLocation", f"{kept}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    came = spark.read.schema(rows.drop("period").schema).parquet(f"{kept}/rows")
+    return came.select("user_id", "event_type", F.expr("datediff(to_date(ts), date'2024-01-01') div 3").cast("long").alias("period"))
+
+
+@_query("""WITH o AS (SELECT user_id AS company_id, event_id AS ts, event_type = 'purchase' AS ok, CASE WHEN event_id % 3 > 0 THEN 't' || event_id % 3 ELSE 'unknown' END AS type FROM events WHERE event_type IN ('error', 'purchase')), w AS (SELECT company_id, max(ts) FILTER (ok) AS last_success FROM o GROUP BY 1),
+f AS (SELECT o.* FROM o JOIN w USING (company_id) WHERE NOT ok AND (last_success IS NULL OR ts > last_success))
+SELECT w.company_id, w.last_success, max(f.ts) AS last_failure, max_by(f.type, f.ts) AS last_failure_type, count(f.ts) AS failure_count FROM w LEFT JOIN f USING (company_id) GROUP BY 1, 2""")
 def stream_status(table):
-    """STR3: states after all batches of a log."""
-    rows = table("events").where(F.col("event_type").isin("error", "purchase")).select(F.col("user_id").alias("company_id"), F.col("event_id").alias("ts"), (F.col("event_type") == "purchase").alias("ok"), F.lit(None).cast("string").alias("type"))
+    """STR3: states after all batches of a log, whose outcomes come in any order."""
+    kind = F.when(F.col("event_id") % 3 > 0, _cat("t", F.col("event_id") % 3))
+    rows = table("events").where(F.col("event_type").isin("error", "purchase")).select(F.col("user_id").alias("company_id"), F.col("event_id").alias("ts"), (F.col("event_type") == "purchase").alias("ok"), kind.alias("type"))
     spark = rows.sparkSession
     path, kept = _staged(rows, "outcomes")
-    states = incremental.SnapshotTable(spark, f"{kept}/states", vendor="part")
+    states = incremental.SnapshotTable(spark, f"{kept}/states", vendor="part", buckets=4)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    ingest.running_status(stream, f"{kept}/log", states, f"{kept}/checkpoint").awaitTermination()
-    return states.read().select("company_id", "last_success", "failure_count")
+    ingest.running_status(stream, states, f"{kept}/checkpoint").awaitTermination()
+    return states.read().select("company_id", "last_success", "last_failure", "last_failure_type", "failure_count")
 
 
-@_query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(user_id % 3 AS VARCHAR) AS scraper, event_type AS name, count(*) AS n, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2, 3""")
+@_query("""WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS watermark FROM events)
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(user_id % 3 AS VARCHAR) AS scraper, event_type AS name, count(*) AS n, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM events, m
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= watermark GROUP BY 1, 2, 3""")
 def stream_metrics(table):
-    """STR4: hourly figures of a stream."""
-    rows = table("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("u"), F.col("event_type").alias("name"), "value")
-    path, kept = _staged(rows, "metrics")
-    stream = rows.sparkSession.readStream.schema(rows.schema).parquet(path).withColumn("scraper", _s(F.col("u") % 3))
-    figures = ingest.windowed_metrics(stream)
-    last = lambda batch, _: batch.write.mode("overwrite").parquet(f"{kept}/figures")
-    figures.writeStream.outputMode("complete").foreachBatch(last).trigger(availableNow=True).option("checkpointLocation", f"{kept}/checkpoint").start().awaitTermination()
-    return rows.sparkSession.read.parquet(f"{kept}/figures").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "scraper", "name", "n", "min", "max")
+    """STR4: hourly figures, each once its hour is closed; rows that come after that are dropped."""
+    rows = table("events").select(F.col("ts").cast("timestamp").alias("ts"), _s(F.col("user_id") % 3).alias("scraper"), F.col("event_type").alias("name"), "value", F.expr("datediff(to_date(ts), date'2024-01-01') div 6").cast("long").alias("period"))
+    ends = rows.agg(F.min("period"), F.max("period")).first()
+    late = rows.where(F.col("period") == ends[0]).where(F.lit(ends[0] != ends[1])).withColumns({"value": F.col("value") + 1000, "period": F.lit(ends[1]).cast("long")})
+    every, spark = rows.union(late), rows.sparkSession
+    path, kept = (tables.work_path(spark, n) for n in ("metrics", "closed"))
+    _in_turn(every, path, "period")
+    figures = ingest.windowed_metrics(_one_by_one(every, path, "period"))
+    figures.writeStream.outputMode("append").format("parquet").option("path", f"{kept}/figures").option("checkpointLocation", f"{kept}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    came = spark.read.schema(figures.schema).parquet(f"{kept}/figures")
+    return came.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "scraper", "name", "n", F.round("sum", 4).alias("sum"), "min", "max")

@@ -68,21 +68,6 @@ def test_caps(spark):
     assert rows(dedupe.richest(names, "k", value="v", order="o")) == [("k", "bb")]
 
 
-def test_upsert(spark, tmp_path):
-    table = incremental.SnapshotTable(spark, str(tmp_path / "table"))
-    assert table.read() is None
-    kind = "vendor string, dedupe_key string, title string, ordinal int"
-    now = lambda d: F.lit(f"2024-01-0{d}").cast("timestamp")
-    rejected = table.upsert(spark.createDataFrame([("a", "1", "x", 1), ("a", "1", "y", 2), ("b", "2", "z", 1), ("b", "", "lost", 1), ("b", None, "lost", 2)], kind), now(1), "ordinal")
-    assert rejected.count() == 2
-    table.upsert(spark.createDataFrame([("a", "1", None, 1), ("c", "3", "n", 1)], kind), now(2), "ordinal")
-    at = lambda d: datetime.datetime(2024, 1, d)
-    expected = [("a", "1", None, at(1), at(2)), ("b", "2", "z", at(1), at(1)), ("c", "3", "n", at(2), at(2))]
-    assert rows(table.read(), "vendor", "dedupe_key", "title", "first_seen", "updated_at") == expected
-    table.upsert(spark.createDataFrame([("c", "3", "n", 1)], kind), now(2), "ordinal")
-    assert rows(table.read(), "vendor", "dedupe_key", "title", "first_seen", "updated_at") == expected
-
-
 def test_incremental(spark):
     stored = spark.createDataFrame([("a", "1"), ("b", "2")], "vendor string, dedupe_key string")
     seen = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", ""), ("a", "2")], "vendor string, dedupe_key string")
@@ -244,38 +229,6 @@ def test_files(spark, tmp_path):
     assert rows(both) == sorted([(1, None), (None, 2)], key=repr)
 
 
-def test_streaming_ingest_is_the_batch_result(spark, tmp_path):
-    schema = "posting_id string, detail_url string, position_title string, post_date string, ordinal int"
-    batches = [[("1", "https://a/1", "x", "2024-01-01", 1), ("1", "https://a/1", "later", "2024-01-01", 2)], [("2", "https://a/2", "y", None, 3), ("1", "https://a/1", "new", "2024-01-02", 4)]]
-    table = incremental.SnapshotTable(spark, str(tmp_path / "t"))
-    for i, b in enumerate(batches):
-        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        ingest.ingest(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, table, str(tmp_path / "cp"), F.lit("v"), day()).awaitTermination()
-        assert table.read().count() == i + 1
-    ingest.ingest(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, table, str(tmp_path / "cp"), F.lit("v"), day()).awaitTermination()
-    assert rows(table.read(), "dedupe_key", "position_title") == [("1", "new"), ("2", "y")]
-
-
-def test_streams(spark, tmp_path):
-    spark.createDataFrame([("2024-01-01 00:00:01", "s", "n", 1.0), ("2024-01-01 00:00:02", "s", "n", 3.0), ("2024-01-01 00:00:02", "t", "n", 5.0)], "ts string, scraper string, name string, value double").coalesce(1).write.json(str(tmp_path / "in"))
-    read = lambda: spark.readStream.schema("ts timestamp, scraper string, name string, value double").json(str(tmp_path / "in"))
-    q = ingest.first_seen(read(), "ts", "1 hour", "scraper").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("seen").count() == 2
-    q = ingest.windowed_metrics(read()).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert rows(spark.table("windows"), "scraper", "n", "sum") == [("s", 2, 4.0), ("t", 1, 5.0)]
-    log = spark.createDataFrame([("x", 1, False, "e")], "company_id string, ts int, ok boolean, type string")
-    log.coalesce(1).write.json(str(tmp_path / "log"))
-    stream = spark.readStream.schema(log.schema).json(str(tmp_path / "log"))
-    states = incremental.SnapshotTable(spark, str(tmp_path / "states"), vendor="part")
-    for more in ([], [("x", 0, True, None), ("x", 2, False, None), ("y", 5, True, None)]):
-        if more:
-            spark.createDataFrame(more, log.schema).coalesce(1).write.mode("append").json(str(tmp_path / "log"))
-        ingest.running_status(stream, str(tmp_path / "outcomes"), states, str(tmp_path / "cp"), parts=3).awaitTermination()
-    assert rows(states.read(), "company_id", "last_success", "last_failure", "last_failure_type", "failure_count") == [("x", 0, 2, "unknown", 2), ("y", 5, None, None, 0)]
-
-
 def test_responses_whole(spark):
     kinds = [None, "", " ", "application/xml", "application/json"]
     bodies = [(1, i, kinds[i % 5], "x" * 300_000 + "Job-77") for i in range(15)] + [(1, 15, "image/png", "job-77")]
@@ -294,33 +247,6 @@ def test_page_state_of_other_shape(spark):
     assert sorted((r.posting_id, r.title) for r in found) == [("5", "a"), ("8", "d")]
 
 
-def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
-    table = incremental.SnapshotTable(spark, str(tmp_path / "t"))
-    row = lambda v, k, x, n: spark.createDataFrame([(v, k, x, n)], "vendor string, dedupe_key string, x string, n int")
-    day = lambda d: F.lit(f"2024-01-0{d}").cast("timestamp")
-    table.upsert(row("a/b", "1", "old", 1).union(row("c", "1", "c", 1)), day(1), "n")
-    other = incremental.SnapshotTable(spark, str(tmp_path / "t"))
-    write = incremental.SnapshotTable._write
-    came = []
-
-    def late(self, df, sort):
-        if self is table and not came:  # the other writer commits between this one's read and its commit
-            came.append(other.upsert(row("a/b", "2", "theirs", 1), day(2), "n"))
-        return write(self, df, sort)
-
-    monkeypatch.setattr(incremental.SnapshotTable, "_write", late)
-    table.upsert(row("a/b", "1", "ours", 1), day(3), "n")
-    assert rows(table.read(), "vendor", "dedupe_key", "x") == [("a/b", "1", "ours"), ("a/b", "2", "theirs"), ("c", "1", "c")]
-    assert sorted(table.versions()) == [1, 2, 3]
-    # Folders of vendors that didn't come in are the same files.
-    assert table.manifest(1)[2]["c"] == table.manifest(3)[2]["c"] and table.read(vendors=["a/b"]).count() == 2
-    with pytest.raises(incremental.Conflict):
-        table.write(row("z", "1", "x", 1), read=1)
-    before = rows(table.read(), "dedupe_key", "x", "first_seen", "updated_at")
-    table.upsert(row(None, "1", "x", 1).union(row("a/b", "", "x", 1)), day(4), "n")
-    assert table.vacuum() > 0 and table.versions() == [3] and rows(table.read(), "dedupe_key", "x", "first_seen", "updated_at") == before
-
-
 def test_columns_of_the_same_name_stay(spark):
     df = spark.createDataFrame([("a", 1, 7), ("a", 2, 8), ("b", 1, 9)], "_key string, _n int, _share int")
     assert rows(dedupe.keep_first(df, F.col("_key"), "_n"), "_key", "_n", "_share") == [("a", 1, 7), ("b", 1, 9)]
