@@ -218,17 +218,25 @@ class SnapshotTable:
         self._commit(Manifest(last.version + 1, df.schema, self._write(df), last.batches))
         return last.version + 1
 
-    def upsert(self, incoming: DataFrame, now: Column, order: str, batch: tuple[str, int] | None = None) -> DataFrame:
+    def stage(self, df: DataFrame) -> DataFrame:
+        """The rows, written beside the table and read again, until the table is vacuumed."""
+        path = f"{self.path}/data/incoming-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def storable(self) -> Column:
+        """Whether a row has a key and a vendor."""
+        return (F.coalesce(F.col(self.key), F.lit("")) != "") & (F.coalesce(F.col(self.vendor), F.lit("")) != "")
+
+    def upsert(self, incoming: DataFrame, now: Column, order: str, batch: tuple[str, int] | None = None, staged: bool = False) -> DataFrame:
         """Merge rows in; rows with a blank key or without a vendor are not stored but returned.
 
-        The rows are written first, so that a repeated merge doesn't make them anew.
+        The rows are written first, unless they are staged already, so that a repeated merge doesn't make them anew.
         batch: a stream and the number of its batch; one that the table has already,
         or that is older than one it has, changes nothing.
         """
-        good = (F.coalesce(F.col(self.key), F.lit("")) != "") & (F.coalesce(F.col(self.vendor), F.lit("")) != "")
-        staged = f"{self.path}/data/incoming-{uuid.uuid4().hex}"
-        incoming.write.parquet(staged)
-        came = self.spark.read.schema(incoming.schema).parquet(staged)
+        good = self.storable()
+        came = incoming if staged else self.stage(incoming)
         rows = came.where(good)
         touched = {(r[0], r[1]) for r in rows.select(F.col(self.vendor).cast("string"), self._bucket(self.key)).distinct().limit(MOST_PARTS + 1).collect()}
         if len(touched) > MOST_PARTS:

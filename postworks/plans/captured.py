@@ -422,7 +422,9 @@ def parse_outcomes(table):
 def new_by_url(table):
     """JON3: rows whose exact URL isn't stored for the vendor."""
     rows = table("orders").select("o_orderkey", F.col("o_orderpriority").alias("vendor"), _cat("https://x/", F.col("o_custkey")).alias("detail_url"))
-    return incremental.skip_known(rows, rows.where(F.col("o_orderkey") % 3 == 0), key="detail_url").select("o_orderkey", "vendor")
+    stored = incremental.SnapshotTable(rows.sparkSession, tables.work_path(rows.sparkSession, "stored"), buckets=4)
+    stored.upsert(rows.where(F.col("o_orderkey") % 3 == 0).withColumn("dedupe_key", _s("o_orderkey")), F.lit("2024-01-01").cast("timestamp"), "o_orderkey")
+    return incremental.skip_known(rows, stored, key="detail_url").select("o_orderkey", "vendor")
 
 
 @_query("""SELECT s_suppkey AS company, CASE WHEN s_suppkey % 2 = 0 THEN 'detail' WHEN s_suppkey % 3 = 0 THEN 'search' ELSE 'none' END AS step FROM supplier""")
@@ -583,6 +585,25 @@ def two_runs(table):
     return rows.select("vendor", "dedupe_key", "position_title", "detail_url", "post_date", "raw_location", "description", seen.alias("seen"))
 
 
+@_query("""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'b' ELSE 'a' END AS vendor, row_number() OVER (PARTITION BY p_partkey % 5 = 0 ORDER BY p_partkey) AS n FROM part),
+c AS (SELECT * FROM r WHERE n <= 150), f AS (SELECT count(*) AS listed, count(*) FILTER (p_partkey % 4 = 1) AS known, count(*) FILTER (p_partkey % 4 <> 1 AND p_partkey % 3 > 0) AS parsed, count(*) FILTER (p_partkey % 4 <> 1 AND p_partkey % 3 = 2) AS rejected FROM c)
+SELECT unnest(['listed', 'known', 'new', 'parsed', 'rejected', 'keyless', 'stored']) AS name, CAST(unnest([listed, known, listed - known, parsed, rejected, 0, parsed - rejected]) AS DOUBLE) AS total FROM f""")
+def run_counts(table):
+    """AGG2, WIN5: a run's counters, observed as it writes; with a cap, a first day and rejected rows."""
+    k = _key()
+    rows = table("part").select(F.when(k % 5 == 0, "b").otherwise("a").alias("vendor"), k.alias("ordinal"), _s(k).alias("posting_id"), F.lit("listed").alias("title"), _cat("https://h.com/job/", k).alias("detail_url"), "p_partkey")
+    # One posting in three is too old, and one in three has no title.
+    day = F.when(k % 3 == 0, "2023-01-01").otherwise("2024-02-01")
+    ld = _json(**{"@type": F.lit("JobPosting"), "title": F.when(k % 3 != 2, F.col("p_name")), "datePosted": day, "description": F.lit("d")})
+    pages = table("part").select(_cat("https://h.com/job/", k).alias("url"), _cat('<script type="application/ld+json">', ld, "</script>").alias("html"))
+    spark = rows.sparkSession
+    stored = incremental.SnapshotTable(spark, tables.work_path(spark, "postings"), buckets=2)
+    stored.upsert(rows.where(k % 4 == 1).select("vendor", F.col("posting_id").alias("dedupe_key"), F.col("title").alias("position_title"), "ordinal"), F.lit("2024-01-01").cast("timestamp"), "ordinal")
+    listing = rows.drop("p_partkey").withColumn("title", F.lit(""))
+    done = runs_of_postings.run(stored, listing, pages, "sitemap", F.lit("2024-02-10").cast("date"), cap=150, first_day=F.lit("2024-01-01").cast("date"))
+    return runs.metrics(done.metrics("parts", F.lit(1))).select("name", "total")
+
+
 @_query("""SELECT p_partkey, p_name AS position_title, 'https://h.com/job/' || p_partkey AS detail_url, '2024-02-01' AS post_date, 104000.0 AS salary_min, 'About ' || p_partkey AS description, 'one' || chr(10) || 'two' AS required_skills, 0.0 AS bonus FROM part""")
 def canonical_parts(table):
     """PRJ1, D1: raw rows to canonical ones."""

@@ -16,6 +16,7 @@ from postworks.functions import dates, json_paths, keys, markup, money, sections
 from postworks.operators import canonical, dedupe, enrichment, incremental, mapping, probe, query, runs
 from postworks.sources import pages as page_sources
 from postworks.sources import sitemaps
+from postworks.sources.tables import work_path
 
 FLAGSHIP = "search_page"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,8 +89,9 @@ def preset_last_30(table):
 
 @_query(f"WITH {_POSTINGS_SQL} SELECT * FROM p WHERE vendor = '2-HIGH' AND dedupe_key = '0000000004'")
 def point_lookup(table):
-    """FLT13."""
-    return query.lookup(_postings(table), "2-HIGH", "0000000004")
+    """FLT13: from the one file of a stored table that can hold the key."""
+    found = _store(_postings(table).withColumn("ordinal", F.lit(1)), "2024-01-01").lookup("2-HIGH", "0000000004")
+    return found.drop("first_seen", "updated_at")
 
 
 @_query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retailprice IS NOT NULL AND lower(p_name) LIKE '%blue%'")
@@ -358,18 +360,25 @@ _SPLIT_SQL = """r AS (SELECT o_orderpriority AS vendor, CAST(o_custkey AS VARCHA
 s AS (SELECT * FROM r WHERE o_orderdate < TIMESTAMP '1996-01-01'), i AS (SELECT * FROM r WHERE o_orderdate >= TIMESTAMP '1995-01-01')"""
 
 
+def _store(rows: DataFrame, day: str, order: str = "ordinal") -> incremental.SnapshotTable:
+    """A stored table of rows, as of a day."""
+    stored = incremental.SnapshotTable(rows.sparkSession, work_path(rows.sparkSession, "stored"), buckets=4)
+    stored.upsert(rows, F.lit(day).cast("timestamp"), order)
+    return stored
+
+
 @_query(f"WITH {_SPLIT_SQL} SELECT DISTINCT vendor, dedupe_key FROM i WHERE (vendor, dedupe_key) IN (SELECT (vendor, dedupe_key) FROM s)")
 def stored_keys(table):
-    """JON1."""
+    """JON1: against a table in buckets, which is read where it lies."""
     stored, incoming = _split(table)
-    return incremental.known_keys(incoming, stored)
+    return incremental.known_keys(incoming, _store(stored, "2024-01-01"))
 
 
 @_query(f"WITH {_SPLIT_SQL} SELECT vendor, dedupe_key, ordinal FROM i WHERE (vendor, dedupe_key) NOT IN (SELECT (vendor, dedupe_key) FROM s)")
 def new_rows(table):
     """JON2."""
     stored, incoming = _split(table)
-    return incremental.skip_known(incoming, stored).select("vendor", "dedupe_key", "ordinal")
+    return incremental.skip_known(incoming, _store(stored, "2024-01-01")).select("vendor", "dedupe_key", "ordinal")
 
 
 @_query(f"WITH {_SPLIT_SQL} SELECT DISTINCT dedupe_key FROM i EXCEPT SELECT dedupe_key FROM s")
@@ -383,10 +392,12 @@ def key_difference(table):
 SELECT vendor, dedupe_key, CASE WHEN li.price IS NULL THEN os.price ELSE li.price END AS price, CASE WHEN os.price IS NULL THEN '2024-03-01' ELSE '2024-01-01' END AS first_seen,
   CASE WHEN li.price IS NULL THEN '2024-01-01' ELSE '2024-03-01' END AS updated_at FROM os FULL JOIN li USING (vendor, dedupe_key)""")
 def upserted(table):
-    """SNK7: the stored table after the rows came in."""
+    """SNK7: the stored table after the rows came in, in the buckets that they fall into."""
     stored, incoming = _split(table)
-    old = stored.groupBy("vendor", "dedupe_key").agg(F.max_by("price", "ordinal").alias("price")).withColumns({"first_seen": F.lit("2024-01-01"), "updated_at": F.lit("2024-01-01")})
-    return incremental.merged(old, incoming.drop("o_orderdate"), F.lit("2024-03-01"), "ordinal")
+    kept = _store(stored.drop("o_orderdate"), "2024-01-01")
+    kept.upsert(incoming.drop("o_orderdate"), F.lit("2024-03-01").cast("timestamp"), "ordinal")
+    days = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_seen", "updated_at")]
+    return kept.read().select("vendor", "dedupe_key", "price", *days)
 
 
 @_query(f"WITH {_SPLIT_SQL} SELECT vendor, count(*) AS n FROM (SELECT vendor FROM s UNION ALL SELECT vendor FROM i) GROUP BY 1")
