@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +15,8 @@ from postworks.functions.text import bound
 #: Tokens of JSON text: strings (the last one may be cut off), single brackets, and what is between.
 TOKENS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[{}\[\]]|[^"{}\[\]]++'
 
-
-def nesting(text: Column) -> Column:
-    """Levels of objects and lists in JSON text."""
-    brackets = F.filter(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), lambda t: t.isin("{", "}", "[", "]"))
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(level: Column, t: Column) -> Column:
-        now = level["now"] + F.when(t.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(level["most"], now).alias("most"))
-
-    return F.aggregate(brackets, zero, step, lambda level: level["most"])
+#: Levels of a document that expressions open.
+LEVELS = 6
 
 
 def balanced(text: Column) -> Column:
@@ -121,20 +114,89 @@ def _leaf(value: Column, indexed: bool) -> Column:
     return F.coalesce(F.when(_array(value).isNotNull(), joined), _text(value), F.lit(""))
 
 
-def flatten(df: DataFrame, doc: Column, *ids: str, indexed: bool = False, depth: int | None = None) -> DataFrame:
+def _opened_still(value: Column, indexed: bool) -> Column:
+    """Whether a node has nodes below it; an empty object counts, as it has no leaf."""
+    items = _array(value)
+    return _object(value).isNotNull() | (items.isNotNull() if indexed else items.isNotNull() & ~_scalars(items))
+
+
+def _unrolled(doc: Column, indexed: bool) -> Column:
+    """(entries, rest) of a document: its leaves if LEVELS levels reach them all, else its text."""
+
+    def split(nodes: Column, d: Column) -> Column:
+        deep = F.exists(nodes, lambda n: _opened_still(n["value"], indexed))
+        leaves = F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), _leaf(n["value"], indexed).alias("value")))
+        return F.struct(F.when(~deep, leaves).alias("entries"), F.when(deep, F.to_json(d)).alias("rest"))
+
+    def nodes(d: Column) -> Column:
+        out = F.array(_node(F.lit(""), d))
+        for _ in range(LEVELS):
+            out = F.flatten(F.transform(out, lambda n: _children(n, indexed)))
+        return out
+
+    return bound(doc, lambda d: F.when(d.isNotNull(), bound(nodes(d), lambda ns: split(ns, d))))
+
+
+def _walk(document: str, indexed: bool) -> list[dict]:
+    """The leaves of JSON text, in order, by a list of nodes that are still to be opened."""
+    out, todo = [], [("", json.loads(document, parse_int=str, parse_float=str))]
+    text = lambda x: x if x is None or isinstance(x, str) else str(x).lower()
+    while todo:
+        path, value = todo.pop()
+        dot = f"{path}." if path else ""
+        if isinstance(value, dict):
+            todo.extend((dot + k, v) for k, v in reversed(value.items()))
+        elif isinstance(value, list) and (indexed or any(isinstance(x, (dict, list)) for x in value)):
+            todo.extend((f"{path}[{i}]" if indexed else f"{dot}{i}", value[i]) for i in reversed(range(len(value))))
+        elif isinstance(value, list):
+            out.append({"path": path, "value": "; ".join(text(x) or "" for x in value)})
+        else:
+            out.append({"path": path, "value": text(value) if indexed else text(value) or ""})
+    return out
+
+
+def _walked(rest: Column, indexed: bool) -> Column:
+    """Leaves of the documents that expressions don't reach the ground of; null for null."""
+
+    @F.pandas_udf("string")
+    def walk(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda d: None if d is None else json.dumps(_walk(d, indexed)))
+
+    return F.from_json(walk(rest), "array<struct<path:string,value:string>>")
+
+
+def with_entries(df: DataFrame, documents: dict[str, Column], *others: str | Column, indexed: bool = False) -> DataFrame:
+    """Other columns, and for each name the leaves of a document, however deep, as an array of (path, value); null for null.
+
+    One pass with a plan of fixed size: expressions open LEVELS levels, as nearly
+    all documents need; a document that is deeper than that is walked node by node in
+    a Python worker, which only gets the texts of those.
+    """
+    opened = df.select(*others, *[_unrolled(doc, indexed).alias(name) for name, doc in documents.items()])
+    kept = opened.columns[: len(opened.columns) - len(documents)]
+    at = lambda name: F.col(f"`{name}`")
+    return opened.select(*[at(c) for c in kept], *[F.coalesce(at(n)["entries"], _walked(at(n)["rest"], indexed)).alias(n) for n in documents])
+
+
+def with_fields(df: DataFrame, documents: dict[str, Column], *others: str | Column, indexed: bool = False) -> DataFrame:
+    """As with_entries, with the leaves as a map; the last of equal paths counts."""
+    found = with_entries(df, documents, *others, indexed=indexed)
+    return found.select(*[entries_map(F.col(f"`{c}`")).alias(c) if c in documents else F.col(f"`{c}`") for c in found.columns])
+
+
+def flatten(df: DataFrame, doc: Column, *ids: str, indexed: bool = False) -> DataFrame:
     """(ids, path, value) of every leaf of a document, however deep.
 
     Dotted form: lists of scalars are one leaf, joined by "; "; null and the
     empty list are "". Indexed form: each element is a leaf, null stays null,
-    empty lists vanish. Empty objects have no leaf in either. Unless `depth`
-    tells how deep documents are, a job looks first.
+    empty lists vanish. Empty objects have no leaf in either.
     """
-    rows = df.select(*ids, _node(F.lit(""), doc).alias("node")).where("node.value IS NOT NULL")
-    if depth is None:
-        depth = rows.agg(F.max(nesting(F.to_json("node.value")))).first()[0] or 0
-    for _ in range(depth):
-        rows = rows.select(*ids, F.explode(_children(F.col("node"), indexed)).alias("node"))
-    return rows.select(*ids, F.col("node.path").alias("path"), _leaf(F.col("node.value"), indexed).alias("value"))
+    name = "leaf"
+    while name in ids:
+        name += "_"
+    entries = with_entries(df, {name: doc}, *ids, indexed=indexed)
+    # An inner explode would filter by the arrays' sizes before Python has made them.
+    return entries.select(*ids, F.explode_outer(name).alias(name)).where(F.col(name).isNotNull()).select(*ids, F.col(name)["path"].alias("path"), F.col(name)["value"].alias("value"))
 
 
 def flat_entries(doc: Column, depth: int, indexed: bool = False) -> Column:

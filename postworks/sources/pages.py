@@ -73,11 +73,10 @@ def spread(pages: DataFrame) -> DataFrame:
 PARTS = ("html", "vendor_blob", "vendor_fields", "job_fields", "jsonld", "meta", "datalayer", "canonical_url", "h1", "smart_apply", "bold")
 
 
-def detail_artifacts(pages: DataFrame, url: str = "url", html: str = "html", parts: tuple[str, ...] = PARTS, depth: int | None = None) -> DataFrame:
+def detail_artifacts(pages: DataFrame, url: str = "url", html: str = "html", parts: tuple[str, ...] = PARTS) -> DataFrame:
     """What a posting's page holds, part by part (those that are named); a part that is missing or broken is null or empty.
 
-    Documents are flattened to maps of dotted paths. Unless `depth` tells how
-    deep they are, a job looks first.
+    Documents, however deep, are flattened to maps of dotted paths.
     """
     h = F.col(html)
     documents = {
@@ -86,9 +85,6 @@ def detail_artifacts(pages: DataFrame, url: str = "url", html: str = "html", par
         "jsonld": lambda: markup.job_posting_ld(h),
         "smart_apply": lambda: markup.smart_apply(h),
     }
-    if depth is None:
-        used = [json_paths.nesting(F.to_json(d())) for name, d in documents.items() if name in parts]
-        depth = (pages.agg(F.max(F.greatest(*used, F.lit(0), F.lit(0)))).first()[0] or 0) if used else 0
     # Only the expressions that are asked for are made.
     found = {
         "html": lambda: h,
@@ -99,5 +95,6 @@ def detail_artifacts(pages: DataFrame, url: str = "url", html: str = "html", par
         "h1": lambda: markup.h1_text(h),
         "bold": lambda: markup.bold_blocks(h),
     }
-    flat = lambda name: json_paths.flat_fields(documents[name](), depth)
-    return pages.select(F.col(url).alias("detail_url"), *[(found[p]() if p in found else flat(p)).alias(p) for p in parts])
+    plain = [found[p]().alias(p) for p in parts if p in found]
+    made = json_paths.with_fields(pages, {p: documents[p]() for p in parts if p in documents}, F.col(url).alias("detail_url"), *plain)
+    return made.select("detail_url", *parts)

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postworks.functions.json_paths import dig, flat_fields, nesting
+from postworks.functions.json_paths import dig, with_fields
 from postworks.functions.text import html_to_text
 from postworks.functions.urls import resolve_link
 
@@ -101,22 +101,16 @@ def page_context_urls(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(F.posexplode(jobs).alias("ordinal", "j")).select("ordinal", F.coalesce(dig(F.col("j"), "url", kind="string"), dig(F.col("j"), "jobUrl", kind="string")).alias("detail_url")).where("detail_url IS NOT NULL")
 
 
-def page_context_detail(pages: DataFrame, url: str = "url", html: str = "html", depth: int | None = None) -> DataFrame:
+def page_context_detail(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(job_url, fields, description_text) of detail pages: the embedded job as a map of indexed paths, with its URL, and its description as text."""
     body = F.regexp_extract(html, r"""(?is)<script[^>]*id\s*=\s*["']vike_pageContext["'][^>]*>(.*?)</script>""", 1)
     job = F.coalesce(*[F.try_variant_get(F.try_parse_json(F.nullif(body, F.lit(""))), p, "variant") for p in ("$.data.data", "$.data")])
     rows = pages.select(F.col(url).alias("job_url"), job.alias("job")).where("job IS NOT NULL")
-    depth = _depth(rows, "job") if depth is None else depth
-    own = F.map_concat(flat_fields(F.col("job"), depth, indexed=True), F.create_map(F.lit("jobUrl"), F.col("job_url")))
-    return rows.select("job_url", own.alias("fields"), html_to_text(dig(F.col("job"), "description", kind="string")).alias("description_text"))
+    found = with_fields(rows, {"fields": F.col("job")}, "job_url", html_to_text(dig(F.col("job"), "description", kind="string")).alias("description_text"), indexed=True)
+    return found.select("job_url", F.map_concat("fields", F.create_map(F.lit("jobUrl"), F.col("job_url"))).alias("fields"), "description_text")
 
 
-def _depth(rows: DataFrame, column: str) -> int:
-    return rows.agg(F.max(nesting(F.to_json(column)))).first()[0] or 0
-
-
-def api_records(payloads: DataFrame, body: str = "body", depth: int | None = None) -> DataFrame:
+def api_records(payloads: DataFrame, body: str = "body") -> DataFrame:
     """(ordinal, fields): records of an API's pages as maps of indexed paths; a page that doesn't parse is skipped."""
     rows = payloads.select(F.posexplode(F.try_variant_get(F.try_parse_json(body), "$.data", "array<variant>")).alias("ordinal", "record"))
-    depth = _depth(rows, "record") if depth is None else depth
-    return rows.select("ordinal", flat_fields(F.col("record"), depth, indexed=True).alias("fields"))
+    return with_fields(rows, {"fields": F.col("record")}, "ordinal", indexed=True)

@@ -170,12 +170,6 @@ def test_nested_jobs_and_first_values(one):
     assert one(lambda c: text.first_any(at(c, "a"), at(c, "b")), values) is None
 
 
-def test_nesting_is_told(one):
-    assert one(json_paths.nesting, '{"a":[{"b":"}{[\\\"["}],"c":{}}') == 3
-    assert one(json_paths.nesting, '"[[["') == 0
-    assert one(json_paths.nesting, '{"a":"' + "x\\n" * 200_000 + '"}') == 1
-
-
 def test_embedded_objects(one):
     nested = '<script type="text/javascript">var a = 1;</script><script type=\'text/javascript\' defer>window.x = {"@type": "JobPosting", "description":"<p>a } b</p>\n", "at":{"x":{}}}; var y = {"z":1};</script>'
     assert one(lambda c: F.to_json(markup.embedded_posting(c)), nested) == '{"@type":"JobPosting","at":{"x":{}},"description":"<p>a } b</p>\\n"}'
@@ -219,6 +213,35 @@ def test_flatten(spark):
     assert indexed == {"a.b[0]": "1", "a.b[1]": "2", "a.c": None, "d[0].e": "x", "d[1].e": "y"}
 
 
+DOCS = [
+    '{"a":{"b":[1,2.50,true,null],"c":null},"d":[{"e":"x"},{"e":[]},[1,[2]]],"f":[],"g":{},"h":{"i":{}},"é":"ü"}',
+    '[1, "two", null]', '[[], {}, {"k": false}]', '"text"', "12", "null", "[]", "{}", "bad", None, '{"n": 1e30, "m": -0.5, "big": 12345678901234567890}',
+]
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+def test_walked_documents_are_like_opened_ones(spark, monkeypatch, indexed):
+    deep = '{"a":' * 300 + '{"x": [1, {"y": "z"}]}' + "}" * 300
+    rows = spark.createDataFrame(list(enumerate([*DOCS, deep])), "id int, j string").withColumn("v", F.try_parse_json("j"))
+
+    def found():
+        got = {}
+        for r in json_paths.flatten(rows, F.col("v"), "id", indexed=indexed).collect():
+            got.setdefault(r.id, []).append((r.path, r.value))
+        return got
+
+    # No job looks first.
+    spark.sparkContext.setJobGroup(f"flatten-{indexed}", "")
+    json_paths.flatten(rows, F.col("v"), "id", indexed=indexed)
+    assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup(f"flatten-{indexed}"))
+    opened = found()
+    below = ".".join(["a"] * 300)
+    assert opened[len(DOCS)] == ([(f"{below}.x[0]", "1"), (f"{below}.x[1].y", "z")] if indexed else [(f"{below}.x.0", "1"), (f"{below}.x.1.y", "z")])
+    for levels in (0, 1, 2):
+        monkeypatch.setattr(json_paths, "LEVELS", levels)
+        assert found() == opened
+
+
 def test_unwrap_and_prefix(one):
     assert one(lambda c: json_paths.dig(json_paths.unwrap(F.parse_json(c)), "id", kind="int"), '{"jobDetail":{"data":{"job":{"id":5}}}}') == 5
     assert one(lambda c: json_paths.dig(json_paths.unwrap(F.parse_json(c)), "id", kind="int"), '{"id":6}') == 6
