@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postworks.functions.names import free
 from postworks.functions.text import strip
 
 
@@ -20,9 +21,10 @@ def to_resolve(rows: DataFrame, cache: DataFrame, column: str = "raw_location")
 
 def with_places(rows: DataFrame, cache: DataFrame, column: str = "raw_location") -> DataFrame:
     """Rows with their place's fields from a cache (query, geo struct or null): coordinates where known, names where not blank."""
-    joined = rows.withColumn("_q", strip(F.col(column))).join(cache.select(F.col("query").alias("_q"), F.col("geo").alias("_geo")), "_q", "left")
-    known = {c: F.coalesce(F.col(f"_geo.{c}"), F.col(c)) for c in ("latitude", "longitude")}
-    named = {c: F.coalesce(F.nullif(F.col(f"_geo.{c}"), F.lit("")), F.col(c)) for c in ("country", "state", "city", "postal_code")}
+    query, geo = free("query", rows.columns), free("geo", rows.columns)
+    joined = rows.withColumn(query, strip(F.col(column))).join(cache.select(F.col("query").alias(query), F.col("geo").alias(geo)), query, "left")
+    known = {c: F.coalesce(F.col(geo)[c], F.col(c)) for c in ("latitude", "longitude")}
+    named = {c: F.coalesce(F.nullif(F.col(geo)[c], F.lit("")), F.col(c)) for c in ("country", "state", "city", "postal_code")}
     return joined.withColumns(known | named).select(*rows.columns)
 
 
@@ -40,8 +42,9 @@ def new_columns(maps: DataFrame, column: str) -> DataFrame:
 
 def with_status(companies: DataFrame, status: DataFrame) -> DataFrame:
     """Companies with the fields of their latest status, where there is one."""
-    new = status.select("company_id", F.struct(*[c for c in status.columns if c != "company_id"]).alias("_status"))
+    latest = free("status", companies.columns)
+    new = status.select("company_id", F.struct(*[c for c in status.columns if c != "company_id"]).alias(latest))
     joined = companies.join(new, "company_id", "left")
     fields = [c for c in status.columns if c != "company_id"]
     old = lambda c: F.col(c) if c in companies.columns else F.lit(None)
-    return joined.withColumns({c: F.coalesce(F.col(f"_status.{c}"), old(c)) for c in fields}).drop("_status")
+    return joined.withColumns({c: F.coalesce(F.col(latest)[c], old(c)) for c in fields}).drop(latest)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postworks.functions.names import free
+
 
 def known_keys(rows: DataFrame, stored: DataFrame | SnapshotTable, vendor: str | None = "vendor", key: str = "dedupe_key") -> DataFrame:
     """Keys of rows that are stored, for the vendor or for any."""
@@ -42,7 +44,7 @@ def merged(stored: DataFrame, incoming: DataFrame, now: Column, order: str, vend
 
     first_seen stays as it was; updated_at is now for rows that came in.
     """
-    new, old_ = _free("_new", stored.columns), _free("_old", stored.columns)
+    new, old_ = free("_new", stored.columns), free("_old", stored.columns)
     values = [c for c in stored.columns if c not in (vendor, key, "first_seen", "updated_at")]
     last = incoming.groupBy(vendor, key).agg(F.max_by(F.struct(*values), order).alias(new))
     old = stored.select(vendor, key, F.struct(*values).alias(old_), "first_seen", "updated_at")
@@ -165,7 +167,7 @@ class SnapshotTable:
         none = self.spark.createDataFrame([], ", ".join(f"`{c}` {kinds[c]}" for c in on))
         if m.schema is None:
             return none
-        number = _free("_bucket", rows.columns)
+        number = free("_bucket", rows.columns)
         staged = f"{self.path}/data/keys-{uuid.uuid4().hex}"
         rows.where(F.coalesce(F.col(key), F.lit("")) != "").select(*on).distinct().withColumn(number, self._bucket(key)).write.parquet(staged)
         keys = self.spark.read.parquet(staged)
@@ -185,8 +187,8 @@ class SnapshotTable:
         return found.distinct() if key != self.key or not vendor else found
 
     def _write(self, df: DataFrame) -> list[Part]:
-        folder, bucket = f"data/{uuid.uuid4().hex}", _free("_bucket", df.columns)
-        part = _free("_part", df.columns)
+        folder, bucket = f"data/{uuid.uuid4().hex}", free("_bucket", df.columns)
+        part = free("_part", df.columns)
         # Folders are named by a hash of the vendor, as its name may not do for a path.
         name = F.concat(F.md5(F.coalesce(F.col(self.vendor), F.lit("")).cast("string")), F.when(F.col(self.vendor).isNull(), "n").otherwise("v"), self._bucket(self.key).cast("string"))
         df.withColumn(part, name).repartition(part).sortWithinPartitions(part, self.key).write.partitionBy(part).parquet(f"{self.path}/{folder}")
@@ -272,12 +274,6 @@ class SnapshotTable:
         return len(old)
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _blocks(sizes: dict[int, int], most: int) -> tuple[list[list[int]], list[list[int]]]:
     """Buckets in blocks of so many bytes at most, and those that are larger alone."""
     blocks, held, large = [[]], 0, []

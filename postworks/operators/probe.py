@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postworks.functions.markup import search_source
+from postworks.functions.names import free
 from postworks.functions.urls import is_posting_url
-from postworks.operators.dedupe import best_each, cap_each, first_values
+from postworks.operators.dedupe import best_each, first_values
 
 
 def sitemap_totals(urls: DataFrame, sitemap: str = "sitemap", loc: str = "loc", order: str = "ordinal", samples: int = 10) -> DataFrame:
@@ -18,9 +19,43 @@ def sitemap_totals(urls: DataFrame, sitemap: str = "sitemap", loc: str = "loc",
     return totals.join(first_values(first, sitemap, loc, order, samples).withColumnRenamed("values", "samples"), sitemap, "left")
 
 
-def scanned(urls: DataFrame, group: str, order: str, most: int = 500_000) -> DataFrame:
-    """The URLs that a scan limited to so many would have seen."""
-    return cap_each(urls, group, most, order)
+#: Children of an index that are scanned, URLs after which no further child is, URLs that are stored of an index and of a child.
+MOST_CHILDREN, MOST_URLS, STORED, STORED_EACH = 200, 500_000, 5_000, 500
+
+
+def scanned_children(children: DataFrame, urls: DataFrame, most_children: int = MOST_CHILDREN, most_urls: int = MOST_URLS) -> DataFrame:
+    """(index, child, sitemap, n_urls) of the children that a scan with a budget reads.
+
+    children: (index, child, sitemap) with child as the order; urls: (sitemap,
+    ordinal, loc) of those that were captured. The first children of an index are
+    taken in turn; the budget is looked at after each one, so the child in which it
+    is used up is read to its end. A child that wasn't captured has a null number of
+    URLs and uses nothing.
+    """
+    # Each task keeps the first children of its own before rows are shuffled, so a window holds most_children rows.
+    turn = free("turn", children.columns)
+    first = children.withColumn(turn, F.row_number().over(Window.partitionBy("index").orderBy("child"))).where(F.col(turn) <= most_children)
+    counted = first.join(urls.groupBy("sitemap").agg(F.count("*").alias("n_urls")), "sitemap", "left")
+    before = F.sum("n_urls").over(Window.partitionBy("index").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1))
+    passed = free("passed", counted.columns)
+    return counted.withColumn(passed, F.coalesce(before, F.lit(0))).where(F.col(passed) < most_urls).select("index", "child", "sitemap", "n_urls")
+
+
+def scan_totals(scanned: DataFrame, urls: DataFrame, each: bool = False, samples: int = 10, stored: int | None = None) -> DataFrame:
+    """Per index (or each child of it): n_children, n_urls, n_matched, n_unique, the first postings (samples) and those that are stored (kept)."""
+    group = ["index", "child"] if each else ["index"]
+    most = stored if stored is not None else STORED_EACH if each else STORED
+    rows = scanned.select("index", "child", "sitemap").join(urls, "sitemap")
+    found = rows.where(is_posting_url(F.col("loc"))).groupBy(*group, "loc").agg(F.count("*").alias("n"), F.min(F.struct("child", "ordinal")).alias("at"))
+    matched = found.groupBy(*group).agg(F.sum("n").alias("n_matched"), F.count("*").alias("n_unique"))
+    # As many of a group as are stored are left before they are gathered.
+    first = found.withColumn("turn", F.row_number().over(Window.partitionBy(*group).orderBy("at", "loc"))).where(F.col("turn") <= most)
+    lists = first.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "loc"))), lambda x: x["loc"]).alias("kept"))
+    totals = scanned.groupBy(*group).agg(F.count("*").alias("n_children"), F.coalesce(F.sum("n_urls"), F.lit(0)).alias("n_urls"))
+    joined = totals.join(matched, group, "left").join(lists, group, "left")
+    none = F.array().cast("array<string>")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_matched", "n_unique")]
+    return joined.select(*group, "n_children", "n_urls", *counts, F.slice(F.coalesce("kept", none), 1, samples).alias("samples"), F.coalesce("kept", none).alias("kept"))
 
 
 def best_sitemap(totals: DataFrame, company: str = "company") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postworks.functions.markup import repair_bom
+from postworks.functions.names import free
 from postworks.functions.text import strip
 
 
@@ -26,10 +27,11 @@ def sitemap_index(documents: DataFrame, *ids: str, xml: str = "xml") -> DataFram
     return _entries(documents, "sitemap", xml, *ids)
 
 
-def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
+def first_of(rows: DataFrame, key: str | Column | list, *order: str) -> DataFrame:
     """The first row of each key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    w = Window.partitionBy(*key if isinstance(key, list) else [key]).orderBy(*order)
+    turn = free("turn", rows.columns)
+    return rows.withColumn(turn, F.row_number().over(w)).where(F.col(turn) == 1).drop(turn)
 
 
 def expand(index_documents: DataFrame, child_documents: DataFrame, wanted: Column | None = None) -> DataFrame:
@@ -57,5 +59,4 @@ def robots_sitemaps(documents: DataFrame, *ids: str, text: str = "text") -> Data
     """(ids, ordinal, sitemap): what robots files name as sitemaps, each once."""
     lines = documents.select(*ids, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("ordinal", "line"))
     named = lines.where(F.col("line").rlike(r"(?i)^\s*sitemap:")).select(*ids, "ordinal", strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("sitemap"))
-    w = Window.partitionBy(*ids, "sitemap").orderBy("ordinal")
-    return named.where("sitemap != ''").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return first_of(named.where("sitemap != ''"), [*ids, "sitemap"], "ordinal")

@@ -63,7 +63,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path, mode="overwrite")
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Delete the application's tables below that folder; results that still read them must have been saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_path(spark, "x").rpartition("/")[0])
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share: below spark.checkpoint.dir, else below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that all machines share: below spark.checkpoint.dir, else below the warehouse.
+
+    A warehouse is a local folder unless it is set otherwise; that will do on one
+    machine only, so elsewhere it is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base, master = spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")) and (":" not in base or base.startswith("file:")):
+            raise ValueError("set spark.checkpoint.dir, or spark.sql.warehouse.dir, to a folder that all machines of the cluster share")
     return f"{base.rstrip('/')}/postings/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -269,7 +269,18 @@ def test_counts_of_links(spark):
 
 
 def test_scans_indexes_and_rejects(spark):
-    urls = spark.createDataFrame([("s", i, f"u{i}") for i in range(5)], "sitemap string, ordinal int, loc string")
-    assert probe.scanned(urls, "sitemap", "ordinal", most=3).count() == 3
+    job = lambda n: f"https://x/job/{n}"
+    urls = spark.createDataFrame([(s, i, job(i) if i % 2 else f"https://x/a/{i}") for s, n in (("a", 3), ("b", 4), ("d", 5), ("e", 1)) for i in range(n)], "sitemap string, ordinal int, loc string")
+    children = spark.createDataFrame([("i", 0, "a"), ("i", 2, "missing"), ("i", 5, "b"), ("i", 6, "d"), ("i", 9, "e"), ("j", 1, "b"), ("j", 2, "b"), ("k", 0, "missing")], "index string, child int, sitemap string")
+    seen = lambda **most: rows(probe.scanned_children(children, urls, **most), "index", "child", "n_urls")
+    assert seen() == [("i", 0, 3), ("i", 2, None), ("i", 5, 4), ("i", 6, 5), ("i", 9, 1), ("j", 1, 4), ("j", 2, 4), ("k", 0, None)]
+    # A child in which the budget is used up is read to its end; one that wasn't captured uses nothing.
+    assert seen(most_urls=4, most_children=4) == [("i", 0, 3), ("i", 2, None), ("i", 5, 4), ("j", 1, 4), ("k", 0, None)]
+    assert seen(most_urls=3) == [("i", 0, 3), ("j", 1, 4), ("k", 0, None)]
+    assert seen(most_children=1) == [("i", 0, 3), ("j", 1, 4), ("k", 0, None)]
+    whole = rows(probe.scan_totals(probe.scanned_children(children, urls), urls, samples=1))
+    assert whole == [("i", 5, 13, 5, 2, [job(1)], [job(1), job(3)]), ("j", 2, 8, 4, 2, [job(1)], [job(1), job(3)]), ("k", 1, 0, 0, 0, [], [])]
+    each = rows(probe.scan_totals(probe.scanned_children(children, urls, most_children=2), urls, each=True, stored=1))
+    assert each[:2] == [("i", 0, 1, 3, 1, 1, [job(1)], [job(1)]), ("i", 2, 1, 0, 0, 0, [], [])] and len(each) == 5
     docs = spark.createDataFrame([("<sitemapindex><sitemap><loc> a </loc></sitemap></sitemapindex>",)], "xml string")
     assert rows(sitemaps.sitemap_index(docs), "ordinal", "loc", "lastmod") == [(0, "a", "")]
