@@ -88,6 +88,19 @@ def _child_sitemaps(table) -> DataFrame:
     return table("pages").select(_cat("https://x/s/", k).alias("url"), _cat("<urlset>", entry(_cat("https://x/job/", k)), entry(_cat("https://x/job/", k % 40)), entry(_cat("https://x/about/", k)), "</urlset>").alias("xml"))
 
 
+@_query("""SELECT p_partkey % 2 = 1 AS packed, 'https://h.com/job/' || p_partkey || '?a=1&b=2' AS loc, CASE WHEN p_partkey % 3 = 0 THEN '2024-01-0' || p_partkey % 9 + 1 ELSE '' END AS lastmod FROM part WHERE p_partkey % 5 > 0""")
+def sitemap_elements(table):
+    """SRC4, SRC5: sitemap files read element by element, compressed ones too; blank URLs are dropped."""
+    k = _key()
+    loc = F.when(k % 5 > 0, _cat("https://h.com/job/", k, "?a=1&amp;b=2")).otherwise(F.lit(""))
+    rows = table("part").select((k % 2 == 1).alias("packed"), _cat("<url><loc> ", loc, "\n</loc>", F.when(k % 3 == 0, _cat("<lastmod>2024-01-0", k % 9 + 1, "</lastmod>")).otherwise(F.lit("<image:loc>i</image:loc>")), "</url>").alias("value"))
+    spark, path = rows.sparkSession, tables.work_path(rows.sparkSession, "sitemaps")
+    for packed in (False, True):
+        rows.where(F.col("packed") == packed).select("value").write.option("compression", "gzip" if packed else "none").text(f"{path}/{packed}")
+    found = sitemaps.sitemap_files(spark, [f"{path}/False", f"{path}/True"])
+    return found.select(F.col("file").endswith(".gz").alias("packed"), "loc", "lastmod")
+
+
 @_query("""WITH i AS (SELECT page_id AS index_url, page_id * 10 AS child, page_id AS c FROM pages UNION ALL SELECT page_id, page_id * 10 + 1, page_id % 7 FROM pages),
 u AS (SELECT page_id AS c, 0 AS o, page_id AS j FROM pages UNION ALL SELECT page_id, 1, page_id % 40 FROM pages)
 SELECT DISTINCT 'https://x/job/' || j AS loc FROM i JOIN u USING (c)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postworks.functions.markup import repair_bom
@@ -27,6 +27,22 @@ def sitemap_index(documents: DataFrame, *ids: str, xml: str = "xml") -> DataFram
     return _entries(documents, "sitemap", xml, *ids)
 
 
+def sitemap_files(spark: SparkSession, paths: str | list[str], tag: str = "url") -> DataFrame:
+    """(file, block, place, loc, lastmod) of captured sitemap files, or with tag "sitemap" of index files; order by block and place within a file.
+
+    Files are read element by element: the end of an element ends a record, so a
+    large file is shared among tasks and no sitemap has to fit a row. A compressed
+    file is read by one task, still record by record. An end tag inside a comment or
+    a CDATA section, or one with a namespace prefix, is not told apart.
+    """
+    read = spark.read.option("lineSep", f"</{tag}>").text(paths)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    inside = F.regexp_extract("value", rf"(?s)^.*<{tag}(?:\s[^>]*)?>(.*)$", 1)
+    entry = F.from_xml(F.concat(F.lit(f"<{tag}>"), inside, F.lit(f"</{tag}>")), "loc STRING, lastmod STRING")
+    found = rows.where(inside != "").withColumn("e", entry)
+    return found.select("file", "block", "place", strip(F.col("e.loc")).alias("loc"), F.coalesce(strip(F.col("e.lastmod")), F.lit("")).alias("lastmod")).where("loc != ''")
+
+
 def first_of(rows: DataFrame, key: str | Column | list, *order: str) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*key if isinstance(key, list) else [key]).orderBy(*order)
@@ -37,7 +53,11 @@ def first_of(rows: DataFrame, key: str | Column | list, *order: str) -> DataFram
 def expand(index_documents: DataFrame, child_documents: DataFrame, wanted: Column | None = None) -> DataFrame:
     """Two levels: an index (url, xml) to its children (url, xml) to unique posting URLs, in order of first occurrence."""
     children = sitemap_index(index_documents, "url").select(F.col("url").alias("index_url"), F.col("ordinal").alias("child"), F.col("loc").alias("sitemap"))
-    urls = sitemap_urls(child_documents.withColumnRenamed("url", "sitemap"), "sitemap")
+    return expand_urls(children, sitemap_urls(child_documents.withColumnRenamed("url", "sitemap"), "sitemap"), wanted)
+
+
+def expand_urls(children: DataFrame, urls: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """The same from children (index_url, child, sitemap) and URLs (sitemap, ordinal, loc, lastmod), wherever these were read."""
     joined = children.join(urls, "sitemap")
     kept = joined if wanted is None else joined.where(wanted)
     return first_of(kept, "loc", "index_url", "child", "ordinal").select("loc", "lastmod", "sitemap", "child", "ordinal")

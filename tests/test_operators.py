@@ -1,6 +1,7 @@
 """Operators on small tables: nulls, blanks, ties and repeated rows included."""
 
 import datetime
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +187,27 @@ def test_sitemaps(spark):
     assert rows(sitemaps.robots_sitemaps(robots), "sitemap") == [("https://a/1",), ("https://a/2",)]
 
 
+def test_sitemap_files_are_shared_among_tasks(spark, tmp_path):
+    head = '<?xml version="1.0"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+    entry = lambda i: f"<url {'' if i % 2 else chr(10)}><loc> https://x/job/{i}?a=1&amp;b=2 </loc>" + (f"\n<lastmod>2024-01-0{i % 9 + 1}</lastmod>" if i % 3 else "<image:image><image:loc>z</image:loc></image:image>") + "</url>" + "\n" * (i % 2)
+    text = head + "".join(map(entry, range(4000))) + "<url><loc> </loc></url><url></url></urlset>"
+    (tmp_path / "a.xml").write_text(text)
+    with gzip.open(tmp_path / "b.xml.gz", "wt") as f:
+        f.write(text)
+    whole = sitemaps.sitemap_urls(spark.createDataFrame([(text,)], "xml string")).orderBy("ordinal").select("loc", "lastmod").collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        for name in ("a.xml", "b.xml.gz"):
+            found = sitemaps.sitemap_files(spark, str(tmp_path / name))
+            assert found.orderBy("block", "place").select("loc", "lastmod").collect() == whole
+            assert (found.select("block").distinct().count() > 3) == (name == "a.xml")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "i.xml").write_text("<sitemapindex><sitemap><loc>a</loc></sitemap><sitemap><lastmod>2024</lastmod><loc>b</loc></sitemap></sitemapindex>")
+    assert rows(sitemaps.sitemap_files(spark, str(tmp_path / "i.xml"), "sitemap"), "loc", "lastmod") == [("a", ""), ("b", "2024")]
+
+
 def test_payloads(spark):
     body = lambda s: spark.createDataFrame([(s,), ("junk",)], "body string")
     assert rows(payloads.apply_v2(body('{"positions":[{"id":"1","name":"N","canonicalPositionUrl":"u"},{"ats_job_id":"2"}]}')), "posting_id", "title", "detail_url") == [("1", "N", "u")]
