@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postworks.functions import tree
 from postworks.functions.json_paths import balanced, entries_map, flat_entries, flat_fields, relaxed
 from postworks.functions.text import bound, html_to_text, strip, unescape
 
@@ -112,8 +113,8 @@ def element(html: Column, name: str) -> Column:
     return F.when(tag != "", inner)
 
 
-#: Elements without an end tag.
-VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+#: Bold labels that expressions are asked to follow, as each looks at all that comes after it.
+FEW_LABELS = 64
 
 
 def bold_blocks(html: Column) -> Column:
@@ -122,8 +123,14 @@ def bold_blocks(html: Column) -> Column:
     A block ends at the next bold label beside it or with the element that both
     stand in. Items of lists beside the label, one a line, count; without such a
     list the text does. Of equal labels the longest value counts. "Page Title"
-    is the page's heading, unless there is such a label.
+    is the page's heading, unless there is such a label. Pages with many labels, or
+    whose tags don't pair up, are read as trees.
     """
+    simple = F.coalesce(tree.pairs_up(html) & (F.regexp_count(html, F.lit(r"(?i)<b\b")) <= FEW_LABELS), F.lit(True))
+    return F.coalesce(tree.label_map(F.when(~simple, html)), _few_blocks(F.when(simple, html)))
+
+
+def _few_blocks(html: Column) -> Column:
     inner = F.coalesce(element(html, "career-detail-description"), html)
     parts = F.split(inner, r"(?i)<b\b[^>]*>")
 
@@ -156,7 +163,7 @@ def _beside(rest: Column) -> Column:
 
     def tag(piece: Column) -> Column:
         closes = piece.startswith("</")
-        named = lambda name: F.struct(name.alias("name"), ((name != "") & closes).alias("closes"), ((name != "") & ~closes & ~name.isin(VOID) & ~piece.rlike(r"^<[^>]*/>")).alias("opens"))
+        named = lambda name: F.struct(name.alias("name"), ((name != "") & closes).alias("closes"), ((name != "") & ~closes & ~name.isin(tree.VOID) & ~piece.rlike(r"^<[^>]*/>")).alias("opens"))
         return bound(F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][A-Za-z0-9]*)", 1)), named)
 
     def step(s: Column, piece: Column) -> Column:

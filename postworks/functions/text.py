@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postworks.functions import tree
+
 _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&ndash;": "–", "&mdash;": "—", "&bull;": "•", "&amp;": "&"}
 
 
@@ -53,6 +55,32 @@ def html_to_text(html: Column) -> Column:
     return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
+#: Tags, comments and declarations.
+_TAG = r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>"
+
+
+def description_text(html: Column) -> Column:
+    """A posting's description as text: each text between tags is a line, but a list item is one line whatever it holds.
+
+    Items that aren't closed or stand inside one another, and rare entities, are left to the tree. Null gives "".
+    """
+    plain = [e[1:-1] for e in _ENTITIES]
+    odd = F.coalesce(html.rlike(r"(?is)<li\b(?:(?!</li\b).)*<li\b") | (F.regexp_count(html, F.lit(r"(?i)<li\b")) != F.regexp_count(html, F.lit(r"(?i)</li\b"))) | html.rlike(rf"&(?!(?:{'|'.join(plain)});)#?[A-Za-z0-9]+"), F.lit(False))
+    ends = r"(?U)^\s+|\s+$"
+    texts = lambda x: F.filter(F.transform(F.split(x, _TAG), lambda t: F.regexp_replace(unescape(F.replace(t, F.lit("&nbsp;"), F.lit("\u00a0"))), ends, "")), lambda t: t != "")
+
+    def lines(part: Column, i: Column) -> Column:
+        halves = F.split(part, r"(?i)</li\s*>", 2)
+        item = F.array_join(texts(F.element_at(halves, 1)), " ")
+        listed = F.concat(F.filter(F.array(item), lambda t: t != ""), texts(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))))
+        return F.when(i == 0, texts(part)).otherwise(listed)
+
+    whole = F.regexp_replace(F.coalesce(F.when(~odd, html), F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "<p>")
+    joined = F.array_join(F.flatten(F.transform(F.split(whole, r"(?i)<li\b[^>]*>"), lines)), "\n")
+    tidy = F.regexp_replace(F.regexp_replace(joined, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return F.coalesce(tree.description_lines(F.when(odd, html)), F.regexp_replace(F.replace(tidy, F.lit("\u00a0"), F.lit(" ")), ends, ""))
+
+
 def quoted(text: str) -> str:
     """A pattern for exactly this text."""
     return "\\Q" + text + "\\E"

@@ -10,7 +10,7 @@ from postworks.functions.dates import parse_date
 from postworks.functions.keys import as_number, as_text
 from postworks.functions.money import salary
 from postworks.functions.sections import education_and_skills
-from postworks.functions.text import html_to_text
+from postworks.functions.text import description_text
 from postworks.functions.urls import normalize_url
 
 #: Columns of a canonical posting, in order, as exports name them.
@@ -50,7 +50,7 @@ def canonicalize(raw: DataFrame, vendor: Column, as_of: Column, keep: tuple[str,
     low, high = out["salary_min"], out["salary_max"]
     out["salary_min"], out["salary_max"] = F.when(none, parsed["low"]).otherwise(low), F.when(none, parsed["high"]).otherwise(high)
     out["bonus"] = F.coalesce(out["bonus"], F.lit(0.0))
-    out["description"] = html_to_text(out["description"])
+    out["description"] = description_text(out["description"])
     # The text is a column by now, so that the sections read it and don't make it anew.
     made = raw.select(*[out[c].alias(c) for c in COLUMNS], *keep)
     found = education_and_skills(F.col("description"))
