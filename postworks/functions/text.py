@@ -55,6 +55,8 @@ def html_to_text(html: Column) -> Column:
     return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
+#: More of them, which descriptions have.
+_NAMED = {"&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»"}
 #: Tags, comments and declarations.
 _TAG = r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>"
 
@@ -64,10 +66,10 @@ def description_text(html: Column) -> Column:
 
     Items that aren't closed or stand inside one another, and rare entities, are left to the tree. Null gives "".
     """
-    plain = [e[1:-1] for e in _ENTITIES]
+    plain = [e[1:-1] for e in _ENTITIES | _NAMED]
     odd = F.coalesce(html.rlike(r"(?is)<li\b(?:(?!</li\b).)*<li\b") | (F.regexp_count(html, F.lit(r"(?i)<li\b")) != F.regexp_count(html, F.lit(r"(?i)</li\b"))) | html.rlike(rf"&(?!(?:{'|'.join(plain)});)#?[A-Za-z0-9]+"), F.lit(False))
-    ends = r"(?U)^\s+|\s+$"
-    texts = lambda x: F.filter(F.transform(F.split(x, _TAG), lambda t: F.regexp_replace(unescape(F.replace(t, F.lit("&nbsp;"), F.lit("\u00a0"))), ends, "")), lambda t: t != "")
+    ends, named = r"(?U)^\s+|\s+$", {"&nbsp;": "\u00a0"} | _NAMED
+    texts = lambda x: F.filter(F.transform(F.split(x, _TAG), lambda t: F.regexp_replace(unescape(reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), named.items(), t)), ends, "")), lambda t: t != "")
 
     def lines(part: Column, i: Column) -> Column:
         halves = F.split(part, r"(?i)</li\s*>", 2)

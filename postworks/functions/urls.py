@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,14 @@ from postworks.functions.text import strip
 
 #: Parts of a path by which a posting's URL is known.
 POSTING_PARTS = ["/job/", "/jobs/", "/careers/job/", "/career/job/", "/vacancy/", "/vacancies/", "/position/", "/positions/", "/opportunity/", "/opportunities/"]
-#: English words that tell nothing about a posting.
-STOP_WORDS = "a an and are as at be but by for from has have in into is it its not of on or our that the their this to was we were will with you your".split()
+
+
+@functools.cache
+def stop_words() -> list[str]:
+    """English words that tell nothing about a posting: the list that Spark ML's StopWordsRemover has for English."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return StopWordsRemover.loadDefaultStopWords("english")
 
 
 def _parts(url: Column) -> tuple[Column, Column, Column]:
@@ -87,5 +95,5 @@ def url_tokens(url: Column, most: int = 12) -> Column:
     """The posting's id and the words of the last segment that tell something."""
     last = F.coalesce(last_segment(url), F.lit(""))
     plain = F.translate(F.coalesce(F.try_url_decode(last), last), "+-_", "   ")
-    words = F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(STOP_WORDS))
+    words = F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(stop_words()))
     return F.struct(posting_id(url).alias("job_id"), F.slice(words, 1, most).alias("slug_words"), last.alias("path_last"))

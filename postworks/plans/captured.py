@@ -485,8 +485,8 @@ def excerpts(table):
 
 @_query("""SELECT p_partkey, CAST(100000 + p_partkey AS VARCHAR) AS job_id, ['Senior', 'Data', 'Engineer'] AS words FROM part""")
 def url_words(table):
-    """URL7."""
-    found = urls.url_tokens(_cat("https://x/job/", _key() + 100000, "/Senior-Data_of%20the+Engineer-in"))
+    """URL7: stop words are those of Spark ML."""
+    found = urls.url_tokens(_cat("https://x/job/", _key() + 100000, "/Senior-Data_of%20the+Engineer-between-should_yourselves-in"))
     return table("part").select("p_partkey", found["job_id"].alias("job_id"), found["slug_words"].alias("words"))
 
 

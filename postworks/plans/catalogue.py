@@ -595,8 +595,26 @@ def mapped_rows(table):
     return mapping.normalize(rows, "sitemap", {"L": "listing", "J": "ld", "M": "meta"}).select("p_partkey", "posting_id", "position_title", "raw_location")
 
 
-@_query()
+def _texts_sql(markup: str) -> str:
+    """The texts between tags in SQL, unescaped and stripped, without blank ones."""
+    one = "replace(t, '&nbsp;', chr(160))"
+    for entity, to in [("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&ndash;", "'–'"), ("&mdash;", "'—'"), ("&bull;", "'•'"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")]:
+        one = f"replace({one}, '{entity}', {to})"
+    return rf"list_filter(list_transform(string_split_regex({markup}, '(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>'), lambda t: regexp_replace({one}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')), lambda t: t <> '')"
+
+
+_LINES_SQL = rf"""p AS (SELECT *, string_split_regex(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '<p>', 'g'), '(?i)<li\b[^>]*>') AS parts FROM pages),
+halves AS (SELECT *, list_transform(parts[2:], lambda x: string_split_regex(x, '(?i)</li\s*>')) AS items FROM p),
+lines AS (SELECT *, {_texts_sql("parts[1]")} || flatten(list_transform(items, lambda h: list_filter([array_to_string({_texts_sql("h[1]")}, ' ')], lambda u: u <> '') || {_texts_sql("array_to_string(h[2:], '</li>')")})) AS texts FROM halves),
+d AS (SELECT *, trim(replace(regexp_replace(regexp_replace(array_to_string(texts, chr(10)), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(160), ' '), ' ' || chr(10) || chr(9)) AS description FROM lines)"""
+
+
+@_query(rf"""WITH {_LINES_SQL},
+t AS (SELECT *, nullif(trim(replace(replace(replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') AS h1, regexp_extract(url, '(?s)^[^?#]*') AS bare FROM d)
+SELECT 'pages' AS vendor, h1 AS position_title, lower(regexp_extract(bare, '^([A-Za-z]+)://', 1)) || regexp_extract(bare, '^[A-Za-z]+(://.*)$', 1) AS detail_url, description, '2024-02-27' AS post_date, CAST(page_id AS VARCHAR) AS posting_id,
+  '$50/hr - $80/hr' AS salary_raw, 104000.0::DOUBLE AS salary_min, 166400.0::DOUBLE AS salary_max, 0.0::DOUBLE AS bonus, CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude,
+  {', '.join(f'CAST(NULL AS VARCHAR) AS {c}' for c in canonical.COLUMNS if c not in ('vendor', 'position_title', 'detail_url', 'description', 'post_date', 'posting_id', 'salary_raw', 'salary_min', 'salary_max', 'bonus', 'latitude', 'longitude'))} FROM t""")
 def canonical_rows(table):
-    """PRJ1, D1: pages as raw postings; tests hold it against rows that are worked out by hand."""
+    """PRJ1, D1, TXT1: pages as raw postings, with descriptions as lines."""
     raw = page_sources.spread(table("pages")).select(F.col("page_id").cast("string").alias("posting_id"), markup.h1_text(F.col("html")).alias("position_title"), F.col("url").alias("detail_url"), F.col("html").alias("description"), F.lit("3 days ago").alias("post_date"), F.lit("$50/hr - $80/hr").alias("salary_raw"))
     return canonical.canonicalize(raw, F.lit("pages"), F.lit("2024-03-01").cast("date"))

@@ -16,13 +16,14 @@ DESCRIPTIONS = {
     "plain  text\nwith \t lines": "plain text\nwith lines",
     "x\n\n\n\ny": "x\n\ny",
     "1 < 2 <b>so</b>": "1 < 2\nso",
+    "&copy; 2024&nbsp;&middot; it&rsquo;s": "© 2024 · it’s",
     "<ul><li></li><li> </li></ul>": "",
     "": "",
 }
 ODD = {
     "<ul><li>a<li>b <b>c</b></ul>d": "a\nb c\nd",
     "<ul><li>a<ul><li>b</li><li>c</li></ul></li><li>d</li></ul>": "a b c\nd",
-    "<p>one<p>two &rsquo;q&#8217;": "one\ntwo ’q’",
+    "<p>one<p>two &rsquo;q&#8217;&eacute;": "one\ntwo ’q’é",
     "<li>x": "x",
 }
 
