@@ -11,16 +11,17 @@ documents are counted by the lists they meet in:
 * skip: long lists aren't merged. A pair goes on if its collisions in short
   lists and the long lists that both could share add up to C;
 * the rest of a pair's collisions is counted on the two signatures; pairs with T
-  or more are retained, and confirmed on full sets.
+  or more are retained, unless parities of their sets tell that too many shingles
+  differ (which no pair that links can fail), and confirmed on full sets.
 
 Only components are asked for, so pairs of one component need not be made:
-documents with equal sets are one (the smallest id stands for all), each document
-of a long list is paired with the list's centre (its smallest id) at first, and
-only documents that are then still in different components are held against one
-another.
+documents with equal sets are one (the smallest id stands for all). Each document
+is first held against centres of its lists, in two rounds with other centres, and
+linked with the one that it agrees with most; lists are merged only for documents
+that are in different components after that.
 
 A link is missed only if two sets that overlap by the threshold agree in fewer
-than T of K coordinates: 3 in 10^9 at 0.8 exactly (K 32, T 11), less above.
+than T of K coordinates: 6 in 10^9 at 0.8 exactly (K 48, T 21), less above.
 
 Defined results: a text without words, or null, has no shingles and links with
 nothing; a text of fewer words than n has its whole sequence as one shingle. A
@@ -31,6 +32,7 @@ repeat an id are one node. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +47,13 @@ from postworks.llm.words import SPACED, mix, shingles, split_words, text_chunks
 #: The index that links: 80 of 100, as whole numbers. Words of a shingle.
 NUM, DEN, SIZE = 80, 100, 2
 #: Coordinates, those that have to agree, and collisions that have to be among the posted ones.
-COORDINATES, MATCHES, COLLISIONS = 32, 11, 3
+COORDINATES, MATCHES, COLLISIONS = 48, 21, 3
 #: Documents of a list that is merged; longer ones are skipped.
 SHORT = 32
+#: Rounds of centres, and centres that a document is held against in a round.
+ROUNDS, CENTRES = 2, 4
+#: Bits of a set's parities; 64-bit words of them, folded, that are compared inside the join.
+PARITIES, FOLDED = 1024, 4
 #: Slots of the frequency sketch, values that a task counts together, and the least count it reports.
 SLOTS, COUNTED, SEEN = 1 << 20, 1 << 22, 3
 
@@ -84,8 +90,19 @@ def _least_hashes(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set the parities of how many elements fall to each bit: sets differ in at least as many elements as these in bits."""
+    bit, out = (mix(h) % _U(PARITIES)).astype(np.int64), []
+    for lo in range(0, len(bounds) - 1, 1000):  # so many sets' counts at a time
+        own = bounds[lo : lo + 1001]
+        of = np.repeat(np.arange(len(own) - 1), np.diff(own))
+        odd = np.bincount(of * PARITIES + bit[own[0] : own[-1]], minlength=(len(own) - 1) * PARITIES) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(-1, PARITIES), axis=1))
+    return np.concatenate(out) if out else np.zeros((0, PARITIES // 8), np.uint8)
+
+
 def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE) -> DataFrame:
-    """(id, n, s1, s2, signature) of each document: the size of its set, 128 bits that tell it from others, its least hashes."""
+    """(id, n, s1, s2, signature) of each document: the size of its set, 128 bits that tell it from others, its least hashes and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -98,18 +115,24 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 if len(full):
                     for k in range(2):
                         sums[k][full] = np.add.reduceat(mix(h ^ _U(0x5851F42D4C957F2D * k & (2**64 - 1))), bounds[full])
-                    for i, row in zip(full, _least_hashes(h, bounds[full]), strict=True):
-                        signed[i] = row.tobytes()
+                    least, odd = _least_hashes(h, bounds[full]), _parities(h, bounds)[full]
+                    for i, row, bits in zip(full, least, odd, strict=True):
+                        signed[i] = row.tobytes() + bits.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *[pa.array(s.view(np.int64)) for s in sums], pa.array(signed, pa.binary())], ["id", "n", "s1", "s2", "signature"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, signature binary")
 
 
+def _parts(signed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Least hashes and parities of signatures, a row for each."""
+    whole = np.frombuffer(b"".join(signed.to_pylist()), np.uint8).reshape(-1, 4 * COORDINATES + PARITIES // 8)
+    return np.ascontiguousarray(whole[:, : 4 * COORDINATES]).view(np.uint32), np.ascontiguousarray(whole[:, 4 * COORDINATES :]).view(np.uint64)
+
+
 def _values(batch: pa.RecordBatch) -> np.ndarray:
     """(coordinate, value) pairs of a batch's signatures as one number each, a row for each document."""
-    blob = b"".join(batch.column(1).to_pylist())
-    return mix(np.frombuffer(blob, np.uint32).reshape(-1, COORDINATES).astype(np.uint64) | np.arange(COORDINATES, dtype=np.uint64) << _U(32))
+    return mix(_parts(batch.column(1))[0].astype(np.uint64) | np.arange(COORDINATES, dtype=np.uint64) << _U(32))
 
 
 def _frequencies(signed: DataFrame) -> np.ndarray:
@@ -155,26 +178,29 @@ def _sizes_fit(na: Column, nb: Column) -> Column:
 
 
 def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (of, to) whose sizes fit and whose signatures agree in MATCHES coordinates, with their number."""
-    # Coordinates are counted in Arrow batches: a row for each pair holds both signatures for the time of a batch only.
+    """Pairs (of, to) that agree in MATCHES coordinates, with their number, and whose sizes and parities allow a link."""
     sides = [signed.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}")) for c in ("of", "to")]
     both = pairs.join(sides[0], "of").join(sides[1], "to").where(_sizes_fit(F.col("n_of"), F.col("n_to")))
-    return _matched(both.select("of", "to", "s_of", "s_to"))
-
 
-def _matched(both: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in (2, 3))
-            n = (x == y).sum(axis=1)
-            good = pa.array(n >= MATCHES)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good), pa.array(n[n >= MATCHES])], ["of", "to", "matches"])
+            (x, odd_x), (y, odd_y) = (_parts(b.column(c)) for c in (2, 3))
+            matches = (x == y).sum(axis=1)
+            n = b.column(4).to_numpy()  # of both sets together
+            overlap = -(-NUM * n // (NUM + DEN))
+            good = (matches >= MATCHES) & (np.bitwise_count(odd_x ^ odd_y).sum(axis=1, dtype=np.int64) <= n - 2 * overlap)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good)), pa.array(matches[good])], ["of", "to", "matches"])
 
-    return both.mapInArrow(run, "of long, to long, matches long")
+    return both.select("of", "to", "s_of", "s_to", (F.col("n_of") + F.col("n_to")).alias("n")).mapInArrow(run, "of long, to long, matches long")
 
 
 def _links(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (of, to) whose full sets link, as (a, b)."""
+    """Those of the pairs (of, to) whose full sets link, as (a, b), written."""
+    with passing_tables(rows.sparkSession):
+        return keep(written(_linked(pairs, rows, size), "links"))
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     spark = rows.sparkSession
     ids = written(pairs.select(F.col("of").alias("id")).union(pairs.select("to")).distinct(), "ids")
     # Of other documents few pass the filter, and a join drops what was made of those.
@@ -210,59 +236,97 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def _components(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, one) of each document, where `one` stands for all of an equal set; and the components of those."""
     spark = rows.sparkSession
-    signed = written(signatures(rows, "id", "text", size), "signatures")
-    # Documents with equal sets are one, by the smallest id.
-    equal = written(signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("n", "s1", "s2", "first"), "equal")
-    joined = signed.join(equal, ["n", "s1", "s2"], "left").withColumn("one", F.when(F.col("n") > 0, F.coalesce("first", "id")).otherwise(F.col("id")))
-    known = keep(written(joined.select("id", "n", "one"), "documents"))
-    one = written(joined.where("n > 0 AND id = one").select("id", "n", "s1", "s2", "signature").dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "signature"), "distinct")
-    # An id with several texts is one node: its copies' nodes are linked.
-    same = known.where("id != one").select(F.col("id").alias("a"), F.col("one").alias("b")).join(known.groupBy("id").agg(F.countDistinct("one").alias("m")).where("m > 1").select(F.col("id").alias("a")), "a", "left_semi").distinct()
-
+    with passing_tables(spark):
+        known, one, same = _distinct(rows, size)
+    known = keep(known)
     frequency = spark.sparkContext.broadcast(_frequencies(one))
     postings = _postings(one, frequency)
-    lists = written(postings.groupBy("value").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1"), "lists")
-    posted = written(postings.join(lists, "value"), "posted")
-    long = written(posted.where(F.col("size") > SHORT).select("value", "id", "centre").distinct(), "long")
-    skipped = written(long.groupBy("id").agg(F.count("*").alias("skipped")), "skipped")
-    merged = posted.where(F.col("size") <= SHORT).groupBy("value").agg(F.sort_array(F.collect_set("id")).alias("ids"))  # SHORT ids at most
-    within = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(y.alias("of"), x.alias("to")))))
-    counted = merged.select(F.explode(within).alias("pair")).groupBy("pair.of", "pair.to").agg(F.count("*").alias("collisions"))
-    for side in ("of", "to"):
-        counted = counted.join(skipped.select(F.col("id").alias(side), F.col("skipped").alias(f"skipped_{side}")), side, "left")
-    could = F.col("collisions") + F.least(F.coalesce("skipped_of", F.lit(0)), F.coalesce("skipped_to", F.lit(0))) >= COLLISIONS
-    stars = long.where("id != centre").select(F.col("id").alias("of"), F.col("centre").alias("to")).distinct()
-    alike = written(_agreeing(counted.where(could).select("of", "to").union(stars).distinct(), one), "alike")
-
-    # First each document with the partner it agrees with most; then what is still apart.
-    first = written(alike.groupBy("of").agg(F.max(F.struct("matches", (-F.col("to")).alias("to"))).alias("best")).select("of", (-F.col("best.to")).alias("to")), "first")
-    links = written(_links(first, rows, size).union(same), "links")
-    groups = keep(written(components(links), "groups"))
-    rest = written(_still_apart(alike.select("of", "to"), long.join(skipped.where(F.col("skipped") >= COLLISIONS), "id", "left_semi"), groups, one).join(first, ["of", "to"], "left_anti"), "rest")
-    more = written(_links(rest, rows, size), "links")
+    with passing_tables(spark):
+        lists = written(postings.groupBy("value").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1"), "lists")
+        posted = keep(written(postings.join(lists, "value"), "posted"))
+    skipped = written(posted.where(F.col("size") > SHORT).groupBy("id").agg(F.countDistinct("value").alias("skipped")), "skipped")
+
+    links, lists = same, posted.withColumn("g", F.col("id"))
+    for number in range(ROUNDS):
+        with passing_tables(spark):
+            pairs = written(_best(_agreeing(_starred(lists, number), one)), "pairs")
+            found = keep(_links(pairs, rows, size))
+        links = links.union(found)
+        with passing_tables(spark):
+            groups = keep(written(components(links), "groups"))
+        groups = keep(groups)
+        lists = _mixed(posted, groups)
+    with passing_tables(spark):
+        rest = written(_agreeing(_apart(lists, skipped, one), one).select("of", "to"), "rest")
+        more = keep(_links(rest, rows, size))
     if more.limit(1).count():
         groups = keep(written(components(links.union(more)), "groups"))
     return known, groups
 
 
-def _still_apart(pairs: DataFrame, members: DataFrame, groups: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of different components: those given, and those of members of a long list whose signatures agree.
+def _distinct(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (id, n, one), the signatures of those that stand for others, and links between texts of one id."""
+    signed = written(signatures(rows, "id", "text", size), "signatures")
+    equal = written(signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("n", "s1", "s2", "first"), "equal")
+    joined = signed.join(equal, ["n", "s1", "s2"], "left").withColumn("one", F.when(F.col("n") > 0, F.coalesce("first", "id")).otherwise(F.col("id")))
+    one = keep(written(joined.where("n > 0 AND id = one").select("id", "n", "s1", "s2", "signature").dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "signature"), "distinct"))
+    # An id with several texts is one node: its copies' nodes are linked.
+    several = joined.groupBy("id").agg(F.countDistinct("one").alias("m")).where("m > 1").select(F.col("id").alias("a"))
+    same = keep(written(joined.where("id != one").select(F.col("id").alias("a"), F.col("one").alias("b")).join(several, "a", "left_semi").distinct(), "same"))
+    known = keep(written(joined.select("id", "n", "one"), "documents"))
+    return known, one, same
+
+
+def _mixed(posted: DataFrame, groups: DataFrame) -> DataFrame:
+    """Lists with documents of several components (g)."""
+    grouped = posted.join(groups.select("id", F.col("component").alias("g")), "id", "left").withColumn("g", F.coalesce("g", "id"))
+    several = grouped.groupBy("value").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("value")
+    return grouped.join(several, "value", "left_semi")
+
+
+def _starred(lists: DataFrame, number: int) -> DataFrame:
+    """Each document with the centres of its lists, those of most lists first; a list's centre is its smallest id, in later rounds by a hash."""
+    if number == 0:
+        stars = lists.where("id != centre").groupBy("id", F.col("centre").alias("to")).agg(F.count("*").alias("c"))
+    else:
+        centres = lists.groupBy("value").agg(F.min_by(F.struct("id", "g"), F.struct(F.xxhash64("id", F.lit(number)), "id")).alias("new"))
+        stars = lists.join(centres, "value").where("g != new.g").groupBy("id", F.col("new.id").alias("to")).agg(F.count("*").alias("c"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("c", (-F.col("to")).alias("to"))), asc=False), 1, CENTRES)  # of as many as it has lists
+    return stars.groupBy("id").agg(best.alias("best")).select(F.col("id").alias("of"), F.explode("best.to").alias("to")).select("of", (-F.col("to")).alias("to"))
 
-    Who shares no short list has to share COLLISIONS long ones, so other members needn't be given.
+
+def _best(agreeing: DataFrame) -> DataFrame:
+    """Each document with the one that it agrees with most."""
+    return agreeing.groupBy("of").agg(F.max(F.struct("matches", (-F.col("to")).alias("to"))).alias("best")).select("of", (-F.col("best.to")).alias("to"))
+
+
+def _apart(lists: DataFrame, skipped: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs of different components that may link, by their collisions in short lists, or else in long ones.
+
+    Who shares no short list has to share COLLISIONS long ones, so other members of
+    those stay out. Sizes and parities are held against each other inside the join,
+    so that no pair leaves it that can't link.
     """
+    words = [f"p{k}" for k in range(FOLDED)]
 
-    def grouped(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.join(groups.select(F.col("id").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-
-    given = grouped(grouped(pairs, "of", "c_of"), "to", "c_to").where("c_of != c_to").select("of", "to")
-    known = written(grouped(members, "id", "g"), "members")
-    mixed = known.groupBy("value").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("value")
-    open_ = written(known.join(mixed, "value", "left_semi").select("value", "id", "g").join(signed, "id"), "open")
-    sides = [open_.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "g", "n", "signature")]) for side in ("of", "to")]
-    fits = (F.col("id_to") < F.col("id_of")) & (F.col("g_of") != F.col("g_to")) & _sizes_fit(F.col("n_of"), F.col("n_to"))
-    # A sum over coordinates inside the join, so that no pair leaves it that doesn't agree.
-    agree = F.lit(0)
-    for k in range(COORDINATES):
-        agree += (F.substring("signature_of", 4 * k + 1, 4) == F.substring("signature_to", 4 * k + 1, 4)).cast("int")
-    within = sides[0].join(sides[1], (sides[0]["value"] == sides[1]["value"]) & fits & (agree >= MATCHES)).select(F.col("id_of").alias("of"), F.col("id_to").alias("to"))
-    return given.union(within).distinct()
+    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            odd = np.bitwise_xor.reduce(_parts(b.column(2))[1].reshape(len(b), -1, FOLDED), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(w)) for w in odd.T]], ["id", "n", *words])
+
+    long = F.col("size") > SHORT
+    many = lists.where(long).join(skipped.where(F.col("skipped") >= COLLISIONS).select("id"), "id", "left_semi")
+    wanted = lists.where(~long).select("value", "id", "g", "size").union(many.select("value", "id", "g", "size"))
+    told = signed.select("id", "n", "signature").mapInArrow(parities, "id long, n long, " + ", ".join(f"{w} long" for w in words))
+    open_ = written(wanted.join(told, "id"), "open")
+    sides = [open_.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "g", "n", "size", *words)]) for side in ("of", "to")]
+    na, nb = F.col("n_of"), F.col("n_to")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{w}_of").bitwiseXOR(F.col(f"{w}_to"))) for w in words])
+    overlap = F.ceil(NUM * (na + nb) / (NUM + DEN))
+    fits = (F.col("id_to") < F.col("id_of")) & (F.col("g_of") != F.col("g_to")) & _sizes_fit(na, nb) & (differ <= na + nb - 2 * overlap)
+    met = sides[0].join(sides[1], (sides[0]["value"] == sides[1]["value"]) & fits)
+    counted = met.groupBy(F.col("id_of").alias("of"), F.col("id_to").alias("to")).agg(F.count_if(F.col("size_of") <= SHORT).alias("collisions"), F.count_if(F.col("size_of") > SHORT).alias("common"))
+    for side in ("of", "to"):
+        counted = counted.join(skipped.select(F.col("id").alias(side), F.col("skipped").alias(f"skipped_{side}")), side, "left")
+    could = F.least(F.coalesce("skipped_of", F.lit(0)), F.coalesce("skipped_to", F.lit(0)))
+    return counted.where(F.col("collisions") + F.greatest("common", could) >= COLLISIONS).select("of", "to")
