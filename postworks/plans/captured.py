@@ -598,6 +598,35 @@ def two_runs(table):
     return rows.select("vendor", "dedupe_key", "position_title", "detail_url", "post_date", "raw_location", "description", seen.alias("seen"))
 
 
+@_query("""WITH r AS (SELECT unnest(['phenom_search', 'encoded_api', 'usajobs_api']) AS platform, p_partkey, p_name, p_brand FROM part WHERE p_partkey % 4 > 0)
+SELECT platform, CAST(p_partkey AS VARCHAR) AS posting_id, CASE WHEN p_partkey % 3 <> 2 THEN p_name END AS position_title, '2024-02-01' AS post_date, CASE platform WHEN 'usajobs_api' THEN 'U ' WHEN 'encoded_api' THEN 'B ' ELSE 'V ' END || p_brand AS description,
+  CASE WHEN p_partkey % 3 = 2 THEN 'missing_required:Position Title' ELSE 'stored' END AS outcome FROM r""")
+def platform_runs(table):
+    """The run itself on platforms whose documents are page states, listings with labelled pages, and whole payloads; with a first day, and rejected rows."""
+    k = _key()
+    title, day = F.when(k % 3 != 2, F.col("p_name")), F.when(k % 4 == 0, "2023-12-01").otherwise("2024-02-01")
+    url = _cat("https://h.com/job/", k)
+    rows = table("part").select(F.lit("v").alias("vendor"), k.alias("ordinal"), _s(k).alias("posting_id"), F.lit("").alias("title"), url.alias("detail_url"), title.alias("real"), day.alias("day"), "p_brand")
+    state = F.to_json(F.struct(F.struct(F.struct(title.alias("title"), day.alias("datePosted"), _cat("<p>V ", F.col("p_brand"), "</p>").alias("description")).alias("posting")).alias("position")))
+    states = table("part").select(url.alias("url"), _cat("<script>phApp.ddo = ", state, ";</script>").alias("html"))
+    labels = table("part").select(url.alias("url"), _cat("<div class='career-detail-description'><b>description:</b> B ", F.col("p_brand"), "</div>").alias("html"))
+    plain = rows.drop("real", "day", "p_brand")
+    payload = {"PositionID": F.col("posting_id"), "PositionTitle": F.col("real"), "PositionURI.0": F.col("detail_url"), "PublicationStartDate": F.col("day"), "PositionSummary": _cat("U ", F.col("p_brand"))}
+    fields = F.create_map(*[x for n, c in payload.items() for x in (F.lit(n), c)])
+    listings = {
+        "phenom_search": (plain, states),
+        "encoded_api": (rows.select("vendor", "ordinal", "posting_id", F.coalesce("real", F.lit("")).alias("title"), "detail_url", F.col("day").alias("post_date")), labels),
+        "usajobs_api": (rows.select("vendor", "ordinal", "posting_id", "title", "detail_url", fields.alias("vendor_fields")), None),
+    }
+    done = []
+    for platform, (listing, pages) in listings.items():
+        stored = incremental.SnapshotTable(rows.sparkSession, tables.work_path(rows.sparkSession, platform), buckets=2)
+        ran = runs_of_postings.run(stored, listing, pages, platform, F.lit("2024-02-10").cast("date"), first_day=F.lit("2024-01-01").cast("date"))
+        columns = [F.lit(platform).alias("platform"), "posting_id", "position_title", "post_date", "description"]
+        done += [stored.read().select(*columns, F.lit("stored").alias("outcome")), ran.rejected.select(*columns, F.array_join("errors", ",").alias("outcome"))]
+    return tables.union_all(*done)
+
+
 @_query("""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'b' ELSE 'a' END AS vendor, row_number() OVER (PARTITION BY p_partkey % 5 = 0 ORDER BY p_partkey) AS n FROM part),
 c AS (SELECT * FROM r WHERE n <= 150), f AS (SELECT count(*) AS listed, count(*) FILTER (p_partkey % 4 = 1) AS known, count(*) FILTER (p_partkey % 4 <> 1 AND p_partkey % 3 > 0) AS parsed, count(*) FILTER (p_partkey % 4 <> 1 AND p_partkey % 3 = 2) AS rejected FROM c)
 SELECT unnest(['listed', 'known', 'new', 'parsed', 'rejected', 'keyless', 'stored']) AS name, CAST(unnest([listed, known, listed - known, parsed, rejected, 0, parsed - rejected]) AS DOUBLE) AS total FROM f""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -20,6 +21,8 @@ MAPS = {"L": "listing", "J": "jsonld", "V": "vendor_fields", "M": "meta", "B": "
 NESTED = {"phenom_search": {"V": "job_fields"}}
 
 
+#: Platforms whose listing holds the whole document, so that no page is fetched.
+API_FIRST = {"usajobs_api"}
 #: Counters of a run, in the order in which rows pass them.
 COUNTS = ("listed", "known", "new", "parsed", "rejected", "keyless", "stored")
 
@@ -47,26 +50,36 @@ def listed_rows(listing: DataFrame, stored: DataFrame | SnapshotTable | None, ca
     return rows.join(known, ["vendor", "dedupe_key"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def parsed_rows(rows: DataFrame, pages: DataFrame, columns: list[str], platform: str, as_of: Column, first_day: Column | None = None) -> DataFrame:
+def parsed_rows(rows: DataFrame, pages: DataFrame | None, columns: list[str], platform: str, as_of: Column, first_day: Column | None = None, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Canonical postings of listing rows, first of each key, with their error codes. columns: those of the listing that mappings may use.
 
-    Pages are only read for these rows.
+    Pages are only read for these rows, and not at all for platforms whose listing
+    has the whole document (the map column `vendor_fields`). stage: writes the
+    canonical rows, so that what is asked of them is not planned as part of making them.
     """
-    wanted = pages.join(rows.select(F.col("detail_url").alias("url")).distinct(), "url", "left_semi")
-    maps = MAPS | NESTED.get(platform, {})
-    found = detail_artifacts(wanted, parts=("canonical_url", *[c for c in maps.values() if c != "listing"]))
-    text = [c for c in columns if c not in ("vendor", "ordinal")]
-    listed = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c).cast("string")) for c in [*text, "canonical_url"]]))
-    joined = with_artifacts(rows, found).select("vendor", "ordinal", listed.alias("listing"), *[c for c in maps.values() if c != "listing"])
-    mapped = normalize(joined.withColumnRenamed("vendor", "_vendor"), platform, maps)
-    postings = canonicalize(mapped, F.col("_vendor"), as_of, keep=("ordinal",))
+    mapped = normalize(_joined(rows, pages, columns, platform), platform, MAPS | NESTED.get(platform, {}))
+    postings = stage(canonicalize(mapped, F.col("_vendor"), as_of, keep=("ordinal",)))
     own = dedupe_key(F.col("posting_id"), F.col("detail_url"), F.col("position_title"))
     first = keep_first(postings.withColumn("dedupe_key", own), F.col("dedupe_key"), "ordinal", within="vendor")
     recent = first if first_day is None else since(first, first_day, as_of)
     return recent.withColumn("errors", errors(recent))
 
 
-def new_postings(listing: DataFrame, pages: DataFrame, stored: DataFrame | SnapshotTable | None, platform: str, as_of: Column, cap: int | None = None, first_day: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def _joined(rows: DataFrame, pages: DataFrame | None, columns: list[str], platform: str) -> DataFrame:
+    """Listing rows (_vendor, ordinal) with the maps that the platform's mapping reads."""
+    text = [c for c in columns if c not in ("vendor", "ordinal", "vendor_fields")]
+    if platform in API_FIRST:
+        listed = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c).cast("string")) for c in text]))
+        none = F.create_map().cast("map<string,string>")
+        return rows.select(F.col("vendor").alias("_vendor"), "ordinal", listed.alias("listing"), "vendor_fields", *[none.alias(c) for c in ("jsonld", "meta", "bold")])
+    wanted = pages.join(rows.select(F.col("detail_url").alias("url")).distinct(), "url", "left_semi")
+    maps = MAPS | NESTED.get(platform, {})
+    found = detail_artifacts(wanted, parts=("canonical_url", *[c for c in maps.values() if c != "listing"]))
+    listed = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c).cast("string")) for c in [*text, "canonical_url"]]))
+    return with_artifacts(rows, found).select(F.col("vendor").alias("_vendor"), "ordinal", listed.alias("listing"), *[c for c in maps.values() if c != "listing"])
+
+
+def new_postings(listing: DataFrame, pages: DataFrame | None, stored: DataFrame | SnapshotTable | None, platform: str, as_of: Column, cap: int | None = None, first_day: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Canonical postings that aren't stored yet, ready to be upserted, and rejected ones with their errors.
 
     listing: vendor, ordinal, posting_id, title, detail_url, and what else a
@@ -78,16 +91,16 @@ def new_postings(listing: DataFrame, pages: DataFrame, stored: DataFrame | Snaps
     return found.where(F.size("errors") == 0).drop("errors"), found.where(F.size("errors") > 0)
 
 
-def run(table: SnapshotTable, listing: DataFrame, pages: DataFrame, platform: str, as_of: Column, cap: int | None = None, first_day: Column | None = None) -> Outcome:
+def run(table: SnapshotTable, listing: DataFrame, pages: DataFrame | None, platform: str, as_of: Column, cap: int | None = None, first_day: Column | None = None) -> Outcome:
     """One run against a stored table: new postings are upserted; what was rejected is returned, with the run's counts.
 
-    The listing with what is known of it, and the parsed rows, are each written
-    once; counts are observed as they are written, so nothing is read to count it.
+    The listing with what is known of it, canonical rows, and the parsed rows are
+    each written once; counts are observed as they are written, so nothing is read to count it.
     """
     listed, parsed = Observation(), Observation()
     rows = listed_rows(listing, table, cap)
     rows = table.stage(rows.observe(listed, F.count("*").alias("listed"), F.count_if("known").alias("known")))
-    found = parsed_rows(rows.where("NOT known"), pages, listing.columns, platform, as_of, first_day)
+    found = parsed_rows(rows.where("NOT known"), pages, listing.columns, platform, as_of, first_day, table.stage)
     good = F.size("errors") == 0
     keyed = table.storable()
     found = table.stage(found.observe(parsed, F.count("*").alias("parsed"), F.count_if(~good).alias("rejected"), F.count_if(good & ~keyed).alias("keyless")))
