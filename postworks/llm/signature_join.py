@@ -53,7 +53,7 @@ SHORT = 32
 #: Rounds of centres, and centres that a document is held against in a round.
 ROUNDS, CENTRES = 2, 4
 #: Bits of a set's parities; 64-bit words of them, folded, that are compared inside the join.
-PARITIES, FOLDED = 1024, 4
+PARITIES, FOLDED = 1024, 8
 #: Slots of the frequency sketch, values that a task counts together, and the least count it reports.
 SLOTS, COUNTED, SEEN = 1 << 20, 1 << 22, 3
 

@@ -52,7 +52,7 @@ def corpus(seed, n=260):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "short"), [(1, 32), (2, 2), (3, 1)])
+@pytest.mark.parametrize(("seed", "short"), [(1, 32), (3, 1)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, short):
     monkeypatch.setattr(signature_join, "SHORT", short)
     rows = [*corpus(seed), (1000, None), (1001, ""), (1002, " \t"), (1003, "one two"), (1004, "ONE\ntwo"), (1005, "one"), (1006, "ONE"), (1007, "x " * 30000)]
