@@ -19,6 +19,8 @@ from postworks.sources import sitemaps
 from postworks.sources.tables import work_path
 
 FLAGSHIP = "search_page"
+#: Tables whose rows stand for documents, of which a few MB hold a million: read as they lie, they would be one task's or two tasks' work.
+COMPACT = {"part"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -28,7 +30,11 @@ def _query(sql: str | None = None):
 
     def register(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            def table(name: str) -> DataFrame:
+                rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                return page_sources.dealt(rows) if name in COMPACT else rows
+
+            return f(table)
 
         QUERIES[f.__name__] = run
         run.__doc__ = f.__doc__

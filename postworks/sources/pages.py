@@ -70,6 +70,11 @@ def spread(pages: DataFrame) -> DataFrame:
     return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a compact table, dealt to all cores whatever its files are: documents that are made of them take far longer than the shuffle of the rows."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 PARTS = ("html", "vendor_blob", "vendor_fields", "job_fields", "jsonld", "meta", "datalayer", "canonical_url", "h1", "smart_apply", "bold")
 
 
