@@ -50,12 +50,13 @@ def canonicalize(raw: DataFrame, vendor: Column, as_of: Column, keep: tuple[str,
     low, high = out["salary_min"], out["salary_max"]
     out["salary_min"], out["salary_max"] = F.when(none, parsed["low"]).otherwise(low), F.when(none, parsed["high"]).otherwise(high)
     out["bonus"] = F.coalesce(out["bonus"], F.lit(0.0))
-    out["description"] = description_text(out["description"])
+    # Neither is worth working out where there is no text.
+    out["description"] = F.when(out["description"].isNull(), "").otherwise(description_text(out["description"]))
     # The text is a column by now, so that the sections read it and don't make it anew.
     made = raw.select(*[out[c].alias(c) for c in COLUMNS], *keep)
     found = education_and_skills(F.col("description"))
     filled = ("required_education", "preferred_education", "required_skills", "preferred_skills")
-    return made.select(*[F.coalesce(F.col(c), found[c]).alias(c) if c in filled else F.col(c) for c in COLUMNS], *keep)
+    return made.select(*[F.coalesce(F.col(c), F.when(F.col("description") != "", found[c])).alias(c) if c in filled else F.col(c) for c in COLUMNS], *keep)
 
 
 def to_display(df: DataFrame) -> DataFrame:

@@ -15,12 +15,13 @@ from postworks.functions.keys import dedupe_key
 from postworks.operators.canonical import canonicalize
 from postworks.operators.dedupe import keep_first
 from postworks.operators.incremental import SnapshotTable
+from postworks.sources.pages import spread
 
 
 def ingest_batch(rows: DataFrame, number: int, table: SnapshotTable, stream: str, vendor: Column, as_of: Column, order: str = "ordinal") -> None:
     """One batch of a stream: canonical postings, first of each key, upserted, once."""
     # Written first, so that keys are taken of columns and not of the whole mapping.
-    canonical = table.stage(canonicalize(rows, vendor, as_of, keep=(order,)))
+    canonical = table.stage(canonicalize(spread(rows), vendor, as_of, keep=(order,)))
     keyed = canonical.withColumn("dedupe_key", dedupe_key(F.col("posting_id"), F.col("detail_url"), F.col("position_title")))
     table.upsert(keep_first(keyed, F.col("dedupe_key"), order, within="vendor"), as_of.cast("timestamp"), order, batch=(stream, number))
 
