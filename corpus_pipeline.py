@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postworks.llm import contamination, jaccard_join, language_mixture, line_dedup, queries, sentencepiece_codec
-from postworks.llm.components import components
 from postworks.llm.scratch import keep, passing_tables, written
 
 
@@ -42,16 +41,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lines were removed: what is left of a copy whose lines have gone resembles
     its source no more.
     """
-    # Each document is one node as it is, and a second one as it was, where that differs; the two are joined afterwards.
-    # Nodes are twice the id (ids have 62 bits), so that the smallest node is of the smallest id.
+    # Each document is one node as it is, and a second one as it was, where that differs; the join takes both for one document.
+    # Nodes are twice the id (ids have 62 bits).
+    # Which texts differ is told by hashes alone; texts are then read once, and written, as the join reads its nodes several times.
     now = docs.select("doc_id", F.xxhash64("text").alias("hash")).where("doc_id IS NOT NULL").distinct()
     given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    before = given.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").join(now, ["doc_id", "hash"], "left_anti")
+    changed = written(given.select("doc_id", "hash").distinct().join(now.select("doc_id").distinct(), "doc_id", "left_semi").join(now, ["doc_id", "hash"], "left_anti"), "changed")
+    before = written(given.join(changed, ["doc_id", "hash"], "left_semi").select("doc_id", "text"), "before")
     nodes = docs.select(F.shiftleft("doc_id", 1).alias("doc_id"), "text").union(before.select(F.shiftleft("doc_id", 1) + 1, "text"))
-    found = jaccard_join.join_components(nodes).where("component_id != doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    links = written(found.select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b")).where("a != b").distinct(), "copies")
-    groups = components(links)
-    gone = written(groups.where("component != id").select(F.col("id").alias("doc_id")), "copies")
+    document = lambda node: F.shiftright(node, 1)
+    found = jaccard_join.join_components(nodes, document=document).select(document(F.col("doc_id")).alias("doc_id"), "component_id")
+    gone = written(found.where("component_id != doc_id").select("doc_id").distinct(), "copies")
     kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if not again.limit(1).count():

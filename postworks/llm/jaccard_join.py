@@ -29,7 +29,7 @@ repeat an id are one node. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -363,21 +363,28 @@ def _prefix_length(n: Column) -> Column:
     return n - F.floor((NUM * n + DEN - 1) / DEN) + 1
 
 
-def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
-    """(id, n_shingles, component_id) of each document."""
+def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, document: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, n_shingles, component_id) of each document.
+
+    document: whose text a row is, by the row's id, where documents have several
+    texts. Those of one document belong together, so they aren't compared, and
+    component_id is the smallest document.
+    """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     everything = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     rows = everything.where("id IS NOT NULL")
     with passing_tables(spark):
-        known, groups = _components(rows, size)
+        known, groups = _components(rows, size, document)
     own = F.coalesce("component", "one").alias("component_id")
+    known = known if document is None else known.withColumn("one", document(F.col("one")))
     done = known.join(groups.select(F.col("id").alias("one"), "component"), "one", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), own)
     return done.union(everything.where("id IS NULL").select("id", F.lit(None).cast("long"), F.lit(None).cast("long")))
 
 
-def _components(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n, one) of each document, where `one` stands for all of an equal set; and the components of those."""
+def _components(rows: DataFrame, size: int, texts_of: Callable[[Column], Column] | None) -> tuple[DataFrame, DataFrame]:
+    """(id, n, one) of each text, where `one` stands for all of an equal set; and the components of documents."""
+    document = texts_of or (lambda c: c)
     spark = rows.sparkSession
     classes, entries = _frequencies(rows, size)
     frequency = spark.sparkContext.broadcast(classes)
@@ -396,9 +403,9 @@ def _components(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         return df.join(to, column, "left").withColumn(column, F.coalesce("_one", column)).drop("_one")
 
     members = written(as_one(found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("na").alias("n"), F.col("nb").alias("pos")), "id").distinct(), "members")
-    stars = as_one(as_one(found.where(F.col("kind") == STAR).select(F.col("a").alias("of"), F.col("b").alias("to"), "c"), "of"), "to").where("of != to")
+    stars = as_one(as_one(found.where(F.col("kind") == STAR).select(F.col("a").alias("of"), F.col("b").alias("to"), "c"), "of"), "to").where(document(F.col("of")) != document(F.col("to")))
     # Overlaps counted in small columns, and the most that large ones can add to them.
-    counted = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
+    counted = found.where((F.col("kind") == PAIR) & (document(F.col("a")) != document(F.col("b")))).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
     unseen = written(members.groupBy("id").agg(F.count("*").alias("large")), "large")
     least = _least_overlap(F.col("na"), F.col("nb"))
     due = F.greatest(F.lit(1), F.least(_prefix_length(F.col("na")) - F.col("na") + least, _prefix_length(F.col("nb")) - F.col("nb") + least))
@@ -410,20 +417,23 @@ def _components(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     # First each document with the partner it shares most columns with; then what is still apart.
     ordered = lambda df: df.select(F.least("of", "to").alias("a"), F.greatest("of", "to").alias("b")).distinct()
     first = written(ordered(pairs.groupBy("of").agg(F.max(F.struct("c", (-F.col("to")).alias("to"))).alias("best")).select("of", (-F.col("best.to")).alias("to"))), "first")
-    links = written(_links(first, rows, size, frequency), "links")
+    between = lambda df, a, b: df.select(document(F.col(a)).alias("a"), document(F.col(b)).alias("b"))
+    links = between(_links(first, rows, size, frequency), "a", "b")
+    links = written(links.union(between(moved, "id", "one")) if texts_of else links, "links")
     groups = keep(written(components(links), "groups"))
-    rest = written(_still_apart(ordered(pairs), members, groups, rows, size, frequency).join(first, ["a", "b"], "left_anti"), "rest")
+    rest = written(_still_apart(ordered(pairs), members, groups, rows, size, frequency, document).join(first, ["a", "b"], "left_anti"), "rest")
     more = written(_links(rest, rows, size, frequency), "links")
     if more.limit(1).count():
-        groups = keep(written(components(links.union(more)), "groups"))
+        groups = keep(written(components(links.union(between(more, "a", "b"))), "groups"))
     return known, groups
 
 
-def _still_apart(pairs: DataFrame, members: DataFrame, groups: DataFrame, rows: DataFrame, size: int, frequency) -> DataFrame:
+def _still_apart(pairs: DataFrame, members: DataFrame, groups: DataFrame, rows: DataFrame, size: int, frequency, document: Callable[[Column], Column]) -> DataFrame:
     """Pairs of different components: those given, and those of members of a large column whose sizes, places and signatures can fit."""
 
     def grouped(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.join(groups.select(F.col("id").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+        own = df.withColumn("_of", document(F.col(column)))
+        return own.join(groups.select(F.col("id").alias("_of"), F.col("component").alias(name)), "_of", "left").withColumn(name, F.coalesce(name, "_of")).drop("_of")
 
     given = grouped(grouped(pairs, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
     known = written(grouped(members, "id", "g"), "members")

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from postworks.llm import jaccard_join
 from postworks.llm.components import components
@@ -74,3 +75,16 @@ def test_chains_of_links(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 120), (110, 120), (7, 7)]
     found = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 110: 100, 120: 100}
+
+
+def test_texts_of_one_document_are_not_compared(spark, monkeypatch):
+    """Ids 2d and 2d + 1 are texts of document d: what one of them links with is the other's too, and no pair of one document is made."""
+    words = [[f"w{k}x{i}" for i in range(60)] for k in range(4)]
+    texts = {2: words[0], 3: words[0][:-1], 4: words[0][:-2], 5: words[1], 6: words[2], 7: words[1], 8: words[3], 11: words[3][:-1] + ["z"], 10: words[2][1:]}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    made, links = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda pairs, *more: made.extend(tuple(r) for r in pairs.collect()) or links(pairs, *more))
+    found = jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), document=lambda c: F.shiftright(c, 1))
+    # 1 and 2 by the first words, 2 and 3 by the second, 3 and 5 by the third, 5 and 4 by the last.
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict.fromkeys(texts, 1)
+    assert made and all(a >> 1 != b >> 1 for a, b in made)

@@ -73,6 +73,19 @@ def test_stages(spark, folder):
     assert set(range(60)) <= set(kept["decontaminated"])
 
 
+def test_texts_of_earlier_are_made_once(spark, folder, monkeypatch):
+    """What the near-copy join reads several times is a table, not a join of texts."""
+    from postworks.llm import jaccard_join
+
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 100").withColumn("text", F.expr("if(doc_id % 2 = 0, text, substring_index(text, '\\n', 3))"))
+    plans = []
+    join = jaccard_join.join_components
+    monkeypatch.setattr(jaccard_join, "join_components", lambda nodes, **how: plans.append((nodes._jdf.queryExecution().executedPlan().toString(), nodes.count())) or join(nodes, **how))
+    corpus_pipeline.near_copies(spark, docs, path)
+    assert plans[0][1] == 60 + 30 and "Exchange" not in plans[0][0] and "Join" not in plans[0][0]
+
+
 def test_run(spark, folder):
     path, texts, _ = folder
     found = {r.doc_id: r for r in corpus_pipeline.run(spark, path).collect()}
