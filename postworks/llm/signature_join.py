@@ -8,11 +8,11 @@ documents are counted by the lists they meet in:
 * prefix: values are ordered by how often they were seen, rare ones first. Two
   signatures that agree in T places share at least C of each other's first
   K - T + C values, so only those are posted;
-* skip: long lists aren't merged. A pair goes on if its collisions in short
-  lists and the long lists that both could share add up to C;
-* the rest of a pair's collisions is counted on the two signatures; pairs with T
-  or more are retained, unless parities of their sets tell that too many shingles
-  differ (which no pair that links can fail), and confirmed on full sets.
+* skip: long lists aren't merged. A pair goes on if it meets in a short list, or
+  in a long one of two documents that have C of those;
+* a pair's collisions are counted on the two signatures; pairs with T or more are
+  retained, unless parities of their sets tell that too many shingles differ
+  (which no pair that links can fail), and confirmed on full sets.
 
 Only components are asked for, so pairs of one component need not be made:
 documents with equal sets are one (the smallest id stands for all). Each document
@@ -54,6 +54,8 @@ SHORT = 32
 ROUNDS, CENTRES = 2, 4
 #: Bits of a set's parities; 64-bit words of them, folded, that are compared inside the join.
 PARITIES, FOLDED = 1024, 8
+#: Values of a document that tell whether a pair has met in an earlier list.
+FIRST = 4
 #: Slots of the frequency sketch, values that a task counts together, and the least count it reports.
 SLOTS, COUNTED, SEEN = 1 << 20, 1 << 22, 3
 
@@ -301,11 +303,17 @@ def _best(agreeing: DataFrame) -> DataFrame:
 
 
 def _apart(lists: DataFrame, skipped: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of different components that may link, by their collisions in short lists, or else in long ones.
+    """Pairs (of, to) of `_meetings`, each once."""
+    return _meetings(lists, skipped, signed).distinct()
+
+
+def _meetings(lists: DataFrame, skipped: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs of different components that may link: those that meet in short lists, or else in long ones.
 
     Who shares no short list has to share COLLISIONS long ones, so other members of
     those stay out. Sizes and parities are held against each other inside the join,
-    so that no pair leaves it that can't link.
+    so that no pair leaves it that can't link. A pair leaves it where it first meets,
+    not from every list that both are in, as far as the FIRST least values of both tell.
     """
     words = [f"p{k}" for k in range(FOLDED)]
 
@@ -316,17 +324,16 @@ def _apart(lists: DataFrame, skipped: DataFrame, signed: DataFrame) -> DataFrame
 
     long = F.col("size") > SHORT
     many = lists.where(long).join(skipped.where(F.col("skipped") >= COLLISIONS).select("id"), "id", "left_semi")
-    wanted = lists.where(~long).select("value", "id", "g", "size").union(many.select("value", "id", "g", "size"))
+    wanted = written(lists.where(~long).select("value", "id", "g").union(many.select("value", "id", "g")), "wanted")
+    # Of as many values as a document is posted under.
+    least = wanted.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("value")), 1, FIRST).alias("first"))
     told = signed.select("id", "n", "signature").mapInArrow(parities, "id long, n long, " + ", ".join(f"{w} long" for w in words))
-    open_ = written(wanted.join(told, "id"), "open")
-    sides = [open_.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "g", "n", "size", *words)]) for side in ("of", "to")]
+    open_ = written(wanted.join(least, "id").join(told, "id"), "open")
+    sides = [open_.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "g", "n", "first", *words)]) for side in ("of", "to")]
     na, nb = F.col("n_of"), F.col("n_to")
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{w}_of").bitwiseXOR(F.col(f"{w}_to"))) for w in words])
     overlap = F.ceil(NUM * (na + nb) / (NUM + DEN))
     fits = (F.col("id_to") < F.col("id_of")) & (F.col("g_of") != F.col("g_to")) & _sizes_fit(na, nb) & (differ <= na + nb - 2 * overlap)
-    met = sides[0].join(sides[1], (sides[0]["value"] == sides[1]["value"]) & fits)
-    counted = met.groupBy(F.col("id_of").alias("of"), F.col("id_to").alias("to")).agg(F.count_if(F.col("size_of") <= SHORT).alias("collisions"), F.count_if(F.col("size_of") > SHORT).alias("common"))
-    for side in ("of", "to"):
-        counted = counted.join(skipped.select(F.col("id").alias(side), F.col("skipped").alias(f"skipped_{side}")), side, "left")
-    could = F.least(F.coalesce("skipped_of", F.lit(0)), F.coalesce("skipped_to", F.lit(0)))
-    return counted.where(F.col("collisions") + F.greatest("common", could) >= COLLISIONS).select("of", "to")
+    here = F.coalesce(F.array_min(F.array_intersect("first_of", "first_to")) >= sides[0]["value"], F.lit(True))
+    met = sides[0].join(sides[1], (sides[0]["value"] == sides[1]["value"]) & fits & here)
+    return met.select(F.col("id_of").alias("of"), F.col("id_to").alias("to"))

@@ -82,3 +82,13 @@ def test_coordinates_agree_as_often_as_sets_overlap():
         rows = signature_join._least_hashes(np.concatenate((x, y)), np.array([0, len(x)]))
         agree.append((rows[0] == rows[1]).mean())
     assert abs(np.mean(agree) - 0.8) < 0.03 and min(agree) * signature_join.COORDINATES >= signature_join.MATCHES
+
+
+def test_a_pair_leaves_the_join_where_it_first_meets(spark):
+    """Not from every list that both are in, else rows are the square of a group times its lists; a pair with one late list comes too."""
+    signed = spark.createDataFrame([(i, 10, bytes(4 * signature_join.COORDINATES + signature_join.PARITIES // 8)) for i in range(1, 9)], "id long, n long, signature binary")
+    rows = [(v, i, i, 6) for i in range(1, 7) for v in range(100, 120)] + [(v, i, i, 2) for i in (7, 8) for v in [*range(10 * i, 10 * i + 6), 900]]
+    lists = spark.createDataFrame(rows, "value long, id long, g long, size long")
+    skipped = spark.createDataFrame([], "id long, skipped long")
+    found = sorted(tuple(r) for r in signature_join._meetings(lists, skipped, signed).collect())
+    assert found == sorted([(b, a) for a, b in combinations(range(1, 7), 2)] + [(8, 7)])
