@@ -36,6 +36,12 @@ def test_descriptions(spark):
     assert [tree._lines(h) for h, _ in cases] == [t for _, t in cases]
 
 
+def test_names_without_a_semicolon_are_text(spark):
+    cases = {"<p>ver&amp</p>b": "ver&amp\nb", "a&copy b &amp; &notit; &eacute;": "a&copy b & &notit; é", "<li>x &amp y<li>&amp": "x &amp y\n&amp"}
+    rows = spark.createDataFrame(list(cases.items()), "h string, want string")
+    assert [r for r in rows.select("want", text.description_text(F.col("h")).alias("t")).collect() if r.t != r.want] == []
+
+
 BOLD = [
     "<h1>T</h1><b>Location:</b> USA AL<br>Huntsville<b>Level</b> 3",
     "<div class='career-detail-description'><b>Duties:</b><ul><li>one <i>x</i></li><li>two</li></ul>after<b>End</b></div><b>Menu</b> no",
