@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postworks.llm import contamination, jaccard_join, language_mixture, line_dedup, queries, sentencepiece_codec
-from postworks.llm.scratch import keep, passing_tables, written
+from postworks.llm.scratch import keep, passing_tables, small_batches, written
+from postworks.llm.sketch import id_filter, maybe_in
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +35,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[text.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
+def _changed(docs: DataFrame, given: DataFrame) -> DataFrame:
+    """(doc_id, text) of the given documents that docs has with another text, written, as the join reads its nodes several times.
+
+    Which differ is told by hashes alone, and no text is shuffled: those that a
+    filter lets pass are read where they are, without the few that it lets pass wrongly.
+    """
+    hashed = lambda df: df.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    now, earlier = hashed(docs).select("doc_id", "hash").distinct(), hashed(given)
+    small_batches(given.sparkSession)
+    hashes = written(earlier.select("doc_id", "hash").distinct(), "hashes")
+    changed = written(hashes.join(now.select("doc_id").distinct(), "doc_id", "left_semi").join(now, ["doc_id", "hash"], "left_anti").select("hash"), "changed")
+    words = id_filter(changed, "hash")
+    wrong = written(maybe_in(hashes.select("hash"), "hash", words).join(changed, "hash", "left_anti"), "wrong")
+    return written(maybe_in(earlier, "hash", words).join(wrong, "hash", "left_anti").select("doc_id", "text"), "before")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies; of rows that repeat id and text one.
 
@@ -43,11 +60,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     # Each document is one node as it is, and a second one as it was, where that differs; the join takes both for one document.
     # Nodes are twice the id (ids have 62 bits).
-    # Which texts differ is told by hashes alone; texts are then read once, and written, as the join reads its nodes several times.
-    now = docs.select("doc_id", F.xxhash64("text").alias("hash")).where("doc_id IS NOT NULL").distinct()
-    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    changed = written(given.select("doc_id", "hash").distinct().join(now.select("doc_id").distinct(), "doc_id", "left_semi").join(now, ["doc_id", "hash"], "left_anti"), "changed")
-    before = written(given.join(changed, ["doc_id", "hash"], "left_semi").select("doc_id", "text"), "before")
+    before = _changed(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     nodes = docs.select(F.shiftleft("doc_id", 1).alias("doc_id"), "text").union(before.select(F.shiftleft("doc_id", 1) + 1, "text"))
     document = lambda node: F.shiftright(node, 1)
     found = jaccard_join.join_components(nodes, document=document).select(document(F.col("doc_id")).alias("doc_id"), "component_id")

@@ -318,9 +318,8 @@ def _multiply(table: pa.Table) -> pa.Table:
 
 
 def _of_ids(ids: DataFrame, rows: DataFrame, size: int, frequency, make, schema: str) -> DataFrame:
-    """What `make` gives for the ids, elements and bounds of the documents with these ids."""
+    """What `make` gives for the ids, elements and bounds of the documents with these ids, and of a few others, which joins must drop."""
     spark = ids.sparkSession
-    # Of other documents few pass the filter, and a join drops what was made of those.
     wanted = spark.sparkContext.broadcast(id_filter(ids, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +328,10 @@ def _of_ids(ids: DataFrame, rows: DataFrame, size: int, frequency, make, schema:
             for batch, data, ends in text_chunks(whole, "text"):
                 yield make(batch.column(0), *_sets(data, ends, size, frequency.value))
 
-    return rows.select("id", "text").mapInArrow(run, schema).join(ids, "id", "left_semi")
+    return rows.select("id", "text").mapInArrow(run, schema)
+
+
+_WORDS = [f"s{k}" for k in range(SIGNATURE)]
 
 
 def _signatures(ids: pa.Array, e: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
@@ -338,18 +340,35 @@ def _signatures(ids: pa.Array, e: np.ndarray, bounds: np.ndarray) -> pa.RecordBa
     of = np.repeat(np.arange(len(ids)), np.diff(bounds))
     odd = np.bincount(of * bits + (mix(e) % _U(bits)).astype(np.int64), minlength=len(ids) * bits) & 1
     words = np.packbits(odd.astype(np.uint8).reshape(len(ids), bits), axis=1).view(np.int64) if len(ids) else np.zeros((0, SIGNATURE), np.int64)
-    return pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(w)) for w in words.T]], ["id", *[f"s{k}" for k in range(SIGNATURE)]])
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), *[pa.array(np.ascontiguousarray(w)) for w in words.T]], ["id", "size", *_WORDS])
 
 
 def _elements(ids: pa.Array, e: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(e.view(np.int64)))], ["id", "elements"])
 
 
+def _signed(ids: DataFrame, rows: DataFrame, size: int, frequency) -> DataFrame:
+    """(id, size, s0, ...): sizes and signatures of the sets of the documents with these ids, and of a few others."""
+    return written(_of_ids(ids, rows, size, frequency, _signatures, "id long, size long, " + ", ".join(f"{w} long" for w in _WORDS)).dropDuplicates(["id"]), "signatures")
+
+
+def _may_link(na: Column, nb: Column) -> Column:
+    """Whether signatures (s0_a, s0_b, ...) of sets of these sizes differ in no more bits than those of sets that link."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS])
+    return differ <= na + nb - 2 * _least_overlap(na, nb)
+
+
+def _ids_of(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+
+
 def _links(pairs: DataFrame, rows: DataFrame, size: int, frequency) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link."""
-    ids = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "ids")
-    sets = written(_of_ids(ids, rows, size, frequency, _elements, "id long, elements array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
+    """Those of the pairs (a, b) whose whole sets link. Sets are moved for those only that signatures, which are far smaller, leave open."""
+    signed = _signed(_ids_of(pairs), rows, size, frequency)
+    left, right = (signed.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("size", *_WORDS)]) for side in "ab")
+    near = written(pairs.join(left, "a").join(right, "b").where(_may_link(F.col("size_a"), F.col("size_b"))).select("a", "b"), "near")
+    sets = written(_of_ids(_ids_of(near), rows, size, frequency, _elements, "id long, elements array<long>"), "sets")
+    both = near.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
     common = F.size(F.array_intersect("ea", "eb"))
     return both.where(common * DEN >= NUM * (F.size("ea") + F.size("eb") - common)).select("a", "b")
 
@@ -439,13 +458,11 @@ def _still_apart(pairs: DataFrame, members: DataFrame, groups: DataFrame, rows:
     known = written(grouped(members, "id", "g"), "members")
     mixed = written(known.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key"), "mixed")
     open_ = written(known.join(mixed, "key", "left_semi"), "open")
-    words = [f"s{k}" for k in range(SIGNATURE)]
-    signed = written(_of_ids(written(open_.select("id").distinct(), "ids"), rows, size, frequency, _signatures, "id long, " + ", ".join(f"{w} long" for w in words)).dropDuplicates(["id"]), "signatures")
+    signed = _signed(written(open_.select("id").distinct(), "ids"), rows, size, frequency).drop("size")
     open_ = written(open_.join(signed, "id"), "open")
-    left, right = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "g", *words)]) for side in "ab")
+    left, right = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "g", *_WORDS)]) for side in "ab")
     na, nb = F.col("n_a"), F.col("n_b")
     fits = (F.col("id_a") < F.col("id_b")) & (F.col("g_a") != F.col("g_b")) & (F.least(na - F.col("pos_a"), nb - F.col("pos_b")) >= _least_overlap(na, nb)) & (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb))
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words])
-    fits &= differ <= na + nb - 2 * _least_overlap(na, nb)
+    fits &= _may_link(na, nb)
     within = left.join(right, (left["key"] == right["key"]) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return given.union(within).distinct()

@@ -49,3 +49,14 @@ def may_have(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     for at in _places(np.ascontiguousarray(ids), len(words) * 64):
         out &= (words.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64) & _U(1)).astype(bool)
     return out
+
+
+def maybe_in(rows: DataFrame, column: str, words: np.ndarray) -> DataFrame:
+    """Rows whose id may be in the table that the filter was made from; ids aren't null."""
+    sent, at = rows.sparkSession.sparkContext.broadcast(words), rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may_have(sent.value, b.column(at).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -88,3 +88,17 @@ def test_texts_of_one_document_are_not_compared(spark, monkeypatch):
     # 1 and 2 by the first words, 2 and 3 by the second, 3 and 5 by the third, 5 and 4 by the last.
     assert {r.doc_id: r.component_id for r in found.collect()} == dict.fromkeys(texts, 1)
     assert made and all(a >> 1 != b >> 1 for a, b in made)
+
+
+def test_sets_are_moved_only_where_signatures_leave_a_link_open(spark, monkeypatch):
+    import numpy as np
+
+    words = [f"w{i}" for i in range(80)]
+    texts = {1: words, 2: [*words[:78], "x", "y"], 3: [*words[:20], *[f"v{i}" for i in range(60)]], 4: [*words[:20], *[f"u{i}" for i in range(60)]]}
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 4)], "a long, b long")
+    moved, of_ids = [], jaccard_join._of_ids
+    monkeypatch.setattr(jaccard_join, "_of_ids", lambda ids, *more: moved.extend(r.id for r in ids.collect() if more[3] is jaccard_join._elements) or of_ids(ids, *more))
+    frequency = spark.sparkContext.broadcast(np.zeros(jaccard_join.SLOTS, np.uint8))
+    assert [tuple(r) for r in jaccard_join._links(pairs, rows, 5, frequency).collect()] == [(1, 2)]
+    assert sorted(moved) == [1, 2]

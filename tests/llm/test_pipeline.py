@@ -116,3 +116,14 @@ def test_no_two_survivors_are_near_copies(spark):
         docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
     survivors = [groups[r.doc_id] for r in docs.select("doc_id").collect()]
     assert len(survivors) == len(set(survivors)) > 800
+
+
+def test_changed_texts_are_exact_whatever_the_filter_lets_pass(spark, monkeypatch):
+    """A filter of ones lets all pass; texts that are the same, that docs has no more, or of no id are left out all the same."""
+    given = spark.createDataFrame([(1, "a"), (2, "b c"), (3, "c"), (4, None), (5, "e"), (None, "n"), (6, ""), (2, "b c")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (4, None), (5, ""), (None, "m"), (6, "")], "doc_id long, text string")
+    for words in (None, -1):
+        if words:
+            made = corpus_pipeline.id_filter
+            monkeypatch.setattr(corpus_pipeline, "id_filter", lambda *a: made(*a) * 0 - 1)
+        assert sorted(tuple(r) for r in corpus_pipeline._changed(docs, given).collect()) == [(2, "b c"), (2, "b c"), (5, "e")]
