@@ -100,17 +100,21 @@ def embedded_posting(html: Column) -> Column:
 def element(html: Column, name: str) -> Column:
     """Inner markup of the first element with a class, up to the end tag that closes it; null if there is none."""
     opening = rf"""(?is)<(\w+)\b[^>]*\bclass\s*=\s*["'][^"']*(?<![\w-]){name}(?![\w-])[^"']*["'][^>]*>(.*)$"""
-    tag, after = F.regexp_extract(html, opening, 1), F.regexp_extract(html, opening, 2)
-    pieces = F.split(after, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)")))
     zero = F.struct(F.lit(1).alias("level"), F.lit(0).alias("n"))
 
-    def step(s: Column, piece: Column) -> Column:
-        begins = lambda mark: F.lower(F.substring(piece, 1, 60)).startswith(F.concat(F.lit(mark), F.lower(tag)))
-        level = s["level"] + F.when(begins("</"), -1).when(begins("<"), 1).otherwise(0)
-        return F.when(s["level"] == 0, s).otherwise(F.struct(level.alias("level"), (s["n"] + F.when(level > 0, 1).otherwise(0)).alias("n")))
+    def inner(found: Column) -> Column:
+        tag = found["tag"]
+
+        def step(s: Column, piece: Column) -> Column:
+            begins = lambda mark: F.lower(F.substring(piece, 1, 60)).startswith(F.concat(F.lit(mark), tag))
+            level = s["level"] + F.when(begins("</"), -1).when(begins("<"), 1).otherwise(0)
+            return F.when(s["level"] == 0, s).otherwise(F.struct(level.alias("level"), (s["n"] + F.when(level > 0, 1).otherwise(0)).alias("n")))
+
+        cut = lambda pieces: F.array_join(F.slice(pieces, 1, F.aggregate(pieces, zero, step, lambda s: s["n"])), "")
+        return F.when(tag != "", bound(F.split(found["after"], F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)"))), cut))
 
-    inner = bound(pieces, lambda p: F.array_join(F.slice(p, 1, F.aggregate(p, zero, step, lambda s: s["n"])), ""))
-    return F.when(tag != "", inner)
+    # Page and tag are computed once, not for each piece.
+    return bound(html, lambda h: bound(F.struct(F.lower(F.regexp_extract(h, opening, 1)).alias("tag"), F.regexp_extract(h, opening, 2).alias("after")), inner))
 
 
 #: Bold labels that expressions are asked to follow, as each looks at all that comes after it.
@@ -127,7 +131,7 @@ def bold_blocks(html: Column) -> Column:
     whose tags don't pair up, are read as trees.
     """
     simple = F.coalesce(tree.pairs_up(html) & (F.regexp_count(html, F.lit(r"(?i)<b\b")) <= FEW_LABELS), F.lit(True))
-    return F.coalesce(tree.label_map(F.when(~simple, html)), _few_blocks(F.when(simple, html)))
+    return F.coalesce(tree.label_map(F.when(~simple, html)), bound(F.when(simple, html), _few_blocks))
 
 
 def _few_blocks(html: Column) -> Column:
@@ -144,15 +148,18 @@ def _few_blocks(html: Column) -> Column:
         return entries_map(F.transform(F.array_sort(F.transform(named, order)), lambda x: F.struct(x["path"], x["value"])))
 
     blocks = bound(F.filter(bound(parts, of), lambda b: b["label"] != ""), richest)
-    title = h1_text(html)
-    return bound(blocks, lambda b: F.when(F.map_contains_key(b, "Page Title") | title.isNull(), b).otherwise(F.map_concat(b, F.create_map(F.lit("Page Title"), title))))
+    titled = lambda b, t: F.when(F.map_contains_key(b, "Page Title") | t.isNull(), b).otherwise(F.map_concat(b, F.create_map(F.lit("Page Title"), t)))
+    return bound(blocks, lambda b: bound(h1_text(html), lambda t: titled(b, t)))
 
 
 def _block(part: Column) -> Column:
     """Label and value of a block, from after its <b>."""
-    halves = F.split(part, r"(?i)</b\s*>", 2)
-    label = strip(F.regexp_replace(html_to_text(F.element_at(halves, 1)), r":+\s*$", ""))
-    return F.struct(label.alias("label"), _beside(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))).alias("value"))
+
+    def named(halves: Column) -> Column:
+        label = strip(F.regexp_replace(html_to_text(F.element_at(halves, 1)), r":+\s*$", ""))
+        return F.struct(label.alias("label"), _beside(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))).alias("value"))
+
+    return bound(F.split(part, r"(?i)</b\s*>", 2), named)
 
 
 def _beside(rest: Column) -> Column:

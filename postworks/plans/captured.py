@@ -365,7 +365,8 @@ def paged_rows(table):
 def encoded_mapped(table):
     """PRJ10, EXT10: bold blocks of the page beside the listing."""
     html = _cat("<h1>T</h1><p><b>Career Level:</b> Mid</p><b>description</b><ul><li>", F.col("p_brand"), "</li><li>two</li></ul>")
-    rows = table("part").select("p_partkey", F.create_map(F.lit("title"), F.col("p_name"), F.lit("clearance"), F.lit("Secret")).alias("listing"), markup.bold_blocks(html).alias("bold"))
+    pages = table("part").select("p_partkey", F.create_map(F.lit("title"), F.col("p_name"), F.lit("clearance"), F.lit("Secret")).alias("listing"), html.alias("html"))
+    rows = pages.select("p_partkey", "listing", markup.bold_blocks(F.col("html")).alias("bold"))
     return mapping.normalize(rows, "encoded_api", {"L": "listing", "B": "bold"}).select("p_partkey", "position_title", "career_level", "description", "clearance_level_must_possess")
 
 

@@ -246,3 +246,9 @@ def test_unwrap_and_prefix(one):
     assert one(lambda c: json_paths.dig(json_paths.unwrap(F.parse_json(c)), "id", kind="int"), '{"jobDetail":{"data":{"job":{"id":5}}}}') == 5
     assert one(lambda c: json_paths.dig(json_paths.unwrap(F.parse_json(c)), "id", kind="int"), '{"id":6}') == 6
     assert one(lambda c: json_paths.strip_prefix(F.create_map(F.lit("meta.x"), c), "meta."), "v") == {"x": "v"}
+
+
+def test_a_page_is_told_once_for_its_labels(spark):
+    page = F.concat(F.lit("<b>marker:</b> x"), F.col("id").cast("string"))
+    plan = spark.range(1).select(markup.bold_blocks(page).alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("marker") < 10
