@@ -120,6 +120,14 @@ def _opened_still(value: Column, indexed: bool) -> Column:
     return _object(value).isNotNull() | (items.isNotNull() if indexed else items.isNotNull() & ~_scalars(items))
 
 
+def _opened(nodes: Column, indexed: bool, levels: int) -> Column:
+    """The nodes so many levels below; where nothing is left to open, no further level is worked on."""
+    if not levels:
+        return nodes
+    below = lambda ns: F.flatten(F.transform(ns, lambda n: _children(n, indexed)))
+    return bound(nodes, lambda ns: F.when(F.exists(ns, lambda n: _opened_still(n["value"], indexed)), _opened(below(ns), indexed, levels - 1)).otherwise(ns))
+
+
 def _unrolled(doc: Column, indexed: bool) -> Column:
     """(entries, rest) of a document: its leaves if LEVELS levels reach them all, else its text."""
 
@@ -128,12 +136,7 @@ def _unrolled(doc: Column, indexed: bool) -> Column:
         leaves = F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), _leaf(n["value"], indexed).alias("value")))
         return F.struct(F.when(~deep, leaves).alias("entries"), F.when(deep, F.to_json(d)).alias("rest"))
 
-    def nodes(d: Column) -> Column:
-        out = F.array(_node(F.lit(""), d))
-        for _ in range(LEVELS):
-            out = F.flatten(F.transform(out, lambda n: _children(n, indexed)))
-        return out
-
+    nodes = lambda d: _opened(F.array(_node(F.lit(""), d)), indexed, LEVELS)
     return bound(doc, lambda d: F.when(d.isNotNull(), bound(nodes(d), lambda ns: split(ns, d))))
 
 
@@ -203,9 +206,7 @@ def flat_entries(doc: Column, depth: int, indexed: bool = False) -> Column:
     """The leaves of one document, of at most so many levels, as an array of (path, value); null for null."""
 
     def leaves(d: Column) -> Column:
-        nodes = F.array(_node(F.lit(""), d))
-        for _ in range(depth):
-            nodes = F.flatten(F.transform(nodes, lambda n: _children(n, indexed)))
+        nodes = _opened(F.array(_node(F.lit(""), d)), indexed, depth)
         return F.when(d.isNotNull(), F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), _leaf(n["value"], indexed).alias("value"))))
 
     return bound(doc, leaves)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postworks.functions.text import blank_to_null, strip
+from postworks.functions.names import free
+from postworks.functions.text import strip
 
 _PLACE = {"city": "addressLocality", "state": "addressRegion", "country": "addressCountry", "postal_code": "postalCode"}
 _LD_PLACE = {c: [f"J:jobLocation.0.address.{n}"] for c, n in _PLACE.items()}
@@ -114,13 +115,18 @@ def normalize(df: DataFrame, platform: str, maps: dict[str, str], sources: dict[
     Where a platform passes keys of its listing on, a map column `passed` holds those that a row has.
     """
     table = (sources or SOURCES)[platform]
+    wanted = {letter: sorted({s.partition(":")[2] for paths in table.values() for s in paths if s.partition(":")[0] == letter}) for letter in maps}
+    # The fields that are looked for are stripped once, map by map, and blank ones left out; columns then only look them up.
+    clean = {letter: free(f"_{letter}", df.columns) for letter in maps if wanted[letter]}
+    filled = lambda letter: F.map_filter(F.transform_values(F.map_filter(F.col(maps[letter]), lambda k, v: k.isin(wanted[letter])), lambda k, v: strip(v)), lambda k, v: v != "")
 
     def value(source: str) -> Column:
         letter, _, path = source.partition(":")
-        return blank_to_null(F.try_element_at(F.col(maps[letter]), F.lit(path))) if letter in maps else F.lit(None).cast("string")
+        return F.try_element_at(F.col(clean[letter]), F.lit(path)) if letter in maps else F.lit(None).cast("string")
 
     more = [F.map_filter(F.col(maps["L"]), lambda k, v: k.isin(PASSED[platform])).alias("passed")] if platform in PASSED and "L" in maps else []
-    return df.select("*", *[F.coalesce(*[value(s) for s in paths]).alias(c) for c, paths in table.items()], *more)
+    rows = df.withColumns({c: filled(letter) for letter, c in clean.items()})
+    return rows.select(*df.columns, *[F.coalesce(*[value(s) for s in paths]).alias(c) for c, paths in table.items()], *more)
 
 
 def _evidence(text, flag) -> list[tuple[str, Column, float]]:

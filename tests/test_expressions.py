@@ -252,3 +252,15 @@ def test_a_page_is_told_once_for_its_labels(spark):
     page = F.concat(F.lit("<b>marker:</b> x"), F.col("id").cast("string"))
     plan = spark.range(1).select(markup.bold_blocks(page).alias("b"))._jdf.queryExecution().analyzed().toString()
     assert 0 < plan.count("marker") < 10
+
+
+@pytest.mark.parametrize("make", [lambda c: json_paths.flat_fields(F.try_parse_json(c), 3), lambda c: F.map_from_entries(json_paths._unrolled(F.try_parse_json(c), False)["entries"])])
+def test_levels_below_the_leaves_are_not_worked_on(one, monkeypatch, make):
+    calls, children = [], json_paths._children
+
+    def counted(node, indexed):
+        calls.append(node)
+        return children(node, indexed) if len(calls) < 3 else F.raise_error(F.lit("opened too far")).cast("array<struct<path:string,value:variant>>")
+
+    monkeypatch.setattr(json_paths, "_children", counted)
+    assert one(make, '{"a":{"b":"c"}}') == {"a.b": "c"}

@@ -306,3 +306,11 @@ def test_scans_indexes_and_rejects(spark):
     assert each[:2] == [("i", 0, 1, 3, 1, 1, [job(1)], [job(1)]), ("i", 2, 1, 0, 0, 0, [], [])] and len(each) == 5
     docs = spark.createDataFrame([("<sitemapindex><sitemap><loc> a </loc></sitemap></sitemapindex>",)], "xml string")
     assert rows(sitemaps.sitemap_index(docs), "ordinal", "loc", "lastmod") == [(0, "a", "")]
+
+
+def test_mapped_fields_are_stripped_once(spark):
+    raw = spark.sql("SELECT map('PositionID', ' 7 ', 'PositionURI.0', '  ', 'ApplyURI', 'u', 'other', 'x', 'PositionTitle', CAST(NULL AS STRING)) AS v, 1 AS _V")
+    rows = mapping.normalize(raw, "usajobs_api", {"V": "v"})
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+    r = rows.first()
+    assert (r.posting_id, r.detail_url, r.position_title, rows.columns[:2]) == ("7", "u", None, ["v", "_V"])
