@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ def section(text: Column, headings: list[str]) -> Column:
     return bound(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("\n")), first)
 
 
+def _may_hold(text: Column, headings: list[str]) -> Column:
+    """Whether a text has the letters of any heading, wherever they stand."""
+    return reduce(lambda x, y: x | y, [F.lower(text).contains(h.lower()) for h in headings])
+
+
 #: What begins or parts the items of a section, and what is taken off their ends.
 _ITEMS, _EDGES = r"(?m)^\s*[-*•]\s+|[\n;]+", " \t•-*;"
 
@@ -52,5 +59,6 @@ def education_and_skills(description: Column) -> Column:
         text = section(description, headings)
         if name.endswith("skills"):
             text = bound(text, lambda t: bound(bullets(t), lambda items: F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise(t)))
-        found[name] = F.nullif(text, F.lit(""))
+        # Most texts hold no heading at all, which is cheap to tell.
+        found[name] = F.when(_may_hold(description, headings), F.nullif(text, F.lit("")))
     return F.struct(*[c.alias(n) for n, c in found.items()])

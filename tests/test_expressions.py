@@ -264,3 +264,9 @@ def test_levels_below_the_leaves_are_not_worked_on(one, monkeypatch, make):
 
     monkeypatch.setattr(json_paths, "_children", counted)
     assert one(make, '{"a":{"b":"c"}}') == {"a.b": "c"}
+
+
+def test_sections_of_texts_without_headings_are_not_worked_on(one, monkeypatch):
+    monkeypatch.setattr(sections, "section", lambda text, headings: F.raise_error(F.lit("looked for a section")).cast("string"))
+    assert set(one(sections.education_and_skills, "About us, as a text\nof two lines").asDict().values()) == {None}
+    assert set(one(lambda c: sections.education_and_skills(c.cast("string")), None).asDict().values()) == {None}
