@@ -63,9 +63,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     before = _changed(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     nodes = docs.select(F.shiftleft("doc_id", 1).alias("doc_id"), "text").union(before.select(F.shiftleft("doc_id", 1) + 1, "text"))
     document = lambda node: F.shiftright(node, 1)
-    found = jaccard_join.join_components(nodes, document=document).select(document(F.col("doc_id")).alias("doc_id"), "component_id")
+    found = jaccard_join.join_components(nodes, document=document, document_of=lambda ids: ids >> 1).select(document(F.col("doc_id")).alias("doc_id"), "component_id")
     gone = written(found.where("component_id != doc_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    # Only texts that a filter takes for gone ones are shuffled.
+    words = id_filter(gone, "doc_id")
+    doubtful = maybe_in(docs, "doc_id", words).join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    kept = maybe_in(docs, "doc_id", words, wanted=False).unionByName(doubtful)
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if not again.limit(1).count():
         return kept

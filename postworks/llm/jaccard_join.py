@@ -7,7 +7,8 @@ needed (two sets with a Jaccard index of at least t share one of each other's
 first n - ceil(t n) + 1). Block by block, tasks multiply the columns and
 accumulate the overlap counts of document pairs; a pair is discarded if the
 sizes of its sets don't fit, or if its count stays below what the sizes demand
-of the columns covered. What is left is verified on whole sets.
+of the columns covered, with those that are too frequent to be multiplied
+counted from the documents' lists of them. What is left is verified on whole sets.
 
 Only components are asked for, so pairs of one component need not be made:
 
@@ -189,11 +190,14 @@ def _flush(x: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Entries as columns, with what is the same for all entries of a document once."""
+    """Entries as columns, with what is the same for all entries of a document once.
+
+    First bytes of a column's numbers stand together, then second ones, and so on: many are alike, which the shuffle's compression then finds.
+    """
     first, of = _documents(x)
     docs = x[first]
     parts = [np.array([len(docs), len(x)], "<i8"), docs["id"], docs["sig"], docs["n"], (x["key"] & _U(0xFFFFFFFF)).astype("<u4"), (x["key"] >> _U(32)).astype("<u2"), of.astype("<u4"), x["pos"]]
-    return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+    return b"".join(p.tobytes() if k == 0 else np.ascontiguousarray(p).view(np.uint8).reshape(len(p), p.itemsize).T.tobytes() for k, p in enumerate(parts))
 
 
 def _documents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,9 +217,10 @@ def _unpack(blob: bytes) -> np.ndarray:
 
     def take(kind: str, n: int) -> np.ndarray:
         nonlocal at
-        out = np.frombuffer(blob, kind, n, at)
+        size = np.dtype(kind).itemsize
+        out = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n)
         at += out.nbytes
-        return out
+        return np.ascontiguousarray(out.T).view(kind).ravel()
 
     own = [take(k, docs) for k in ("<i8", "<u8", "<u4")]
     low, high, of, pos = (take(k, entries) for k in ("<u4", "<u2", "<u4", "<u4"))
@@ -280,7 +285,7 @@ def _sizes_fit(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)
 
 
-def _multiply(table: pa.Table) -> pa.Table:
+def _multiply(table: pa.Table, document_of: Callable[[np.ndarray], np.ndarray] = lambda ids: ids) -> pa.Table:
     """The product within a block of columns: rows (kind, a, b, na, nb, c)."""
     own = table.filter(table["own"])
     out = [np.frombuffer(b, np.int64).reshape(-1, 6).T for b in own["blob"].to_pylist()]
@@ -301,7 +306,7 @@ def _multiply(table: pa.Table) -> pa.Table:
             a.append((at[:, None] + i).ravel())
             b.append((at[:, None] + j).ravel())
         a, b = np.concatenate(a), np.concatenate(b)
-        fit = _sizes_fit(x["n"][a], x["n"][b])
+        fit = _sizes_fit(x["n"][a], x["n"][b]) & (document_of(x["id"][a]) != document_of(x["id"][b]))
         a, b = a[fit], b[fit]
         swap = x["id"][a] > x["id"][b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -364,6 +369,11 @@ def _ids_of(pairs: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, rows: DataFrame, size: int, frequency) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets link. Sets are moved for those only that signatures, which are far smaller, leave open."""
+    with passing_tables(pairs.sparkSession):
+        return keep(written(_verified(pairs, rows, size, frequency), "links"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, size: int, frequency) -> DataFrame:
     signed = _signed(_ids_of(pairs), rows, size, frequency)
     left, right = (signed.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("size", *_WORDS)]) for side in "ab")
     near = written(pairs.join(left, "a").join(right, "b").where(_may_link(F.col("size_a"), F.col("size_b"))).select("a", "b"), "near")
@@ -382,26 +392,55 @@ def _prefix_length(n: Column) -> Column:
     return n - F.floor((NUM * n + DEN - 1) / DEN) + 1
 
 
-def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, document: Callable[[Column], Column] | None = None) -> DataFrame:
+def _due(na: Column, nb: Column) -> Column:
+    """The fewest columns that sets of these sizes share if they link."""
+    least = _least_overlap(na, nb)
+    return F.greatest(F.lit(1), F.least(_prefix_length(na) - na + least, _prefix_length(nb) - nb + least))
+
+
+def _enough(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, na, nb, c, ...) that share as many columns as sets that link; c, the small columns they share, becomes all of them.
+
+    Pairs that share too few small columns are looked up in the lists of large
+    ones (id, keys) only where both may have one.
+    """
+    wanted = pairs.sparkSession.sparkContext.broadcast(id_filter(large, "id"))
+    a, b, short = pairs.columns.index("a"), pairs.columns.index("b"), len(pairs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            open_ = np.logical_and(*[may_have(wanted.value, x.column(k).to_numpy()) for k in (a, b)])
+            x = x.filter(pa.array(open_ | ~x.column(short).to_numpy(zero_copy_only=False)))
+            yield x.select(list(range(short)))
+
+    found = pairs.withColumn("short", F.col("c") < _due(F.col("na"), F.col("nb"))).mapInArrow(run, pairs.schema)
+    for side in ("a", "b"):
+        found = found.join(large.select(F.col("id").alias(side), F.col("keys").alias(f"keys_{side}")), side, "left")
+    all_ = F.col("c") + F.coalesce(F.size(F.array_intersect("keys_a", "keys_b")), F.lit(0))
+    return found.withColumn("c", all_.cast("long")).where(F.col("c") >= _due(F.col("na"), F.col("nb"))).select(*pairs.columns)
+
+
+def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, document: Callable[[Column], Column] | None = None, document_of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of each document.
 
     document: whose text a row is, by the row's id, where documents have several
     texts. Those of one document belong together, so they aren't compared, and
-    component_id is the smallest document.
+    component_id is the smallest document. document_of: the same for arrays of
+    ids; with it pairs of one document aren't even made.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     everything = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     rows = everything.where("id IS NOT NULL")
     with passing_tables(spark):
-        known, groups = _components(rows, size, document)
+        known, groups = _components(rows, size, document, document_of or (lambda ids: ids))
     own = F.coalesce("component", "one").alias("component_id")
     known = known if document is None else known.withColumn("one", document(F.col("one")))
     done = known.join(groups.select(F.col("id").alias("one"), "component"), "one", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), own)
     return done.union(everything.where("id IS NULL").select("id", F.lit(None).cast("long"), F.lit(None).cast("long")))
 
 
-def _components(rows: DataFrame, size: int, texts_of: Callable[[Column], Column] | None) -> tuple[DataFrame, DataFrame]:
+def _components(rows: DataFrame, size: int, texts_of: Callable[[Column], Column] | None, document_of: Callable[[np.ndarray], np.ndarray]) -> tuple[DataFrame, DataFrame]:
     """(id, n, one) of each text, where `one` stands for all of an equal set; and the components of documents."""
     document = texts_of or (lambda c: c)
     spark = rows.sparkSession
@@ -409,7 +448,7 @@ def _components(rows: DataFrame, size: int, texts_of: Callable[[Column], Column]
     frequency = spark.sparkContext.broadcast(classes)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BLOCK))
     blocks = _entries(rows, size, frequency, buckets).repartition(buckets, "bucket")
-    found = written(blocks.groupBy("bucket").applyInArrow(_multiply, _ROW), "product", "kind")
+    found = written(blocks.groupBy("bucket").applyInArrow(lambda table: _multiply(table, document_of), _ROW), "product", "kind")
 
     # Documents with equal sets are one, by the smallest id.
     texts = found.where(F.col("kind") == DOC).select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("na").alias("s1"), F.col("nb").alias("s2"))
@@ -422,33 +461,37 @@ def _components(rows: DataFrame, size: int, texts_of: Callable[[Column], Column]
         return df.join(to, column, "left").withColumn(column, F.coalesce("_one", column)).drop("_one")
 
     members = written(as_one(found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("na").alias("n"), F.col("nb").alias("pos")), "id").distinct(), "members")
-    stars = as_one(as_one(found.where(F.col("kind") == STAR).select(F.col("a").alias("of"), F.col("b").alias("to"), "c"), "of"), "to").where(document(F.col("of")) != document(F.col("to")))
-    # Overlaps counted in small columns, and the most that large ones can add to them.
-    counted = found.where((F.col("kind") == PAIR) & (document(F.col("a")) != document(F.col("b")))).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    unseen = written(members.groupBy("id").agg(F.count("*").alias("large")), "large")
-    least = _least_overlap(F.col("na"), F.col("nb"))
-    due = F.greatest(F.lit(1), F.least(_prefix_length(F.col("na")) - F.col("na") + least, _prefix_length(F.col("nb")) - F.col("nb") + least))
-    for side in ("a", "b"):
-        counted = counted.join(unseen.select(F.col("id").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
-    fitting = counted.where(F.col("c") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0))) >= due)
-    pairs = written(fitting.select(F.col("b").alias("of"), F.col("a").alias("to"), "c").union(stars.groupBy("of", "to").agg(F.sum("c").alias("c"))), "pairs")
+    large = written(members.groupBy("id").agg(F.collect_set("key").alias("keys")), "large")
+    apart = document(F.col("a")) != document(F.col("b"))
+    # forth: b is to be held against a, as it is the later one or a is the centre; back: a against b, the centre.
+    small = found.where((F.col("kind") == PAIR) & apart).select("a", "b", "na", "nb", "c", F.lit(1).alias("forth"), F.lit(0).alias("back"))
+    stars = as_one(as_one(found.where(F.col("kind") == STAR).select(F.col("a").alias("of"), F.col("b").alias("to"), "na", "nb"), "of"), "to")
+    later = F.col("of") > F.col("to")
+    ends = [F.when(later, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("to", "of", "a"), ("of", "to", "b"), ("nb", "na", "na"), ("na", "nb", "nb"))]
+    centred = stars.select(*ends, F.lit(0).cast("long").alias("c"), later.cast("int").alias("forth"), (~later).cast("int").alias("back")).where(apart)
+    together = small.union(centred).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"), F.max("forth").alias("forth"), F.max("back").alias("back"))
+    pairs = written(_enough(together, large), "pairs")
 
     # First each document with the partner it shares most columns with; then what is still apart.
     ordered = lambda df: df.select(F.least("of", "to").alias("a"), F.greatest("of", "to").alias("b")).distinct()
-    first = written(ordered(pairs.groupBy("of").agg(F.max(F.struct("c", (-F.col("to")).alias("to"))).alias("best")).select("of", (-F.col("best.to")).alias("to"))), "first")
+    ways = pairs.where("forth = 1").select(F.col("b").alias("of"), F.col("a").alias("to"), "c").union(pairs.where("back = 1").select("a", "b", "c"))
+    first = written(ordered(ways.groupBy("of").agg(F.max(F.struct("c", (-F.col("to")).alias("to"))).alias("best")).select("of", (-F.col("best.to")).alias("to"))), "first")
     between = lambda df, a, b: df.select(document(F.col(a)).alias("a"), document(F.col(b)).alias("b"))
     links = between(_links(first, rows, size, frequency), "a", "b")
     links = written(links.union(between(moved, "id", "one")) if texts_of else links, "links")
     groups = keep(written(components(links), "groups"))
-    rest = written(_still_apart(ordered(pairs), members, groups, rows, size, frequency, document).join(first, ["a", "b"], "left_anti"), "rest")
-    more = written(_links(rest, rows, size, frequency), "links")
+    rest = written(_still_apart(pairs, members, large, groups, rows, size, frequency, document).join(first, ["a", "b"], "left_anti"), "rest")
+    more = _links(rest, rows, size, frequency)
     if more.limit(1).count():
         groups = keep(written(components(links.union(between(more, "a", "b"))), "groups"))
     return known, groups
 
 
-def _still_apart(pairs: DataFrame, members: DataFrame, groups: DataFrame, rows: DataFrame, size: int, frequency, document: Callable[[Column], Column]) -> DataFrame:
-    """Pairs of different components: those given, and those of members of a large column whose sizes, places and signatures can fit."""
+def _still_apart(pairs: DataFrame, members: DataFrame, large: DataFrame, groups: DataFrame, rows: DataFrame, size: int, frequency, document: Callable[[Column], Column]) -> DataFrame:
+    """Pairs of different components: those given, and those of members of a large column whose sizes, places, signatures and shared large columns can fit.
+
+    Of the latter, those that share small columns too are given, or were found to share too few.
+    """
 
     def grouped(df: DataFrame, column: str, name: str) -> DataFrame:
         own = df.withColumn("_of", document(F.col(column)))
@@ -464,5 +507,5 @@ def _still_apart(pairs: DataFrame, members: DataFrame, groups: DataFrame, rows:
     na, nb = F.col("n_a"), F.col("n_b")
     fits = (F.col("id_a") < F.col("id_b")) & (F.col("g_a") != F.col("g_b")) & (F.least(na - F.col("pos_a"), nb - F.col("pos_b")) >= _least_overlap(na, nb)) & (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb))
     fits &= _may_link(na, nb)
-    within = left.join(right, (left["key"] == right["key"]) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return given.union(within).distinct()
+    within = left.join(right, (left["key"] == right["key"]) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), na.alias("na"), nb.alias("nb"), F.lit(0).cast("long").alias("c"))
+    return given.union(_enough(within.distinct(), large).select("a", "b")).distinct()

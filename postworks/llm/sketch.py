@@ -51,12 +51,14 @@ def may_have(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def maybe_in(rows: DataFrame, column: str, words: np.ndarray) -> DataFrame:
-    """Rows whose id may be in the table that the filter was made from; ids aren't null."""
+def maybe_in(rows: DataFrame, column: str, words: np.ndarray, wanted: bool = True) -> DataFrame:
+    """Rows whose id may be in the table that the filter was made from; or the others (wanted is false), which surely aren't, null ids among them."""
     sent, at = rows.sparkSession.sparkContext.broadcast(words), rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(may_have(sent.value, b.column(at).to_numpy())))
+            ids = b.column(at)
+            may = may_have(sent.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(may == wanted))
 
     return rows.mapInArrow(run, rows.schema)

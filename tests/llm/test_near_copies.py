@@ -102,3 +102,32 @@ def test_sets_are_moved_only_where_signatures_leave_a_link_open(spark, monkeypat
     frequency = spark.sparkContext.broadcast(np.zeros(jaccard_join.SLOTS, np.uint8))
     assert [tuple(r) for r in jaccard_join._links(pairs, rows, 5, frequency).collect()] == [(1, 2)]
     assert sorted(moved) == [1, 2]
+
+
+def test_long_texts_that_share_few_large_columns_move_no_sets(spark, monkeypatch):
+    """Of texts whose sets are too large for their signatures, any two share a third at most; all n-grams are in 17 texts, which make large columns in one task."""
+    n = 17
+    assert n > jaccard_join.LOCAL
+    passage = [[" ".join(f"{kind}{k}x{i}" for i in range(800)) for k in range(n)] for kind in "abc"]
+    texts = [(n * r + c, "\n".join((passage[0][r], passage[1][c], passage[2][(r + c) % n]))) for r in range(n) for c in range(n)]
+    moved, of_ids = [], jaccard_join._of_ids
+    monkeypatch.setattr(jaccard_join, "_of_ids", lambda ids, *more: moved.extend(r.id for r in ids.collect() if more[3] is jaccard_join._elements) or of_ids(ids, *more))
+    found = jaccard_join.join_components(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i for i, _ in texts}
+    assert moved == []
+
+
+def test_pairs_of_one_document_are_not_made(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(2, " ".join(words)), (3, " ".join(words[:-1])), (8, " ".join(words[:-2])), (9, " ".join(words[1:]))]
+    made, written = [], jaccard_join.written
+
+    def spied(df, name, *more):
+        if name == "product":
+            made.extend(tuple(r) for r in df.where(f"kind = {jaccard_join.PAIR}").select("a", "b").collect())
+        return written(df, name, *more)
+
+    monkeypatch.setattr(jaccard_join, "written", spied)
+    found = jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), document=lambda c: F.shiftright(c, 1), document_of=lambda ids: ids >> 1)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {2: 1, 3: 1, 8: 1, 9: 1}
+    assert set(made) == {(2, 8), (2, 9), (3, 8), (3, 9)}

@@ -55,3 +55,19 @@ def test_a_cluster_needs_a_shared_folder():
     assert scratch.shared_path(session("hdfs://x/y/", None), "t").startswith("hdfs://x/y/postworks/a/t-")
     assert scratch.shared_path(session(None, "hdfs://z"), "t").startswith("hdfs://z/postworks/a/t-")
     assert scratch.shared_path(session(None, None, "local[4]"), "t").startswith("file:///")
+
+
+def test_what_was_shuffled_for_a_table_goes_at_once(spark):
+    import time
+
+    name = scratch._SHUFFLES_GO
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, setting = held(), spark.conf.get(name, None)
+    table = scratch.written(spark.range(1000).repartition(3, "id").groupBy("id").count(), "t")
+    end = time.time() + 20  # they are deleted beside the query's end
+    while held() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not held() - before
+    assert table.count() == 1000 and spark.conf.get(name, None) == setting
+    scratch.clear(spark)
